@@ -8,8 +8,10 @@ window is held against a threshold calibrated on the training rows.
 Windows are so short that zstandard would store many of them raw. So a fixed carrier precedes each window; both
 dictionaries end with it, it always compresses, and the lengths differ by what the window itself saves.
 
-Training text of the toxic dictionary: word beginnings that occur in toxic documents, in many contexts, and hardly ever
-in ordinary ones, each lengthened as long as most of its occurrences continue alike.
+The ordinary dictionary is what zstandard's trainer selects from ordinary windows. The trainer selects what is frequent,
+and most of a toxic text is ordinary, so the toxic dictionary is selected by contrast: word beginnings that occur many times as often in toxic documents as in ordinary
+ones, in many contexts, each lengthened as long as most of its occurrences continue alike. Running the trainer over these pieces
+once more cuts them up and was measured to separate worse.
 """
 
 from __future__ import annotations
@@ -32,10 +34,13 @@ WINDOW_WORDS = 6
 #: A window of long words is compressed in parts of this size.
 WINDOW_BYTES = 256
 #: Saved bytes that a window must exceed to count, and windows added to every text so that short ones need more than one hit's chance.
-MARGIN, PRIOR_WINDOWS = 2, 8
+MARGIN, PRIOR_WINDOWS = 1, 8
 ORDINARY_BYTES, TOXIC_BYTES = 1024, 1024
-#: Shortest and longest word beginning (with the blank before it), how much likelier in toxic documents, in how many contexts.
-BEGIN_MIN, BEGIN_MAX, RATIO, CONTEXTS = 5, 14, 20, 6
+#: Shortest and longest word beginning (with the blank before it), how much more frequent in toxic documents, in how many contexts.
+BEGIN_MIN, BEGIN_MAX, RATIO, CONTEXTS = 5, 14, 15, 6
+#: A beginning is frequent in a text if every DENSE-th word has it.
+#: It has to be frequent in PRECISE times as many toxic as ordinary texts of the sample.
+DENSE, PRECISE = 200, 2
 CARRIER = hashlib.sha512(b"carrier").digest()
 _scorers: dict[bytes, Scorer] = {}
 
@@ -73,16 +78,21 @@ def unlike(texts: list[list[bytes]]) -> list[list[bytes]]:
 
 
 def distinguishing(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> dict[bytes, bytes]:
-    """Shortest word beginnings that set toxic texts apart, each with its most usual continuation."""
+    """Word beginnings that set toxic texts apart, each with its most usual continuation.
+
+    Of beginnings of one another, the one stays that is frequent in the most toxic texts, less the ordinary ones.
+    """
     toxic, ordinary = unlike(toxic), unlike(ordinary)
-    inside, outside = collections.Counter(), collections.Counter()
+    inside, often, outside = collections.Counter(), collections.Counter(), collections.Counter()
     for words in toxic:
         inside.update({b for w in set(words) for b in beginnings(w)})
-    for words in ordinary:
-        outside.update(b for b in {b for w in set(words) for b in beginnings(w)} if b in inside)
-    rate = max(1, len(ordinary)) / max(1, len(toxic))
+        often.update(b for w in words for b in beginnings(w))
     fewest = max(3, len(toxic) // 100)
-    apart = {b for b, n in inside.items() if n >= fewest and n * rate >= RATIO * (outside[b] + 0.5)}
+    usual = {b for b, n in inside.items() if n >= fewest}
+    for words in ordinary:
+        outside.update(b for w in words for b in beginnings(w) if b in usual)
+    rate = max(1, sum(map(len, ordinary))) / max(1, sum(map(len, toxic)))
+    apart = {b for b in usual if often[b] * rate >= RATIO * (outside[b] + 1)}
     contexts: dict[bytes, set[bytes]] = collections.defaultdict(set)
     for words in toxic:
         for before, word in zip([b"", *words], words, strict=False):
@@ -91,11 +101,20 @@ def distinguishing(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> dic
                     contexts[b].add(before)
     least = max(CONTEXTS, len(toxic) // 250)
     pure = {b for b in apart if len(contexts[b]) >= least}
-    found = {}
-    for b in sorted(x for x in pure if x[:-1] not in pure):
+    dense = {b: [0, 0] for b in pure}  # toxic and ordinary texts where it is frequent
+    for k, words in enumerate([*toxic, *ordinary]):
+        for b, n in collections.Counter(b for w in words for b in beginnings(w) if b in pure).items():
+            if n * DENSE >= len(words):
+                dense[b][k >= len(toxic)] += 1
+    found: dict[bytes, bytes] = {}
+    for b in sorted(pure, key=lambda x: (dense[x][1] - dense[x][0], len(x), x)):
+        if dense[b][0] - dense[b][1] < fewest or dense[b][0] < PRECISE * dense[b][1]:
+            continue
+        if any(b.startswith(x) or x.startswith(b) for x in found):
+            continue
         longest = b
-        while longer := [x for x in pure if len(x) == len(longest) + 1 and x.startswith(longest) and 5 * inside[x] >= 3 * inside[b]]:
-            longest = max(longer, key=lambda x: (inside[x], x))
+        while longer := [x for x in pure if len(x) == len(longest) + 1 and x.startswith(longest) and 5 * often[x] >= 3 * often[b]]:
+            longest = max(longer, key=lambda x: (often[x], x))
         found[b] = longest
     return found
 
@@ -149,9 +168,7 @@ def train(rows: list[tuple[str, int]]) -> tuple[float, bytes, bytes]:
     ordinary = trained([w for words in split[0][:1500] for w in windows(words)] or [b" "], ORDINARY_BYTES, 64, 8)
     if not apart:
         return 1.0, ordinary, b""
-    toxic = b"".join(sorted(set(apart.values())))[-TOXIC_BYTES:]
-    samples = [b"".join(s for w in words for b, s in apart.items() if (b" " + w + b" ").startswith(b)) for words in split[1]]
-    toxic = trained([s for s in samples if s], TOXIC_BYTES - len(toxic), 16, 6) + toxic if len(toxic) < TOXIC_BYTES else toxic
+    toxic = b"".join(sorted(set(apart.values())))[:TOXIC_BYTES]
     scorer = Scorer((1.0, ordinary, toxic))
     scored = sorted(((scorer.raw(t), y) for t, y in rows), reverse=True)
     every, hits, best = sum(y for _, y in rows), 0, (0.0, scored[0][0] or 1.0)
