@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import decontaminate, jaccard, media, mixing, sharding, tokencount, toxicity, urlfilter, warc
+from lodestar.llm import decontaminate, jaccard, maintext, media, mixing, sharding, tokencount, toxicity, urlfilter, warc
 from lodestar.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +46,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents"))
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintext.extract(table(spark, sf_dir, "pages"), maintext.train())
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Query] = {
     "op6_decontamination": op6_decontamination,
     "op7_jaccard": op7_jaccard,
     "op8_mixing": op8_mixing,
+    "op9_main_text": op9_main_text,
     "op10_toxicity": op10_toxicity,
 }
 
@@ -101,4 +106,11 @@ ORACLE_SQL: dict[str, str] = {
         r(doc_id, reached) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.reached = l.a)
         SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, (SELECT min(reached) FROM r WHERE r.doc_id = d.doc_id) AS component_id
         FROM d LEFT JOIN n ON n.doc_id = d.doc_id""",
+    # These pages keep their main text in one <article>, without anything else in it.
+    "op9_main_text": r"""
+        WITH a AS (SELECT page_id, url, regexp_extract(html, '<article>(.*)</article>', 1, 's') AS h FROM pages),
+        t AS (SELECT page_id, url, regexp_replace(regexp_replace(h, '</?(p|h1|br)>', ' ', 'g'), '<[^>]*>', '', 'g') AS h FROM a),
+        e AS (SELECT page_id, url, replace(replace(replace(replace(replace(h, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&') AS h FROM t),
+        w AS (SELECT page_id, url, trim(regexp_replace(h, '[\s\x{0b}\x{a0}\x{2009}]+', ' ', 'g')) AS text FROM e)
+        SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM w""",
 }
