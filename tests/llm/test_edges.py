@@ -1,0 +1,79 @@
+"""Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, for every operator."""
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from lodestar.llm import decontaminate, jaccard, maintext, media, mixing, sharding, tokencount, toxicity, urlfilter, warc
+
+LONG = "word " * 40_000 + "x" * 70_000
+DOCS = [(1, "a b c d e f g", "s"), (1, "a b c d e f g", "s"), (2, None, None), (None, "a b c", "s"), (3, "", "t"), (4, LONG, "t"), (5, "  \n ", None), (6, "a b c d e f g", "u"), (None, None, None)]
+PAGES = [(1, "http://A.com/x", "<p>hi</p>"), (1, "http://A.com/x", "<p>hi</p>"), (2, None, None), (None, "b", ""), (3, "no scheme", "<p>" + "long text. " * 50_000), (4, "x://h\r\n/p", "<p>unclosed <b>bold & <!-- c")]
+CLASH = "size block shard part before place n_words n_hit score text_crc32 class label media payload _row _text verdict host".split()
+DOC_OPERATORS = {
+    "media": lambda spark, d: media.media_features(d),
+    "sharding": lambda spark, d: sharding.assign_shards(d),
+    "tokens": lambda spark, d: tokencount.count_tokens(d, tokencount.load_ranks()),
+    "decontaminate": lambda spark, d: decontaminate.overlaps(d, spark.createDataFrame([(1, "a b c d e f g"), (None, None), (2, ""), (2, "zz")], "item_id long, text string")),
+    "jaccard": lambda spark, d: jaccard.with_components(d),
+    "mixing": lambda spark, d: mixing.mix_plan(d),
+    "toxicity": lambda spark, d: toxicity.score_documents(d, labels(spark)),
+}
+PAGE_OPERATORS = {
+    "warc": lambda spark, p: warc.page_records(spark, p),
+    "urls": lambda spark, p: urlfilter.judge_urls(p, urlfilter.publish(spark, urlfilter.RULES)),
+    "maintext": lambda spark, p: maintext.extract(p, maintext.train()),
+}
+
+
+def labels(spark):
+    return spark.createDataFrame([(1, 0, 1), (4, 0, None), (6, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+
+
+def documents(spark, rows=DOCS):
+    return spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("lang", F.lit(None).cast("string")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def pages(spark, rows=PAGES):
+    return spark.createDataFrame(rows, "page_id long, url string, html string")
+
+
+def clashing(df):
+    return df.select("*", *[F.lit("x").alias(c) for c in CLASH if c not in df.columns])
+
+
+def rows(df):
+    return sorted(map(str, df.collect()))
+
+
+@pytest.mark.parametrize("name", DOC_OPERATORS)
+def test_documents(spark, name):
+    operator = DOC_OPERATORS[name]
+    found = rows(operator(spark, documents(spark)))
+    assert len(found) == len(DOCS)
+    assert rows(operator(spark, clashing(documents(spark)))) == found
+    assert rows(operator(spark, documents(spark).repartition(3, "source"))) == found
+    assert operator(spark, documents(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("name", PAGE_OPERATORS)
+def test_pages(spark, name):
+    operator = PAGE_OPERATORS[name]
+    found = rows(operator(spark, pages(spark)))
+    assert len(found) == len(PAGES)
+    assert rows(operator(spark, clashing(pages(spark)))) == found
+    assert operator(spark, pages(spark, [])).count() == 0
+
+
+def test_pipeline_keeps_columns(spark, tmp_path):
+    for rows_ in (DOCS, []):
+        folder = str(tmp_path / f"t{len(rows_)}")
+        docs = clashing(documents(spark, rows_))
+        docs.write.parquet(f"{folder}/documents.parquet")
+        labels(spark).write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame([(1, "q w e r t y")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            assert stage(spark, docs, folder).columns == docs.columns
+        out = corpus_pipeline.run(spark, folder)
+        assert {"doc_id", "shard", "slot"} <= set(out.columns)
+        assert (out.count() > 0) == bool(rows_)

@@ -1,0 +1,354 @@
+"""Each operator against a brute-force version, an exact round trip, or held-out accuracy."""
+
+import hashlib
+import itertools
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from lodestar.llm import decontaminate, jaccard, maintext, media, mixing, sharding, tokencount, toxicity, urlfilter, warc
+from lodestar.llm.components import components
+from lodestar.llm.mainpages import Page
+from lodestar.llm.queries import ORACLE_SQL, QUERIES
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def corpus(spark, n=400, seed=1):
+    """Near copies around the threshold, exact copies, shared passages and short texts."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(3))
+    passage = [word() for _ in range(60)]
+    rows, bases = [], [[word() for _ in range(r.randint(3, 120))] for _ in range(12)]
+    for i in range(n):
+        words = list(r.choice(bases))
+        if r.random() < 0.3:
+            words = [word() for _ in range(r.randint(0, 80))]
+        for _ in range(r.choice([0, 0, 1, 2, 4])):
+            if words:
+                words[r.randrange(len(words))] = word()
+        if r.random() < 0.3:
+            at = r.randint(0, len(words))
+            words[at:at] = passage
+        rows.append((i, r.choice([" ", "\n", "  "]).join(words), f"s{r.choice([0, 0, 0, 1, 2])}"))
+    return spark.createDataFrame(rows, "doc_id long, text string, source string"), rows
+
+
+def test_warc_round_trip(spark):
+    html = ["<p>" + "x" * 200, "<p>" + "x" * 200, "short", "short", "é" * 99, None]
+    pages = spark.createDataFrame([(9 - i, f"http://h/{i}", h) for i, h in enumerate(html)], "page_id long, url string, html string")
+    captures = {r.response.page_id: r for r in warc.round_trip(pages, payloads=True).collect()}
+    for i, h in enumerate(html):
+        r = captures[9 - i]
+        assert r.request.page_id == r.metadata.page_id == 9 - i
+        assert r.response.payload_digest == hashlib.sha256((h or "").encode()).hexdigest()
+        if i != 0:
+            assert r.response.record_type == "response" and bytes(r.response.payload) == (h or "").encode()
+    assert captures[9].response.record_type == "revisit" and captures[9].response.refers_to == 8
+    assert captures[9].metadata.payload_bytes == 203
+
+
+def test_warc_truncated_archive_is_an_error():
+    import io
+
+    whole = b"".join(warc.capture_records(1, "u", b"x" * 500, hashlib.sha256(b"x" * 500).hexdigest(), None, "0"))
+    assert len(list(warc.members(io.BytesIO(whole)))) == 3
+    with pytest.raises(ValueError):
+        list(warc.members(io.BytesIO(whole[:-9])))
+
+
+def test_url_rules_against_scan(tmp_path):
+    r = random.Random(3)
+    hosts = ["com", "a.com", "b.a.com", "net", "xa.com", "", "a.com."]
+    paths = ["", "/", "/en/", "/en/x", "/e"]
+    rules = [(h, p, r.choice(["allow", "block"])) for h, p in {(r.choice(hosts[:5]), r.choice(paths)) for _ in range(12)}]
+    path = tmp_path / "rules"
+    path.write_bytes(urlfilter.build(rules))
+    parts = list(itertools.product(hosts, paths))
+    found, verdicts = urlfilter.Store(str(path)).judge(parts)
+    for (host, p), rule, verdict in zip(parts, found, verdicts, strict=True):
+        fits = [(len(h + q), len(h), h + q, v) for h, q, v in rules if host and (host == h or host.endswith("." + h)) and p.startswith(q)]
+        assert (rule, verdict) == (max(fits)[2:] if fits else (None, "allow"))
+
+
+def test_url_colliding_keys(tmp_path, monkeypatch):
+    monkeypatch.setattr(urlfilter.xxhash, "xxh64_intdigest", lambda b: len(b) % 3)
+    path = tmp_path / "rules"
+    path.write_bytes(urlfilter.build(urlfilter.RULES))
+    store = urlfilter.Store(str(path))
+    assert store.judge([("www.example.com", "/en/a"), ("x.net", "/fr/"), ("x.net", "/en/")]) == (["www.example.com/en/", "net/fr/", None], ["allow", "block", "allow"])
+    assert urlfilter.split_url("HTTP://WWW.Éx.com:80?q://z") == ("www.Éx.com:80", "")
+
+
+def test_media_round_trip(spark):
+    texts = ["", "a", "x" * 64, "ü" * 3000, "hello " * 9000, None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in media.media_features(docs).collect():
+        data = (texts[r.doc_id] or "").encode()
+        payload = media.padded(data)
+        assert media.from_wav(media.to_wav(payload)) == payload and len(payload) % 64 == 0 and payload
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(data), len(payload), hashlib.sha256(payload).hexdigest())
+        assert r.tail_crc32 == zlib.crc32(payload[-64:]) and r.media_sha256 == hashlib.sha256(media.to_wav(payload)).hexdigest()
+        assert r.feature
+    times, hashes = media.fingerprint(np.frombuffer(b"abc" * 5000, np.uint8))
+    assert list(times) == sorted(times) and len(times) == len(hashes)
+    # Chunks do not show in the result.
+    media.CHUNK, old = 3, media.CHUNK
+    assert np.array_equal(media.fingerprint(np.frombuffer(b"abc" * 5000, np.uint8))[1], hashes)
+    media.CHUNK = old
+
+
+def test_sharding_brute_force(spark):
+    docs, rows = corpus(spark)
+    found = {r.doc_id: r for r in sharding.assign_shards(docs, 7).collect()}
+    total, before = sum(len(t.encode()) + 8 for _, t, _ in rows), 0
+    slots = Counter()
+    for i, t, _ in sorted(rows):
+        size = len(t.encode()) + 8
+        shard = min(6, (2 * before + size) * 7 // (2 * total))
+        assert (found[i].size, found[i].shard, found[i].slot, found[i].text_crc32) == (size, shard, slots[shard], zlib.crc32(t.encode()))
+        slots[shard] += 1
+        before += size
+
+
+def test_token_counts_brute_force(spark):
+    ranks = tokencount.load_ranks()
+    enc = tokencount.encoder(ranks)
+    docs, rows = corpus(spark, 120)
+    lengths = [len(enc.encode_ordinary(t)) for _, t, _ in rows]
+    suffix = tokencount.token_report(spark, docs)
+    for r in suffix.collect():
+        assert r.n_docs == lengths.count(r.n_tokens)
+        assert r.docs_over == sum(n > r.n_tokens for n in lengths)
+        assert r.tokens_within == sum(n for n in lengths if n <= r.n_tokens)
+        assert r.tokens_truncated == sum(min(n, r.n_tokens) for n in lengths)
+    for r in tokencount.answer(suffix, [0, 50, 10**6]).collect():
+        assert (r.docs_over, r.tokens_truncated) == (sum(n > r.context_limit for n in lengths), sum(min(n, r.context_limit) for n in lengths))
+    assert isinstance(enc, tiktoken.Encoding)
+
+
+def test_token_pieces_encode_as_the_whole(monkeypatch):
+    enc = tokencount.encoder(tokencount.load_ranks())
+    r = random.Random(5)
+    monkeypatch.setattr(tokencount, "PIECE", 7)
+    for _ in range(300):
+        text = "".join(r.choice(["ab", "'s", " ", "  ", "\n", "9", "é", "!", "don't", " of"]) for _ in range(40))
+        assert tokencount.token_length(text, enc) == len(enc.encode_ordinary(text))
+
+
+def contamination(texts, items):
+    """n_hit and the ids of items, by comparing every window."""
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    split = lambda t: word.findall(t.translate(lower))
+    out = []
+    for t in texts:
+        ws, hit, ids = split(t), set(), set()
+        for i, item in items:
+            ow = split(item)
+            n = min(10, len(ow))
+            for p, q in itertools.product(range(len(ow) - n + 1), range(len(ws) - n + 1)):
+                if n and ow[p : p + n] == ws[q : q + n]:
+                    hit.update(range(q, q + n))
+                    ids.add(str(i))
+        out.append((len(ws), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("block", [decontaminate.BLOCK_BYTES, 60])
+def test_decontamination_brute_force(spark, monkeypatch, block):
+    r = random.Random(2)
+    word = lambda: r.choice(["aa", "Bb", "cc", "Éé", "d9", "ee"])  # noqa: E731  few words: windows repeat
+    items = [(i, " ".join(word() for _ in range(r.choice([1, 4, 9, 10, 11, 14, 30])))) for i in range(12)]
+    texts = []
+    for _ in range(60):
+        ws = [r.choice([word(), "zz", "ff"]) for _ in range(r.randint(0, 40))]
+        for _ in range(r.randint(0, 2)):
+            ow = r.choice(items)[1].split()
+            a = r.randint(0, len(ow))
+            at = r.randint(0, len(ws))
+            ws[at:at] = ow[a : a + r.randint(5, 14)]
+        texts.append(r.choice([" ", ", ", "\n"]).join(ws))
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+    found = decontaminate.overlaps(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {x.doc_id: (x.n_words, x.n_hit, x.n_items, x.items_sha256) for x in found.collect()}
+    assert [got[i] for i in range(len(texts))] == contamination(texts, items)
+
+
+def jaccard_components(rows):
+    sets = {}
+    for i, t, *_ in rows:
+        ws = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        sets[i] = {tuple(ws[k : k + 5]) for k in range(max(1, len(ws) - 4))} if ws else set()
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in itertools.combinations(sets, 2):
+        both = len(sets[a] & sets[b])
+        if both and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    return {i: (len(sets[i]), find(i)) for i in sets}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_jaccard_brute_force(spark, monkeypatch, seed):
+    docs, rows = corpus(spark, 300, seed)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.with_components(docs.repartition(5)).collect()}
+    assert got == jaccard_components(rows)
+
+
+def test_jaccard_many_gatherings(spark):
+    """Small gatherings and ranges: everything meets across tasks."""
+    docs, rows = corpus(spark, 150, 9)
+    old = jaccard.GATHER, jaccard.RANGE
+    try:
+        jaccard.RANGE = 100
+        got = {r.doc_id: r.component_id for r in jaccard.with_components(docs.repartition(40)).collect()}
+    finally:
+        jaccard.GATHER, jaccard.RANGE = old
+    assert got == {i: c for i, (_, c) in jaccard_components(rows).items()}
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 99), (101, 99), (60, 61)]
+    labels = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert all(labels[i] == 0 for i in range(41)) and labels[100] == labels[101] == 99 and labels[61] == 60
+
+
+def test_mixing_targets():
+    assert mixing.targets([60, 60, 60], [1, 2, 3]) == [30, 60, 90]
+    assert mixing.targets([10, 1000, 10], [1, 2, 3]) == [30, 960, 30]
+    assert mixing.targets([0, 10], [1, 2]) == [0, 10]
+    assert mixing.targets([], []) == []
+
+
+def test_mixing(spark):
+    docs, rows = corpus(spark, 1500)
+    got = {r.doc_id: r for r in mixing.mix_plan(docs).collect()}
+    again = {r.doc_id: r.taken for r in mixing.mix_plan(docs.repartition(7)).collect()}
+    taken, size, target = Counter(), Counter(), {}
+    for i, t, s in rows:
+        r = got[i]
+        assert r.size == len(t.split()) and r.taken <= 3 * r.size and r.taken == again[i]
+        taken[s] += r.taken
+        size[s] += r.size
+        target[s] = r.target
+    goals = mixing.targets([size[s] for s in sorted(size)], [1, 2, 3])
+    for s, goal in zip(sorted(size), goals, strict=True):
+        assert abs(target[s] - goal) < 1e-6 and abs(taken[s] - goal) < 200
+    mixed = Counter(r.doc_id for r in mixing.mix(docs).collect())
+    assert mixed == Counter({i: r.taken // r.size for i, r in got.items() if r.size and r.taken}) + Counter({i: mixed[i] for i, r in got.items() if not r.size})
+
+
+def test_splitting_tree_keeps_quotas():
+    quotas = np.array([7, 0, 1000, 31])
+    out = np.zeros((5, 4), np.int64)
+    mixing.split_quotas(quotas, 0, 5, out)
+    assert (out.sum(axis=0) == quotas).all() and abs(out.sum(axis=1) - 1038 / 5).max() <= 2
+
+
+def test_crf_on_pages_it_has_not_seen():
+    model = maintext.train()
+    right = total = 0
+    for k in range(50_000, 50_200):
+        blocks = maintext.leaf_blocks(Page(k).html())
+        states = maintext.decode(blocks, model)
+        right += sum((b[2] or 0) == s for b, s in zip(blocks, states, strict=True))
+        total += len(blocks)
+    assert right / total > 0.98
+
+
+def test_viterbi_is_the_best_path():
+    r = random.Random(4)
+    for _ in range(50):
+        model = maintext.Model({f: r.uniform(-2, 2) for f in "abc"}, tuple(r.uniform(-2, 2) for _ in range(4)))
+        blocks = [("", [r.choice("abcd")], None) for _ in range(7)]
+        value = lambda path: sum(model.weights.get(b[1][0], 0) * s for b, s in zip(blocks, path, strict=True)) + sum(model.steps[2 * x + y] for x, y in itertools.pairwise(path))  # noqa: B023, E731
+        assert abs(value(maintext.decode(blocks, model)) - max(map(value, itertools.product((0, 1), repeat=7)))) < 1e-9
+
+
+def test_leaf_blocks():
+    page = "<body><nav><a href='>'>x</a></nav><p>a&amp;b <b>c</b>d\n<br>e<p>f<!-- no --><script>if (a<b) '</p>'</script>g<li>h<li>i<div>j"
+    assert [b[0] for b in maintext.leaf_blocks(page)] == ["x", "a&b cd e", "fg", "h", "i", "j"]
+
+
+def toxic_rows(n, seed):
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice(["ba", "ce", "di", "fo", "gu", "ne", "st"]) for _ in range(r.randint(1, 3)))
+    rows = []
+    for i in range(n):
+        bad = r.random() < 0.2
+        ws = [r.choice(["vileword", "zornix" + word(), "scoundrel"]) if bad and r.random() < 0.04 else word() for _ in range(r.randint(40, 300))]
+        rows.append((i, " ".join(ws), int(any(w in ("vileword", "scoundrel") or w.startswith("zornix") for w in ws))))
+    return rows
+
+
+def test_toxicity_held_out(spark):
+    rows = toxic_rows(900, 1)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    labels = docs.select("doc_id", F.lit(0).alias("quality"), "toxic")
+    found = {r.doc_id: r for r in toxicity.score_documents(docs.drop("toxic"), labels).collect()}
+    truth = {i: y for i, _, y in rows}
+    held = [i for i in truth if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert all(found[i].held_out == (i in held) for i in truth)
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in found.values())
+    assert sum(found[i].predicted == truth[i] for i in held) / len(held) > 0.93
+
+
+def test_toxicity_ignores_held_out_labels(spark):
+    rows = toxic_rows(300, 2)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    labels = docs.select("doc_id", "toxic")
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    flipped = labels.withColumn("toxic", F.when(held, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    assert toxicity.fit(docs, labels) == toxicity.fit(docs, flipped)
+
+
+def test_pipeline_stages_brute_force(spark, tmp_path):
+    docs, rows = corpus(spark, 250, 6)
+    folder = str(tmp_path)
+    docs.write.parquet(f"{folder}/documents.parquet")
+    item = next(t for _, t, _ in rows if len(t.split()) > 40)
+    spark.createDataFrame([(1, " ".join(item.split()[:12]))], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame([(i, 0, int(i % 50 == 0)) for i, *_ in rows], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    near = {r.doc_id for r in stages["jaccard"](spark, docs, folder).collect()}
+    assert near == {c for _, c in jaccard_components(rows).values()}
+    clean = {r.doc_id for r in stages["decontaminate"](spark, docs, folder).collect()}
+    hits = contamination([t for _, t, _ in rows], [(1, " ".join(item.split()[:12]))])
+    assert clean == {i for (i, *_), h in zip(rows, hits, strict=True) if not h[1]}
+    scores = {r.doc_id: r.score for r in toxicity.score_documents(docs, spark.read.parquet(f"{folder}/labels.parquet")).collect()}
+    assert {r.doc_id for r in stages["toxicity"](spark, docs, folder).collect()} == {i for i, s in scores.items() if s < 0.5}
+    out = corpus_pipeline.run(spark, folder).collect()
+    slots = defaultdict(list)
+    for r in out:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+@pytest.mark.parametrize("name", QUERIES)
+def test_queries_run(spark, name):
+    import duckdb
+
+    df = QUERIES[name](spark, SMALL)
+    got = [tuple(r) for r in df.collect()]
+    assert got
+    if name in ORACLE_SQL:
+        db = duckdb.connect()
+        for t in ("documents", "pages", "benchmark", "labels"):
+            db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
+        want = db.execute(ORACLE_SQL[name])
+        assert [d[0] for d in want.description] == df.columns
+        assert sorted(map(str, got)) == sorted(map(str, want.fetchall()))
