@@ -11,7 +11,9 @@ overlap is counted fragment by fragment, as separate rows, and summed per pair;
 link. No linked pair is missed: the prefix is what a pair of Jaccard similarity 0.75 must share.
 
 Only components are asked for, so pairs inside a component need no check. A first round links each document with one
-head of its candidates; the second checks all candidate pairs whose components still differ. Equal sets are one class
+head of its candidates. Of the candidate pairs whose components differ then, those whose signatures (bit sets of shared
+shingles) leave no room for enough overlap are no links; a second round checks the likeliest of each document and
+component, the third all that are left. Equal sets are one class
 from the start: in each task before anything is sent, and over all rows by digest.
 """
 
@@ -42,7 +44,9 @@ HASH_BITS, MANY = 48, 0xFFFF
 FRAGMENTS = 8
 BATCH_BYTES = 4 << 20
 SENT = "target long, gathering string, blob binary"
-ROWS = "doc_id long, n_shingles long, class binary, shared long, fragments array<array<long>>"
+#: Bits of a set's signature, in words of 64. Bit k is set if a shared shingle's hash ends in k.
+SIGNATURE = 512
+ROWS = "doc_id long, n_shingles long, class binary, shared long, signature array<long>, fragments array<array<long>>"
 _GOLD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -223,12 +227,16 @@ def collect_shared(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     shared = np.bincount(place, minlength=len(ids))
     ends = np.cumsum(shared)
     fragments: list[list[np.ndarray] | None] = [None] * len(ids)
+    signatures: list[np.ndarray | None] = [None] * len(ids)
     for d in np.flatnonzero((stays > 0) & (4 * shared >= 3 * n.astype(np.int64)) & (n > 0)):
         mine = ordered[ends[d] - shared[d] : ends[d]]
         part = np.where(mine >> np.uint64(HASH_BITS) >= 4, 4, 0) + (mine >> np.uint64(HASH_BITS - 2) & np.uint64(3)).astype(np.int64)
+        bits = np.zeros(SIGNATURE, np.uint8)
+        bits[(mine & np.uint64(SIGNATURE - 1)).astype(np.int64)] = 1
+        signatures[d] = np.packbits(bits).view("<i8")
         fragments[d] = [mine[part == f].astype(np.int64) for f in range(FRAGMENTS)]
     classes = [int(a).to_bytes(8, "big") + int(b).to_bytes(8, "big") + int(c).to_bytes(4, "big") if k and c else None for a, b, c, k in zip(s0, s1, n, named, strict=True)]
-    return pd.DataFrame({"doc_id": pd.array(np.where(named > 0, ids.view(np.int64), 0), "Int64").copy(), "n_shingles": n.astype(np.int64), "class": classes, "shared": shared, "fragments": fragments}).assign(doc_id=lambda x: x["doc_id"].mask(named == 0))
+    return pd.DataFrame({"doc_id": pd.array(np.where(named > 0, ids.view(np.int64), 0), "Int64").copy(), "n_shingles": n.astype(np.int64), "class": classes, "shared": shared, "signature": signatures, "fragments": fragments}).assign(doc_id=lambda x: x["doc_id"].mask(named == 0))
 
 
 def overlap(pairs: DataFrame, segments: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -257,7 +265,7 @@ def with_components(docs: DataFrame) -> DataFrame:
     narrow = rows.select("doc_id", "n_shingles", "class")
     heads = narrow.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("head"))
     # A class may come from several gatherings; all have the same shingles.
-    sets = written(rows.where("fragments IS NOT NULL").groupBy("class").agg(F.first("n_shingles").alias("n_shingles"), F.first("shared").alias("shared"), F.first("fragments").alias("fragments")), "sets")
+    sets = written(rows.where("fragments IS NOT NULL").groupBy("class").agg(F.first("n_shingles").alias("n_shingles"), F.first("shared").alias("shared"), F.first("signature").alias("signature"), F.first("fragments").alias("fragments")), "sets")
     segments = sets.select("class", F.posexplode("fragments").alias("fragment", "segment")).where(F.size("segment") > 0)
     links = link(sets, segments)
     if links.isEmpty():
@@ -280,25 +288,44 @@ def link(sets: DataFrame, segments: DataFrame) -> DataFrame:
     postings = written(
         sets.where(prefix > 0)
         .select("class", "n_shingles", unshared.alias("unshared"), F.posexplode(F.slice(ordered, 1, prefix.cast("int"))).alias("at", "shingle"))
-        .select("class", "n_shingles", (F.col("unshared") + F.col("at")).alias("at"), "shingle"),
+        .select("class", "n_shingles", "unshared", (F.col("unshared") + F.col("at")).alias("at"), "shingle"),
         "postings",
     )
-    several = postings.groupBy("shingle").agg(F.min(F.struct("class", "n_shingles")).alias("head"), F.max("class").alias("last")).where("head.class <> last").select("shingle", "head")
+    # The head of a shingle is the document with the fewest shingles of its own: most copies link with it.
+    rank = F.struct("unshared", "class", "n_shingles")
+    several = postings.groupBy("shingle").agg(F.min(rank).alias("head"), F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("shingle", "head")
     votes = postings.join(several, "shingle").where("class <> head.class").where(close(F.col("head.n_shingles"), F.col("n_shingles")))
-    tallied = votes.groupBy("class", F.col("head.class").alias("a")).agg(F.count(F.lit(1)).alias("votes"))
+    tallied = votes.groupBy("class", F.col("head.class").alias("a")).agg(F.count(F.lit(1)).alias("votes"), F.min("head.unshared").alias("own"))
     # A largest tally is found with partial aggregation, so a frequent class is no hot key.
-    first = tallied.groupBy("class").agg(F.max_by("a", F.struct("votes", "a")).alias("a")).select("a", F.col("class").alias("b"))
+    first = tallied.groupBy("class").agg(F.max_by("a", F.struct("votes", -F.col("own"), "a")).alias("a")).select("a", F.col("class").alias("b"))
     star = written(overlap(first, segments, sets).select("a", "b"), "star")
+    pairs = written(open_pairs(postings, sets, components(star)), "pairs")
+    # Of a document's candidates in another component the likeliest first: the others mostly join with it.
+    likely = pairs.groupBy("a", "label_b").agg(F.max_by("b", F.struct("most", "b")).alias("b")).select("a", "b")
+    star = star.unionByName(written(overlap(likely, segments, sets).select("a", "b"), "star"))
     labels = components(star)
+    side = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"now_{c}"))
+    rest = pairs.select("a", "b").join(side("a"), "a", "left").join(side("b"), "b", "left").where(F.coalesce("now_a", "a") != F.coalesce("now_b", "b")).select("a", "b")
+    rest = written(rest.join(likely, ["a", "b"], "left_anti"), "rest")
+    return star.unionByName(overlap(rest, segments, sets).select("a", "b"))
+
+
+def open_pairs(postings: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """a, b, label_b and the most that they may share, of all candidates in different components."""
     labelled = postings.join(labels, postings["class"] == labels["node"], "left").select("class", "n_shingles", "at", "shingle", F.coalesce("label", "class").alias("label"))
     open_ = labelled.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("shingle")
-    left = labelled.join(open_, "shingle", "left_semi")
-    right = left.select("shingle", F.col("class").alias("b"), F.col("n_shingles").alias("n_b"), F.col("at").alias("at_b"), F.col("label").alias("label_b"))
+    signed = sets.select("class", "shared", *[F.col("signature")[i].alias(f"s{i}") for i in range(SIGNATURE // 64)])
+    left = labelled.join(open_, "shingle", "left_semi").join(signed, "class")
+    right = left.select("shingle", *[F.col(c).alias(f"{c}_b") for c in left.columns if c != "shingle"])
     # At the first shingle that a linked pair shares, what follows must suffice; later ones need not pass.
-    enough = 7 * F.least(F.col("n_shingles") - F.col("at"), F.col("n_b") - F.col("at_b")) >= 3 * (F.col("n_shingles") + F.col("n_b"))
-    pairs = left.join(right, "shingle").where(F.col("class") < F.col("b")).where(F.col("label") != F.col("label_b")).where(close(F.col("n_shingles"), F.col("n_b"))).where(enough)
-    rest = written(pairs.select(F.col("class").alias("a"), "b").distinct(), "pairs")
-    return star.unionByName(overlap(rest, segments, sets).select("a", "b"))
+    needed = 3 * (F.col("n_shingles") + F.col("n_shingles_b"))
+    follow = 7 * F.least(F.col("n_shingles") - F.col("at"), F.col("n_shingles_b") - F.col("at_b")) >= needed
+    # A bit that only one signature has stands for a shingle that only this set has.
+    only = lambda x, y: sum((F.bit_count(F.col(f"s{i}{x}").bitwiseAND(F.bitwise_not(F.col(f"s{i}{y}")))) for i in range(SIGNATURE // 64)), F.lit(0))
+    most = F.least(F.col("shared") - only("", "_b"), F.col("shared_b") - only("_b", ""))
+    different = (F.col("class") < F.col("class_b")) & (F.col("label") != F.col("label_b"))
+    pairs = left.join(right, (left["shingle"] == right["shingle"]) & different & close(F.col("n_shingles"), F.col("n_shingles_b")) & follow & (7 * most >= needed))
+    return pairs.groupBy(F.col("class").alias("a"), F.col("class_b").alias("b")).agg(F.first("label_b").alias("label_b"), F.first(most).alias("most"))
 
 
 def close(n: Column, m: Column) -> Column:
