@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm import decontaminate, jaccard, mixing, sharding, toxicity
-from lodestar.llm.shared import table, written
+from lodestar.llm.shared import small_batches, table, written
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -26,12 +26,14 @@ def named(rows: DataFrame, names: list[str], docs: DataFrame) -> DataFrame:
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     rows, names = numbered(docs)
     scored = toxicity.with_score(rows, toxicity.fit(docs, table(spark, sf_dir, "labels")), *names)
     return named(scored.where("score < 0.5"), names, docs)
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     rows, names = numbered(docs)
     doc_id = F.col(names[docs.columns.index("doc_id")])
     others = jaccard.with_components(docs.select("doc_id", "text")).where("doc_id <> component_id").select(F.col("doc_id").alias("_drop")).distinct()
@@ -41,6 +43,7 @@ def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     rows, names = numbered(docs)
     found = decontaminate.with_overlap(rows, table(spark, sf_dir, "benchmark"), *names)
     return named(found.where("n_hit = 0"), names, docs)

@@ -37,12 +37,12 @@ from lodestar.llm.shared import written
 SHINGLE = 5
 #: A pair links when 7 * overlap >= 3 * (size + size), which is a similarity of 0.75.
 #: Shingles that a task gathers before it sends them, documents likewise, and shingles in a range.
-GATHER, GATHER_DOCS, RANGE = 1_500_000, 60_000, 2_000_000
+GATHER, GATHER_DOCS, RANGE = 800_000, 60_000, 1_000_000
 #: Hashes have 48 bits, so that a shingle and its document's place in the gathering fit one number.
 HASH_BITS, MANY = 48, 0xFFFF
 #: Fragments of the global order: two by frequency, each cut in four by hash.
 FRAGMENTS = 8
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 SENT = "target long, gathering string, blob binary"
 #: Bits of a set's signature, in words of 64. Bit k is set if a shared shingle's hash ends in k.
 SIGNATURE = 512
