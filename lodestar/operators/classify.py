@@ -142,7 +142,7 @@ def promote(classified: DataFrame, probabilities: DataFrame, threshold: float, k
     joined = classified.join(probabilities, key, "left")
     up = (F.col("status") == "needs_review") & (F.get("reasons", 0) == "insufficient_signal_families") & (F.col("probability") >= threshold)
     reasons = F.when(up, F.slice(F.concat(F.array(F.lit("corroborated_resume_signals")), F.col("reasons")), 1, MOST_REASONS)).otherwise(F.col("reasons"))
-    return joined.withColumn("reasons", reasons).withColumn("status", F.when(up, "resume_candidate").otherwise(F.col("status")))
+    return joined.withColumns({"reasons": reasons, "status": F.when(up, "resume_candidate").otherwise(F.col("status"))})
 
 
 def hash_embedding(dimension: int):

@@ -5,7 +5,6 @@ A change of a table is a new table: these return what it shall hold.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -24,7 +23,7 @@ def hydrate(hits: DataFrame, active: DataFrame) -> DataFrame:
     found = F.broadcast(hits.limit(MOST_HYDRATED + 1)).join(active.withColumn("_there", F.lit(True)), ["doc_id", "version_id"], "left")
     number = F.count(F.lit(1)).over(Window.partitionBy())
     problem = F.when(number > MOST_HYDRATED, "too many hits").when(F.col("_there").isNull(), "a hit is stale or unknown")
-    checked = found.withColumn("_problem", problem).withColumn("rank", F.when(F.col("_problem").isNotNull(), F.raise_error("_problem").cast("int")).otherwise(F.col("rank")))
+    checked = found.withColumn("_problem", problem).withColumn("rank", F.when(F.col("_problem").isNotNull(), F.raise_error(F.col("_problem")).cast("int")).otherwise(F.col("rank")))
     return checked.drop("_there", "_problem").orderBy("rank")
 
 
@@ -37,51 +36,43 @@ def resolve_selection(asked: DataFrame, sealed: DataFrame, active: DataFrame) ->
     return joined.select(*asked.columns, state.alias("state"))
 
 
-def contact_groups(contacts: DataFrame) -> DataFrame:
-    """Adds ``component``: versions that are joined by equal e-mail or phone hashes, directly or over others.
-
-    Smallest labels spread over contact values until none changes; labels are checkpointed each round.
-    """
-    ends = contacts.select("version_id", F.explode(F.array_compact(F.array(F.concat(F.lit("e"), "email_hash"), F.concat(F.lit("p"), "phone_hash")))).alias("contact"))
-    labels = contacts.select("version_id", F.col("version_id").alias("label"))
-    while True:
-        least = ends.join(labels, "version_id").groupBy("contact").agg(F.min("label").alias("label"))
-        near = ends.join(least, "contact").groupBy("version_id").agg(F.min("label").alias("near"))
-        new = labels.join(near, "version_id", "left").select("version_id", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label")).checkpoint()
-        labels = new.select("version_id", "label")
-        if new.where("label <> old").isEmpty():
-            return contacts.join(labels.withColumnRenamed("label", "component"), "version_id")
-
-
 def assign_candidates(contacts: DataFrame) -> DataFrame:
     """version_id, candidate_id, email_candidate, phone_candidate (both set and different: a conflict, no assignment).
 
     contacts: version_id, committed (order), email_hash, phone_hash. The rule is sequential: a version joins the
     candidate of its e-mail or phone, founds one if neither is known, and never adds a contact to a candidate it joins.
-    Only versions of one component can affect each other, so components are folded independently, in commit order.
-    """
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        emails: dict[str, str] = {}
-        phones: dict[str, str] = {}
-        rows = []
-        for r in part.sort_values(["committed", "version_id"]).itertuples():
-            email, phone = (None if pd.isna(x) else x for x in (r.email_hash, r.phone_hash))
-            by_email, by_phone = emails.get(email), phones.get(phone)
-            if by_email and by_phone and by_email != by_phone:
-                rows.append((r.version_id, None, by_email, by_phone))
-                continue
-            candidate = by_email or by_phone
-            if not candidate and (email or phone):
-                candidate = "cand_" + hashlib.sha256(f"{email}\0{phone}".encode()).hexdigest()[:32]
-                if email:
-                    emails[email] = candidate
-                if phone:
-                    phones[phone] = candidate
-            rows.append((r.version_id, candidate, by_email, by_phone))
-        return pd.DataFrame(rows, columns=["version_id", "candidate_id", "email_candidate", "phone_candidate"])
-
-    return contact_groups(contacts).groupBy("component").applyInPandas(fold, "version_id string, candidate_id string, email_candidate string, phone_candidate string")
+    It is computed in rounds over all versions at once. The first undecided version of all its contacts founds; whoever
+    shares a contact with a founder is decided by that. Each round is a table of its own, so no group of versions, however
+    large, meets in one task.
+    """
+    order = F.struct("committed", "version_id")
+    ends = F.array_compact(F.array(F.concat(F.lit("e"), "email_hash"), F.concat(F.lit("p"), "phone_hash")))
+    undecided = contacts.select("version_id", "committed", ends.alias("ends")).where(F.size("ends") > 0)
+    owners = None
+    while True:
+        held = undecided.select("version_id", "committed", F.size("ends").alias("n"), F.explode("ends").alias("contact"))
+        first = held.groupBy("contact").agg(F.min(order).alias("first"))
+        founders = held.join(first, "contact").where(F.col("first") == order).groupBy("version_id", "committed", "n").agg(F.collect_list("contact").alias("held")).where(F.size("held") == F.col("n"))
+        candidate = F.concat(F.lit("cand_"), F.substring(F.sha2("version_id", 256), 1, 32))
+        new = founders.select(F.explode("held").alias("contact"), "committed", "version_id", candidate.alias("candidate")).checkpoint()
+        if new.isEmpty():
+            break
+        owners = new if owners is None else owners.unionByName(new)
+        near = held.join(new.select("contact"), "contact", "left_semi").select("version_id").distinct()
+        undecided = undecided.join(near, "version_id", "left_anti").checkpoint()
+    if owners is None:
+        return contacts.select("version_id", *[F.lit(None).cast("string").alias(c) for c in ("candidate_id", "email_candidate", "phone_candidate")])
+    out = contacts
+    for kind in ("email", "phone"):
+        mine = owners.select(F.col("contact").alias(f"_{kind}"), F.struct("committed", "version_id").alias(f"_{kind}_by"), F.col("candidate").alias(f"_{kind}_candidate"))
+        out = out.withColumn(f"_{kind}", F.concat(F.lit(kind[0]), f"{kind}_hash")).join(mine, f"_{kind}", "left")
+    # A contact is known to a version only if its founder came before.
+    known = lambda kind: F.when(F.col(f"_{kind}_by") < order, F.col(f"_{kind}_candidate"))
+    founded = F.coalesce(*[F.when(F.col(f"_{k}_by") == order, F.col(f"_{k}_candidate")) for k in ("email", "phone")])
+    email, phone = known("email"), known("phone")
+    chosen = F.when(email.isNotNull() & phone.isNotNull() & (email != phone), None).otherwise(F.coalesce(email, phone, founded))
+    return out.select("version_id", chosen.alias("candidate_id"), email.alias("email_candidate"), phone.alias("phone_candidate"))
 
 
 def version_counts(candidates: DataFrame, assignments: DataFrame, active: DataFrame) -> DataFrame:

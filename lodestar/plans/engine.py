@@ -151,10 +151,10 @@ def with_deadline(spark: SparkSession, action: Callable[[], object], millisecond
 
     def stop() -> None:
         over.set()
-        spark.interruptTag(tag)
+        spark.sparkContext.cancelJobsWithTag(tag)
 
     timer = threading.Timer(milliseconds / 1000, stop)
-    spark.addTag(tag)
+    spark.sparkContext.addJobTag(tag)
     timer.start()
     try:
         return action(), None
@@ -164,7 +164,7 @@ def with_deadline(spark: SparkSession, action: Callable[[], object], millisecond
         raise
     finally:
         timer.cancel()
-        spark.removeTag(tag)
+        spark.sparkContext.removeJobTag(tag)
 
 
 def mean_pooled(model: Callable[[list[str]], np.ndarray], prefix: str) -> Callable[[list[str]], np.ndarray]:
