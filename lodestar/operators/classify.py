@@ -62,27 +62,27 @@ def history_detail(lines: Column) -> Column:
     return F.aggregate(lines, F.lit(0), step) == 3
 
 
-def signals(text: Column) -> dict[str, Column]:
-    lines = F.split(text, r"\r?\n", -1)
-    heads = F.transform(lines, heading_text)
-    low = F.lower(text)
-
-    def has(words: tuple[str, ...]) -> Column:
-        return F.exists(heads, lambda h: h.isin(*words))
-
-    return {
-        "profile_heading": has(PROFILE),
-        "experience_heading": has(EXPERIENCE),
-        "education_heading": has(EDUCATION),
-        "skills_heading": has(SKILLS),
-        "career_history_detail": history_detail(lines),
-        "invoice_heading": has(INVOICE),
-        "invoice_terms": at_least(low, INVOICE_TERMS, 2),
-        "meeting_heading": has(MEETING),
-        "meeting_workflow": at_least(low, MEETING_TERMS, 2),
-        "manual_heading": has(MANUAL),
-        "manual_instructions": at_least(low, MANUAL_TERMS, 2),
-    }
+def signals(text: Column) -> Column:
+    """A struct of all signals. Lines, their heading forms and the lower-cased text are computed once each."""
+
+    def of(lines: Column, heads: Column, low: Column) -> Column:
+        has = lambda words: F.exists(heads, lambda h: h.isin(*words))
+        return F.struct(
+            has(PROFILE).alias("profile_heading"),
+            has(EXPERIENCE).alias("experience_heading"),
+            has(EDUCATION).alias("education_heading"),
+            has(SKILLS).alias("skills_heading"),
+            # The fold over lines is needed only where there is an experience section.
+            F.when(has(EXPERIENCE), history_detail(lines)).otherwise(False).alias("career_history_detail"),
+            has(INVOICE).alias("invoice_heading"),
+            at_least(low, INVOICE_TERMS, 2).alias("invoice_terms"),
+            has(MEETING).alias("meeting_heading"),
+            at_least(low, MEETING_TERMS, 2).alias("meeting_workflow"),
+            has(MANUAL).alias("manual_heading"),
+            at_least(low, MANUAL_TERMS, 2).alias("manual_instructions"),
+        )
+
+    return let(F.split(text, r"\r?\n", -1), lambda lines: let(F.transform(lines, heading_text), lambda heads: let(F.lower(text), lambda low: of(lines, heads, low))))
 
 
 def classify(texts: DataFrame, text: str = "text", outcome: str | None = None) -> DataFrame:
@@ -92,8 +92,8 @@ def classify(texts: DataFrame, text: str = "text", outcome: str | None = None) -
     or blank text fails.
     """
     c = F.col
-    flagged = texts.select("*", F.struct(*[v.alias(k) for k, v in signals(c(text)).items()]).alias("_s"))
-    s = {k: c("_s")[k] for k in (*POSITIVE, *NEGATIVE)}
+    flagged = texts.select("*", signals(c(text)).alias("_s"))
+    s = {k: F.coalesce(c("_s")[k], F.lit(False)) for k in (*POSITIVE, *NEGATIVE)}
     number = lambda names: sum((s[n].cast("int") for n in names), F.lit(0))
     resume = (number(POSITIVE[:4]) >= 2) & s["experience_heading"] & s["career_history_detail"]
     other = (s["invoice_heading"] & s["invoice_terms"]) | (s["meeting_heading"] & s["meeting_workflow"]) | (s["manual_heading"] & s["manual_instructions"])

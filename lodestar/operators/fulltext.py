@@ -9,6 +9,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestar.functions.text import let
+
 K1, B = 1.2, 0.75
 TOKEN_BYTES = 40
 QUERY_BYTES, QUERY_TERMS, TERM_BYTES, MOST_RESULTS = 4096, 16, 256, 100
@@ -139,19 +141,19 @@ def query_table(spark: SparkSession, plans: dict[str, Plan]) -> DataFrame:
 def scan_postings(docs: DataFrame, key: str, terms: list[str], *fields: str) -> Index:
     """Postings of a few terms straight from the texts, for corpora without an index.
 
-    Tokens that no query has are dropped inside the row, before anything is exploded or shuffled.
+    Tokens that no query has are dropped inside the row, before anything is exploded or shuffled. Texts are read once:
+    what is kept of them, lengths and the places of query terms, is persisted for the several uses of a search.
     """
     wanted = F.array(*[F.lit(t) for t in sorted(set(terms))])
-    postings = lengths = None
+    kept = None
     for name in fields:
-        row = docs.select(F.col(key).alias("doc_id"), F.lit(name).alias("field"), tokens(F.col(name)).alias("tokens"))
-        placed = F.filter(F.transform("tokens", lambda t, i: F.struct(t.alias("term"), i.alias("position"))), lambda x: F.array_contains(wanted, x["term"]))
-        terms_here = F.array_distinct(F.transform(placed, lambda x: x["term"]))
-        hits = F.transform(terms_here, lambda t: F.struct(t.alias("term"), F.transform(F.filter(placed, lambda x: x["term"] == t), lambda x: x["position"]).alias("positions")))
-        one = row.select("doc_id", "field", F.explode(hits).alias("hit")).select("hit.term", "doc_id", "field", F.size("hit.positions").alias("tf"), "hit.positions")
-        length = row.select("doc_id", "field", F.size("tokens").alias("length"))
-        postings, lengths = (one, length) if postings is None else (postings.unionByName(one), lengths.unionByName(length))
-    return Index(postings, lengths)
+        placed = lambda ts: F.filter(F.transform(ts, lambda t, i: F.struct(t.alias("term"), i.alias("position"))), lambda x: F.array_contains(wanted, x["term"]))
+        one = docs.select(F.col(key).alias("doc_id"), F.lit(name).alias("field"), let(tokens(F.col(name)), lambda ts: F.struct(F.size(ts).alias("length"), placed(ts).alias("places"))).alias("t"))
+        kept = one if kept is None else kept.unionByName(one)
+    kept = kept.select("doc_id", "field", "t.length", "t.places").persist()
+    placed = kept.where(F.size("places") > 0).select("doc_id", "field", F.inline("places"))
+    postings = placed.groupBy("term", "doc_id", "field").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.array_sort(F.collect_list("position")).alias("positions"))
+    return Index(postings, kept.select("doc_id", "field", "length"))
 
 
 def matching(index: Index, queries: DataFrame) -> DataFrame:
