@@ -6,6 +6,9 @@ since Java's ``\\b``, ``\\d`` and ``\\w`` are ASCII by default.
 
 from __future__ import annotations
 
+import collections
+import re
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -163,14 +166,126 @@ def page_of_bytes(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> It
         yield out.assign(next_cursor=out["next_cursor"].astype("Int32"))
 
 
+# What badly decoded text begins with.
+MOJIBAKE = ("þÿ", "ÿþ", "ï»¿", "ï¿½")
+
+
 def quality(text: Column) -> Column:
-    """Whether an extracted text is good enough to need no character recognition."""
-    signal = F.length(F.regexp_replace(text, r"[^\p{L}\p{N}]", ""))
+    """Whether an extracted text is good enough to need no character recognition.
+
+    At least 40 signal characters; at most 1 % control and 8 % private or replacement characters; no line of 8 and more
+    characters is over 35 % of such lines (from 4 on); no token of 16 and more, 4 times repeated, is over 25 % of all
+    token characters; no mark of bad decoding; no encoded run of 96 and more characters.
+    """
     total = F.greatest(F.length(text), F.lit(1))
-    control = F.length(F.regexp_replace(text, r"[^\x{0}-\x{8}\x{B}\x{C}\x{E}-\x{1F}\x{7F}-\x{9F}]", "")) / total
-    suspicious = F.length(F.regexp_replace(text, r"[^\x{FFFD}\x{E000}-\x{F8FF}]", "")) / total
-    lines = F.filter(F.transform(text_lines(text), lambda x: F.trim(x)), lambda x: x != "")
-    repeated = 1 - F.size(F.array_distinct(lines)) / F.greatest(F.size(lines), F.lit(1))
-    long_ = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: F.length(x) >= 6)
-    again = 1 - F.size(F.array_distinct(long_)) / F.greatest(F.size(long_), F.lit(1))
-    return (signal >= 40) & (control <= 0.01) & (suspicious <= 0.08) & (repeated <= 0.35) & ((F.size(long_) < 8) | (again <= 0.25))
+    without = lambda pattern: F.length(F.regexp_replace(text, pattern, ""))
+    signal = without(r"[\p{Z}\s\x{85}]")
+    control = F.length(text) - without(r"[\x{0}-\x{8}\x{B}\x{C}\x{E}-\x{1F}\x{7F}-\x{9F}]")
+    suspicious = F.length(text) - without(r"[\x{FFFD}\x{E000}-\x{F8FF}\x{F0000}-\x{FFFFD}]")
+    lines = F.filter(F.transform(F.split(text, r"\r?\n", -1), lambda x: F.trim(x)), lambda x: F.length(x) >= 8)
+    tokens = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}+/_=\-]+"), F.lit(0))
+    # Runs of equal values in a sorted array: the largest of number times weight.
+    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("n"), F.lit(0).alias("most"))
+
+    def largest(values: Column, least: int, weight) -> Column:
+        def step(held: Column, x: Column) -> Column:
+            n = F.when(x == held["last"], held["n"] + 1).otherwise(1)
+            return F.struct(x.alias("last"), n.alias("n"), F.when(n >= least, F.greatest(held["most"], n * weight(x))).otherwise(held["most"]).alias("most"))
+
+        return F.aggregate(F.array_sort(values), start, step)["most"]
+
+    repeated_line = let(lines, lambda ls: F.when(F.size(ls) < 4, 0.0).otherwise(largest(ls, 1, lambda x: F.lit(1)) / F.size(ls)))
+    sizes = lambda ts: F.greatest(F.aggregate(ts, F.lit(0), lambda n, t: n + F.length(t)), F.lit(1))
+    repeated_token = let(tokens, lambda ts: largest(F.filter(ts, lambda t: F.length(t) >= 16), 4, F.length) / sizes(ts))
+    return (
+        (signal >= 40)
+        & (control / total <= 0.01)
+        & (suspicious / total <= 0.08)
+        & (repeated_line <= 0.35)
+        & (repeated_token <= 0.25)
+        & ~text.rlike("|".join(MOJIBAKE))
+        & ~F.exists(F.regexp_extract_all(text, F.lit(r"(?:^|[\p{Z}\s])([A-Za-z0-9+/_=\-]{96,})(?=[\p{Z}\s]|$)"), F.lit(1)), lambda t: entropy(t) >= 4.5)
+    )
+
+
+def entropy(token: Column) -> Column:
+    """Bits per character of an ASCII token."""
+    share = lambda c: (F.length(token) - F.length(F.replace(token, c, F.lit("")))) / F.length(token)
+    letters = F.filter(F.array_distinct(F.split(token, "")), lambda c: c != "")
+    return F.aggregate(letters, F.lit(0.0), lambda sum_, c: sum_ - share(c) * F.log2(share(c)))
+
+
+def normalized_with_origins(source: str | None) -> tuple[str, list[tuple[int, int, int, int]]]:
+    """The text that ``normalize_text`` gives and runs (clean start, end, source start, end), all in UTF-8 bytes.
+
+    A run covers characters that stand in the source as they are; a blank maps to all white space it stands for, and
+    line ends between kept lines have no origin.
+    """
+    lines: list[list[tuple[str, int, int]]] = []
+    at = 0
+    for piece in re.split("(\r\n|[\r\n\f])", source or ""):
+        size = len(piece.encode("utf-8", "surrogatepass"))
+        if not re.fullmatch("\r\n|[\r\n\f]", piece):
+            line: list[tuple[str, int, int]] = []
+            place = at
+            for c in piece:
+                end = place + len(c.encode("utf-8", "surrogatepass"))
+                blank = c.isspace() or unicodedata.category(c) in ("Cc", "Zs", "Zl", "Zp")
+                if blank and line and line[-1][0] == " ":
+                    line[-1] = (" ", line[-1][1], end)
+                elif line or not blank:
+                    line.append((" " if blank else c, place, end))
+                place = end
+            if line and line[-1][0] == " ":
+                line.pop()
+            if re.fullmatch("[A-Za-z]( [A-Za-z]){3,}", "".join(c for c, *_ in line)):
+                line = [x for x in line if x[0] != " "]
+            lines.append(line)
+        at += size
+    texts = ["".join(c for c, *_ in line) for line in lines]
+    counts = collections.Counter(t for t in texts if t and len(t.encode("utf-8", "surrogatepass")) <= SHORT_LINE_BYTES)
+    kept: list[list[tuple[str, int, int]]] = []
+    for line, t in zip(lines, texts, strict=True):
+        low = t.translate({c: c + 32 for c in range(65, 91)})
+        gone = counts[t] > 1 or (low.startswith("page ") and " of " in low and re.search("[0-9]", low) is not None)
+        if line and not gone:
+            kept.append(line)
+        elif kept and kept[-1]:
+            kept.append([])
+    while kept and not kept[-1]:
+        kept.pop()
+    out, runs, clean = [], [], 0
+    for k, line in enumerate(kept):
+        if k:
+            out.append("\n")
+            clean += 1
+        for c, a, b in line:
+            size = len(c.encode("utf-8", "surrogatepass"))
+            if runs and c != " " and runs[-1][1] == clean and runs[-1][3] == a and runs[-1][1] - runs[-1][0] == runs[-1][3] - runs[-1][2]:
+                runs[-1] = (runs[-1][0], clean + size, runs[-1][2], b)
+            else:
+                runs.append((clean, clean + size, a, b))
+            out.append(c)
+            clean += size
+    return "".join(out), runs
+
+
+@vectorised("struct<clean string, origins array<struct<clean_start int, clean_end int, source_start int, source_end int>>>")
+def normalize_with_origins(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """``normalize_text`` with the map back to the source. Needs a character walk, so a vectorised function."""
+    names = ("clean_start", "clean_end", "source_start", "source_end")
+    for texts in parts:
+        rows = [normalized_with_origins(t) for t in texts]
+        yield pd.DataFrame({"clean": [r[0] for r in rows], "origins": [[dict(zip(names, o, strict=True)) for o in r[1]] for r in rows]})
+
+
+def source_span(origins: list[tuple[int, int, int, int]], start: int, end: int) -> tuple[int, int] | None:
+    """The source bytes of clean bytes [start, end); None if none of them has an origin."""
+    met = [(c, d, a, b) for c, d, a, b in origins if c < end and start < d]
+    if start >= end or not met:
+        return None
+    exact = lambda c, d, a, b: d - c == b - a
+    first, last = met[0], met[-1]
+    low = first[2] + max(0, start - first[0]) if exact(*first) else first[2]
+    high = last[3] - max(0, last[1] - end) if exact(*last) else last[3]
+    return low, high

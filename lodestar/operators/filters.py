@@ -94,7 +94,7 @@ def select(docs: DataFrame, mentions: DataFrame, predicates: list[Predicate], co
 
 def bounded(selection: DataFrame, most: int = MOST_SELECTED, key: str = "doc_id") -> DataFrame:
     """The selection in order of key; more than ``most`` rows are an error and never a silent cut."""
-    if len(selection.select(key).limit(most + 1).tail(1)) and selection.select(key).limit(most + 1).count() > most:
+    if selection.select(key).limit(most + 1).count() > most:
         raise ValueError("selection is too large")
     return selection.orderBy(key)
 

@@ -101,6 +101,15 @@ def txt_detail(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("l_orderkey", "l_linenumber", F.length(shown).cast("long").alias("n"), confidence.alias("c"))
 
 
+@query("""
+    SELECT doc_id, octet_length(encode(text)) AS n FROM documents""")
+def txt_origins(spark: SparkSession, sf: str) -> DataFrame:
+    """Keeps a text only if its clean form is that of the column expression and no origin lies outside the source."""
+    both = table(spark, sf, "documents").select("doc_id", F.octet_length("text").cast("long").alias("n"), text.normalize_with_origins("text").alias("o"), text.normalize_text(F.col("text")).alias("clean"))
+    inside = F.forall("o.origins", lambda r: (r["source_start"] < r["source_end"]) & (r["source_end"] <= F.col("n")))
+    return both.where((F.col("o.clean") == F.col("clean")) & inside).select("doc_id", "n")
+
+
 @query()
 def txt_quality_gate(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", text.quality(F.col("text")).alias("good"))
@@ -298,7 +307,7 @@ def scan_paths(spark: SparkSession, sf: str) -> DataFrame:
 
 
 FILE_CASES = [
-    ("/d/a.txt", True), ("/d/.hidden.txt", False), ("/d/~$a.docx", False), ("/d/a.txt~", False), ("/d/Thumbs.db", False), ("/d/a.PDF", True), ("/d/a.part", False), ("/x/node_modules/a.txt", False), ("/d/a.exe", False), ("/d/b.docx", True),
+    ("/d/a.txt", True), ("/d/.hidden.txt", False), ("/d/~$a.docx", False), ("/d/a.txt~", False), ("/d/Thumbs.db", False), ("/d/a.PDF", True), ("/d/a.part", False), ("/x/node_modules/a.txt", False), ("/d/a.exe", False), ("/d/b.docx", True), ("/usr/share/a.txt", False), ("/Users/me/Library/a.txt", False), ("/Users/me/cv/a.txt", True), ("c:/Windows/a.txt", False), ("c:/me/a.txt", True), ("/d/.git/a.txt", False),
 ]
 
 

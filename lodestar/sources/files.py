@@ -13,9 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EXTENSIONS = ("docx", "pdf", "doc", "txt")
-#: Directories that a scan of whole volumes leaves out.
-DISCOVERY_DENIED = ("node_modules", ".git", "target", "venv", ".venv", "site-packages", "__pycache__", "Windows", "Program Files", "System Volume Information", "$Recycle.Bin", "Library", "proc", "sys", "dev")
-IGNORED_SUFFIXES = ("tmp", "temp", "swp", "swo", "part", "partial", "crdownload", "download", "bak", "lock")
+# Directories that a scan of whole volumes leaves out, and suffixes of files being written.
+SYSTEM_ROOTS = "applications bin boot cores dev etc library network opt private proc run sbin system tmp usr var volumes".split()
+SYSTEM_ON_DRIVES = ("$recycle.bin", "program files", "program files (x86)", "system volume information", "windows")
+DEPENDENCIES = "__pycache__ build cache caches dist env node_modules target temp tmp vendor venv".split()
+IGNORED_SUFFIXES = ("tmp", "temp", "swp", "swo", "part", "crdownload")
 TEXT_BYTES, ZIP_ENTRIES, XML_BYTES, DOCX_CHARS = 16 << 20, 256, 2 << 20, 1_000_000
 
 
@@ -45,19 +47,26 @@ def within_budget(files: DataFrame, most: int) -> DataFrame:
     return files.orderBy("path").limit(most).crossJoin(F.broadcast(observed)).withColumn("limited", F.col("observed") > most)
 
 
+def local_path(path: Column) -> Column:
+    """The path of a URI; a drive letter is no scheme."""
+    return F.regexp_replace(path, "^[A-Za-z][A-Za-z0-9+.-]+:(?://[^/]*)?(?=/)", "")
+
+
 def wanted_directory(path: Column, profile: str = "discovery") -> Column:
     """Every directory for an explicit scan; not those of systems and dependencies for discovery."""
     if profile == "explicit":
         return F.lit(True)
-    names = "|".join(re.escape(d) for d in DISCOVERY_DENIED)
-    return ~path.rlike(f"(?i)(?:^|/)(?:{names})/")
+    any_of = lambda names: "(?:" + "|".join(map(re.escape, names)) + ")"
+    low = F.lower(local_path(path))
+    system = low.rlike(f"^/{any_of(SYSTEM_ROOTS)}/") | low.rlike("^/users/[^/]+/library/") | low.rlike(f"^[a-z]:/{any_of(SYSTEM_ON_DRIVES)}/")
+    return ~system & ~local_path(path).rlike(f"(?:^|/){any_of(DEPENDENCIES)}/")
 
 
 def wanted_name(path: Column) -> Column:
-    """Without hidden, temporary and lock files."""
-    name = F.regexp_extract(path, r"([^/]*)$", 1)
-    noise = name.startswith(".") | name.startswith("~$") | name.endswith("~") | F.lower(name).isin("thumbs.db", "desktop.ini")
-    return ~(noise | F.lower(name).rlike(r"\.(?:" + "|".join(IGNORED_SUFFIXES) + ")$"))
+    """Without hidden, temporary and lock files, and what lies in such directories."""
+    noise = local_path(path).rlike(r"(?:^|/)(?:\.[^/]*|~\$[^/]*|[^/]*~)(?:/|$)")
+    name = F.lower(F.regexp_extract(path, r"([^/]*)$", 1))
+    return ~(noise | (name == "thumbs.db") | name.rlike(r"\.(?:" + "|".join(IGNORED_SUFFIXES) + ")$"))
 
 
 def wanted_extension(path: Column) -> Column:

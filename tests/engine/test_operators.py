@@ -411,3 +411,30 @@ def test_jsonl(spark, tmp_path):
     path = tmp_path / "x.jsonl"
     path.write_text('{"a": 1}\n\n  {"a": 2}\n')
     assert sorted(r.a for r in files.read_jsonl(spark, str(path), "a int").collect()) == [1, 2]
+
+
+def test_origins(spark):
+    source = "  Füller\r\nA  \tB\n\n\nPage 1 of 2\nH e l l o\n"
+    clean, runs = text.normalized_with_origins(source)
+    assert clean == one(spark, text.normalize_text(F.col("t")), t=source) == "Füller\nA B\n\nHello"
+    data = source.encode()
+    at = lambda a, b: data[slice(*text.source_span(runs, a, b))].decode()
+    assert at(0, 7) == "Füller" and at(8, 11) == "A  \tB" and at(13, 18) == "H e l l o"
+    assert text.source_span(runs, 7, 8) is None and text.source_span(runs, 3, 3) is None
+
+
+@pytest.mark.parametrize(
+    ("source", "good"),
+    [
+        ("A fair text of some forty and more signal characters, in a line.", True),
+        ("short", False),
+        ("x" * 50 + "\x01" * 5, False),
+        ("\ue000" * 10 + "x" * 60, False),
+        ("repeated line\n" * 4 + "another line of text\n", False),
+        (("tokenoftwentylettersx " * 4) + "and a few others", False),
+        ("ï»¿ A fair text of some forty and more signal characters, in a line.", False),
+        ("A fair text with a run " + "".join(chr(97 + i % 26) + chr(65 + i * 7 % 26) for i in range(60)), False),
+    ],
+)
+def test_quality_gate(spark, source, good):
+    assert one(spark, text.quality(F.col("t")), t=source) is good
