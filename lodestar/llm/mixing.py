@@ -19,12 +19,15 @@ from pyspark.sql import functions as F
 BLOCKS = 1024
 SHARDS = 16
 SEED = 20_240_501
+#: Slices that the rows of a shard are dealt over, so that no task holds a whole shard.
+MIX_SLICES = 16
 #: No document is taken more often than this.
 MOST = 3
 #: Weights of the sources in order, repeating.
 WEIGHTS = (1, 2, 3)
-#: Sources are planned on the driver, a block row each: 100 MB at this bound. More are refused, not dropped.
-MAX_SOURCES = 10_000
+#: Sources are planned on the driver, a row of some 250 bytes for each of their blocks: 250 MB at this bound. More sources
+#: are an error that says so, never left out.
+MAX_SOURCES = 1000
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -162,6 +165,3 @@ def mix(docs: DataFrame) -> DataFrame:
     key = F.xxhash64(F.lit(SEED), "_shard", "_copy", f"_row.{at['doc_id']}", f"_row.{at['text']}")
     dealt = drawn.withColumn("_key", key).repartition("_shard", F.pmod(F.col("_key"), F.lit(MIX_SLICES))).sortWithinPartitions("_shard", "_key")
     return dealt.select(*[F.col(f"_row.c{i}").alias(c) for i, c in enumerate(names)])
-
-
-MIX_SLICES = 16

@@ -9,9 +9,10 @@ Windows are so short that zstandard would store many of them raw. So a fixed car
 dictionaries end with it, it always compresses, and the lengths differ by what the window itself saves.
 
 The ordinary dictionary is what zstandard's trainer selects from ordinary windows. The trainer selects what is frequent,
-and most of a toxic text is ordinary, so the toxic dictionary is selected by contrast: word beginnings that occur many times as often in toxic documents as in ordinary
-ones, in many contexts, each lengthened as long as most of its occurrences continue alike. Running the trainer over these pieces
-once more cuts them up and was measured to separate worse.
+and most of a toxic text is ordinary, so the toxic dictionary is selected by contrast: word beginnings that occur many
+times as often in toxic documents as in ordinary ones, in many contexts, each lengthened as long as most of its
+occurrences continue alike. Running the trainer over these pieces once more cuts them up and was measured to separate
+worse.
 """
 
 from __future__ import annotations
