@@ -141,18 +141,21 @@ def query_table(spark: SparkSession, plans: dict[str, Plan]) -> DataFrame:
 def scan_postings(docs: DataFrame, key: str, terms: list[str], *fields: str) -> Index:
     """Postings of a few terms straight from the texts, for corpora without an index.
 
-    Tokens that no query has are dropped inside the row, before anything is exploded or shuffled. Texts are read once:
-    what is kept of them, lengths and the places of query terms, is persisted for the several uses of a search.
+    The places of each query term are found inside the row, so nothing is shuffled. Texts are read once: what is kept of
+    them, lengths and places, is persisted for the several uses of a search.
     """
     wanted = F.array(*[F.lit(t) for t in sorted(set(terms))])
     kept = None
+
+    def hits(ts: Column) -> Column:
+        places = lambda t: F.filter(F.transform(ts, lambda x, i: F.when(x == t, i)), lambda i: i.isNotNull())
+        return F.transform(F.array_intersect(ts, wanted), lambda t: F.struct(t.alias("term"), places(t).alias("positions")))
+
     for name in fields:
-        placed = lambda ts: F.filter(F.transform(ts, lambda t, i: F.struct(t.alias("term"), i.alias("position"))), lambda x: F.array_contains(wanted, x["term"]))
-        one = docs.select(F.col(key).alias("doc_id"), F.lit(name).alias("field"), let(tokens(F.col(name)), lambda ts: F.struct(F.size(ts).alias("length"), placed(ts).alias("places"))).alias("t"))
+        one = docs.select(F.col(key).alias("doc_id"), F.lit(name).alias("field"), let(tokens(F.col(name)), lambda ts: F.struct(F.size(ts).alias("length"), hits(ts).alias("hits"))).alias("t"))
         kept = one if kept is None else kept.unionByName(one)
-    kept = kept.select("doc_id", "field", "t.length", "t.places").persist()
-    placed = kept.where(F.size("places") > 0).select("doc_id", "field", F.inline("places"))
-    postings = placed.groupBy("term", "doc_id", "field").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.array_sort(F.collect_list("position")).alias("positions"))
+    kept = kept.select("doc_id", "field", "t.length", "t.hits").persist()
+    postings = kept.where(F.size("hits") > 0).select("doc_id", "field", F.inline("hits")).select("term", "doc_id", "field", F.size("positions").alias("tf"), "positions")
     return Index(postings, kept.select("doc_id", "field", "length"))
 
 
