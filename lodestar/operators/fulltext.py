@@ -164,10 +164,13 @@ def matching(index: Index, queries: DataFrame) -> DataFrame:
 
     Postings are read once for all queries and cut to their terms by a broadcast of the bounded query table.
     """
-    hits = index.postings.join(F.broadcast(queries), "term")
-    starts = hits.select("query_id", "alternative", "part", "excluded", "place", "doc_id", "field", F.explode("positions").alias("position")).withColumn("start", F.col("position") - F.col("place"))
-    sizes = queries.groupBy("query_id", "alternative", "part", "excluded").agg(F.count(F.lit(1)).alias("size"))
-    parts = starts.groupBy("query_id", "alternative", "part", "excluded", "doc_id", "field", "start").agg(F.count(F.lit(1)).alias("met")).join(F.broadcast(sizes), ["query_id", "alternative", "part", "excluded"]).where("met = size").select("query_id", "alternative", "part", "excluded", "doc_id").distinct()
+    part = ["query_id", "alternative", "part", "excluded"]
+    sized = queries.join(queries.groupBy(*part).agg(F.count(F.lit(1)).alias("size")), part)
+    single = index.postings.select("term", "doc_id").join(F.broadcast(sized.where("size = 1")), "term").select(*part, "doc_id")
+    # Only phrases need places: their terms must stand one after another, so all have the same start.
+    placed = index.postings.join(F.broadcast(sized.where("size > 1")), "term").select(*part, "size", "place", "doc_id", "field", F.explode("positions").alias("position"))
+    starts = placed.groupBy(*part, "size", "doc_id", "field", (F.col("position") - F.col("place")).alias("start")).agg(F.count(F.lit(1)).alias("met"))
+    parts = single.unionByName(starts.where("met = size").select(*part, "doc_id")).distinct()
     needed = queries.where("NOT excluded").groupBy("query_id", "alternative").agg(F.countDistinct("part").alias("needed"))
     met = parts.groupBy("query_id", "alternative", "doc_id").agg(F.sum(F.when(F.col("excluded"), 0).otherwise(1)).alias("met"), F.max("excluded").alias("excluded"))
     return met.join(F.broadcast(needed), ["query_id", "alternative"]).where("met = needed AND NOT excluded").select("query_id", "doc_id").distinct()

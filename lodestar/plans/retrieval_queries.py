@@ -75,6 +75,18 @@ def ft_bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     return fulltext.search(*postings_of(spark, sf, plans), 10).select("query_id", "doc_id", "score", "rank")
 
 
+WORDS = "the and of to in is on with der die und que la les de en".split()
+#: A batch of 64 queries of one to four terms, the shares of a mixed workload.
+WORKLOAD = {f"q{i:02d}": [WORDS[(i * 5 + j * (1 + i % 3)) % len(WORDS)] for j in range((1, 2, 2, 3, 3, 3, 4, 1)[i % 8])] for i in range(64)}
+
+
+@query(bm25_sql(WORKLOAD, 10))
+def ft_batch64(spark: SparkSession, sf: str) -> DataFrame:
+    """A full batch in one job: the texts are read once for all 64 queries."""
+    plans = {q: fulltext.plan_query(" ".join(ts)) for q, ts in WORKLOAD.items()}
+    return fulltext.search(*postings_of(spark, sf, plans), 10).select("query_id", "doc_id", "score", "rank")
+
+
 @query(bm25_sql(BATCH, 10, "source IN ('src1', 'src2') AND lang <> 'fr'"))
 def ft_prefiltered_topk(spark: SparkSession, sf: str) -> DataFrame:
     """The structured filter is a semi join below the cut-off."""
