@@ -204,7 +204,10 @@ def candidate_assignment(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col(K)
     contacts = orders(spark, sf, k.cast("string").alias("version_id"), k.alias("committed"), F.when(k % 3 != 0, F.sha2(F.col("o_custkey").cast("string"), 256)).alias("email_hash"), F.when(k % 4 != 0, F.sha2(F.concat(F.lit("p"), (k % 5003).cast("string")), 256)).alias("phone_hash"))
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or "file:///tmp/lodestar-checkpoints")
+        shared = spark.conf.get("spark.checkpoint.dir", "") or ""
+        if not shared and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        spark.sparkContext.setCheckpointDir(shared or "file:///tmp/lodestar-checkpoints")
     return store.assign_candidates(contacts)
 
 
