@@ -19,6 +19,8 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new path below the cluster's shared folder; only a session without one gets a local folder (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         root = "file://" + tempfile.gettempdir() + "/lodestar-shared"
     path = f"{root.rstrip('/')}/lodestar-{purpose}-{uuid.uuid4().hex}"
     _work.append(path)
