@@ -140,7 +140,8 @@ class Scorer:
 
     @staticmethod
     def compressor(content: bytes) -> zstandard.ZstdCompressor:
-        rules = zstandard.ZstdCompressionParameters(window_log=15, hash_log=15, chain_log=15, search_log=5, min_match=4, target_length=64, strategy=zstandard.STRATEGY_LAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
+        # A match shorter than the shortest beginning says nothing about it.
+        rules = zstandard.ZstdCompressionParameters(window_log=15, hash_log=15, chain_log=15, search_log=5, min_match=BEGIN_MIN, target_length=64, strategy=zstandard.STRATEGY_LAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
         base = zstandard.ZstdCompressionDict(content + CARRIER, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         base.precompute_compress(compression_params=rules)
         return zstandard.ZstdCompressor(dict_data=base, compression_params=rules)
