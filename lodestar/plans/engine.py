@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import threading
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -143,19 +145,19 @@ def corpus_of(projection: DataFrame, mentions: DataFrame | None = None) -> Corpu
 
 def with_deadline(spark: SparkSession, action: Callable[[], object], milliseconds: int) -> tuple[object, str | None]:
     """Runs an action under a tag and cancels its jobs at the deadline: (result, None) or (None, reason)."""
-    import threading
-
     if not 1 <= milliseconds <= 60_000:
         raise ValueError("a deadline is 1 to 60000 ms")
-    tag, over = f"deadline-{uuid.uuid4().hex}", threading.Event()
+    tag, over, done = f"deadline-{uuid.uuid4().hex}", threading.Event(), threading.Event()
 
-    def stop() -> None:
-        over.set()
-        spark.sparkContext.cancelJobsWithTag(tag)
+    def watch() -> None:
+        # Jobs that a plan starts only after the deadline are cancelled too.
+        if not done.wait(milliseconds / 1000):
+            over.set()
+            while not done.wait(0.1):
+                spark.sparkContext.cancelJobsWithTag(tag)
 
-    timer = threading.Timer(milliseconds / 1000, stop)
     spark.sparkContext.addJobTag(tag)
-    timer.start()
+    threading.Thread(target=watch, daemon=True).start()
     try:
         return action(), None
     except Exception:
@@ -163,10 +165,36 @@ def with_deadline(spark: SparkSession, action: Callable[[], object], millisecond
             return None, "deadline_exceeded"
         raise
     finally:
-        timer.cancel()
+        done.set()
         spark.sparkContext.removeJobTag(tag)
 
 
+#: Queries that each class of clients may have running; all together 16.
+ADMISSION = {"interactive": 8, "background": 2, "batch": 8, "evaluation": 4}
+
+
+class Admission:
+    """Admits at most 16 requests, and of each class its share; each class is a pool of the fair scheduler."""
+
+    def __init__(self, spark: SparkSession, most: int = 16):
+        self.spark, self.most, self.running = spark, most, dict.fromkeys(ADMISSION, 0)
+        self.lock = threading.Lock()
+
+    @contextlib.contextmanager
+    def admitted(self, client_class: str) -> Iterator[None]:
+        with self.lock:
+            if self.running[client_class] >= ADMISSION[client_class] or sum(self.running.values()) >= self.most:
+                raise RuntimeError("overloaded")
+            self.running[client_class] += 1
+        self.spark.sparkContext.setLocalProperty("spark.scheduler.pool", client_class)
+        try:
+            yield
+        finally:
+            self.spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
+            with self.lock:
+                self.running[client_class] -= 1
+
+
 def mean_pooled(model: Callable[[list[str]], np.ndarray], prefix: str) -> Callable[[list[str]], np.ndarray]:
     """A token-vector model as a text model: the prefix of its kind, mean over tokens, unit length."""
 

@@ -438,3 +438,28 @@ def test_origins(spark):
 )
 def test_quality_gate(spark, source, good):
     assert one(spark, text.quality(F.col("t")), t=source) is good
+
+
+def test_admission(spark):
+    gate = engine.Admission(spark)
+    with gate.admitted("background"), gate.admitted("background"):
+        with pytest.raises(RuntimeError, match="overloaded"), gate.admitted("background"):
+            pass
+        with gate.admitted("batch"):
+            assert spark.range(3).count() == 3
+    assert not any(gate.running.values())
+
+
+def test_command_line(spark, folder, tmp_path, capsys):
+    from lodestar.__main__ import main
+
+    shop = str(tmp_path / "shop")
+    assert main(["import", str(folder), shop]) == 0
+    assert main(["search", shop, "search portals"]) == 0
+    assert main(["status", shop]) == 0
+    out = capsys.readouterr().out
+    assert '"file_name": "cv1.txt"' in out and '"status": "resume_candidate", "count": 4' in out
+    doc = snapshots.Store(spark, shop).current("projection").where("file_name = 'cv1.txt'").first().doc_id
+    assert main(["detail", shop, doc]) == 0 and "<redacted-email>" in capsys.readouterr().out
+    assert main(["delete", shop, doc]) == 0 and main(["gc", shop]) == 0
+    assert doc not in {r.doc_id for r in snapshots.Store(spark, shop).current("projection").collect()}
