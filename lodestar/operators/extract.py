@@ -146,6 +146,7 @@ _EMAIL = re.compile(r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b")
 _MOBILE = re.compile(r"(?:^|[^\d])((?:(?:\+|00)?86[\s.-]*)?(1[3-9]\d[\s.-]*\d{4}[\s.-]*\d{4}))(?:$|[^\d])")
 _PHONE = re.compile(r"(?:\+\d{1,3}[\s.-]*)?(?:\(\d{3}\)|\d{3,4})[\s.-]+\d{3,4}[\s.-]+\d{4}")
 _WECHAT = _i(r"^\s*(?:wechat|weixin|wx|微信|微信号)\s*[:：]\s*([A-Za-z][A-Za-z0-9_.-]{5,31})\s*$")
+_ANY_YEAR = re.compile(_YEAR)
 _DATES = [re.compile(p, re.IGNORECASE if k not in (0, 2) else 0) for k, p in enumerate(DATE_PATTERNS)]
 _TIERS, _DEGREES, _MAJORS, _CERTIFICATES = ([(n, c, _i(p)) for n, c, p in table] for table in (TIER_PATTERNS, DEGREE_PATTERNS, MAJOR_PATTERNS, CERTIFICATE_PATTERNS))
 _SKILLS = [(n, 0.91, _i(p)) for n, p in SKILL_PATTERNS]
@@ -215,10 +216,10 @@ def is_certificate_line(text: str) -> bool:
 
 
 def title_class(text: str) -> tuple[str, float] | None:
-    if is_certificate_line(text) or is_skill_line(text) or any(p.search(text) for _, _, p in _CERTIFICATES):
-        return None
+    """The class of a title line. Few lines have a phrase of a class, so what excludes a line is looked at last."""
     low = text.lower()
-    return next(((name, c) for name, c, phrases, marks in TITLE_RULES if any(p in low for p in phrases) and (not marks or any(m in low for m in marks))), None)
+    found = next(((name, c) for name, c, phrases, marks in TITLE_RULES if any(p in low for p in phrases) and (not marks or any(m in low for m in marks))), None)
+    return None if found is None or is_certificate_line(text) or is_skill_line(text) or any(p.search(text) for _, _, p in _CERTIFICATES) else found
 
 
 def name_value(text: str) -> str | None:
@@ -256,7 +257,7 @@ def find_names(text: str, lines: list[Line | None]) -> Iterator[Mention]:
 
 
 def find_contacts(text: str, lines: list[Line | None]) -> Iterator[Mention]:
-    for m in _EMAIL.finditer(text):
+    for m in _EMAIL.finditer(text) if "@" in text else ():
         yield Mention("email", m[0], m[0].lower(), m.start(), m.end(), 0.99)
     taken: list[tuple[int, int]] = []
     free = lambda a, b: all(b <= x or y <= a for x, y in taken)
@@ -278,7 +279,7 @@ def find_contacts(text: str, lines: list[Line | None]) -> Iterator[Mention]:
 
 def find_dates(text: str, lines: list[Line | None]) -> Iterator[Mention]:
     found = []
-    for k, pattern in enumerate(_DATES):
+    for k, pattern in enumerate(_DATES if _ANY_YEAR.search(text) else ()):
         for m in pattern.finditer(text):
             parts = list(m.groups())
             if k >= 4:  # names of months come before their years
