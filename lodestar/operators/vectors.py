@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,14 +33,21 @@ def check_contract(model_id: str, dimension: int, asked_model: str, vector: list
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", values: str = "embedding") -> DataFrame:
     """query_id, key, score, rank of the k most similar vectors of each query, ties by key.
 
-    queries: query_id, embedding. They are collected, MOST_QUERIES at most; vectors stay where they are, and each batch
-    sends k rows a query to the shuffle. Vectors of another length than a query's are an error.
+    queries: query_id, embedding. They are searched in blocks of MOST_QUERIES, each a pass over the vectors, which stay
+    where they are; each batch sends k rows a query to the shuffle. Vectors of another length than a query's are an error.
     """
-    asked = queries.select(F.col("query_id").cast("string"), F.col(values).cast("array<float>")).limit(MOST_QUERIES + 1).collect()
-    if len(asked) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries; search them in blocks")
+    asked = queries.select(F.col("query_id").cast("string"), F.col(values).cast("array<float>")).toLocalIterator()
+    found = block_scores(vectors, list(itertools.islice(asked, MOST_QUERIES)), k, key, values)
+    while block := list(itertools.islice(asked, MOST_QUERIES)):
+        found = found.unionByName(block_scores(vectors, block, k, key, values))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.col(key).asc())
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def block_scores(vectors: DataFrame, asked: list, k: int, key: str, values: str) -> DataFrame:
+    """query_id, key, score of the k most similar vectors of each batch and query, and of those that tie with them."""
     names = [r[0] for r in asked]
-    matrix = np.array([r[1] for r in asked], np.float64).reshape(len(asked), -1)
+    matrix = np.array([r[1] for r in asked], np.float64).reshape(len(asked), -1 if asked else 0)
     lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
     matrix = np.divide(matrix, lengths, out=np.zeros_like(matrix), where=lengths > 0)
     source = vectors.select(F.col(key), F.col(values).cast("array<float>").alias("_v")).where("_v IS NOT NULL")
@@ -60,9 +68,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id",
             q, v = np.nonzero(similar >= least[:, None] - 1e-9)
             yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in q], pa.string()), batch.column(0).take(pa.array(v)), pa.array(similar[q, v])], ["query_id", key, "score"])
 
-    scored = source.mapInArrow(run, f"query_id string, `{key}` {kind}, score double").withColumn("score", F.round("score", 6))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.col(key).asc())
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return source.mapInArrow(run, f"query_id string, `{key}` {kind}, score double").withColumn("score", F.round("score", 6))
 
 
 def filtered_after(hits: DataFrame, allowed: DataFrame, key: str = "vec_id") -> DataFrame:

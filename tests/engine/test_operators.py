@@ -13,6 +13,7 @@ from lodestar.functions import ids, months, text, values
 from lodestar.operators import classify, extract, filters, fulltext, fusion, metrics, sections, store, vectors
 from lodestar.operators.filters import Predicate
 from lodestar.plans import engine
+from lodestar.queries import QUERIES
 from lodestar.sources import files, snapshots
 from lodestar.streaming import ingest
 
@@ -158,6 +159,25 @@ def test_vectors(spark):
     assert made.count() == 2
 
 
+def test_vectors_in_blocks(spark, monkeypatch, tmp_path):
+    """More queries than a block holds, and a table whose ids go beyond 1280."""
+    r = np.random.default_rng(2)
+    data = r.normal(size=(1400, 8)).astype(np.float32)
+    vecs = spark.createDataFrame([(i, data[i].tolist(), i % 3) for i in range(1400)], "vec_id long, embedding array<float>, label int")
+    vecs.repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    monkeypatch.setattr(vectors, "MOST_QUERIES", 32)
+    got = {}
+    for x in QUERIES["vec_knn_topk"](spark, str(tmp_path)).collect():
+        got.setdefault(int(x.query_id), []).append((x.rank, x.vec_id))
+    unit = data.astype(np.float64) / np.linalg.norm(data.astype(np.float64), axis=1, keepdims=True)
+    for q in range(0, 1400, 20):
+        similar = np.round(unit @ unit[q], 6)
+        assert [v for _, v in sorted(got.pop(q))] == sorted(range(1400), key=lambda i: (-similar[i], i))[:10]
+    assert not got
+    allowed = {x.query_id for x in QUERIES["vec_knn_postfilter"](spark, str(tmp_path)).collect()}
+    assert {str(q) for q in range(0, 1400, 20) if q % 3 != 1} <= allowed
+
+
 def test_fusion(spark):
     rows = [("q", 0, 1, "a"), ("q", 0, 2, "b"), ("q", 1, 1, "b"), ("q", 1, 2, "c")]
     fused = fusion.reciprocal_rank_fusion(spark.createDataFrame(rows, "query_id string, channel int, rank int, doc_id string"))
