@@ -164,8 +164,9 @@ def send(docs: DataFrame, ranges: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), pa.array([row[1]], pa.string()), pa.array([row[2]], pa.binary())], ["target", "gathering", "blob"])
 
         for whole in batches:
-            for batch in sliced(whole, "text", BATCH_BYTES):
-                if size and (size >= GATHER or len(ids) + batch.num_rows > GATHER_DOCS):
+            for batch in (part.slice(at, GATHER_DOCS) for part in sliced(whole, "text", BATCH_BYTES) for at in range(0, part.num_rows, GATHER_DOCS)):
+                # Blank texts have no shingles but take places, of which 16 bits are there.
+                if ids and (size >= GATHER or len(ids) + batch.num_rows > GATHER_DOCS):
                     yield from out()
                     ids, held, size = [], [], 0
                 place, hashes = shingles(batch.column("text").to_pylist(), known)

@@ -221,6 +221,22 @@ def test_jaccard_many_gatherings(spark):
     assert got == {i: c for i, (_, c) in jaccard_components(rows).items()}
 
 
+@pytest.mark.parametrize("batch", [10_000, 100_000])
+def test_jaccard_many_blank_rows(spark, batch):
+    """More blank texts in a row than places of 16 bits, before two near copies; also in one Arrow batch."""
+    words = [f"w{k}" for k in range(60)]
+    near = [(70_000, " ".join(words)), (70_001, " ".join([*words[:-1], "other"]))]
+    docs = spark.createDataFrame([(i, None if i % 3 else " ") for i in range(70_000)] + near, "doc_id long, text string").coalesce(1)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(name)
+    try:
+        spark.conf.set(name, batch)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.with_components(docs).collect()}
+    finally:
+        spark.conf.set(name, old)
+    assert got == {i: (0, i) for i in range(70_000)} | {70_000: (56, 70_000), 70_001: (56, 70_000)}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 99), (101, 99), (60, 61)]
     labels = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
