@@ -37,7 +37,8 @@ WINDOW_WORDS = 6
 WINDOW_BYTES = 256
 #: Saved bytes that a window must exceed to count, and windows added to every text so that short ones need more than one hit's chance.
 MARGIN, PRIOR_WINDOWS = 1, 8
-ORDINARY_BYTES, TOXIC_BYTES = 1024, 1024
+#: Size of the ordinary dictionary. The toxic one holds all selected pieces.
+ORDINARY_BYTES = 1024
 #: Shortest and longest word beginning (with the blank before it), how much more frequent in toxic documents, in how many contexts.
 BEGIN_MIN, BEGIN_MAX, RATIO, CONTEXTS = 5, 14, 15, 6
 #: A beginning is frequent in a text if every DENSE-th word has it.
@@ -140,8 +141,9 @@ class Scorer:
 
     @staticmethod
     def compressor(content: bytes) -> zstandard.ZstdCompressor:
-        # A match shorter than the shortest beginning says nothing about it.
-        rules = zstandard.ZstdCompressionParameters(window_log=15, hash_log=15, chain_log=15, search_log=5, min_match=BEGIN_MIN, target_length=64, strategy=zstandard.STRATEGY_LAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
+        # A match shorter than the shortest beginning says nothing about it. All of the dictionary is within reach.
+        log = max(15, (2 * (len(content) + len(CARRIER) + WINDOW_BYTES)).bit_length())
+        rules = zstandard.ZstdCompressionParameters(window_log=log, hash_log=log, chain_log=log, search_log=5, min_match=BEGIN_MIN, target_length=64, strategy=zstandard.STRATEGY_LAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
         base = zstandard.ZstdCompressionDict(content + CARRIER, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         base.precompute_compress(compression_params=rules)
         return zstandard.ZstdCompressor(dict_data=base, compression_params=rules)
@@ -168,10 +170,10 @@ def train(rows: list[tuple[str, int]]) -> tuple[float, bytes, bytes]:
     """The model of labelled texts. The threshold has the best F1 on them."""
     split = {k: [tokens(t) for t, y in rows if y == k] for k in (0, 1)}
     apart = distinguishing(split[1], split[0])
-    ordinary = trained([w for words in split[0][:1500] for w in windows(words)] or [b" "], ORDINARY_BYTES, 64, 8)
+    ordinary = trained([w for words in split[0] for w in windows(words)] or [b" "], ORDINARY_BYTES, 64, 8)
     if not apart:
         return 1.0, ordinary, b""
-    toxic = b"".join(sorted(set(apart.values())))[:TOXIC_BYTES]
+    toxic = b"".join(sorted(set(apart.values())))
     scorer = Scorer((1.0, ordinary, toxic))
     scored = sorted(((scorer.raw(t), y) for t, y in rows), reverse=True)
     every, hits, best = sum(y for _, y in rows), 0, (0.0, scored[0][0] or 1.0)

@@ -332,6 +332,33 @@ def test_toxicity_ignores_held_out_labels(spark):
     assert toxicity.fit(docs, labels) == toxicity.fit(docs, flipped)
 
 
+def test_toxicity_keeps_a_large_lexicon():
+    """Markers of more than 1024 bytes together, some beyond ASCII: each is in the dictionary and found alone."""
+    r = random.Random(7)
+    word = lambda: "".join(r.choice(["ba", "ce", "di", "fo", "gu", "ne", "st"]) for _ in range(3))
+    markers = ["".join(r.choice(letters) for _ in range(9)) for letters in ["hjklmvx", "pqrwxyz", "бгджзйк"] for _ in range(80)]
+    rows = [(" ".join(r.choice(markers) if y and r.random() < 0.2 else word() for _ in range(60)), y) for y in [0] * 600 + [1] * 600]
+    model = toxicity.train(rows)
+    assert len(model[2]) > 1024
+    scorer = toxicity.Scorer(model)
+    assert all(scorer.score(" ".join([m] * 40)) >= 0.5 for m in markers)
+
+
+def test_toxicity_reaches_all_of_the_dictionary():
+    r = random.Random(8)
+    pieces = sorted(" " + "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(11)) for _ in range(8000))
+    scorer = toxicity.Scorer((1.0, b" ordinary", "".join(pieces).encode()))
+    assert all(scorer.raw(" ".join([p] * 6)) > 0 for p in pieces[:: len(pieces) // 50])
+
+
+def test_toxicity_ordinary_dictionary_is_of_all_rows(monkeypatch):
+    """Windows of all ordinary rows reach the trainer, not of the first 1500."""
+    seen = []
+    monkeypatch.setattr(toxicity, "trained", lambda samples, *_: seen.extend(samples) or b" ordinary")
+    toxicity.train([(f"row number{i} of ordinary text", 0) for i in range(1700)])
+    assert len(seen) == 1700 and any(b"number1699" in w for w in seen)
+
+
 def test_pipeline_stages_brute_force(spark, tmp_path):
     docs, rows = corpus(spark, 250, 6)
     folder = str(tmp_path)
