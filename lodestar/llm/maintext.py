@@ -24,11 +24,11 @@ from lodestar.llm.media import sliced
 #: Training pages, gradient steps and the weight of the squared norm.
 PAGES, STEPS, RIDGE = 900, 400, 0.1
 # Elements whose content is no text, elements that separate blocks, and elements without an end tag.
-SILENT = "script|style|noscript|template|head|title|svg|math|iframe|object|textarea|canvas|audio|video"
+SILENT = "script|style|noscript|template|title|svg|iframe|object|textarea|canvas|audio|video"
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html label legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 TELLING = frozenset("nav header footer aside article main section form ul ol li table td blockquote figure figcaption h1 h2 h3 h4 h5 h6 p pre dl dt dd button label legend select option dialog details summary fieldset menu a".split())
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<silent>{SILENT})\b[^>]*+>.*?(?:</(?P=silent)\s*+[^>]*+>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<more>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/a-zA-Z][^>]*+>|(?P<text>[^<]++|<)", re.DOTALL | re.IGNORECASE)
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<svg(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?<=/)>|<(?P<silent>{SILENT})(?=[\s/>])[^>]*+>.*?(?:</(?P=silent)(?=[\s/>])[^>]*+>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<more>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/a-zA-Z][^>]*+>|(?P<text>[^<]++|<)", re.DOTALL | re.IGNORECASE)
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _LABEL = re.compile(r'data-label="(\d)"')
 _SPLIT = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -81,6 +81,10 @@ def leaf_blocks(page: str) -> list[tuple[str, list[str], int | None]]:
         if tag is None:
             continue
         tag = tag.lower()
+        if tag == "head":
+            # Its end tag is optional and what it may hold is void or silent: anything else is of the body.
+            close()
+            continue
         if tag in VOID:
             if tag in ("br", "hr"):
                 parts.append(" ")

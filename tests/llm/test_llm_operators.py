@@ -300,6 +300,23 @@ def test_leaf_blocks():
     assert [b[0] for b in maintext.leaf_blocks(page)] == ["x", "a&b cd e", "fg", "h", "i", "j"]
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<html><head><title>t</title><meta charset=x><body><p>First.<p>Second.", ["First.", "Second."]),
+        ("<head><title>t</title><body><header>top</header><p>First.", ["top", "First."]),
+        ("<head><style>p {}</style><p>No body tag.", ["No body tag."]),
+        ("<head><title>t</title></head><body><p>First.", ["First."]),
+        ("<p>First.<p>Icon <svg/> second.<p>Third.", ["First.", "Icon second.", "Third."]),
+        ("<p>a <svg title='>' width=\"1\" /> b<p>c <svg><path d=''/><text>no</text></svg> d", ["a b", "c d"]),
+        ("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be.</article><p>a <math/> b", ["Let x=2 be.", "a b"]),
+        ("<p>a<object-x>kept</object-x><script>x</scripts>y</script>z", ["akeptz"]),
+    ],
+)
+def test_leaf_blocks_drop_nothing_else(page, want):
+    assert [b[0] for b in maintext.leaf_blocks(page)] == want
+
+
 def toxic_rows(n, seed):
     r = random.Random(seed)
     word = lambda: "".join(r.choice(["ba", "ce", "di", "fo", "gu", "ne", "st"]) for _ in range(r.randint(1, 3)))
