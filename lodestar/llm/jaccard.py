@@ -19,7 +19,6 @@ from the start: in each task before anything is sent, and over all rows by diges
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,26 +26,30 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.components import components
 from lodestar.llm.media import sliced
-from lodestar.llm.shared import written
+from lodestar.llm.shared import looked_up, written
 
 SHINGLE = 5
 #: A pair links when 7 * overlap >= 3 * (size + size), which is a similarity of 0.75.
-#: Shingles that a task gathers before it sends them, documents likewise, and shingles in a range.
-GATHER, GATHER_DOCS, RANGE = 800_000, 60_000, 1_000_000
+#: Shingles that a task gathers before it sends them, documents likewise, and shingles in a range. A gathering sends each
+#: range one blob, so the more both hold, the fewer blobs there are; their size is bounded by a worker's memory.
+GATHER, GATHER_DOCS, RANGE = 1_600_000, 60_000, 2_000_000
+#: Candidates are compared within a shingle; lists longer than this are cut in parts that meet in tasks of their own.
+LONG = 2000
 #: Hashes have 48 bits, so that a shingle and its document's place in the gathering fit one number.
 HASH_BITS, MANY = 48, 0xFFFF
 #: Fragments of the global order: two by frequency, each cut in four by hash.
 FRAGMENTS = 8
 BATCH_BYTES = 2 << 20
-SENT = "target long, gathering string, blob binary"
+SENT = "target long, gathering long, blob binary"
 #: Bits of a set's signature, in words of 64. Bit k is set if a shared shingle's hash ends in k.
 SIGNATURE = 512
-ROWS = "doc_id long, n_shingles long, class binary, shared long, signature array<long>, fragments array<array<long>>"
+ROWS = "doc_id long, text_hash long, n_shingles long, class binary, shared long, signature array<long>, fragments array<array<long>>"
 _GOLD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -116,12 +119,11 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-def gathered(ids: list[int | None], pairs: np.ndarray, ranges: int) -> Iterator[tuple[int, str, bytes]]:
+def gathered(name: int, ids: list[int | None], texts: list[int], pairs: np.ndarray, ranges: int) -> Iterator[tuple[int, int, bytes]]:
     """What a gathering sends: a header to a target of its own, and to each hash range what lies in it.
 
-    pairs: hash and document's place in one number, of all its documents.
+    texts: hashes of the texts. pairs: hash and document's place in one number, of all its documents.
     """
-    name = uuid.uuid4().hex
     pairs.sort()
     pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])] if len(pairs) else pairs
     place, key = (pairs & np.uint64(0xFFFF)).astype(np.int64), pairs >> np.uint64(16)
@@ -145,7 +147,7 @@ def gathered(ids: list[int | None], pairs: np.ndarray, ranges: int) -> Iterator[
     shared_here = (key[several] << np.uint64(16)) | place[several].astype(np.uint64)
     holder = np.where(counts > 1, MANY, place[starts]).astype("<u2")
     unique = key[starts]
-    yield -1 - (int(name[:15], 16)), name, pack(np.array([i or 0 for i in ids], "<i8"), named.view(np.uint8), n.astype("<u4"), sums[0], sums[1], stays.view(np.uint8), shared_here)
+    yield -1 - name, name, pack(np.array([i or 0 for i in ids], "<i8"), np.array(texts, "<i8"), named.view(np.uint8), n.astype("<u4"), sums[0], sums[1], stays.view(np.uint8), shared_here)
     cuts = np.searchsorted((unique * np.uint64(1 << 15)) // np.uint64(max(1, -(-(1 << 63) // ranges))), np.arange(ranges + 1, dtype=np.uint64)) if len(unique) else []
     for r in range(ranges if len(unique) else 0):
         a, b = int(cuts[r]), int(cuts[r + 1])
@@ -156,27 +158,32 @@ def gathered(ids: list[int | None], pairs: np.ndarray, ranges: int) -> Iterator[
 
 
 def send(docs: DataFrame, ranges: int) -> DataFrame:
+    """Cuts each partition in gatherings, named by partition and number, so that a task that runs again names alike."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, ids, held, size = Words(), [], [], 0
+        known, ids, texts, held, size = Words(), [], [], [], 0
+        name = TaskContext.get().partitionId() << 32
 
         def out() -> Iterator[pa.RecordBatch]:
-            for row in gathered(ids, np.concatenate(held) if held else np.zeros(0, np.uint64), ranges):
-                yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), pa.array([row[1]], pa.string()), pa.array([row[2]], pa.binary())], ["target", "gathering", "blob"])
+            for row in gathered(name, ids, texts, np.concatenate(held) if held else np.zeros(0, np.uint64), ranges):
+                yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), pa.array([row[1]], pa.int64()), pa.array([row[2]], pa.binary())], ["target", "gathering", "blob"])
 
         for whole in batches:
             for batch in (part.slice(at, GATHER_DOCS) for part in sliced(whole, "text", BATCH_BYTES) for at in range(0, part.num_rows, GATHER_DOCS)):
                 # Blank texts have no shingles but take places, of which 16 bits are there.
                 if ids and (size >= GATHER or len(ids) + batch.num_rows > GATHER_DOCS):
                     yield from out()
-                    ids, held, size = [], [], 0
+                    ids, texts, held, size, name = [], [], [], 0, name + 1
                 place, hashes = shingles(batch.column("text").to_pylist(), known)
                 held.append((hashes << np.uint64(16)) | (place + len(ids)).astype(np.uint64))
                 size += len(hashes)
                 ids += batch.column("doc_id").to_pylist()
+                texts += batch.column("hash").to_pylist()
         if ids:
             yield from out()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SENT)
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("hash")).mapInArrow(run, SENT)
 
 
 def find_shared(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -211,7 +218,7 @@ def find_shared(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
 
 def collect_shared(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """Of one gathering: a row per document; those that can link have their shared shingles, in the global order."""
-    ids, named, n, s0, s1, stays, here = unpack(rows["blob"][rows["header"]].iloc[0])
+    ids, texts, named, n, s0, s1, stays, here = unpack(rows["blob"][rows["header"]].iloc[0])
     answers = [unpack(b) for b in rows["blob"][~rows["header"]]]
     keys, frequency, holder = (np.concatenate([a[i] for a in answers]) if answers else np.zeros(0, np.uint64) for i in range(3))
     order = np.argsort(keys, kind="stable")
@@ -237,7 +244,7 @@ def collect_shared(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         signatures[d] = np.packbits(bits).view("<i8")
         fragments[d] = [mine[part == f].astype(np.int64) for f in range(FRAGMENTS)]
     classes = [int(a).to_bytes(8, "big") + int(b).to_bytes(8, "big") + int(c).to_bytes(4, "big") if k and c else None for a, b, c, k in zip(s0, s1, n, named, strict=True)]
-    return pd.DataFrame({"doc_id": pd.array(np.where(named > 0, ids.view(np.int64), 0), "Int64").copy(), "n_shingles": n.astype(np.int64), "class": classes, "shared": shared, "signature": signatures, "fragments": fragments}).assign(doc_id=lambda x: x["doc_id"].mask(named == 0))
+    return pd.DataFrame({"doc_id": pd.array(np.where(named > 0, ids.view(np.int64), 0), "Int64").copy(), "text_hash": texts.view(np.int64), "n_shingles": n.astype(np.int64), "class": classes, "shared": shared, "signature": signatures, "fragments": fragments}).assign(doc_id=lambda x: x["doc_id"].mask(named == 0))
 
 
 def overlap(pairs: DataFrame, segments: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -252,18 +259,21 @@ def overlap(pairs: DataFrame, segments: DataFrame, sizes: DataFrame) -> DataFram
 
 
 def with_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text).
+    """doc_id, text_hash, n_shingles, component_id of every row of ``docs`` (doc_id, text).
 
     Null, empty and blank texts have no shingles and are their own component. A row without doc_id takes no part in
-    links; its component_id is null. Rows that repeat a doc_id are rows of their own with possibly different components.
+    links; its component_id is null. Rows that repeat a doc_id are rows of their own with possibly different components;
+    ``text_hash`` (64 bits of the text, null as empty) tells them apart. An empty table gives no rows; other columns are
+    ignored. Gatherings are cut by the rows of a partition in their order, so ``docs`` has to be a table that is read,
+    not the result of a shuffle, whose order may differ when a lost task runs again.
     """
     spark = docs.sparkSession
     # Words have some 6 bytes; the number of ranges only has to be in proportion.
     size = docs.select(F.sum(F.octet_length(F.col("text").cast("string"))).alias("n")).first()["n"] or 0
     ranges = max(1, min(1 << 20, -(-size // (6 * RANGE))))
-    answered = send(docs, ranges).groupBy("target").applyInPandas(find_shared, "gathering string, blob binary, header boolean")
+    answered = send(docs, ranges).groupBy("target").applyInPandas(find_shared, "gathering long, blob binary, header boolean")
     rows = written(answered.groupBy("gathering").applyInPandas(collect_shared, ROWS), "shingles")
-    narrow = rows.select("doc_id", "n_shingles", "class")
+    narrow = rows.select("doc_id", "text_hash", "n_shingles", "class")
     heads = narrow.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("head"))
     # A class may come from several gatherings; all have the same shingles.
     sets = written(rows.where("fragments IS NOT NULL").groupBy("class").agg(F.first("n_shingles").alias("n_shingles"), F.first("shared").alias("shared"), F.first("signature").alias("signature"), F.first("fragments").alias("fragments")), "sets")
@@ -274,10 +284,10 @@ def with_components(docs: DataFrame) -> DataFrame:
     else:
         labels = components(links)
         least = labels.join(heads, labels["node"] == heads["class"]).groupBy("label").agg(F.min("head").alias("component_id"))
-        linked = labels.join(least, "label").select(F.col("node").alias("class"), "component_id")
+        linked = looked_up(labels, least, "label", "node").select(F.col("node").alias("class"), "component_id")
         named = heads.join(linked, "class", "left").select("class", F.coalesce("component_id", "head").alias("component_id"))
-    out = narrow.join(named, "class", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = looked_up(narrow, named, "class", "doc_id", "text_hash", nulls=True)
+    return out.select("doc_id", "text_hash", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def link(sets: DataFrame, segments: DataFrame) -> DataFrame:
@@ -295,12 +305,13 @@ def link(sets: DataFrame, segments: DataFrame) -> DataFrame:
     # The head of a shingle is the document with the fewest shingles of its own: most copies link with it.
     rank = F.struct("unshared", "class", "n_shingles")
     several = postings.groupBy("shingle").agg(F.min(rank).alias("head"), F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("shingle", "head")
-    votes = postings.join(several, "shingle").where("class <> head.class").where(close(F.col("head.n_shingles"), F.col("n_shingles")))
+    posted = postings.count()
+    votes = looked_up(postings, several, "shingle", "class", total=posted).where("class <> head.class").where(close(F.col("head.n_shingles"), F.col("n_shingles")))
     tallied = votes.groupBy("class", F.col("head.class").alias("a")).agg(F.count(F.lit(1)).alias("votes"), F.min("head.unshared").alias("own"))
     # A largest tally is found with partial aggregation, so a frequent class is no hot key.
     first = tallied.groupBy("class").agg(F.max_by("a", F.struct("votes", -F.col("own"), "a")).alias("a")).select("a", F.col("class").alias("b"))
     star = written(overlap(first, segments, sets).select("a", "b"), "star")
-    pairs = written(open_pairs(postings, sets, components(star)), "pairs")
+    pairs = written(open_pairs(postings, sets, components(star), posted), "pairs")
     # Of a document's candidates in another component the likeliest first: the others mostly join with it.
     likely = pairs.groupBy("a", "label_b").agg(F.max_by("b", F.struct("most", "b")).alias("b")).select("a", "b")
     star = star.unionByName(written(overlap(likely, segments, sets).select("a", "b"), "star"))
@@ -311,13 +322,15 @@ def link(sets: DataFrame, segments: DataFrame) -> DataFrame:
     return star.unionByName(overlap(rest, segments, sets).select("a", "b"))
 
 
-def open_pairs(postings: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
+def open_pairs(postings: DataFrame, sets: DataFrame, labels: DataFrame, posted: int) -> DataFrame:
     """a, b, label_b and the most that they may share, of all candidates in different components."""
     labelled = postings.join(labels, postings["class"] == labels["node"], "left").select("class", "n_shingles", "at", "shingle", F.coalesce("label", "class").alias("label"))
-    open_ = labelled.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("shingle")
+    open_ = labelled.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high").select("shingle", F.ceil(F.col("n") / LONG).cast("int").alias("parts"))
     signed = sets.select("class", "shared", *[F.col("signature")[i].alias(f"s{i}") for i in range(SIGNATURE // 64)])
-    left = labelled.join(open_, "shingle", "left_semi").join(signed, "class")
-    right = left.select("shingle", *[F.col(c).alias(f"{c}_b") for c in left.columns if c != "shingle"])
+    # Either side of a long list is dealt over its parts: each row once to the left, and to every part of the right.
+    left = looked_up(labelled, open_, "shingle", "class", total=posted).where("parts IS NOT NULL").join(signed, "class")
+    right = left.select("shingle", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *[F.col(c).alias(f"{c}_b") for c in left.columns if c not in ("shingle", "parts")])
+    left = left.withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")).drop("parts")
     # At the first shingle that a linked pair shares, what follows must suffice; later ones need not pass.
     needed = 3 * (F.col("n_shingles") + F.col("n_shingles_b"))
     follow = 7 * F.least(F.col("n_shingles") - F.col("at"), F.col("n_shingles_b") - F.col("at_b")) >= needed
@@ -325,7 +338,7 @@ def open_pairs(postings: DataFrame, sets: DataFrame, labels: DataFrame) -> DataF
     only = lambda x, y: sum((F.bit_count(F.col(f"s{i}{x}").bitwiseAND(F.bitwise_not(F.col(f"s{i}{y}")))) for i in range(SIGNATURE // 64)), F.lit(0))
     most = F.least(F.col("shared") - only("", "_b"), F.col("shared_b") - only("_b", ""))
     different = (F.col("class") < F.col("class_b")) & (F.col("label") != F.col("label_b"))
-    pairs = left.join(right, (left["shingle"] == right["shingle"]) & different & close(F.col("n_shingles"), F.col("n_shingles_b")) & follow & (7 * most >= needed))
+    pairs = left.join(right, (left["shingle"] == right["shingle"]) & (left["part"] == right["part"]) & different & close(F.col("n_shingles"), F.col("n_shingles_b")) & follow & (7 * most >= needed))
     return pairs.groupBy(F.col("class").alias("a"), F.col("class_b").alias("b")).agg(F.first("label_b").alias("label_b"), F.first(most).alias("most"))
 
 

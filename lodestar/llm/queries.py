@@ -39,7 +39,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.with_components(table(spark, sf_dir, "documents"))
+    return jaccard.with_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

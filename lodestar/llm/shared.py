@@ -44,6 +44,32 @@ def release(spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+#: A key of more than one in so many rows is hot. Fewer keys than this can be, whatever the data.
+HOT_KEYS = 10_000
+
+
+def looked_up(rows: DataFrame, side: DataFrame, key: str, *spread: str, total: int | None = None, nulls: bool = False) -> DataFrame:
+    """``rows`` left-joined with ``side`` (at most one row a ``key``), with no hot key in one task.
+
+    What ``side`` has on hot keys is fewer than HOT_KEYS rows and is broadcast; rows with such a key are dealt by the
+    hash of ``spread``, the others by key. ``nulls``: rows without a key are many and stay out of the join. ``total`` is
+    the number of rows, if it is known.
+    """
+    if total is None:
+        total = rows.count()
+    values = [c for c in side.columns if c != key]
+    if nulls:
+        alone = rows.where(F.col(key).isNull()).select("*", *[F.lit(None).cast(side.schema[c].dataType).alias(c) for c in values])
+        return looked_up(rows.where(F.col(key).isNotNull()), side, key, *spread, total=total).unionByName(alone)
+    hot = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > total // HOT_KEYS + 1).select(key)
+    known = side.join(F.broadcast(hot), key, "left_semi").select(key, F.lit(True).alias("_hot"), *[F.col(c).alias(f"_hot_{c}") for c in values])
+    marked = rows.join(F.broadcast(known), key, "left")
+    # Rows of a hot key meet nothing in the second join: no row of side has another salt than 0.
+    salted = marked.withColumn("_salt", F.when(F.col("_hot"), F.xxhash64(*spread).bitwiseOR(F.lit(1))).otherwise(F.lit(0)).cast("long"))
+    joined = salted.join(side.withColumn("_salt", F.lit(0).cast("long")), [key, "_salt"], "left")
+    return joined.select(*rows.columns, *[F.when(F.col("_hot"), F.col(f"_hot_{c}")).otherwise(F.col(c)).alias(c) for c in values])
+
+
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of at most 8 MB in this session: a worker holds a few of them, whatever the texts' lengths."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"

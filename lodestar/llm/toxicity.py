@@ -1,26 +1,29 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on ordinary text, one on what sets toxic text apart. A text is cut into
-windows of a few words; each is compressed with the ordinary dictionary and with the ordinary one extended by the
-toxic one, and the bytes that the toxic dictionary saves beyond a margin are added up over all windows. The sum per
-window is held against a threshold calibrated on the training rows.
+Two zstandard dictionaries are trained by zstandard's own trainer, one on windows of ordinary text and one on windows of
+toxic text. A text is cut into windows of WINDOW_WORDS words; each is compressed with either dictionary, and the bytes
+that the toxic one saves beyond a margin are added up. The sum per window is held against a calibrated threshold.
+
+Most windows of a toxic text are ordinary, so the toxic dictionary is trained on those that are not. Which these are is
+found by cross-fitting: the labelled rows are dealt over FOLDS, and a window of one fold is kept if dictionaries trained
+on the other folds compress it better with the toxic one than all but a few windows of ordinary rows. So a window counts
+only for content that recurs in toxic rows it does not come from. The kept windows train the next round's toxic
+dictionary; ordinary windows that save almost as much train a second part of the ordinary one, beside the part trained
+on all ordinary windows.
+The round, the size of the dictionary and the margin are those that rank the rows of the folds best, each scored by
+dictionaries that have not seen it; the threshold is calibrated on the same scores. No row outside the training fold
+has a part in any of it.
 
 Windows are so short that zstandard would store many of them raw. So a fixed carrier precedes each window; both
 dictionaries end with it, it always compresses, and the lengths differ by what the window itself saves.
-
-The ordinary dictionary is what zstandard's trainer selects from ordinary windows. The trainer selects what is frequent,
-and most of a toxic text is ordinary, so the toxic dictionary is selected by contrast: word beginnings that occur many
-times as often in toxic documents as in ordinary ones, in many contexts, each lengthened as long as most of its
-occurrences continue alike. Running the trainer over these pieces once more cuts them up and was measured to separate
-worse.
 """
 
 from __future__ import annotations
 
-import collections
 import hashlib
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -32,22 +35,37 @@ from lodestar.llm.media import sliced
 
 #: The training sample holds at most so many labelled rows of each class, and of texts up to TRAIN_BYTES: 98 MB.
 TRAIN_TOXIC, TRAIN_ORDINARY, TRAIN_BYTES = 1500, 4500, 16_384
-WINDOW_WORDS = 6
+WINDOW_WORDS = 2
 #: A window of long words is compressed in parts of this size.
 WINDOW_BYTES = 256
-#: Saved bytes that a window must exceed to count, and windows added to every text so that short ones need more than one hit's chance.
-MARGIN, PRIOR_WINDOWS = 1, 8
-#: Size of the ordinary dictionary. The toxic one holds all selected pieces.
-ORDINARY_BYTES = 1024
-#: Shortest and longest word beginning (with the blank before it), how much more frequent in toxic documents, in how many contexts.
-BEGIN_MIN, BEGIN_MAX, RATIO, CONTEXTS = 5, 14, 15, 6
-#: A beginning is frequent in a text if every DENSE-th word has it.
-#: It has to be frequent in PRECISE times as many toxic as ordinary texts of the sample.
-DENSE, PRECISE = 200, 2
+#: Windows added to every text, so that short ones need more than one hit's chance.
+PRIOR_WINDOWS = 12
+FOLDS, ROUNDS = 4, 4
+#: Bytes of the ordinary dictionary (as is the first toxic one) and of its part from hard windows. Of the toxic one's
+#: sizes the first is that of the rounds, the others are tried after the last.
+ORDINARY_BYTES, HARD_BYTES, TOXIC_BYTES = 8192, 2048, (2048, 1024, 4096, 8192)
+#: Ordinary windows are hard if they save more than kept ones must, less so many bytes.
+HARD = 2
+#: Segment and d-mer of the trainer, and the shortest match.
+SEGMENT, DMER, MATCH = 32, 6, 4
+#: Of ordinary windows, the share that may do better with the toxic dictionary than a window that is kept.
+CHANCE = 0.01
+MARGINS = (1, 2, 3)
 CARRIER = hashlib.sha512(b"carrier").digest()
+#: Windows whose saving a worker remembers.
+REMEMBERED = 200_000
 _scorers: dict[bytes, Scorer] = {}
 
 
+class Model(NamedTuple):
+    """What is sent to the workers; a blank toxic dictionary scores every text 0."""
+
+    threshold: float
+    margin: int
+    ordinary: bytes
+    toxic: bytes
+
+
 def tokens(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
@@ -63,13 +81,8 @@ def windows(words: list[bytes]) -> Iterator[bytes]:
                 yield window[at : at + WINDOW_BYTES]
 
 
-def beginnings(word: bytes) -> list[bytes]:
-    padded = b" " + word + b" "
-    return [padded[:n] for n in range(BEGIN_MIN, min(len(padded), BEGIN_MAX) + 1)]
-
-
 def unlike(texts: list[list[bytes]]) -> list[list[bytes]]:
-    """The texts without copies and near copies of earlier ones, whose words would seem to be in many documents."""
+    """The texts without copies and near copies of earlier ones, whose words would seem to recur."""
     seen: set[int] = set()
     kept = []
     for words in texts:
@@ -80,113 +93,133 @@ def unlike(texts: list[list[bytes]]) -> list[list[bytes]]:
     return kept
 
 
-def distinguishing(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> dict[bytes, bytes]:
-    """Word beginnings that set toxic texts apart, each with its most usual continuation.
-
-    Of beginnings of one another, the one stays that is frequent in the most toxic texts, less the ordinary ones.
-    """
-    toxic, ordinary = unlike(toxic), unlike(ordinary)
-    inside, often, outside = collections.Counter(), collections.Counter(), collections.Counter()
-    for words in toxic:
-        inside.update({b for w in set(words) for b in beginnings(w)})
-        often.update(b for w in words for b in beginnings(w))
-    fewest = max(3, len(toxic) // 100)
-    usual = {b for b, n in inside.items() if n >= fewest}
-    for words in ordinary:
-        outside.update(b for w in words for b in beginnings(w) if b in usual)
-    rate = max(1, sum(map(len, ordinary))) / max(1, sum(map(len, toxic)))
-    apart = {b for b in usual if often[b] * rate >= RATIO * (outside[b] + 1)}
-    contexts: dict[bytes, set[bytes]] = collections.defaultdict(set)
-    for words in toxic:
-        for before, word in zip([b"", *words], words, strict=False):
-            for b in beginnings(word):
-                if b in apart and len(contexts[b]) < 64:
-                    contexts[b].add(before)
-    least = max(CONTEXTS, len(toxic) // 250)
-    pure = {b for b in apart if len(contexts[b]) >= least}
-    dense = {b: [0, 0] for b in pure}  # toxic and ordinary texts where it is frequent
-    for k, words in enumerate([*toxic, *ordinary]):
-        for b, n in collections.Counter(b for w in words for b in beginnings(w) if b in pure).items():
-            if n * DENSE >= len(words):
-                dense[b][k >= len(toxic)] += 1
-    found: dict[bytes, bytes] = {}
-    for b in sorted(pure, key=lambda x: (dense[x][1] - dense[x][0], len(x), x)):
-        if dense[b][0] - dense[b][1] < fewest or dense[b][0] < PRECISE * dense[b][1]:
-            continue
-        if any(b.startswith(x) or x.startswith(b) for x in found):
-            continue
-        longest = b
-        while longer := [x for x in pure if len(x) == len(longest) + 1 and x.startswith(longest) and 5 * often[x] >= 3 * often[b]]:
-            longest = max(longer, key=lambda x: (often[x], x))
-        found[b] = longest
-    return found
-
-
-def trained(samples: list[bytes], size: int, k: int, d: int) -> bytes:
+def trained(samples: list[bytes], size: int) -> bytes:
     """The content of a dictionary trained on ``samples``, ``size`` bytes at most."""
     try:
-        content = zstandard.train_dictionary(size + 512, samples, k=k, d=d).as_bytes()
+        content = zstandard.train_dictionary(size + 512, samples, k=SEGMENT, d=DMER).as_bytes()
     except zstandard.ZstdError:  # too little text to train on: the samples themselves
         content = b"".join(samples)
     return content[-size:]
 
 
+def compressor(content: bytes) -> zstandard.ZstdCompressor:
+    """Compression after a dictionary with this content and the carrier, all of it within reach."""
+    log = max(15, (2 * (len(content) + len(CARRIER) + WINDOW_BYTES)).bit_length())
+    rules = zstandard.ZstdCompressionParameters(window_log=log, hash_log=log, chain_log=log, search_log=5, min_match=MATCH, target_length=64, strategy=zstandard.STRATEGY_LAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
+    base = zstandard.ZstdCompressionDict(content + CARRIER, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    base.precompute_compress(compression_params=rules)
+    return zstandard.ZstdCompressor(dict_data=base, compression_params=rules)
+
+
+def lengths(found: list[bytes], content: bytes) -> np.ndarray:
+    """Compressed length of each window."""
+    compress = compressor(content).compress
+    return np.fromiter((len(compress(CARRIER + w)) for w in found), np.int64, len(found))
+
+
 class Scorer:
-    """Compression with both dictionaries. ``model``: threshold, ordinary content, toxic content."""
-
-    def __init__(self, model: tuple[float, bytes, bytes]):
-        self.threshold, ordinary, toxic = model
-        self.blank = not toxic
-        self.plain, self.extended = self.compressor(ordinary), self.compressor(toxic + ordinary)
-
-    @staticmethod
-    def compressor(content: bytes) -> zstandard.ZstdCompressor:
-        # A match shorter than the shortest beginning says nothing about it. All of the dictionary is within reach.
-        log = max(15, (2 * (len(content) + len(CARRIER) + WINDOW_BYTES)).bit_length())
-        rules = zstandard.ZstdCompressionParameters(window_log=log, hash_log=log, chain_log=log, search_log=5, min_match=BEGIN_MIN, target_length=64, strategy=zstandard.STRATEGY_LAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
-        base = zstandard.ZstdCompressionDict(content + CARRIER, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        base.precompute_compress(compression_params=rules)
-        return zstandard.ZstdCompressor(dict_data=base, compression_params=rules)
+    """Scores texts by a model; remembers the savings of windows met before."""
+
+    def __init__(self, model: Model):
+        self.model, self.gains = model, {}
+        self.plain, self.toxic = compressor(model.ordinary).compress, compressor(model.toxic).compress
 
     def raw(self, text: str | None) -> float:
         """Bytes saved beyond the margin, per window."""
-        if self.blank:
+        if not self.model.toxic:
             return 0.0
-        plain, extended, n, saved = self.plain.compress, self.extended.compress, 0, 0
+        n, saved, gains, margin = 0, 0, self.gains, self.model.margin
         for window in windows(tokens(text)):
             n += 1
-            carried = CARRIER + window
-            gain = len(plain(carried)) - len(extended(carried)) - MARGIN
-            if gain > 0:
-                saved += gain
+            gain = gains.get(window)
+            if gain is None:
+                if len(gains) >= REMEMBERED:
+                    gains.clear()
+                carried = CARRIER + window
+                gain = gains[window] = max(0, len(self.plain(carried)) - len(self.toxic(carried)) - margin)
+            saved += gain
         return saved / (n + PRIOR_WINDOWS)
 
     def score(self, text: str | None) -> float:
         raw = self.raw(text)
-        return raw / (raw + self.threshold) if raw else 0.0
-
-
-def train(rows: list[tuple[str, int]]) -> tuple[float, bytes, bytes]:
-    """The model of labelled texts. The threshold has the best F1 on them."""
-    split = {k: [tokens(t) for t, y in rows if y == k] for k in (0, 1)}
-    apart = distinguishing(split[1], split[0])
-    ordinary = trained([w for words in split[0] for w in windows(words)] or [b" "], ORDINARY_BYTES, 64, 8)
-    if not apart:
-        return 1.0, ordinary, b""
-    toxic = b"".join(sorted(set(apart.values())))
-    scorer = Scorer((1.0, ordinary, toxic))
-    scored = sorted(((scorer.raw(t), y) for t, y in rows), reverse=True)
-    every, hits, best = sum(y for _, y in rows), 0, (0.0, scored[0][0] or 1.0)
-    for n, (raw, y) in enumerate(scored, 1):
-        hits += y
-        if raw > 0 and (n == len(scored) or scored[n][0] < raw):
-            below = scored[n][0] if n < len(scored) else 0.0
-            best = max(best, (2 * hits / (n + every), (raw + below) / 2))
-    return best[1], ordinary, toxic
+        return raw / (raw + self.model.threshold) if raw else 0.0
+
+
+class Fold:
+    """The windows of some rows of one class, and to which row each belongs."""
+
+    def __init__(self, texts: list[list[bytes]]):
+        cut = [list(windows(words)) for words in texts]
+        self.windows = [w for c in cut for w in c]
+        self.counts = np.array([len(c) for c in cut], np.int64)
+        self.row = np.repeat(np.arange(len(cut)), self.counts)
+
+    def raw(self, gains: np.ndarray, margin: int) -> np.ndarray:
+        return np.bincount(self.row, np.maximum(gains - margin, 0), len(self.counts)) / (self.counts + PRIOR_WINDOWS)
+
+
+def ranking(toxic: np.ndarray, ordinary: np.ndarray) -> float:
+    """How often a toxic row has the higher value (ties count half)."""
+    values = np.sort(ordinary)
+    return float((np.searchsorted(values, toxic, "left") + np.searchsorted(values, toxic, "right")).mean() / 2 / len(values))
+
+
+def best_threshold(toxic: np.ndarray, ordinary: np.ndarray) -> float:
+    """Between the values where taking all above has the best F1."""
+    values = np.unique(np.concatenate([toxic, ordinary]))[::-1]
+    best = (0.0, float(values[0]) or 1.0)
+    a, b = np.sort(toxic), np.sort(ordinary)
+    hits, wrong = len(a) - np.searchsorted(a, values), len(b) - np.searchsorted(b, values)
+    for k, value in enumerate(values):
+        if value > 0:
+            below = values[k + 1] if k + 1 < len(values) else 0.0
+            best = max(best, (2 * hits[k] / (hits[k] + wrong[k] + len(a)), (value + below) / 2))
+    return float(best[1])
+
+
+def train(rows: list[tuple[str, int]]) -> Model:
+    """The model of labelled texts. Fewer than FOLDS unlike rows of a class leave nothing to compare: a blank model."""
+    split = {k: unlike([w for t, y in rows if y == k and (w := tokens(t))]) for k in (0, 1)}
+    ordinary = trained([w for words in split[0] for w in windows(words)] or [b" "], ORDINARY_BYTES)
+    blank = Model(1.0, 1, ordinary, b"")
+    if min(map(len, split.values())) < FOLDS:
+        return blank
+    toxic, plain = ([Fold(split[k][f::FOLDS]) for f in range(FOLDS)] for k in (1, 0))
+    of_others = lambda parts, f: [w for g in range(FOLDS) if g != f for w in parts[g]]
+    base = [trained(of_others([p.windows for p in plain], f), ORDINARY_BYTES) for f in range(FOLDS)]
+    kept, hard, best = [p.windows for p in toxic], None, (0.0, blank)
+    for k in range(ROUNDS + 1):
+        against = [(b"" if hard is None else trained(of_others(hard, f), HARD_BYTES)) + base[f] for f in range(FOLDS)]
+        before = [(lengths(toxic[f].windows, against[f]), lengths(plain[f].windows, against[f])) for f in range(FOLDS)]
+        usual = None
+        # The first toxic dictionary knows no choice of windows yet and is as large as the ordinary one.
+        for size in (ORDINARY_BYTES,) if k == 0 else TOXIC_BYTES:
+            gains = []
+            for f in range(FOLDS):
+                content = trained(of_others(kept, f), size)
+                gains.append((before[f][0] - lengths(toxic[f].windows, content), before[f][1] - lengths(plain[f].windows, content)))
+            usual = usual or gains
+            for margin in MARGINS:
+                of_toxic, of_plain = (np.concatenate([part[f].raw(gains[f][side], margin) for f in range(FOLDS)]) for side, part in ((0, toxic), (1, plain)))
+                rank = ranking(of_toxic, of_plain)
+                if rank > best[0]:
+                    against_all = (b"" if hard is None else trained([w for part in hard for w in part], HARD_BYTES)) + ordinary
+                    best = rank, Model(best_threshold(of_toxic, of_plain), margin, against_all, trained([w for part in kept for w in part], size))
+            if k < ROUNDS:
+                break
+        least = np.quantile(np.concatenate([g[1] for g in usual]), 1 - CHANCE)
+        kept = [[w for w, gain in zip(toxic[f].windows, usual[f][0], strict=True) if gain > least] for f in range(FOLDS)]
+        hard = [[w for w, gain in zip(plain[f].windows, usual[f][1], strict=True) if gain > max(least - HARD, 1)] for f in range(FOLDS)]
+        if sum(map(bool, kept)) < 2:
+            break
+    return best[1]
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
-    """The bounded sample: the labelled rows outside the held-out fold that come first by a hash of their id."""
+    """The bounded sample: of labelled rows outside the held-out fold, those that come first by a hash of id and text.
+
+    The bound counts rows of ``docs`` after the join, so a doc_id that repeats does not enlarge it.
+    """
     known = labels.select("doc_id", "toxic").where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
     order = F.xxhash64("doc_id")
     picked = None
@@ -194,16 +227,17 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
         some = known.where(F.col("toxic") == toxic).orderBy(order, "doc_id").limit(most)
         picked = some if picked is None else picked.unionByName(some)
     # At most TRAIN_TOXIC + TRAIN_ORDINARY rows of two numbers are broadcast.
-    texts = docs.select("doc_id", "text").where(F.octet_length("text") <= TRAIN_BYTES)
-    rows = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic").collect()
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.octet_length("text") <= TRAIN_BYTES)
+    found = texts.join(F.broadcast(picked), "doc_id")
+    rows = [r for toxic, most in ((1, TRAIN_TOXIC), (0, TRAIN_ORDINARY)) for r in found.where(F.col("toxic") == toxic).orderBy(order, "doc_id", "text").limit(most).collect()]
     return [(r.text, int(r.toxic)) for r in sorted(rows, key=lambda r: (r.doc_id, r.text, r.toxic))]
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[float, bytes, bytes]:
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return train(training_rows(docs, labels))
 
 
-def with_score(docs: DataFrame, model: tuple[float, bytes, bytes], *keep: str) -> DataFrame:
+def with_score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     """The columns ``keep`` and ``score`` of every row; a null or empty text scores 0. Narrow, whole texts."""
     key = hashlib.sha256(repr(model).encode()).digest()
     plain = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema)
@@ -223,7 +257,8 @@ def with_score(docs: DataFrame, model: tuple[float, bytes, bytes], *keep: str) -
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every document.
 
-    Without toxic training rows nothing sets toxic text apart and every score is 0. A null doc_id is not held out.
+    With fewer than FOLDS unlike training rows of a class nothing sets toxic text apart and every score is 0. A null
+    doc_id is not held out. A score of exactly 0.5 is toxic. A doc_id that labels mark both ways trains as both.
     Repeated rows score alike; columns other than doc_id and text are ignored.
     """
     scored = with_score(docs.select("doc_id", "text"), fit(docs, labels), "doc_id")

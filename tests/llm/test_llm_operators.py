@@ -13,7 +13,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestar.llm import decontaminate, jaccard, maintext, media, mixing, sharding, tokencount, toxicity, urlfilter, warc
+from lodestar.llm import decontaminate, jaccard, maintext, media, mixing, sharding, shared, tokencount, toxicity, urlfilter, warc
 from lodestar.llm.components import components
 from lodestar.llm.mainpages import Page
 from lodestar.llm.queries import ORACLE_SQL, QUERIES
@@ -237,6 +237,29 @@ def test_jaccard_many_blank_rows(spark, batch):
     assert got == {i: (0, i) for i in range(70_000)} | {70_000: (56, 70_000), 70_001: (56, 70_000)}
 
 
+def test_jaccard_sends_alike_again(spark):
+    """A map task that runs again names and sends the same, so finished reducers fit its new output."""
+    docs, _ = corpus(spark, 200, 4)
+    sent = [sorted((r.target, r.gathering, bytes(r.blob)) for r in jaccard.send(docs.coalesce(3), 4).collect()) for _ in range(2)]
+    assert sent[0] == sent[1] and len({g for _, g, _ in sent[0]}) >= 3
+
+
+def test_jaccard_long_lists_in_parts(spark, monkeypatch):
+    docs, rows = corpus(spark, 200, 5)
+    monkeypatch.setattr(jaccard, "LONG", 3)
+    got = {r.doc_id: r.component_id for r in jaccard.with_components(docs).collect()}
+    assert got == {i: c for i, (_, c) in jaccard_components(rows).items()}
+
+
+def test_looked_up_hot_and_missing_keys(spark, monkeypatch):
+    monkeypatch.setattr(shared, "HOT_KEYS", 10)
+    rows = spark.createDataFrame([(i, "hot" if i % 3 else "cold" if i % 2 else None) for i in range(300)] + [(300, "gone")], "i long, k string")
+    side = spark.createDataFrame([("hot", 1), ("cold", 2), ("other", 3)], "k string, v int")
+    want = sorted((r.i, r.k, {"hot": 1, "cold": 2}.get(r.k)) for r in rows.collect() if r.k) + sorted((r.i, None, None) for r in rows.collect() if not r.k)
+    for nulls in (False, True):
+        assert sorted(map(tuple, shared.looked_up(rows, side, "k", "i", nulls=nulls).collect()), key=lambda r: (r[1] is None, r)) == want
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 99), (101, 99), (60, 61)]
     labels = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -349,31 +372,57 @@ def test_toxicity_ignores_held_out_labels(spark):
     assert toxicity.fit(docs, labels) == toxicity.fit(docs, flipped)
 
 
-def test_toxicity_keeps_a_large_lexicon():
-    """Markers of more than 1024 bytes together, some beyond ASCII: each is in the dictionary and found alone."""
+def test_toxicity_learns_a_large_lexicon():
+    """Markers of more than 1024 bytes together, some beyond ASCII: most are learnt, though rows were kept by windows only."""
     r = random.Random(7)
     word = lambda: "".join(r.choice(["ba", "ce", "di", "fo", "gu", "ne", "st"]) for _ in range(3))
     markers = ["".join(r.choice(letters) for _ in range(9)) for letters in ["hjklmvx", "pqrwxyz", "бгджзйк"] for _ in range(80)]
     rows = [(" ".join(r.choice(markers) if y and r.random() < 0.2 else word() for _ in range(60)), y) for y in [0] * 600 + [1] * 600]
-    model = toxicity.train(rows)
-    assert len(model[2]) > 1024
-    scorer = toxicity.Scorer(model)
-    assert all(scorer.score(" ".join([m] * 40)) >= 0.5 for m in markers)
+    scorer = toxicity.Scorer(toxicity.train(rows))
+    assert sum(scorer.score(" ".join([m] * 40)) >= 0.5 for m in markers) > 0.9 * len(markers)
+    assert all(scorer.score(" ".join(word() for _ in range(60))) < 0.5 for _ in range(50))
+
+
+def test_toxicity_dictionaries_are_separate_and_trained(monkeypatch):
+    """Both dictionaries come from the trainer, the ordinary one from ordinary rows only, with windows of all of them."""
+    made = []
+    real = toxicity.trained
+    monkeypatch.setattr(toxicity, "trained", lambda samples, size: made.append((samples, real(samples, size))) or made[-1][1])
+    model = toxicity.train([(t, y) for _, t, y in toxic_rows(300, 3)])
+    plain = {w for _, t, y in toxic_rows(300, 3) if not y for w in toxicity.windows(toxicity.tokens(t))}
+    assert model.toxic in {content for _, content in made}
+    whole = next(content for samples, content in made if len(samples) > len(plain) // 2 and set(samples) <= plain)
+    assert model.ordinary.endswith(whole) and not any(m in model.ordinary for m in (b"vileword", b"zornix", b"scoundrel"))
 
 
 def test_toxicity_reaches_all_of_the_dictionary():
     r = random.Random(8)
-    pieces = sorted(" " + "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(11)) for _ in range(8000))
-    scorer = toxicity.Scorer((1.0, b" ordinary", "".join(pieces).encode()))
+    pieces = sorted(" " + "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(11)) for _ in range(max(toxicity.TOXIC_BYTES) // 12))
+    scorer = toxicity.Scorer(toxicity.Model(1.0, 1, b" ordinary", "".join(pieces).encode()))
     assert all(scorer.raw(" ".join([p] * 6)) > 0 for p in pieces[:: len(pieces) // 50])
 
 
-def test_toxicity_ordinary_dictionary_is_of_all_rows(monkeypatch):
-    """Windows of all ordinary rows reach the trainer, not of the first 1500."""
-    seen = []
-    monkeypatch.setattr(toxicity, "trained", lambda samples, *_: seen.extend(samples) or b" ordinary")
-    toxicity.train([(f"row number{i} of ordinary text", 0) for i in range(1700)])
-    assert len(seen) == 1700 and any(b"number1699" in w for w in seen)
+def test_toxicity_threshold_and_ranking():
+    toxic, ordinary = np.array([3.0, 2.0, 0.0]), np.array([2.0, 0.5, 0.0, 0.0])
+    assert toxicity.ranking(toxic, ordinary) == sum((a > b) + (a == b) / 2 for a in toxic for b in ordinary) / 12
+    # All above 0.5 are taken: two hits of three, one wrong; the threshold lies between 2 and 0.5.
+    assert toxicity.best_threshold(toxic, ordinary) in (1.25, 2.5)
+    assert toxicity.best_threshold(np.array([0.0]), np.array([0.0])) == 1.0
+
+
+def test_toxicity_score_at_the_threshold_is_toxic():
+    model = toxicity.Model(1.0, 1, b" ordinary", b" vileword nonsense ")
+    raw = toxicity.Scorer(model).raw("vileword nonsense " * 30)
+    assert toxicity.Scorer(model._replace(threshold=raw)).score("vileword nonsense " * 30) == 0.5
+    assert toxicity.Scorer(model).score(None) == toxicity.Scorer(model).score("") == 0.0
+
+
+def test_toxicity_sample_is_bounded_by_rows(spark, monkeypatch):
+    """A doc_id that repeats does not enlarge the sample."""
+    monkeypatch.setattr(toxicity, "TRAIN_ORDINARY", 5)
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(40)] + [(i, "other") for i in range(2, 12)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0) for i in range(12)], "doc_id long, toxic int")
+    assert len(toxicity.training_rows(docs, labels)) == 5
 
 
 def test_pipeline_stages_brute_force(spark, tmp_path):
