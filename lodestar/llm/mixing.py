@@ -1,9 +1,13 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
 Each source is cut into BLOCKS hash blocks. Its target, in words, becomes a quota of blocks: whole epochs and, for the
-rest, the first blocks of a permutation whose words come nearest to it. The tree then splits the quotas of all sources
-among the output shards: each node draws how many blocks of every source go left, without replacement, until a leaf is
-a shard. Shards take disjoint runs of each source's permuted blocks and shuffle their rows locally.
+rest, blocks of a permutation that fit and come nearest to it. The tree then splits the quotas of all sources among the
+output shards: each node draws how many blocks of every source go left, without replacement, until a leaf is a shard.
+Shards take disjoint runs of each source's permuted blocks and shuffle their rows locally.
+
+Sources are planned in parallel, however many there are: the driver only holds totals of GROUPS groups of sources. The
+tree first splits the quotas of the groups; each group then splits its share among its sources by the same tree, with
+the group's count at each node given. That is the same distribution as one tree over all sources.
 
 Every random choice derives from SEED and the rows' values, so reruns and retried tasks decide alike.
 """
@@ -13,22 +17,27 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.llm.shared import written
+from lodestar.llm.sharding import prefix_sums
+
 BLOCKS = 1024
 SHARDS = 16
 SEED = 20_240_501
-#: Slices that the rows of a shard are dealt over, so that no task holds a whole shard.
-MIX_SLICES = 16
+#: Groups of sources that the driver splits.
+GROUPS = 256
+#: Bytes of text in a slice of a shard; the rows of a shard are dealt over as many slices as that takes.
+SLICE_BYTES = 64 << 20
 #: No document is taken more often than this.
 MOST = 3
 #: Weights of the sources in order, repeating.
 WEIGHTS = (1, 2, 3)
-#: Sources are planned on the driver, a row of some 250 bytes for each of their blocks: 250 MB at this bound. More sources
-#: are an error that says so, never left out.
-MAX_SOURCES = 1000
 _WORD = r"[^\x20\x09-\x0D]+"
+SEQUENCE = "source string, source_size long, target double, blocks array<int>, sequence array<int>"
+SPLIT = "source string, block int, source_size long, target double, shards array<int>"
 
 
 def words(text: Column) -> Column:
@@ -37,31 +46,35 @@ def words(text: Column) -> Column:
 
 
 def with_blocks(docs: DataFrame) -> DataFrame:
-    """Adds ``size`` and ``block``. Rows that agree in doc_id and text share a block and so a fate."""
-    block = F.pmod(F.xxhash64(F.lit(SEED), F.col("doc_id"), F.col("text")), F.lit(BLOCKS)).cast("int")
-    return docs.withColumn("size", words(F.col("text"))).withColumn("block", block)
+    """Adds ``size``, ``mark`` (a hash of doc_id and text) and ``block``. Rows with one mark share a block and so a fate."""
+    marked = docs.withColumn("size", words(F.col("text"))).withColumn("mark", F.xxhash64(F.lit(SEED), F.col("doc_id"), F.col("text")))
+    return marked.withColumn("block", F.pmod("mark", F.lit(BLOCKS)).cast("int"))
 
 
-def targets(sizes: list[int], weights: list[int]) -> list[float]:
-    """Words to take from each source: all words, shared by weight, at most MOST times a source's own.
+def with_targets(sizes: DataFrame) -> DataFrame:
+    """Adds ``target`` to a table (source, source_size): all words, shared by weight, at most MOST times a source's own.
 
-    What stands above that limit is shared anew by weight among the others until none is above. If every source is at
-    its limit, the limits hold.
+    Weights go round by code point of the source, null last. What stands above the limit is shared anew by weight among
+    the others until none is above; if every source is at its limit, the limits hold. A source is above its limit if the
+    share of a unit weight exceeds its ``ratio``, so those at the limit are always the ones of smallest ratios. The
+    driver only holds sums.
     """
-    left, free = float(sum(sizes)), set(range(len(sizes)))
-    out = [0.0] * len(sizes)
-    while free:
-        unit = left / sum(weights[i] for i in free)
-        full = {i for i in free if unit * weights[i] > MOST * sizes[i]}
-        if not full:
-            for i in free:
-                out[i] = unit * weights[i]
+    ranked = prefix_sums(sizes.select("source", F.col("source").cast("binary").alias("_point"), "source_size"), "source_size", "_point")
+    weight = F.get(F.array(*[F.lit(float(w)) for w in WEIGHTS]), F.pmod("place", F.lit(len(WEIGHTS))).cast("int"))
+    known = written(ranked.select("source", "source_size", weight.alias("weight")).withColumn("ratio", MOST * F.col("source_size") / F.col("weight")), "weights")
+    total = known.agg(F.sum("source_size")).first()[0] or 0
+    unit = 0.0
+    while True:
+        at_limit = F.col("ratio") < unit
+        limits, weights = known.agg(F.sum(F.when(at_limit, MOST * F.col("source_size"))), F.sum(F.when(~at_limit, F.col("weight")))).first()
+        if not weights:
+            unit = float("inf")
             break
-        for i in full:
-            out[i] = float(MOST * sizes[i])
-            left -= out[i]
-        free -= full
-    return out
+        following = (total - (limits or 0)) / weights
+        if following <= unit:
+            break
+        unit = following
+    return known.select("source", "source_size", F.least(MOST * F.col("source_size").cast("double"), F.lit(unit) * F.col("weight")).alias("target"))
 
 
 def generator(*names: object) -> np.random.Generator:
@@ -69,63 +82,97 @@ def generator(*names: object) -> np.random.Generator:
     return np.random.default_rng(int.from_bytes(digest[:8], "big"))
 
 
+def named(source: str | None) -> str:
+    return "null" if source is None else "=" + source
+
+
 def block_sequence(source: str | None, sizes: np.ndarray, target: float) -> list[int]:
-    """The blocks that a source gives, in order: an epoch is a permutation of all, the last one ends at the quota."""
+    """The blocks that a source gives, in order: an epoch is a permutation of all, the last one ends at the quota.
+
+    Of the last epoch's permutation a block is taken if it still fits; at the end one more, if that comes nearer.
+    """
     total, out = int(sizes.sum()), []
     if not total:
         return out
     epochs = min(MOST, int(target // total))
-    name = "null" if source is None else "=" + source
     for epoch in range(epochs):
-        out += generator("epoch", name, epoch).permutation(len(sizes)).tolist()
+        out += generator("epoch", named(source), epoch).permutation(len(sizes)).tolist()
     rest = target - epochs * total
     if epochs < MOST and rest > 0:
-        order = generator("epoch", name, epochs).permutation(len(sizes))
-        sums = np.concatenate([[0], np.cumsum(sizes[order])])
-        out += order[: int(np.abs(sums - rest).argmin())].tolist()
+        order, left = generator("epoch", named(source), epochs).permutation(len(sizes)), rest
+        skipped = []
+        for block in order.tolist():
+            if sizes[block] <= left:
+                out.append(block)
+                left -= int(sizes[block])
+            else:
+                skipped.append(block)
+        if skipped:
+            least = min(skipped, key=lambda b: (sizes[b], b))
+            if sizes[least] - left < left:
+                out.append(least)
     return out
 
 
-def split_quotas(quotas: np.ndarray, first: int, shards: int, out: np.ndarray) -> None:
-    """Splits the block quotas of all sources among shards first .. first + shards - 1, recursively."""
+def split_quotas(quotas: np.ndarray, first: int, shards: int, out: np.ndarray, given: np.ndarray | None = None, name: str = "") -> None:
+    """Splits block quotas among shards first .. first + shards - 1, recursively; ``given`` has the counts of shards."""
     if shards == 1:
         out[first] = quotas
         return
     left = shards // 2
-    drawn = generator("node", first, shards).multivariate_hypergeometric(quotas, int(quotas.sum()) * left // shards, method="marginals") if quotas.sum() else np.zeros_like(quotas)
-    split_quotas(drawn, first, left, out)
-    split_quotas(quotas - drawn, first + left, shards - left, out)
+    count = int(quotas.sum()) * left // shards if given is None else int(given[first : first + left].sum())
+    drawn = generator("node", name, first, shards).multivariate_hypergeometric(quotas, count, method="marginals") if quotas.sum() else np.zeros_like(quotas)
+    split_quotas(drawn, first, left, out, given, name)
+    split_quotas(quotas - drawn, first + left, shards - left, out, given, name)
+
+
+def sequence_of(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """Of one source: which of its blocks hold rows, and the order in which it gives blocks."""
+    rows = rows.sort_values("block")
+    sizes = np.zeros(BLOCKS, np.int64)
+    sizes[rows["block"]] = rows["words"]
+    source, size, target = rows["source"].iloc[0], int(rows["source_size"].iloc[0]), float(rows["target"].iloc[0])
+    source = None if pd.isna(source) else source
+    held = set(rows["block"].tolist())
+    # Blocks without rows give nothing and take no place in a shard.
+    sequence = [b for b in block_sequence(source, sizes, target) if b in held]
+    return pd.DataFrame({"source": [source], "source_size": [size], "target": [target], "blocks": [sorted(held)], "sequence": [sequence]})
 
 
 def plan(blocked: DataFrame, shards: int = SHARDS) -> DataFrame:
     """source, block, source_size, target and ``shards``, the array of the shards that take the block, once per copy.
 
-    Sizes are summed over all rows, in each task before the shuffle; only sums per source and block leave it.
+    Sizes are summed over all rows, in each task before the shuffle; only sums per source and block leave it. The driver
+    holds GROUPS times ``shards`` counts.
     """
     spark = blocked.sparkSession
-    sums = blocked.groupBy("source", "block").agg(F.sum("size").alias("words"))
-    by: dict[str | None, np.ndarray] = {}
-    for source, block, n in sums.toLocalIterator():
-        if source not in by:
-            if len(by) == MAX_SOURCES:
-                raise ValueError(f"more than {MAX_SOURCES} sources; group them before mixing")
-            by[source] = np.zeros(BLOCKS, np.int64)
-        by[source][block] = n
-    order = sorted(by, key=lambda s: (s is None, s or ""))  # str compares by code point
-    sizes = [int(by[s].sum()) for s in order]
-    goals = targets(sizes, [WEIGHTS[i % len(WEIGHTS)] for i in range(len(order))]) if sum(sizes) else [0.0] * len(order)
-    sequences = [block_sequence(s, by[s], g) for s, g in zip(order, goals, strict=True)]
-    taken = np.zeros((shards, len(order)), np.int64)
-    if order:
-        split_quotas(np.array([len(q) for q in sequences], np.int64), 0, shards, taken)
-    rows = []
-    for i, source in enumerate(order):
-        to = np.repeat(np.arange(shards), taken[:, i])  # shard k takes the next run of the sequence
-        copies: list[list[int]] = [[] for _ in range(BLOCKS)]
-        for block, shard in zip(sequences[i], to, strict=True):
-            copies[block].append(int(shard))
-        rows += [(source, b, sizes[i], goals[i], c) for b, c in enumerate(copies)]
-    return spark.createDataFrame(rows, "source string, block int, source_size long, target double, shards array<int>")
+    sums = written(blocked.groupBy("source", "block").agg(F.sum("size").alias("words")), "blocks")
+    goals = with_targets(sums.groupBy("source").agg(F.sum("words").alias("source_size"))).withColumnRenamed("source", "_source")
+    joined = sums.join(goals, sums["source"].eqNullSafe(goals["_source"])).select("source", "block", "words", "source_size", "target")
+    # One source has at most BLOCKS rows.
+    sequences = written(joined.groupBy("source").applyInPandas(sequence_of, SEQUENCE).withColumn("group", F.pmod(F.xxhash64(F.lit(SEED), "source"), F.lit(GROUPS)).cast("int")), "sequences")
+    quotas = np.zeros(GROUPS, np.int64)
+    for group, n in sequences.groupBy("group").agg(F.sum(F.size("sequence"))).collect():
+        quotas[group] = n
+    taken = np.zeros((shards, GROUPS), np.int64)
+    split_quotas(quotas, 0, shards, taken)
+
+    def split(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        group = int(key[0])
+        rows = rows.assign(order=[named(None if pd.isna(s) else s) for s in rows["source"]]).sort_values("order")
+        counts = np.array([len(s) for s in rows["sequence"]], np.int64)
+        out = np.zeros((shards, len(rows)), np.int64)
+        split_quotas(counts, 0, shards, out, taken[:, group], str(group))
+        found = []
+        for i, r in enumerate(rows.itertuples()):
+            to = np.repeat(np.arange(shards), out[:, i])  # shard k takes the next run of the sequence
+            copies: dict[int, list[int]] = {int(b): [] for b in r.blocks}
+            for block, shard in zip(r.sequence, to, strict=True):
+                copies[int(block)].append(int(shard))
+            found += [(None if pd.isna(r.source) else r.source, b, r.source_size, r.target, c) for b, c in copies.items()]
+        return pd.DataFrame(found, columns=["source", "block", "source_size", "target", "shards"])
+
+    return written(sequences.groupBy("group").applyInPandas(split, SPLIT), "plan")
 
 
 #: A plan of up to so many rows (some 60 bytes each) is broadcast; a larger one is joined by shuffle.
@@ -140,28 +187,39 @@ def apply_plan(blocked: DataFrame, planned: DataFrame) -> DataFrame:
     return blocked.join(side, blocked["source"].eqNullSafe(side["_source"]) & (blocked["block"] == side["_block"]), "left").drop("_source", "_block")
 
 
+def shuffle_key(shard: Column, copy: Column) -> Column:
+    """Where a copy stands in its shard: rows are sorted by this number."""
+    return F.xxhash64(F.lit(SEED), shard, copy.cast("int"), "mark")
+
+
 def mix_plan(docs: DataFrame) -> DataFrame:
-    """A row per document: doc_id, size, source_size, target, taken.
+    """A row per document: doc_id, size, source_size, target, taken, shards, keys.
 
-    Null text has size 0. A source whose texts have no words has target 0. An empty table gives no rows. Other columns
-    are ignored, as are repeats of doc_id: every row is a document.
+    ``shards`` are the output shards that the tree gives the copies of the document to, ``keys`` where each stands in
+    its shard. Null text has size 0. A source whose texts have no words has target 0 and gives nothing. An empty table
+    gives no rows. Rows that repeat a doc_id are documents of their own; those that also repeat the text share a fate.
+    Other columns are ignored.
     """
-    blocked = with_blocks(docs.select("doc_id", "text", F.col("source").cast("string").alias("source"))).select("doc_id", "source", "size", "block")
-    applied = apply_plan(blocked, plan(blocked))
-    return applied.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken"))
+    blocked = with_blocks(docs.select("doc_id", "text", F.col("source").cast("string").alias("source"))).drop("text")
+    applied = apply_plan(blocked, plan(blocked.select("source", "size", "block")))
+    keys = F.transform("shards", shuffle_key)
+    return applied.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken"), "shards", keys.alias("keys"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """The mixed corpus: the columns of ``docs``, a row for every copy taken, shuffled within its shard.
 
-    Shards are dealt over MIX_SLICES slices each, so no task holds a whole shard.
+    Shards are dealt over slices of about SLICE_BYTES, so no task holds a whole shard. The rows' order, by partition and
+    within it, is the mix: written as it is, a file holds whole slices, shard by shard, each shuffled.
     """
     names = docs.columns
     columns = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]
-    at = {c: f"c{i}" for i, c in enumerate(names)}
     blocked = with_blocks(docs.select("doc_id", "text", F.col("source").cast("string").alias("source"), F.struct(*columns).alias("_row")))
-    copies = apply_plan(blocked.select("source", "size", "block", "_row"), plan(blocked.select("source", "size", "block")))
-    drawn = copies.select("_row", F.posexplode("shards").alias("_copy", "_shard"))
-    key = F.xxhash64(F.lit(SEED), "_shard", "_copy", f"_row.{at['doc_id']}", f"_row.{at['text']}")
-    dealt = drawn.withColumn("_key", key).repartition("_shard", F.pmod(F.col("_key"), F.lit(MIX_SLICES))).sortWithinPartitions("_shard", "_key")
+    copies = apply_plan(blocked.select("source", "mark", "block", "_row"), plan(blocked.select("source", "size", "block")))
+    drawn = copies.select("_row", "mark", F.posexplode("shards").alias("_copy", "_shard"))
+    dealt = drawn.withColumn("_key", shuffle_key(F.col("_shard"), F.col("_copy")))
+    bytes_ = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    slices = max(1, -(-bytes_ // (SLICE_BYTES * SHARDS)))
+    slice_ = F.pmod(F.shiftright("_key", 8), F.lit(slices))
+    dealt = dealt.repartition(SHARDS * slices, "_shard", slice_).sortWithinPartitions("_shard", slice_, "_key")
     return dealt.select(*[F.col(f"_row.c{i}").alias(c) for i, c in enumerate(names)])

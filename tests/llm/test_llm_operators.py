@@ -118,6 +118,32 @@ def test_sharding_brute_force(spark):
         before += size
 
 
+def test_stored_rows_keep_their_order(spark, tmp_path):
+    """Every column stays; shards are cut in the order of the files, whatever tasks read them."""
+    docs, rows = corpus(spark, 300, 8)
+    docs.withColumn("extra", F.lit("x")).withColumn("size", F.lit("clash")).repartition(4, "source").write.option("parquet.block.size", 4096).parquet(str(tmp_path / "d"))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    found = []
+    for most in ("3k", old):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+        found.append({(r.doc_id, r.text, r.extra, r.size, r.shard, r.slot) for r in sharding.shard_stored(spark.read.parquet(str(tmp_path / "d")), 7).collect()})
+    spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert found[0] == found[1] and len(found[0]) == 300
+    import pyarrow.parquet as pq
+
+    stored = [(r["doc_id"], r["text"]) for p in sorted((tmp_path / "d").glob("part-*")) for r in pq.read_table(p).to_pylist()]
+    total, before, slots = sum(len(t.encode()) + 8 for _, t in stored), 0, Counter()
+    for i, t in stored:
+        size = len(t.encode()) + 8
+        shard = min(6, (2 * before + size) * 7 // (2 * total))
+        assert (i, t, "x", size, shard, slots[shard]) in found[0]
+        slots[shard] += 1
+        before += size
+    # Rows that no file holds are stored first.
+    again = sharding.shard_stored(docs, 7).collect()
+    assert sorted(r.doc_id for r in again) == sorted(i for i, *_ in rows) and set(again[0].asDict()) == {"doc_id", "text", "source", "size", "text_crc32", "shard", "slot"}
+
+
 def test_token_counts_brute_force(spark):
     ranks = tokencount.load_ranks()
     enc = tokencount.encoder(ranks)
@@ -266,11 +292,56 @@ def test_components(spark):
     assert all(labels[i] == 0 for i in range(41)) and labels[100] == labels[101] == 99 and labels[61] == 60
 
 
-def test_mixing_targets():
-    assert mixing.targets([60, 60, 60], [1, 2, 3]) == [30, 60, 90]
-    assert mixing.targets([10, 1000, 10], [1, 2, 3]) == [30, 960, 30]
-    assert mixing.targets([0, 10], [1, 2]) == [0, 10]
-    assert mixing.targets([], []) == []
+def goals(sizes):
+    """Shares by weight, at most three times the size, the excess shared anew until none is above."""
+    free, left, out = list(range(len(sizes))), sum(sizes), [0.0] * len(sizes)
+    while free:
+        share = {i: left * (i % 3 + 1) / sum(j % 3 + 1 for j in free) for i in free}
+        above = [i for i in free if share[i] > 3 * sizes[i]]
+        for i in above or free:
+            out[i] = 3.0 * sizes[i] if above else share[i]
+        left -= sum(out[i] for i in above)
+        free = [i for i in free if i in above] and [i for i in free if i not in above]
+    return out
+
+
+@pytest.mark.parametrize(("sizes", "want"), [([60, 60, 60], [30, 60, 90]), ([10, 1000, 10], [30, 960, 30]), ([0, 10], [0, 10]), ([0, 0], [0, 0]), ([], []), ([5, 1, 0, 900, 7, 7, 30, 1, 2], None)])
+def test_mixing_targets(spark, sizes, want):
+    want = goals(sizes) if want is None else want
+    # Code points decide the order, and null is last.
+    names = ["A", "B", "a", "z", "é", "日", "\U0001f600", "\U0001f601"][: max(0, len(sizes) - 1)] + [None]
+    rows = spark.createDataFrame(list(zip(names, sizes, strict=False)), "source string, source_size long")
+    found = {r.source: r.target for r in mixing.with_targets(rows).collect()}
+    assert [found[n] for n, _ in zip(names, sizes, strict=False)] == pytest.approx(want)
+
+
+def test_mixing_many_sources(spark, monkeypatch):
+    """More sources than groups, most with a document or two; shards take what the tree gives them."""
+    monkeypatch.setattr(mixing, "GROUPS", 7)
+    docs = spark.createDataFrame([(i, f"word {i} " * (1 + i % 5), f"site{i % 600}") for i in range(1000)], "doc_id long, text string, source string")
+    rows = mixing.mix_plan(docs).collect()
+    assert len(rows) == 1000 and len({r.doc_id for r in rows}) == 1000
+    assert all(r.taken == r.size * len(r.shards) <= 3 * r.size and len(r.keys) == len(r.shards) for r in rows)
+    counts = Counter(s for r in rows for s in r.shards)
+    assert sum(r.taken for r in rows) == pytest.approx(sum(r.size for r in rows), rel=0.3)
+    assert len(counts) == mixing.SHARDS and max(counts.values()) < 2.5 * min(counts.values())
+
+
+def test_mixing_sizes_and_targets_by_sql(spark):
+    """What SQL can say of the query: size, source_size and target (no source of these tables reaches its limit)."""
+    import duckdb
+
+    sql = r"""
+        WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM read_parquet($f)),
+        s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM d GROUP BY source)
+        SELECT doc_id, size, source_size, sum(source_size) OVER () * 1.0 FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source"""
+    sizes = {r[0]: r for r in duckdb.execute(sql, {"f": f"{SMALL}/documents.parquet"}).fetchall()}
+    per_source = duckdb.execute("SELECT source, sum(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))) FROM read_parquet(?) GROUP BY 1 ORDER BY source NULLS LAST", [f"{SMALL}/documents.parquet"]).fetchall()
+    want = dict(zip([s for s, _ in per_source], goals([int(n) for _, n in per_source]), strict=True))
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    source = {r.doc_id: r.source for r in docs.select("doc_id", "source").collect()}
+    for r in QUERIES["op8_mixing"](spark, SMALL).collect():
+        assert (r.size, r.source_size) == sizes[r.doc_id][1:3] and r.target == pytest.approx(want[source[r.doc_id]])
 
 
 def test_mixing(spark):
@@ -284,10 +355,10 @@ def test_mixing(spark):
         taken[s] += r.taken
         size[s] += r.size
         target[s] = r.target
-    goals = mixing.targets([size[s] for s in sorted(size)], [1, 2, 3])
-    for s, goal in zip(sorted(size), goals, strict=True):
-        assert abs(target[s] - goal) < 1e-6 and abs(taken[s] - goal) < 200
+    for s, goal in zip(sorted(size), goals([size[s] for s in sorted(size)]), strict=True):
+        assert abs(target[s] - goal) < 1e-6 and abs(taken[s] - goal) < 0.005 * goal
     mixed = Counter(r.doc_id for r in mixing.mix(docs).collect())
+    assert len({r.doc_id for r in got.values() if r.shards}) == len(mixed)
     assert mixed == Counter({i: r.taken // r.size for i, r in got.items() if r.size and r.taken}) + Counter({i: mixed[i] for i, r in got.items() if not r.size})
 
 
