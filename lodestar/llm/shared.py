@@ -64,9 +64,9 @@ def looked_up(rows: DataFrame, side: DataFrame, key: str, *spread: str, total: i
     hot = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > total // HOT_KEYS + 1).select(key)
     known = side.join(F.broadcast(hot), key, "left_semi").select(key, F.lit(True).alias("_hot"), *[F.col(c).alias(f"_hot_{c}") for c in values])
     marked = rows.join(F.broadcast(known), key, "left")
-    # Rows of a hot key meet nothing in the second join: no row of side has another salt than 0.
-    salted = marked.withColumn("_salt", F.when(F.col("_hot"), F.xxhash64(*spread).bitwiseOR(F.lit(1))).otherwise(F.lit(0)).cast("long"))
-    joined = salted.join(side.withColumn("_salt", F.lit(0).cast("long")), [key, "_salt"], "left")
+    # The second join needs nothing of rows with a hot key, so their salt may be any. A constant salt would be optimised away.
+    salted = marked.withColumn("_salt", F.when(F.col("_hot"), F.xxhash64(*spread)).otherwise(F.xxhash64(key)))
+    joined = salted.join(side.withColumn("_salt", F.xxhash64(key)), [key, "_salt"], "left")
     return joined.select(*rows.columns, *[F.when(F.col("_hot"), F.col(f"_hot_{c}")).otherwise(F.col(c)).alias(c) for c in values])
 
 

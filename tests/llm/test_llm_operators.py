@@ -283,7 +283,14 @@ def test_looked_up_hot_and_missing_keys(spark, monkeypatch):
     side = spark.createDataFrame([("hot", 1), ("cold", 2), ("other", 3)], "k string, v int")
     want = sorted((r.i, r.k, {"hot": 1, "cold": 2}.get(r.k)) for r in rows.collect() if r.k) + sorted((r.i, None, None) for r in rows.collect() if not r.k)
     for nulls in (False, True):
-        assert sorted(map(tuple, shared.looked_up(rows, side, "k", "i", nulls=nulls).collect()), key=lambda r: (r[1] is None, r)) == want
+        found = shared.looked_up(rows, side, "k", "i", nulls=nulls)
+        assert sorted(map(tuple, found.collect()), key=lambda r: (r[1] is None, r)) == want
+    # Both columns deal the rows, or a hot key would be in one task after all.
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = shared.looked_up(rows, side, "k", "i")._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert re.search(r"hashpartitioning\(k#\d+, _salt#\d+", plan)
 
 
 def test_components(spark):
