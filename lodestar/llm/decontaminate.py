@@ -2,11 +2,14 @@
 
 Test items and documents are fingerprinted alike: of every WINDOW consecutive K-gram hashes the smallest is kept. A span
 of SPAN = WINDOW + K - 1 words that both share has all its K-grams in both, so the same smallest one, so a common
-fingerprint: no shared span of that length is missed. The fingerprints are joined by binary search in the sorted test
-fingerprints, and each hit is extended to the SPAN-word windows around it, which are compared word by word.
+fingerprint: no shared span of that length is missed. Fingerprints are joined, and each hit is extended to the SPAN-word
+windows around it, which are compared word by word.
 
-The test side is cut into blocks of bounded size and broadcast block by block; every task holds a batch of documents
-against one block at a time. So documents are never shuffled, and a benchmark of any size fits.
+A benchmark of up to BROADCAST_BYTES is broadcast: the join is a binary search in the sorted test fingerprints, and
+documents are never shuffled. A larger one is joined by shuffle. Of the documents' fingerprints those pass that a Bloom
+filter of the test fingerprints, of bounded size, lets through; they are joined with the test side, each with the words
+around it, so a hit is extended where it is found. The cost beyond one pass over the documents is in proportion to what
+passes. Both ways give the same rows.
 """
 
 from __future__ import annotations
@@ -16,16 +19,25 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.llm.jaccard import Words
 from lodestar.llm.media import sliced
+from lodestar.llm.shared import looked_up, written
 
 SPAN, K = 10, 5
 WINDOW = SPAN - K + 1
-#: Bytes of item text in a block. Its tables take some 30 times that in a worker.
-BLOCK_BYTES = 2 << 20
+#: Bytes of item text in a block. Its tables take some 30 times that in a worker, which keeps KEPT of them.
+BLOCK_BYTES, KEPT = 2 << 20, 2
+#: A benchmark of more item text than this is joined by shuffle.
+BROADCAST_BYTES = BLOCK_BYTES * KEPT
+#: Bits of the Bloom filter for each test fingerprint, at most and in a part that one task makes: 64 MB, 128 KB.
+BLOOM_EACH, BLOOM_BITS, BLOOM_PART = 16, 1 << 29, 1 << 20
+#: Documents with one fingerprint that meet the test side in one task.
+LONG = 10_000
 #: Text handled at once in a worker.
 BATCH_BYTES = 4 << 20
 #: A-Z to a-z; every ASCII character but digits and letters to a blank. Bytes of other characters are parts of words.
@@ -149,7 +161,137 @@ def blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, str]]]:
 
 
 def with_overlap(docs: DataFrame, benchmark: DataFrame, *keep: str) -> DataFrame:
-    """The columns ``keep`` of every row with n_words, n_hit, n_items, items_sha256. Narrow; whole texts."""
+    """The columns ``keep`` of every row with n_words, n_hit, n_items, items_sha256. Whole texts."""
+    size = benchmark.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    return (by_broadcast if size <= BROADCAST_BYTES else by_shuffle)(docs, benchmark, *keep)
+
+
+def found_prints(numbers: np.ndarray, lengths: list[int] | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(n, places, prints) of one text, given the hashes of its words.
+
+    A test item (no ``lengths``) has its winnowed grams, or if it is shorter than SPAN its whole text. A document has its
+    winnowed grams and every run of the given lengths.
+    """
+    if len(numbers) >= SPAN:
+        hashes = grams(numbers, K)
+        kept = np.flatnonzero(winnowed(hashes, np.ones(len(hashes) - WINDOW + 1, bool)))
+        yield SPAN, kept, hashes[kept]
+    for n in [len(numbers)] if lengths is None else lengths:
+        if 0 < n < SPAN and n <= len(numbers):
+            hashes = grams(numbers ^ np.uint64(n), n)
+            yield n, np.arange(len(hashes)), hashes
+
+
+def around(text: list[bytes], at: int, n: int) -> tuple[list[bytes], bytes, list[bytes]]:
+    """The words before (nearest first), in and after what a fingerprint stands for; a short item has no others."""
+    size, reach = (K, SPAN - K) if n == SPAN else (n, 0)
+    return text[max(0, at - reach) : at][::-1], b" ".join(text[at : at + size]), text[at + size : at + size + reach]
+
+
+_PRINTS = "array<struct<n:int,at:long,print:long,before:array<binary>,gram:binary,after:array<binary>>>"
+_PRINTS_ARROW = pa.list_(pa.struct([("n", pa.int32()), ("at", pa.int64()), ("print", pa.int64()), ("before", pa.list_(pa.binary())), ("gram", pa.binary()), ("after", pa.list_(pa.binary()))]))
+
+
+def fingerprinted(docs: DataFrame, text: str, lengths: list[int] | None, bloom=None) -> DataFrame:
+    """``docs`` without ``text``, with n_words, ``mark`` (a digest of the words) and its prints that ``bloom`` lets through.
+
+    Rows without such prints have a null mark. ``bloom`` is a broadcast array of bits.
+    """
+    kept = [c for c in docs.columns if c != text]
+    plain = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*kept).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Words()
+        bits = None if bloom is None else bloom.value
+        for whole in batches:
+            for batch in sliced(whole, text, BATCH_BYTES):
+                sizes, marks, prints = [], [], []
+                for value in batch.column(text).to_pylist():
+                    ws = words(value)
+                    numbers = np.fromiter((known[w] for w in ws), np.uint64, len(ws))
+                    found = []
+                    for n, places, hashes in found_prints(numbers, lengths):
+                        if bits is not None:
+                            some = passes(bits, hashes)
+                            places, hashes = places[some], hashes[some]
+                        for at, h in zip(places.tolist(), hashes.view(np.int64).tolist(), strict=True):
+                            before, gram, after = around(ws, at, n)
+                            found.append({"n": n, "at": at, "print": h, "before": before, "gram": gram, "after": after})
+                    sizes.append(len(ws))
+                    marks.append(hashlib.sha256(b" ".join(ws)).digest() if found else None)
+                    prints.append(found or None)
+                columns = [pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()), pa.array(prints, _PRINTS_ARROW)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *columns], [*kept, "n_words", "mark", "prints"])
+
+    return docs.select(*kept, text).mapInArrow(run, f"{plain}n_words long, mark binary, prints {_PRINTS}")
+
+
+def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    mask = np.uint64(8 * len(bits) - 1)
+    out = np.ones(len(hashes), bool)
+    for at in (hashes & mask, (hashes >> np.uint64(29)) & mask):
+        out &= (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    return out
+
+
+def bloom_filter(prints: DataFrame) -> np.ndarray:
+    """A Bloom filter of the column ``print``, as bytes; its parts are made in tasks."""
+    n = prints.count()
+    size = BLOOM_PART
+    while size < min(BLOOM_BITS, BLOOM_EACH * n):
+        size *= 2
+    bit = lambda shift: F.shiftrightunsigned("print", shift).bitwiseAND(F.lit(size - 1))
+    parted = prints.select(F.explode(F.array(bit(0), bit(29))).alias("bit")).distinct().select((F.col("bit") / BLOOM_PART).cast("int").alias("part"), (F.col("bit") % BLOOM_PART).cast("int").alias("bit"))
+
+    def part(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(BLOOM_PART, np.uint8)
+        bits[rows["bit"].to_numpy()] = 1
+        return pd.DataFrame({"part": [int(key[0])], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+    out = np.zeros(size // 8, np.uint8)
+    for r in parted.groupBy("part").applyInPandas(part, "part int, bits binary").toLocalIterator():  # size / 8 bytes in all
+        out[r.part * (BLOOM_PART // 8) : (r.part + 1) * (BLOOM_PART // 8)] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def by_shuffle(docs: DataFrame, benchmark: DataFrame, *keep: str) -> DataFrame:
+    """The join by shuffle. Texts with the same words are one until the end, where each row looks its own up."""
+    sc = docs.sparkSession.sparkContext
+    text, own = "text", [f"kept{i}" for i in range(len(keep))]
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("string").alias(text)).where(F.col(text).isNotNull())
+    tests = written(fingerprinted(items, text, None).select("item", F.explode("prints").alias("p")).select("item", "p.*").distinct(), "tests")
+    # At most SPAN - 1 lengths.
+    lengths = [r.n for r in tests.where(F.col("n") < SPAN).select("n").distinct().collect()]
+    bloom = sc.broadcast(bloom_filter(tests.select("print")))
+    plain = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(keep, own, strict=True)], F.col("text").cast("string").alias(text))
+    marked = written(fingerprinted(plain, text, lengths, bloom), "marked")
+    texts = marked.where("mark IS NOT NULL").groupBy("mark").agg(F.first("prints").alias("prints"))
+    seen = written(texts.select("mark", F.explode("prints").alias("p")).select("mark", "p.*"), "prints")
+    # A frequent fingerprint's documents are dealt over parts, each of which has the test side's rows.
+    parts = seen.groupBy("print").agg(F.ceil(F.count(F.lit(1)) / LONG).cast("int").alias("parts"))
+    left = looked_up(seen, parts, "print", "mark", "at").withColumn("part", F.pmod(F.xxhash64("mark", "at"), F.col("parts")).cast("int"))
+    right = tests.join(parts, "print").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    right = right.select("print", "part", "item", *[F.col(c).alias(f"{c}_i") for c in ("n", "before", "gram", "after")])
+    alike = lambda c: f"size(filter(sequence(1, {SPAN - K}), i -> size({c}) >= i AND size({c}_i) >= i AND slice({c}, 1, i) = slice({c}_i, 1, i)))"
+    pairs = left.join(right, ["print", "part"]).where("n = n_i AND gram = gram_i").withColumn("back", F.expr(alike("before"))).withColumn("on", F.expr(alike("after")))
+    hits = pairs.where(f"n < {SPAN} OR back + on >= {SPAN - K}").select("mark", "item", F.struct((F.col("at") - F.col("back")).alias("a"), F.expr(f"at + on + IF(n < {SPAN}, n, {K})").alias("b")).alias("span"))
+    # Spans in order of their beginning: what reaches beyond the furthest end so far is new.
+    counted = F.aggregate(
+        F.array_sort("spans"),
+        F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n")),
+        lambda acc, s: F.struct(F.greatest(acc["end"], s["b"]).alias("end"), (acc["n"] + F.greatest(F.lit(0).cast("long"), s["b"] - F.greatest(acc["end"], s["a"]))).alias("n")),
+        lambda acc: acc["n"],
+    )
+    summed = hits.groupBy("mark").agg(F.collect_set("span").alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
+    overlap = written(summed.select("mark", counted.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256")), "overlap")
+    # The rest of a row tells rows of one text apart.
+    out = looked_up(marked.drop("prints"), overlap, "mark", *own, nulls=True)
+    none = hashlib.sha256(b"").hexdigest()
+    return out.select(*[F.col(k).alias(c) for c, k in zip(keep, own, strict=True)], "n_words", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_hit", "n_items")], F.coalesce("items_sha256", F.lit(none)).alias("items_sha256"))
+
+
+def by_broadcast(docs: DataFrame, benchmark: DataFrame, *keep: str) -> DataFrame:
+    """The join by broadcast of at most BROADCAST_BYTES of items. Narrow."""
     sc = docs.sparkSession.sparkContext
     shared = [sc.broadcast(b) for b in blocks(benchmark)]
     run_id = uuid.uuid4().hex  # workers outlive a query
@@ -159,7 +301,7 @@ def with_overlap(docs: DataFrame, benchmark: DataFrame, *keep: str) -> DataFrame
     def table(k: int) -> Block:
         key = run_id, k
         if key not in _tables:
-            if len(_tables) >= 2:
+            if len(_tables) >= KEPT:
                 _tables.clear()
             _tables[key] = Block(shared[k].value)
         return _tables[key]

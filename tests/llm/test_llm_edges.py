@@ -65,6 +65,19 @@ def test_pages(spark, name):
     assert operator(spark, pages(spark, [])).count() == 0
 
 
+def test_decontamination_by_shuffle(spark, monkeypatch):
+    """Nulls, repeats, empty tables and clashing names on the other way of joining."""
+    by_broadcast = DOC_OPERATORS["decontaminate"]
+    wide = clashing(documents(spark)).withColumn("mark", F.lit("m")).withColumn("prints", F.lit("p"))
+    none = spark.createDataFrame([], "item_id long, text string")
+    want = rows(by_broadcast(spark, documents(spark))), rows(decontaminate.overlaps(documents(spark), none))
+    kept = rows(decontaminate.with_overlap(wide, labels(spark).select(F.col("doc_id").alias("item_id"), F.lit("a b c d").alias("text")), "doc_id", "text", "_text", "mark", "prints"))
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", -1)
+    assert (rows(by_broadcast(spark, wide)), rows(decontaminate.overlaps(documents(spark), none))) == want
+    assert rows(decontaminate.with_overlap(wide, labels(spark).select(F.col("doc_id").alias("item_id"), F.lit("a b c d").alias("text")), "doc_id", "text", "_text", "mark", "prints")) == kept
+    assert by_broadcast(spark, documents(spark, [])).count() == 0
+
+
 def pipeline_folder(spark, tmp_path, item="q w e r t y"):
     labels(spark).write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")

@@ -188,8 +188,9 @@ def contamination(texts, items):
     return out
 
 
-@pytest.mark.parametrize("block", [decontaminate.BLOCK_BYTES, 60])
-def test_decontamination_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "most", "long"), [(decontaminate.BLOCK_BYTES, 1 << 20, 0), (60, 1 << 20, 0), (60, 0, decontaminate.LONG), (60, 0, 2)])
+def test_decontamination_brute_force(spark, monkeypatch, block, most, long):
+    """By broadcast in one block and in many, and by shuffle, with few and with many parts of a fingerprint's documents."""
     r = random.Random(2)
     word = lambda: r.choice(["aa", "Bb", "cc", "Éé", "d9", "ee"])  # noqa: E731  few words: windows repeat
     items = [(i, " ".join(word() for _ in range(r.choice([1, 4, 9, 10, 11, 14, 30])))) for i in range(12)]
@@ -202,7 +203,10 @@ def test_decontamination_brute_force(spark, monkeypatch, block):
             at = r.randint(0, len(ws))
             ws[at:at] = ow[a : a + r.randint(5, 14)]
         texts.append(r.choice([" ", ", ", "\n"]).join(ws))
+    texts += [texts[0], texts[1].upper(), ""]
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", most)
+    monkeypatch.setattr(decontaminate, "LONG", long)
     found = decontaminate.overlaps(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     got = {x.doc_id: (x.n_words, x.n_hit, x.n_items, x.items_sha256) for x in found.collect()}
     assert [got[i] for i in range(len(texts))] == contamination(texts, items)
