@@ -7,6 +7,7 @@ likelihood on labelled pages and decoded by Viterbi. Everything runs in one pass
 
 from __future__ import annotations
 
+import collections
 import functools
 import html as entities
 import re
@@ -48,34 +49,67 @@ def attribute_words(more: str) -> tuple[str, ...]:
     return tuple({w.lower() for found in _NAMES.findall(more) for w in _SPLIT.findall("".join(found))}) if "=" in more else ()
 
 
+class Open:
+    """The open elements, with counts of their tags and attribute words, so that no block has to walk all of them."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, tuple[str, ...], int | None]] = []
+        self.tags, self.words = collections.Counter(), collections.Counter()
+        self.blocks: list[str] = []
+        self.labels: list[int] = []
+
+    def push(self, tag: str, words: tuple[str, ...], label: int | None) -> None:
+        self.stack.append((tag, words, label))
+        self.tags[tag] += 1
+        self.words.update(words)
+        if tag in BLOCKS:
+            self.blocks.append(tag)
+        if label is not None:
+            self.labels.append(label)
+
+    def cut(self, at: int) -> None:
+        while len(self.stack) > at:
+            tag, words, label = self.stack.pop()
+            for counts, names in ((self.tags, (tag,)), (self.words, words)):
+                for name in names:
+                    counts[name] -= 1
+                    if not counts[name]:
+                        del counts[name]
+            if tag in BLOCKS:
+                self.blocks.pop()
+            if label is not None:
+                self.labels.pop()
+
+    def frame(self) -> tuple[set[str], set[str], str, int | None]:
+        """Telling tags, attribute words, the nearest block element and label of what is open."""
+        return TELLING & self.tags.keys(), set(self.words), self.blocks[-1] if self.blocks else "", self.labels[-1] if self.labels else None
+
+
 def leaf_blocks(page: str) -> list[tuple[str, list[str], int | None]]:
     """(text, features, label) of the leaf blocks in page order. Labels are in training pages only."""
-    stack: list[tuple[str, tuple[str, ...], int | None]] = []
+    open_ = Open()
+    stack = open_.stack
     found: list[tuple[str, list[str], int | None]] = []
     parts: list[str] = []
     linked = 0
-    inside = 0  # open <a>
-    frame: list[tuple[str, tuple[str, ...], int | None]] = []
+    frame = open_.frame()
 
     def close() -> None:
         nonlocal parts, linked
         raw = "".join(parts)
         text = " ".join((entities.unescape(raw) if "&" in raw else raw).split())
         if text:
-            label = next((x[2] for x in reversed(frame) if x[2] is not None), None)
-            found.append((text, features(frame, text, linked / max(1, len(raw))), label))
+            found.append((text, features(frame, text, linked / max(1, len(raw))), frame[3]))
         parts, linked = [], 0
 
     for m in _TOKEN.finditer(page):
         text = m["text"]
         if text is not None:
             if not parts:
-                frame = stack.copy()
+                frame = open_.frame()
             parts.append(text)
-            if inside:
+            if "a" in open_.tags:
                 linked += len(text)
-                if parts and len(parts) == 1:
-                    frame = stack.copy()
             continue
         tag = m["tag"]
         if tag is None:
@@ -93,37 +127,38 @@ def leaf_blocks(page: str) -> list[tuple[str, list[str], int | None]]:
         if block:
             close()
         if m["end"]:
-            at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-            if at is not None and (block or not any(x[0] in BLOCKS for x in stack[at + 1 :])):
-                del stack[at:]
+            if tag in open_.tags:
+                # An inline element ends only what is open inside the nearest block.
+                at = len(stack) - 1
+                while stack[at][0] != tag and (block or stack[at][0] not in BLOCKS):
+                    at -= 1
+                if stack[at][0] == tag:
+                    open_.cut(at)
         else:
             if block:
                 # An open paragraph ends where a block begins; so do siblings of lists and tables.
                 ends = ("p", *_SIBLINGS.get(tag, ()))
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in ends:
-                        del stack[k:]
-                        if stack and stack[-1][0] not in ends:
-                            break
-                    elif stack[k][0] in BLOCKS:
+                while any(x in open_.tags for x in ends):
+                    at = len(stack) - 1
+                    while stack[at][0] not in ends and stack[at][0] not in BLOCKS:
+                        at -= 1
+                    if stack[at][0] not in ends:
                         break
+                    open_.cut(at)
             if not m["more"].rstrip().endswith("/") or block:
                 label = _LABEL.search(m["more"])
-                stack.append((tag, attribute_words(m["more"]), int(label[1]) if label else None))
-        inside = sum(x[0] == "a" for x in stack)
+                open_.push(tag, attribute_words(m["more"]), int(label[1]) if label else None)
     close()
     return found
 
 
-def features(frame: list[tuple[str, tuple[str, ...], int | None]], text: str, linked: float) -> list[str]:
-    tags = {x[0] for x in frame} & TELLING
-    names = {w for x in frame for w in x[1]}
-    nearest = next((x[0] for x in reversed(frame) if x[0] in BLOCKS), "")
+def features(frame: tuple[set[str], set[str], str, int | None], text: str, linked: float) -> list[str]:
+    tags, names, nearest, _ = frame
     words = text.count(" ") + 1
     size = "1" if words == 1 else "3" if words < 4 else "7" if words < 8 else "15" if words < 16 else "40" if words < 41 else "+"
     out = ["", "t " + nearest, "n " + size, "l " + ("0" if linked == 0 else "1" if linked < 0.5 else "2"), "e " + str(text[-1] in ".!?\"'”»…")]
-    out += ["a " + t for t in tags]
-    out += ["w " + w for w in names]
+    out += ["a " + t for t in sorted(tags)]
+    out += ["w " + w for w in sorted(names)]
     if text[0] == "©" or text[:9].lower() == "copyright":
         out.append("c")
     if "header" in tags and ("article" in tags or "main" in tags):

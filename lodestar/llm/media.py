@@ -17,15 +17,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FRAME = 512
-HOP = 512
+#: Frames overlap by half, and the window is nowhere 0, so every sample has weight in some frame.
+FRAME, HOP = 512, 256
 RATE = 8000
 #: Peaks kept per frame, and frames ahead in which an anchor is paired.
 PEAKS, FAN = 2, 3
+#: A weaker peak is no more than a rounding error of the transform.
+FLOOR = 0.05
 #: Frames transformed at once: memory stays the same however long a sample is.
 CHUNK = 4096
 BLOCK = 64
-_WINDOW = np.hanning(FRAME).astype(np.float32)
+_WINDOW = np.hanning(FRAME + 2)[1:-1].astype(np.float32)
 FEATURES = (
     "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, "
     "fingerprint_times array<int>, fingerprint_hashes array<int>"
@@ -53,37 +55,39 @@ def from_wav(media: bytes) -> bytes:
 
 
 def peaks(samples: np.ndarray) -> np.ndarray:
-    """(frames, PEAKS) strongest frequency bins, ties to the lower bin; the last frame is filled with silence."""
-    frames = -(-len(samples) // HOP)
-    found = np.empty((frames, PEAKS), np.int32)
+    """(frames, PEAKS) strongest local maxima, ties to the lower bin, 0 for none; the last frame is filled with silence."""
+    frames = max(1, -(-(len(samples) - FRAME) // HOP) + 1)
+    found = np.zeros((frames, PEAKS), np.int32)
     for at in range(0, frames, CHUNK):
         some = min(CHUNK, frames - at)
-        part = np.full(some * HOP, 128, np.uint8)
-        taken = samples[at * HOP : (at + some) * HOP]
+        part = np.full((some - 1) * HOP + FRAME, 128, np.uint8)
+        taken = samples[at * HOP : at * HOP + len(part)]
         part[: len(taken)] = taken
-        x = (part.reshape(some, FRAME).astype(np.float32) - 128) * _WINDOW
+        x = (np.lib.stride_tricks.sliding_window_view(part, FRAME)[::HOP].astype(np.float32) - 128) * _WINDOW
         power = np.abs(np.fft.rfft(x, axis=1)).astype(np.float32)[:, 1:]
-        # Only local maxima count as peaks.
-        inner = (power[:, 1:-1] >= power[:, :-2]) & (power[:, 1:-1] > power[:, 2:])
+        inner = (power[:, 1:-1] >= power[:, :-2]) & (power[:, 1:-1] > power[:, 2:]) & (power[:, 1:-1] >= FLOOR)
         level = np.where(inner, power[:, 1:-1], -1)
         for k in range(PEAKS):
             top = level.argmax(axis=1)
-            found[at : at + some, k] = top + 2
+            found[at : at + some, k] = np.where(level[np.arange(some), top] > 0, top + 2, 0)
             level[np.arange(some), top] = -1
     return found
 
 
 def fingerprint(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Times (frames) and hashes of peak pairs, in order of time. A single frame pairs its own two peaks."""
+    """Times (frames) and hashes of peak pairs, in order of time: a frame's two peaks, and its first with those of the
+    next FAN frames. Silent frames have no pairs.
+    """
     top = peaks(samples)
-    times, hashes = [np.arange(len(top), dtype=np.int32)], [(top[:, 0] << 16) | (top[:, 1] << 4)]
+    times, hashes = [np.flatnonzero(top[:, 0])], [(top[:, 0] << 16) | (top[:, 1] << 4)]
+    hashes[0] = hashes[0][times[0]]
     for gap in range(1, FAN + 1):
-        if len(top) > gap:
-            times.append(np.arange(len(top) - gap, dtype=np.int32))
-            hashes.append((top[:-gap, 0] << 16) | (top[gap:, 0] << 4) | gap)
+        both = np.flatnonzero((top[:-gap, 0] > 0) & (top[gap:, 0] > 0)) if len(top) > gap else np.zeros(0, np.int64)
+        times.append(both)
+        hashes.append((top[both, 0] << 16) | (top[both + gap, 0] << 4) | gap)
     t, h = np.concatenate(times), np.concatenate(hashes)
     order = np.argsort(t, kind="stable")
-    return t[order], h[order].astype(np.int32)
+    return t[order].astype(np.int32), h[order].astype(np.int32)
 
 
 def encode_media(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -134,7 +138,9 @@ def analyse_media(media: DataFrame) -> DataFrame:
 def media_features(docs: DataFrame) -> DataFrame:
     """A row per document; ``feature`` is the fingerprint as ``time:hash`` pairs in order of time.
 
-    Narrow: no shuffle, and equal texts give equal values wherever they are. Other columns are ignored.
+    Narrow: no shuffle, and equal texts give equal values wherever they are. A null text is an empty one; a text whose
+    samples are silent has an empty feature. Repeated rows are rows of their own, an empty table gives none, and other
+    columns are ignored.
     """
     found = analyse_media(encode_media(docs.select("doc_id", "text")))
     pairs = F.transform(F.arrays_zip("fingerprint_times", "fingerprint_hashes"), lambda p: F.concat(p["fingerprint_times"].cast("string"), F.lit(":"), F.lower(F.hex(p["fingerprint_hashes"]))))

@@ -38,20 +38,20 @@ CAPTURE_PARTS = (
 
 
 def with_roles(pages: DataFrame) -> DataFrame:
-    """Adds ``payload``, its SHA-256 and ``refers_to``.
+    """Adds ``payload``, its SHA-256, ``refers_to`` and ``refers_to_uri``.
 
     The digests are grouped first (partial aggregation leaves a row per digest and task), and only digests that occur
     on several rows are joined back. The page side is the streamed side of a left join, whose skewed partitions
     adaptive execution splits.
     """
     rows = pages.select("page_id", "url", utf8(F.col("html")).alias("payload")).withColumn("payload_digest", F.sha2("payload", 256))
-    digests = pages.select("page_id", utf8(F.col("html")).alias("payload"))
+    digests = pages.select("page_id", "url", utf8(F.col("html")).alias("payload"))
     heads = (
         digests.where(F.length("payload") >= MIN_REVISIT_BYTES)
         .groupBy(F.sha2("payload", 256).alias("payload_digest"))
-        .agg(F.min("page_id").alias("head"), F.count(F.lit(1)).alias("n"))
+        .agg(F.min("page_id").alias("head"), F.min_by("url", "page_id").alias("refers_to_uri"), F.count(F.lit(1)).alias("n"))
         .where("n > 1 AND head IS NOT NULL")
-        .select("payload_digest", "head")
+        .select("payload_digest", "head", "refers_to_uri")
     )
     revisit = F.col("head").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("head"))
     return rows.join(heads, "payload_digest", "left").withColumn("refers_to", F.when(revisit, F.col("head"))).drop("head")
@@ -74,7 +74,7 @@ def header_value(text: str | None) -> str:
     return (text or "").replace("\r", "%0D").replace("\n", "%0A")
 
 
-def capture_records(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, serial: str) -> Iterator[bytes]:
+def capture_records(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, serial: str, refers_to_uri: str | None = None) -> Iterator[bytes]:
     """The three records of one capture. ``serial`` keeps apart rows that repeat another row exactly."""
     uri = header_value(url)
     ids = {kind: record_id(kind, page_id, uri, digest, serial) for kind in ("response", "request", "metadata")}
@@ -86,14 +86,14 @@ def capture_records(page_id: int | None, url: str | None, payload: bytes, digest
         yield member([*main, ("Content-Type", "application/http; msgtype=response")], http + payload)
     else:
         profile = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-        yield member([*main, ("WARC-Profile", profile), ("X-Refers-To-Page-Id", str(refers_to)), ("Content-Type", "application/http; msgtype=response")], http)
+        yield member([*main, ("WARC-Profile", profile), ("WARC-Refers-To-Target-URI", header_value(refers_to_uri)), ("WARC-Refers-To-Date", date[1]), ("X-Refers-To-Page-Id", str(refers_to)), ("Content-Type", "application/http; msgtype=response")], http)
     tail = [date, ("WARC-Target-URI", uri), page, ("WARC-Concurrent-To", ids["response"])]
     yield member([("WARC-Type", "request"), ("WARC-Record-ID", ids["request"]), *tail, ("Content-Type", "application/http; msgtype=request")], b"GET / HTTP/1.1\r\n\r\n")
     yield member([("WARC-Type", "metadata"), ("WARC-Record-ID", ids["metadata"]), *tail, ("Content-Type", "application/warc-fields")], b"payload-bytes: %d\r\n" % len(payload))
 
 
 def write_archives(captures: DataFrame, folder: str) -> DataFrame:
-    """Writes ``captures`` (page_id, url, payload, payload_digest, refers_to) below ``folder``; returns the manifest.
+    """Writes ``captures`` (page_id, url, payload, payload_digest, refers_to, refers_to_uri) below ``folder``; returns the manifest.
 
     A task keeps at most one archive open and streams members into it. Tasks that are run again write other files.
     """
@@ -103,13 +103,13 @@ def write_archives(captures: DataFrame, folder: str) -> DataFrame:
         store.create_dir(root, recursive=True)
         out, done, run, row = None, [], uuid.uuid4().hex, 0
         for batch in batches:
-            columns = [batch.column(c) for c in ("page_id", "url", "payload", "payload_digest", "refers_to")]
+            columns = [batch.column(c) for c in ("page_id", "url", "payload", "payload_digest", "refers_to", "refers_to_uri")]
             for values in zip(*columns, strict=True):
-                page_id, url, payload, digest, refers_to = (v.as_py() for v in values)
+                page_id, url, payload, digest, refers_to, uri = (v.as_py() for v in values)
                 if out is None:
                     path = f"{root}/{run}-{len(done)}.warc.gz"
-                    out, size, records = store.open_output_stream(path), 0, 0
-                for data in capture_records(page_id, url, payload, digest, refers_to, f"{run}{row}"):
+                    out, size, records = store.open_output_stream(path, compression=None), 0, 0
+                for data in capture_records(page_id, url, payload, digest, refers_to, f"{run}{row}", uri):
                     out.write(data)
                     size, records = size + len(data), records + 1
                 row += 1
@@ -122,7 +122,7 @@ def write_archives(captures: DataFrame, folder: str) -> DataFrame:
             done.append((path, records, size))
         yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["path", "records", "bytes"])
 
-    source = captures.select(F.col("page_id").cast("long"), F.col("url").cast("string"), "payload", "payload_digest", F.col("refers_to").cast("long"))
+    source = captures.select(F.col("page_id").cast("long"), F.col("url").cast("string"), "payload", "payload_digest", F.col("refers_to").cast("long"), F.col("refers_to_uri").cast("string"))
     return written(source.mapInArrow(write, MANIFEST), "warc-manifest")
 
 
@@ -142,12 +142,12 @@ def members(stream: io.IOBase) -> Iterator[bytes]:
 
 
 def parse(record: bytes) -> tuple[dict[str, str], memoryview]:
-    """Header fields by lower-case name, and the block."""
+    """Header fields by lower-case name, and the block. A value is all that follows the blank after the colon."""
     end = record.index(b"\r\n\r\n")
     lines = record[:end].decode().split("\r\n")
     if not lines[0].startswith("WARC/"):
         raise ValueError("not a WARC record")
-    fields = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+    fields = {k.lower(): v.removeprefix(" ") for k, _, v in (x.partition(":") for x in lines[1:])}
     return fields, memoryview(record)[end + 4 : end + 4 + int(fields["content-length"])]
 
 
@@ -161,22 +161,24 @@ def read_records(manifest: DataFrame, folder: str, payloads: bool = True) -> Dat
         held = 0
         for batch in batches:
             for path in batch.column("path").to_pylist():
-                with store.open_input_stream(path) as stream:
+                with store.open_input_stream(path, compression=None) as stream:
                     for record in members(stream):
                         head, block = parse(record)
                         number = head.get("x-page-id") or None
                         refers = head.get("x-refers-to-page-id") or None
                         size = digest = payload = None
                         if head["warc-type"] == "response":
-                            body = block[re.search(rb"\r\n\r\n", block).end() :]
+                            body = block[end.end() :] if (end := re.search(rb"\r\n\r\n", block)) else block
                             size, digest, payload = len(body), hashlib.sha256(body).hexdigest(), bytes(body) if payloads else None
-                            if digest != head["warc-payload-digest"].removeprefix("sha256:"):
+                            # Other writers may give no digest or one of another kind.
+                            if head.get("warc-payload-digest", "").startswith("sha256:") and head["warc-payload-digest"] != f"sha256:{digest}":
                                 raise ValueError("payload differs from its digest")
                             held += len(body) if payloads else 0
                         elif head["warc-type"] == "metadata":
-                            size = int(bytes(block).partition(b":")[2])
+                            stated = re.search(rb"payload-bytes: (\d+)", block)
+                            size = int(bytes(stated[1])) if stated else None
                         elif head["warc-type"] == "revisit":
-                            digest = head["warc-payload-digest"].removeprefix("sha256:")
+                            digest = head.get("warc-payload-digest", "").removeprefix("sha256:") or None
                         rows.append((head["warc-record-id"], head["warc-type"], head.get("warc-concurrent-to"), head.get("warc-target-uri"), number and int(number), refers and int(refers), size, digest, payload))
                         if len(rows) >= 8192 or held > 32 << 20:
                             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)

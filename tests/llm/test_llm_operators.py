@@ -55,6 +55,27 @@ def test_warc_round_trip(spark):
     assert captures[9].metadata.payload_bytes == 203
 
 
+def test_warc_keeps_outer_blanks_and_names_the_original(spark):
+    page = "<p>" + "x" * 200
+    pages = spark.createDataFrame([(4, " http://h/first\t ", page), (7, "http://h/again", page), (4, "http://h/tie", page)], "page_id long, url string, html string")
+    found = sorted((r.page_id, r.record_type, r.refers_to, r.target_uri) for r in warc.page_records(spark, pages).collect())
+    assert found == [(4, "response", None, " http://h/first\t "), (4, "response", None, "http://h/tie"), (7, "revisit", 4, "http://h/again")]
+    revisit = list(warc.capture_records(7, "u", b"x", "d", 4, "0", "http://h/first"))[0]
+    fields, _ = warc.parse(next(warc.members(__import__("io").BytesIO(revisit))))
+    assert (fields["warc-type"], fields["warc-refers-to-target-uri"], fields["warc-refers-to-date"]) == ("revisit", "http://h/first", fields["warc-date"])
+
+
+def test_warc_reads_archives_of_others(spark, tmp_path):
+    """Without our own fields: no digest or one of another kind, an info record, a record that is no HTTP message."""
+    record = lambda kind, name, block, *more: warc.member([("WARC-Type", kind), ("WARC-Record-ID", name), *more], block)
+    whole = record("warcinfo", "<i>", b"software: x") + record("response", "<a>", b"HTTP/1.1 200 OK\r\n\r\nbody", ("WARC-Payload-Digest", "sha1:AAAA")) + record("metadata", "<m>", b"a: b", ("WARC-Concurrent-To", "<a>")) + record("response", "<b>", b"raw")
+    (tmp_path / "x.warc.gz").write_bytes(whole)
+    manifest = spark.createDataFrame([(str(tmp_path / "x.warc.gz"), 4, len(whole))], warc.MANIFEST)
+    found = {r.capture_id: r for r in warc.assemble(warc.read_records(manifest, f"file://{tmp_path}")).collect()}
+    assert set(found) == {"<a>", "<b>"} and bytes(found["<a>"].response.payload) == b"body" and bytes(found["<b>"].response.payload) == b"raw"
+    assert found["<a>"].metadata.payload_bytes is None and found["<b>"].request is None
+
+
 def test_warc_truncated_archive_is_an_error():
     import io
 
@@ -96,7 +117,8 @@ def test_media_round_trip(spark):
         assert media.from_wav(media.to_wav(payload)) == payload and len(payload) % 64 == 0 and payload
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(data), len(payload), hashlib.sha256(payload).hexdigest())
         assert r.tail_crc32 == zlib.crc32(payload[-64:]) and r.media_sha256 == hashlib.sha256(media.to_wav(payload)).hexdigest()
-        assert r.feature
+        # A spectrum that only falls, as a short pulse has, is without peaks.
+        assert r.feature or len(payload) == 64
     times, hashes = media.fingerprint(np.frombuffer(b"abc" * 5000, np.uint8))
     assert list(times) == sorted(times) and len(times) == len(hashes)
     # Chunks do not show in the result.
@@ -105,6 +127,36 @@ def test_media_round_trip(spark):
     media.CHUNK = old
 
 
+def landmarks(payload):
+    """The fingerprint by plain sums: frames of 512 samples every 256, a raised cosine, strongest local maxima, pairs."""
+    first, second = [], []
+    places = range(max(1, -(-(len(payload) - 512) // 256) + 1))
+    window = [0.5 - 0.5 * np.cos(2 * np.pi * (i + 1) / 513) for i in range(512)]
+    waves = np.exp(-2j * np.pi * np.outer(np.arange(257), np.arange(512)) / 512)
+    for k in places:
+        frame = [b - 128 for b in payload[k * 256 : k * 256 + 512]]
+        level = np.abs(waves @ (np.array(frame + [0] * (512 - len(frame))) * window))
+        tops = sorted((f for f in range(2, 256) if level[f] >= level[f - 1] and level[f] > level[f + 1] and level[f] >= 0.05), key=lambda f: (-level[f], f))
+        first.append(tops[0] if tops else 0)
+        second.append(tops[1] if len(tops) > 1 else 0)
+    out = []
+    for k in places:
+        out += [(k, first[k] * 65536 + second[k] * 16)] * bool(first[k])
+        out += [(k, first[k] * 65536 + first[k + g] * 16 + g) for g in (1, 2, 3) if k + g < len(first) and first[k] and first[k + g]]
+    return ",".join(f"{t}:{h:x}" for t, h in out)
+
+
+def test_media_features_by_plain_sums(spark):
+    r = random.Random(11)
+    texts = ["", "a", "x" * 64, "ab" * 700, *("".join(r.choice("abcdefgh éß\n") for _ in range(n)) for n in (40, 511, 512, 513, 900, 3000, 7000))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for row in media.media_features(docs).collect():
+        assert row.feature == landmarks(media.padded(texts[row.doc_id].encode())), texts[row.doc_id][:50]
+    # Silence has no peaks, and samples at the edge of a frame have weight.
+    assert len(media.fingerprint(np.full(4096, 128, np.uint8))[0]) == 0
+    assert media._WINDOW.min() > 0
+
+
 def test_sharding_brute_force(spark):
     docs, rows = corpus(spark)
     found = {r.doc_id: r for r in sharding.assign_shards(docs, 7).collect()}
@@ -422,6 +474,19 @@ def test_leaf_blocks_drop_nothing_else(page, want):
     assert [b[0] for b in maintext.leaf_blocks(page)] == want
 
 
+def test_leaf_blocks_take_linear_time():
+    import time
+
+    def seconds(n):
+        began = time.process_time()
+        found = maintext.leaf_blocks("<div class=x>text " * n + "</i>" * n + "<p><b>more " * n)
+        assert len(found) == 2 * n
+        return time.process_time() - began
+
+    seconds(100)
+    assert seconds(16_000) < 12 * max(0.01, seconds(4_000))
+
+
 def toxic_rows(n, seed):
     r = random.Random(seed)
     word = lambda: "".join(r.choice(["ba", "ce", "di", "fo", "gu", "ne", "st"]) for _ in range(r.randint(1, 3)))
