@@ -33,13 +33,14 @@ def is_typed_id(c: Column, kind: str) -> Column:
 def projection_digest(projection: DataFrame) -> DataFrame:
     """One row: digest of all (doc_id, version_id), whatever their order, their number, and repeated documents.
 
-    Rows are hashed where they are and the hashes added up in 16-bit lanes, so nothing is sorted or gathered.
+    Rows are hashed where they are and the hashes added up in lanes of 16 bits, so nothing is sorted or gathered and a sum
+    is exact up to 1.4e14 rows. ``repeated`` is the number of documents that occur twice; such a projection is invalid.
     """
     h = F.sha2(framed(F.col("doc_id").cast("string"), F.col("version_id").cast("string")), 256)
-    lanes = [F.sum(F.conv(F.substring(h, 8 * i + 1, 8), 16, 10).cast("long")).alias(f"lane{i}") for i in range(8)]
+    lanes = [F.sum(F.conv(F.substring(h, 4 * i + 1, 4), 16, 10).cast("long")).alias(f"lane{i}") for i in range(16)]
     whole = projection.agg(F.count(F.lit(1)).alias("members"), *lanes)
     repeated = projection.groupBy("doc_id").count().where("count > 1").agg(F.count(F.lit(1)).alias("repeated"))
-    return whole.crossJoin(F.broadcast(repeated)).select("members", "repeated", F.sha2(F.concat_ws(",", *[f"lane{i}" for i in range(8)]), 256).alias("digest"))
+    return whole.crossJoin(F.broadcast(repeated)).select("members", "repeated", F.sha2(F.concat_ws(",", *[f"lane{i}" for i in range(16)]), 256).alias("digest"))
 
 
 def contact_hash(key: bytes, kind: str):

@@ -150,20 +150,34 @@ def page_of_text(text: Column, offset: Column | int, limit: Column | int) -> Col
     return F.when((offset >= 0) & (offset <= total), page)
 
 
-@vectorised("struct<text string, total int, next_cursor int>")
-def page_of_bytes(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+def page_of_bytes(text: Column, offset: Column, limit: Column) -> Column:
     """Bytes [offset, offset + limit) of a text, the end moved back to a character boundary. Null inside a character."""
-    for texts, offsets, limits in parts:
-        rows = []
-        for text, offset, limit in zip(texts, offsets, limits, strict=True):
-            data = (text or "").encode()
-            end = min(len(data), offset + limit)
-            while offset < end < len(data) and data[end] & 0xC0 == 0x80:
-                end -= 1
-            inside = 0 <= offset <= len(data) and not (offset < len(data) and data[offset] & 0xC0 == 0x80)
-            rows.append((data[offset:end].decode(), len(data), end if end < len(data) else None) if inside else (None, len(data), None))
-        out = pd.DataFrame(rows, columns=["text", "total", "next_cursor"])
-        yield out.assign(next_cursor=out["next_cursor"].astype("Int32"))
+
+    def of(data: Column) -> Column:
+        # A byte that goes on with a character has the bits 10 first.
+        inside = lambda at: F.hex(F.substring(data, at + 1, F.lit(1))).rlike("^[89AB]")
+        size = F.octet_length(data)
+        wanted = F.least(size, offset + limit)
+        starts = [F.when((wanted - k <= offset) | (wanted - k >= size) | ~inside(wanted - k), wanted - k) for k in range(3)]
+        return let(F.coalesce(*starts, wanted - 3), lambda end: F.struct(
+            F.when(~((offset < 0) | (offset > size) | inside(offset)), F.decode(F.substring(data, offset + 1, F.greatest(F.lit(0), end - offset)), "UTF-8")).alias("text"),
+            size.alias("total"),
+            F.when(~((offset < 0) | (offset > size) | inside(offset)) & (end < size), end).alias("next_cursor"),
+        ))
+
+    return let(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), of)
+
+
+def pages_of_bytes(text: Column, limit: int) -> Column:
+    """All pages of ``limit`` bytes, at least 4, each from where the one before ended."""
+    most = F.ceil(F.octet_length(text) / (limit - 3)).cast("int")
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("pages"))
+
+    def step(held: Column, _: Column) -> Column:
+        page = page_of_bytes(text, held["at"], F.lit(limit))
+        return F.when(held["at"].isNull(), held).otherwise(let(page, lambda p: F.struct(p["next_cursor"].alias("at"), F.concat(held["pages"], F.array(p["text"])).alias("pages"))))
+
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), most)), start, step)["pages"]
 
 
 # What badly decoded text begins with.

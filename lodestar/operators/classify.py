@@ -121,17 +121,22 @@ def admitted(classified: DataFrame) -> DataFrame:
     return classified.where("status = 'resume_candidate'")
 
 
+#: Some 60 bytes a row.
+MODEL_ROWS = 500_000
+
+
 def promotion_scores(texts: DataFrame, weights: DataFrame, bias: float, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, probability: a logistic model over character 3- to 5-grams, 1 + ln(count) times idf, unit length.
+    """key, probability: a logistic model over character 3- to 5-grams of the whole text, 1 + ln(count) times idf, unit length.
 
-    weights: gram, idf, weight. Grams of a text are counted inside its row; the join is on gram, and each side of it is
-    aggregated by key right after.
+    weights: gram, idf, weight. Characters are split once, so grams take linear time; grams without a weight end at the
+    join, before anything is counted or shuffled. A model of up to MODEL_ROWS rows is broadcast to it.
     """
     low = F.lower(F.regexp_replace(F.col(text), r"\s+", " "))
-    of = lambda t: F.flatten(F.transform(F.array(F.lit(3), F.lit(4), F.lit(5)), lambda n: F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substring(t, i, n))).otherwise(F.array().cast("array<string>"))))
-    grams = let(low, of)
-    counted = texts.select(key, F.explode(grams).alias("gram")).groupBy(key, "gram").agg(F.count(F.lit(1)).alias("n"))
-    scored = counted.join(weights, "gram").withColumn("v", (1 + F.log(F.col("n"))) * F.col("idf"))
+    of = lambda cs: F.flatten(F.transform(F.array(F.lit(3), F.lit(4), F.lit(5)), lambda n: F.when(F.size(cs) >= n, F.transform(F.sequence(F.lit(1), F.size(cs) - n + 1), lambda i: F.array_join(F.slice(cs, i, n), ""))).otherwise(F.array().cast("array<string>"))))
+    grams = let(F.filter(F.split(low, ""), lambda c: c != ""), of)
+    model = F.broadcast(weights) if weights.limit(MODEL_ROWS + 1).count() <= MODEL_ROWS else weights
+    known = texts.select(key, F.explode(grams).alias("gram")).join(model, "gram")
+    scored = known.groupBy(key, "gram", "idf", "weight").agg(F.count(F.lit(1)).alias("n")).withColumn("v", (1 + F.log(F.col("n"))) * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("v") * F.col("v")))
     linear = scored.groupBy(key).agg((F.sum(F.col("v") * F.col("weight")) / norm).alias("z"))
     return texts.select(key).join(linear, key, "left").select(key, (1 / (1 + F.exp(-(F.coalesce("z", F.lit(0.0)) + bias)))).alias("probability"))

@@ -59,14 +59,29 @@ def class_counts_per_root(occurrences: DataFrame, classes: DataFrame, triage: Da
 def nearest_rank(values: DataFrame, column: str, percents: list[int], *keys: str) -> DataFrame:
     """keys, p<percent>...: the value at rank ceil(p * n / 100), never interpolated.
 
-    Values are counted first, so a group holds its distinct values and not its rows; running counts find the ranks.
+    Values are counted first. They fall into buckets in order, by power of two and 4096 steps in it; running counts over
+    buckets find the one that holds a rank, and running counts over its values the value. So no task orders all values of
+    a group, however many are distinct.
     """
+    x = F.col(column).cast("double")
+    power = F.when(x == 0, 0).otherwise(F.floor(F.log2(F.abs(x))))
     counted = values.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count(F.lit(1)).alias("_n"))
+    counted = counted.withColumn("_power", F.when(x > 0, 5000 + power).when(x < 0, -5000 - power).otherwise(0)).withColumn("_step", F.floor(x / F.pow(F.lit(2.0), power) * 4096))
+    place = ["_power", "_step"]
+    sums = counted.groupBy(*keys, *place).agg(F.sum("_n").alias("_n"))
     by = Window.partitionBy(*keys)
-    upto = F.sum("_n").over(by.orderBy(column).rowsBetween(Window.unboundedPreceding, 0))
-    placed = counted.withColumn("_upto", upto).withColumn("_total", F.sum("_n").over(by))
-    rank = lambda p: F.greatest(F.lit(1), F.ceil(F.col("_total") * p / 100))
-    return placed.groupBy(*keys).agg(*[F.min(F.when(F.col("_upto") >= rank(p), F.col(column))).alias(f"p{p}") for p in percents])
+    upto = sums.withColumn("_upto", F.sum("_n").over(by.orderBy(*place).rowsBetween(Window.unboundedPreceding, 0))).withColumn("_total", F.sum("_n").over(by))
+    ranked = upto.withColumn("_percent", F.explode(F.array(*[F.lit(p) for p in percents]))).withColumn("_rank", F.greatest(F.lit(1), F.ceil(F.col("_total") * F.col("_percent") / 100)))
+    hit = ranked.where((F.col("_rank") <= F.col("_upto")) & (F.col("_rank") > F.col("_upto") - F.col("_n")))
+    # Null keys are groups too.
+    sought = hit.select(*[F.col(k).alias(f"_of_{k}") for k in keys], *[F.col(c).alias(f"_of{c}") for c in place], "_percent", (F.col("_rank") - (F.col("_upto") - F.col("_n"))).alias("_rank"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & counted[k].eqNullSafe(sought[f"_of_{k}"])
+    found = counted.join(sought, same & (F.col("_power") == F.col("_of_power")) & (F.col("_step").eqNullSafe(F.col("_of_step"))))
+    inside = Window.partitionBy(*keys, "_percent").orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
+    reached = found.withColumn("_upto", F.sum("_n").over(inside)).where(F.col("_upto") >= F.col("_rank"))
+    return reached.groupBy(*keys).agg(*[F.min(F.when(F.col("_percent") == p, F.col(column))).alias(f"p{p}") for p in percents])
 
 
 def latency_summary(samples: DataFrame, column: str, *keys: str) -> DataFrame:
@@ -199,9 +214,16 @@ def run_variance(runs: DataFrame, column: str, *keys: str) -> DataFrame:
 def stratified_holdout(rows: DataFrame, stratum: str, order: Column, percent: int) -> DataFrame:
     """Rows held out: of each stratum, in ``order`` (a keyed hash), the first max(1, round(n * percent / 100)).
 
-    A stratum of one row gives none. Halves round to the even number.
+    A stratum of one row gives none. Halves round to the even number. Rows are counted by the first four characters of
+    the hash: all below the bucket in which a stratum's share ends are taken, and only within that one are rows ordered.
     """
+    keyed = rows.withColumn("_order", order.cast("string")).withColumn("_bucket", F.substring("_order", 1, 4))
+    counts = keyed.groupBy(stratum, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     by = Window.partitionBy(stratum)
-    placed = rows.withColumn("_place", F.row_number().over(by.orderBy(order))).withColumn("_n", F.count(F.lit(1)).over(by))
-    most = F.greatest(F.lit(1), F.bround(F.col("_n") * percent / 100))
-    return placed.where((F.col("_n") > 1) & (F.col("_place") <= most)).drop("_place", "_n")
+    before = counts.withColumn("_before", F.sum("_n").over(by.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).withColumn("_total", F.sum("_n").over(by))
+    most = F.greatest(F.lit(1), F.bround(F.col("_total") * percent / 100))
+    left = before.where(F.col("_total") > 1).withColumn("_left", most - F.col("_before")).where("_left > 0").select(F.col(stratum).alias("_stratum"), F.col("_bucket").alias("_of"), "_n", "_left")
+    near = keyed.join(left, keyed[stratum].eqNullSafe(left["_stratum"]) & (keyed["_bucket"] == left["_of"]))
+    last = Window.partitionBy(stratum, "_bucket").orderBy("_order")
+    partial = near.where(F.col("_left") < F.col("_n")).withColumn("_place", F.row_number().over(last)).where(F.col("_place") <= F.col("_left"))
+    return near.where(F.col("_left") >= F.col("_n")).select(*rows.columns).unionByName(partial.select(*rows.columns))

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 MOST_HYDRATED = 256
 SOFT_DUPLICATE = 0.70
+#: Profiles with one combination of facts that are compared in one task.
+LONG = 2000
 
 
 def hydrate(hits: DataFrame, active: DataFrame) -> DataFrame:
@@ -91,15 +93,23 @@ def soft_score(schools: Column, other_schools: Column, companies: Column, other_
 def soft_duplicates(profiles: DataFrame) -> DataFrame:
     """doc_left, doc_right, score of profiles (doc_id, name, schools, companies, skills) of one name over SOFT_DUPLICATE.
 
-    A score over the threshold needs a common school or company, so pairs are joined on name and such a value instead of
-    on the name alone: a common name does not meet itself in all pairs.
+    A score over the threshold needs two common facts, a school and a company or a school or company and a skill, so
+    pairs are joined on name and two facts, each pair at the first that it has. The profiles of a frequent combination
+    are dealt over parts of LONG, so no task compares all of them.
     """
-    shared = F.array_union(F.transform("schools", lambda s: F.concat(F.lit("s:"), s)), F.transform("companies", lambda c: F.concat(F.lit("c:"), c)))
-    keyed = profiles.withColumn("_on", F.explode(shared))
-    other = keyed.select("name", "_on", *[F.col(c).alias(f"{c}_r") for c in ("doc_id", "schools", "companies", "skills")])
-    pairs = keyed.join(other, ["name", "_on"]).where(F.col("doc_id") < F.col("doc_id_r"))
+    facts = lambda kind, values: F.transform(values, lambda x: F.concat(F.lit(f"{kind}:"), x))
+    both = lambda a, b: F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: F.sha2(F.concat_ws("\0", x, y), 256))))
+    schools, companies, skills = facts("s", F.col("schools")), facts("c", F.col("companies")), facts("k", F.col("skills"))
+    combined = F.array_distinct(F.concat(both(schools, companies), both(schools, skills), both(companies, skills)))
+    keyed = profiles.select("doc_id", "name", "schools", "companies", "skills", combined.alias("_facts")).withColumn("_on", F.explode("_facts"))
+    parts = keyed.groupBy("name", "_on").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("name", "_on", F.ceil(F.col("_n") / LONG).cast("int").alias("_parts"))
+    left = keyed.join(parts, ["name", "_on"]).withColumn("_part", F.pmod(F.xxhash64("doc_id"), F.col("_parts")).cast("int"))
+    right = keyed.join(parts, ["name", "_on"]).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    other = right.select("name", "_on", "_part", *[F.col(c).alias(f"{c}_r") for c in ("doc_id", "schools", "companies", "skills", "_facts")])
+    first = F.col("_on") == F.array_min(F.array_intersect("_facts", "_facts_r"))
+    pairs = left.join(other, ["name", "_on", "_part"]).where(F.col("doc_id") < F.col("doc_id_r")).where(first)
     score = F.round(soft_score(F.col("schools"), F.col("schools_r"), F.col("companies"), F.col("companies_r"), F.col("skills"), F.col("skills_r")), 6)
-    return pairs.select(F.col("doc_id").alias("doc_left"), F.col("doc_id_r").alias("doc_right"), score.alias("score")).where(F.col("score") > SOFT_DUPLICATE).distinct()
+    return pairs.select(F.col("doc_id").alias("doc_left"), F.col("doc_id_r").alias("doc_right"), score.alias("score")).where(F.col("score") > SOFT_DUPLICATE)
 
 
 def removed_occurrences(present: DataFrame, seen: DataFrame, errors: int) -> DataFrame:
@@ -175,12 +185,18 @@ def requeue_for_model(jobs: DataFrame, specs: DataFrame, model_id: str, dimensio
 
 
 def rerun_decision(files: DataFrame, known: DataFrame, parse_version: str, epoch: str) -> DataFrame:
-    """decision for each scanned file: unchanged, metadata_only (moved or renamed: the version is reused), reparse or new."""
-    old = known.select("content_hash", F.col("normalized_path").alias("_path"), F.col("parse_version").alias("_parse"), F.col("classifier_epoch").alias("_epoch"))
-    per_content = Window.partitionBy("normalized_path", "content_hash").orderBy((F.col("_path") != F.col("normalized_path")).asc_nulls_last(), "_path")
-    joined = files.join(old, "content_hash", "left").withColumn("_n", F.row_number().over(per_content)).where("_n = 1")
-    current = (F.col("_parse") == parse_version) & (F.col("_epoch") == epoch)
-    decision = F.when(F.col("_path").isNull(), "new").when(~current, "reparse").when(F.col("_path") == F.col("normalized_path"), "unchanged").otherwise("metadata_only")
+    """decision for each scanned file: unchanged, metadata_only (moved or renamed: the version is reused), reparse or new.
+
+    A file is compared with what is known of its content at its own path, else at the first path. Known files are brought
+    to a row per content and path and a row per content before they are joined, so equal contents, as of empty files,
+    do not meet in pairs.
+    """
+    state = F.struct(F.col("normalized_path").alias("path"), F.col("parse_version").alias("parse"), F.col("classifier_epoch").alias("epoch"))
+    here = known.groupBy("content_hash", "normalized_path").agg(F.min(state).alias("_here"))
+    first = here.groupBy("content_hash").agg(F.min("_here").alias("_first"))
+    joined = files.join(here, ["content_hash", "normalized_path"], "left").join(first, "content_hash", "left").withColumn("_known", F.coalesce("_here", "_first"))
+    current = (F.col("_known.parse") == parse_version) & (F.col("_known.epoch") == epoch)
+    decision = F.when(F.col("_known").isNull(), "new").when(~current, "reparse").when(F.col("_known.path") == F.col("normalized_path"), "unchanged").otherwise("metadata_only")
     return joined.select(*files.columns, decision.alias("decision"))
 
 

@@ -85,9 +85,9 @@ def publish_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return snapshots.incremental_vectors(base, base.where("vector_id % 4 <> 0"), base.where("vector_id % 5 = 0"), base.where("vector_id % 6 = 0")).select("vector_id")
 
 
-@query("SELECT count(*) AS vectors, count_if(vec_id % 4 = 0) AS outside, count_if(vec_id % 7 = 0) AS other_model, CAST(0 AS BIGINT) AS other_dimension FROM embeddings")
+@query("SELECT count(*) AS vectors, count_if(vec_id % 4 = 0) AS outside, count_if(vec_id % 7 = 0) AS other_model, count_if(vec_id % 9 = 0) AS other_dimension FROM embeddings")
 def publish_vector_check(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.lit(1).alias("version_id"), F.when(F.col("vec_id") % 7 == 0, "other").otherwise("m").alias("model_id"), F.col("embedding").alias("values"))
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.lit(1).alias("version_id"), F.when(F.col("vec_id") % 7 == 0, "other").otherwise("m").alias("model_id"), F.when(F.col("vec_id") % 9 == 0, F.slice("embedding", 1, 32)).otherwise(F.col("embedding")).alias("values"))
     return snapshots.vector_violations(rows, rows.where("doc_id % 4 <> 0"), "m", 64)
 
 
@@ -104,13 +104,15 @@ def selection_resolution(spark: SparkSession, sf: str) -> DataFrame:
     return store.resolve_selection(asked, asked.where("version_id % 9 <> 0"), asked.groupBy("doc_id").agg(F.max("version_id").alias("version_id")))
 
 
-@query("SELECT row_number() OVER (ORDER BY o_orderkey) AS rank, o_custkey AS doc_id, o_orderkey AS version_id, o_totalprice FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 100)")
+@query("SELECT row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rank, o_custkey AS doc_id, o_orderkey AS version_id, o_totalprice FROM (SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 256)")
 def hydration(spark: SparkSession, sf: str) -> DataFrame:
     active = orders(spark, sf, F.col("o_custkey").alias("doc_id"), F.col(K).alias("version_id"), "o_totalprice")
-    keys = active.orderBy("version_id").limit(100).select("doc_id", "version_id")
     from pyspark.sql import Window
 
-    return store.hydrate(keys.withColumn("rank", F.row_number().over(Window.orderBy("version_id"))), active).select("rank", "doc_id", "version_id", "o_totalprice")
+    # As many hits as a search may return.
+    best = active.orderBy(F.desc("o_totalprice"), "version_id").limit(256)
+    keys = best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("o_totalprice"), "version_id"))).select("doc_id", "version_id", "rank")
+    return store.hydrate(keys, active).select("rank", "doc_id", "version_id", "o_totalprice")
 
 
 AUDIT = "o_orderkey AS version_id, o_custkey AS doc_id"

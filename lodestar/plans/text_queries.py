@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import ids, months, text, values
 from lodestar.operators import classify, extract, sections
-from lodestar.plans.registry import query, table, values_sql
+from lodestar.plans.registry import ORACLE_SQL, query, table, values_sql
 from lodestar.sources import files
 
 ASCII = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -54,16 +54,16 @@ def txt_redact(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", text.redact(F.col("text")).alias("safe"))
 
 
+SNIPPET = REDACT.replace("{0}", "trim(substr(text, b, p + 80 - b), ' ')")
+
+
 @query(f"""
-    WITH d AS (SELECT doc_id, n_chars, text, list_filter([strpos({ASCII.format('text')}, 'idiot'), strpos({ASCII.format('text')}, 'und'), strpos({ASCII.format('text')}, 'the')], lambda p: p > 0)[1] AS p FROM documents),
+    WITH d AS (SELECT doc_id, text, list_filter([strpos({ASCII.format('text')}, 'idiot'), strpos({ASCII.format('text')}, 'und'), strpos({ASCII.format('text')}, 'the')], lambda p: p > 0)[1] AS p FROM documents),
     s AS (SELECT doc_id, text, coalesce(p, 1) AS p, greatest(1, coalesce(p, 1) - 40) AS b FROM d)
-    SELECT doc_id, p > 1 AS inside, length(trim(substr(text, b, p + 80 - b), ' ')) AS n FROM s""")
+    SELECT doc_id, {SNIPPET} AS snippet FROM s""")
 def txt_snippet(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").withColumn("terms", F.array(F.lit("idiot"), F.lit("und"), F.lit("the")))
-    low = text.ascii_lower(F.col("text"))
-    at = F.coalesce(F.get(F.filter(F.transform("terms", lambda t: F.instr(low, t)), lambda p: p > 0), 0), F.lit(1))
-    begin = F.greatest(F.lit(1), at - text.SNIPPET_BEFORE)
-    return docs.select("doc_id", (at > 1).alias("inside"), F.length(F.trim(F.substring("text", begin, at + text.SNIPPET_AFTER - begin))).cast("long").alias("n"))
+    terms = F.array(F.lit("Idiot"), F.lit("und"), F.lit("the"))
+    return table(spark, sf, "documents").select("doc_id", text.snippet(F.col("text"), terms).alias("snippet"))
 
 
 @query("""
@@ -75,14 +75,12 @@ def txt_page(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-    SELECT doc_id, octet_length(encode(text)) AS total FROM documents""")
+    SELECT doc_id, text AS joined, true AS fit FROM documents""")
 def txt_page_bytes(spark: SparkSession, sf: str) -> DataFrame:
-    """Walks two pages of 64 bytes and counts what is left; pages never split a character."""
-    docs = table(spark, sf, "documents")
-    first = docs.select("doc_id", "text", text.page_of_bytes("text", F.lit(0), F.lit(64)).alias("a"))
-    second = first.select("doc_id", "text", "a", text.page_of_bytes("text", F.coalesce("a.next_cursor", F.octet_length("text")), F.lit(64)).alias("b"))
-    rest = F.octet_length("text") - F.coalesce("b.next_cursor", F.octet_length("text"))
-    return second.select("doc_id", (F.octet_length("a.text") + F.octet_length("b.text") + rest).cast("long").alias("total"))
+    """Walks all pages of 997 bytes of each text: joined they are the text, and none is larger or splits a character."""
+    pages = table(spark, sf, "documents").select("doc_id", text.pages_of_bytes(F.col("text"), 997).alias("pages"))
+    fit = F.forall("pages", lambda p: (F.octet_length(p) <= 997) & ~p.contains("\ufffd"))
+    return pages.select("doc_id", F.array_join("pages", "").alias("joined"), fit.alias("fit"))
 
 
 @query("SELECT page_id, CASE WHEN octet_length(encode(u)) <= 160 THEN u ELSE substr(u, 1, 157) || '...' END AS shown FROM (SELECT page_id, " + REDACT.replace("{0}", "url") + " AS u FROM pages)")
@@ -101,13 +99,17 @@ def txt_detail(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("l_orderkey", "l_linenumber", F.length(shown).cast("long").alias("n"), confidence.alias("c"))
 
 
-@query("""
-    SELECT doc_id, octet_length(encode(text)) AS n FROM documents""")
+@query(ORACLE_SQL["txt_normalize"])
 def txt_origins(spark: SparkSession, sf: str) -> DataFrame:
-    """Keeps a text only if its clean form is that of the column expression and no origin lies outside the source."""
-    both = table(spark, sf, "documents").select("doc_id", F.octet_length("text").cast("long").alias("n"), text.normalize_with_origins("text").alias("o"), text.normalize_text(F.col("text")).alias("clean"))
-    inside = F.forall("o.origins", lambda r: (r["source_start"] < r["source_end"]) & (r["source_end"] <= F.col("n")))
-    return both.where((F.col("o.clean") == F.col("clean")) & inside).select("doc_id", "n")
+    """The clean text put together from the source by its origins alone: runs as they stand, or a blank, between line ends."""
+    rows = table(spark, sf, "documents").select("doc_id", F.encode("text", "UTF-8").alias("source"), text.normalize_with_origins("text").alias("o"))
+    size = lambda r, side: r[f"{side}_end"] - r[f"{side}_start"]
+    cut = lambda r: F.decode(F.substring(F.col("source"), r["source_start"] + 1, size(r, "source")), "UTF-8")
+    run = lambda r: F.when(size(r, "clean") == size(r, "source"), F.regexp_replace(cut(r), r"^[\x00-\x20\x7F]", " ")).otherwise(F.lit(" "))
+    before = lambda i: F.when(i == 0, 0).otherwise(F.get("o.origins", i - 1)["clean_end"])
+    parts = F.transform("o.origins", lambda r, i: F.concat(F.repeat(F.lit("\n"), r["clean_start"] - before(i)), run(r)))
+    return rows.select("doc_id", F.array_join(parts, "").alias("clean"))
+
 
 
 @query()
@@ -128,12 +130,22 @@ def id_version(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", ids.version_id(F.col("doc_id").cast("string"), F.col("source")).alias("version_id"))
 
 
-@query()
+@query(f"""
+    WITH r AS (SELECT CAST(doc_id AS VARCHAR) AS a, sha256(text) AS b FROM documents),
+    h AS (SELECT sha256(octet_length(encode(a)) || ':' || a || octet_length(encode(b)) || ':' || b) AS h FROM r),
+    l AS (SELECT i, sum(CAST('0x' || substr(h, 4 * i + 1, 4) AS BIGINT)) AS lane FROM h, range(16) t(i) GROUP BY i)
+    SELECT (SELECT count(*) FROM documents) AS members, (SELECT count(*) FROM (SELECT doc_id FROM documents GROUP BY doc_id HAVING count(*) > 1)) AS repeated,
+           sha256(string_agg(CAST(lane AS VARCHAR), ',' ORDER BY i)) AS digest FROM l""")
 def id_projection_digest(spark: SparkSession, sf: str) -> DataFrame:
     return ids.projection_digest(table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("version_id")))
 
 
-@query()
+#: The key, filled up to a block, with the two pads of the standard.
+PADS = ["".join(f"{b ^ pad:02x}" for b in b"key of an example".ljust(64, b"\0")) for pad in (0x36, 0x5C)]
+
+
+@query(f"""
+    SELECT c_custkey, sha256(from_hex('{PADS[1]}') || from_hex(sha256(from_hex('{PADS[0]}') || encode('email') || from_hex('00') || encode(lower(c_name))))) AS email_hash FROM customer""")
 def id_contact_hash(spark: SparkSession, sf: str) -> DataFrame:
     hashed = ids.contact_hash(b"key of an example", "email")
     return table(spark, sf, "customer").select("c_custkey", hashed(F.lower("c_name")).alias("email_hash"))
@@ -243,26 +255,48 @@ def class_rules(spark: SparkSession, sf: str) -> DataFrame:
     return classify.classify(rows, "text", "outcome").select("case_no", "status", "reasons")
 
 
-@query("""
-    SELECT 'needs_review' AS status, count(*) AS n FROM documents""")
+#: What is appended to a document by its id, and what it is then.
+CLASS_ENDS = [
+    ("\nSummary\nEducation\nExperience\nBuilt x", "resume_candidate", ["corroborated_resume_signals", "profile_heading", "experience_heading", "education_heading", "career_history_detail"]),
+    ("\nInvoice\nSubtotal 5\nAmount due 5", "non_resume", ["corroborated_non_resume_signals", "invoice_heading", "invoice_terms"]),
+    ("\nSummary\nExperience\nBuilt x\nInvoice\nsubtotal, amount due", "needs_review", ["conflicting_signal_families", "profile_heading", "experience_heading", "career_history_detail", "invoice_heading", "invoice_terms"]),
+    ("\nMeeting notes:\nAgenda\nAction items", "non_resume", ["corroborated_non_resume_signals", "meeting_heading", "meeting_workflow"]),
+    ("", "needs_review", ["insufficient_signal_families"]),
+]
+
+
+@query(f"SELECT doc_id, v.status, v.reasons FROM documents JOIN ({values_sql('k INTEGER, status VARCHAR, reasons VARCHAR[]', [(k, s, r) for k, (_, s, r) in enumerate(CLASS_ENDS)])}) v ON doc_id % 5 = k")
 def class_documents(spark: SparkSession, sf: str) -> DataFrame:
-    return classify.classify(table(spark, sf, "documents").select("doc_id", "text")).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    """Whole documents, most with a few lines of a kind at their end; the rules must find these and nothing else."""
+    ends = F.array(*[F.lit(t) for t, *_ in CLASS_ENDS])
+    docs = table(spark, sf, "documents").select("doc_id", F.concat("text", F.get(ends, (F.col("doc_id") % 5).cast("int"))).alias("text"))
+    return classify.classify(docs).select("doc_id", "status", "reasons")
 
 
 @query("""
-    WITH g AS (SELECT doc_id, unnest(range(1, length(t) - 1)) AS p, t FROM (SELECT doc_id, lower(regexp_replace(substr(text, 1, 200), '\\s+', ' ', 'g')) AS t FROM documents)),
+    WITH g AS (SELECT doc_id, unnest(range(1, length(t) - 1)) AS p, t FROM (SELECT doc_id, lower(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents)),
     c AS (SELECT doc_id, substr(t, p, 3) AS gram, count(*) AS n FROM g GROUP BY 1, 2),
     v AS (SELECT doc_id, (1 + ln(n)) * w.idf AS v, w.weight FROM c JOIN (VALUES ('the', 1.5, 0.8), ('und', 2.0, -0.7), ('que', 1.2, 0.3), ('ion', 1.1, 0.2)) w(gram, idf, weight) ON c.gram = w.gram),
     z AS (SELECT doc_id, sum(v * weight) / sqrt(sum(v * v)) AS z FROM v GROUP BY 1)
     SELECT d.doc_id, round(1 / (1 + exp(-(coalesce(z, 0.0) - 0.1))), 9) AS probability FROM documents d LEFT JOIN z ON d.doc_id = z.doc_id""")
 def class_promotion(spark: SparkSession, sf: str) -> DataFrame:
-    """A small model over the first 200 characters of each text (the model's input in this example)."""
+    """A small model over the whole texts."""
     weights = spark.createDataFrame([("the", 1.5, 0.8), ("und", 2.0, -0.7), ("que", 1.2, 0.3), ("ion", 1.1, 0.2)], "gram string, idf double, weight double")
-    heads = table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 200).alias("text"))
-    return classify.promotion_scores(heads, weights, -0.1).select("doc_id", F.round("probability", 9).alias("probability"))
+    scored = classify.promotion_scores(table(spark, sf, "documents").select("doc_id", "text"), weights, -0.1)
+    return scored.select("doc_id", F.round("probability", 9).alias("probability"))
 
 
-@query()
+#: FNV-1a of a list of bytes, in whole numbers of 128 bits.
+FNV = "list_reduce(list_concat([14695981039346656037::UBIGINT], {0}), lambda x, y: CAST((CAST(xor(x, y) AS HUGEINT) * 1099511628211) % 18446744073709551616 AS UBIGINT))"
+BYTES = "list_transform(regexp_extract_all({0}, '..'), lambda h: CAST('0x' || h AS UBIGINT))"
+
+
+@query(f"""
+    WITH t AS (SELECT conv_id, turn, unnest(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\s\\x{{0b}}\\x{{1c}}-\\x{{1f}}\\x{{85}}\\x{{a0}}]+'), lambda w: w <> '')) AS w FROM conversations),
+    u AS (SELECT w, {FNV.format(BYTES.format("hex(encode(" + ASCII.format("w") + "))"))} % 16 AS slot FROM (SELECT DISTINCT w FROM t)),
+    c AS (SELECT conv_id, turn, slot, count(*) AS n FROM t JOIN u USING (w) GROUP BY ALL),
+    v AS (SELECT conv_id, turn, list(slot) AS slots, list(n) AS ns, sqrt(sum(n * n)) AS norm FROM c GROUP BY ALL)
+    SELECT conv_id, turn, list_transform(range(16), lambda d: CAST(coalesce(ns[list_position(slots, d)], 0) / coalesce(norm, 1) AS FLOAT)) AS embedding FROM conversations LEFT JOIN v USING (conv_id, turn)""")
 def embed_hash(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").select("conv_id", "turn", classify.hash_embedding(16)(F.col("text")).alias("embedding"))
 
@@ -323,9 +357,10 @@ def report_sink(spark: SparkSession, sf: str) -> DataFrame:
     return files.report_json(table(spark, sf, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
 
 
-@query("""
-    SELECT doc_id, octet_length(encode(text)) AS n FROM documents""")
+@query(f"""
+    WITH h AS (SELECT doc_id, hex(encode(text)) AS x, octet_length(encode(text)) AS n FROM documents),
+    b AS (SELECT doc_id, hex(encode('quick')) || array_to_string(list_transform(range(8), lambda k: printf('%02X', (n >> (8 * k)) & 255)), '') || repeat('00', 8) || CASE WHEN n <= 8192 THEN x ELSE substr(x, 1, 8192) || right(x, 8192) END AS x FROM h)
+    SELECT doc_id, lpad(lower(hex({FNV.format(BYTES.format("x"))})), 16, '0') AS fingerprint FROM b""")
 def id_quick_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").withColumn("bytes", F.encode("text", "UTF-8"))
-    marked = docs.select("doc_id", F.octet_length("bytes").cast("long").alias("n"), ids.quick_fingerprint(F.octet_length("bytes"), F.lit(0), "bytes").alias("f"))
-    return marked.where(F.length("f") == 16).select("doc_id", "n")
+    return docs.select("doc_id", ids.quick_fingerprint(F.octet_length("bytes"), F.lit(0), "bytes").alias("fingerprint"))

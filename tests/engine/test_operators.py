@@ -483,3 +483,62 @@ def test_command_line(spark, folder, tmp_path, capsys):
     assert main(["detail", shop, doc]) == 0 and "<redacted-email>" in capsys.readouterr().out
     assert main(["delete", shop, doc]) == 0 and main(["gc", shop]) == 0
     assert doc not in {r.doc_id for r in snapshots.Store(spark, shop).current("projection").collect()}
+
+
+def test_nearest_rank_against_sorting(spark):
+    """Negative, tiny, huge, equal and missing values, null keys, one value alone."""
+    import math
+    import random
+
+    r = random.Random(3)
+    rows = [(r.choice(["a", "b", None]), r.choice([None, 0.0, -1.5, 2.0, r.gauss(0, 1), r.gauss(0, 1) * 10 ** r.randint(-9, 9), float(r.randint(-50, 50))])) for _ in range(3000)] + [("one", 7.25)]
+    found = {x.k: x for x in metrics.nearest_rank(spark.createDataFrame(rows, "k string, v double"), "v", [0, 1, 50, 95, 100], "k").collect()}
+    assert set(found) == {"a", "b", None, "one"}
+    for k, x in found.items():
+        held = sorted(v for key, v in rows if key == k and v is not None)
+        assert [x[f"p{p}"] for p in (0, 1, 50, 95, 100)] == [held[max(1, math.ceil(p * len(held) / 100)) - 1] for p in (0, 1, 50, 95, 100)]
+
+
+def test_holdout_of_a_large_stratum(spark):
+    rows = spark.createDataFrame([(i, "big" if i < 2000 else "pair" if i < 2002 else None if i < 2010 else "alone") for i in range(2011)], "i long, s string")
+    found = metrics.stratified_holdout(rows, "s", F.sha2(F.col("i").cast("string"), 256), 15).collect()
+    import hashlib
+
+    order = lambda ids: sorted(ids, key=lambda i: hashlib.sha256(str(i).encode()).hexdigest())
+    want = order(range(2000))[:300] + order(range(2000, 2002))[:1] + order(range(2002, 2010))[:1]
+    assert sorted(r.i for r in found) == sorted(want)
+
+
+def test_soft_duplicates_against_all_pairs(spark, monkeypatch):
+    import itertools
+    import random
+
+    r = random.Random(5)
+    some = lambda letter, n: [f"{letter}{r.randrange(n)}" for _ in range(r.randint(0, 3))]
+    rows = [(i, r.choice(["x", "y"]), some("s", 4), some("c", 4), some("k", 5)) for i in range(120)]
+    want = set()
+    for a, b in itertools.combinations(rows, 2):
+        skills = min(3, len(set(a[4]) & set(b[4])))
+        score = min(0.95, 0.45 + 0.25 * bool(set(a[2]) & set(b[2])) + 0.2 * bool(set(a[3]) & set(b[3])) + 0.1 * skills / 3)
+        if a[1] == b[1] and round(score, 6) > 0.7:
+            want.add((a[0], b[0], round(score, 6)))
+    for most in (2000, 3):
+        monkeypatch.setattr(store, "LONG", most)
+        found = store.soft_duplicates(spark.createDataFrame(rows, "doc_id long, name string, schools array<string>, companies array<string>, skills array<string>")).collect()
+        assert len(found) == len(want) and {tuple(x) for x in found} == want
+
+
+def test_pages_of_bytes_join_to_the_text(spark):
+    texts = ["", "abc", "é" * 9, "a名b😀c" * 7, "😀😀😀", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for limit in (4, 5, 7, 64):
+        for x in docs.select("i", text.pages_of_bytes(F.col("t"), limit).alias("p")).collect():
+            assert "".join(x.p) == (texts[x.i] or "") and all(len(p.encode()) <= limit for p in x.p)
+
+
+def test_projection_digest_of_large_sums(spark):
+    """No lane overflows: the sums of 16 bits stay far below what a long holds."""
+    rows = spark.range(3000).selectExpr("id AS doc_id", "CAST(id AS string) AS version_id")
+    a, b = (ids.projection_digest(x).first() for x in (rows, rows.repartition(7)))
+    assert a == b and a.repeated == 0
+    assert ids.projection_digest(rows.unionByName(rows.limit(2))).first().repeated == 2
