@@ -25,7 +25,7 @@ PEAKS, FAN = 2, 3
 #: A weaker peak is no more than a rounding error of the transform.
 FLOOR = 0.05
 #: Frames transformed at once: memory stays the same however long a sample is.
-CHUNK = 4096
+CHUNK = 2048
 BLOCK = 64
 _WINDOW = np.hanning(FRAME + 2)[1:-1].astype(np.float32)
 FEATURES = (
@@ -90,23 +90,38 @@ def fingerprint(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return t[order].astype(np.int32), h[order].astype(np.int32)
 
 
+def encoded(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+    """The batch in slices with ``n_bytes`` and ``media`` (WAV bytes) instead of ``text``; null is the empty text."""
+    names = [c for c in batch.schema.names if c != text]
+    for part in sliced(batch, text):
+        data = [b"" if v is None else v for v in part.column(text).cast(pa.binary()).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(map(len, data), pa.int64()), pa.array([to_wav(padded(d)) for d in data], pa.binary())], [*names, "n_bytes", "media"])
+
+
+_ANALYSED = pa.schema([("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("fingerprint_times", pa.list_(pa.int32())), ("fingerprint_hashes", pa.list_(pa.int32()))])
+
+
+def analysed(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """What the stored samples of ``media`` say when they are read back, instead of the column."""
+    kept = [c for c in batch.schema.names if c not in ("media", "n_bytes")]
+    rows = []
+    for n, stored in zip(batch.column("n_bytes").to_pylist(), batch.column("media"), strict=True):
+        data = stored.as_py()
+        payload = from_wav(data)
+        times, hashes = fingerprint(np.frombuffer(payload, np.uint8))
+        rows.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(data), hashlib.sha256(data).hexdigest(), times, hashes))
+    columns = zip(*rows, strict=True) if rows else [[]] * len(_ANALYSED)
+    return pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(list(c), f.type) for c, f in zip(columns, _ANALYSED, strict=True))], [*kept, *_ANALYSED.names])
+
+
 def encode_media(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds the media column ``media`` (WAV bytes) and ``n_bytes``; null is the empty text."""
     out = docs.select(*[c for c in docs.columns if c != text], F.col(text).cast("string").alias(text))
     schema = out.drop(text).selectExpr("*", "0L AS n_bytes", "CAST(NULL AS binary) AS media").schema
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in sliced(batch, text):
-                data = [b"" if v is None else v for v in part.column(text).cast(pa.binary()).to_pylist()]
-                kept = [part.column(c) for c in part.schema.names if c != text]
-                names = [c for c in part.schema.names if c != text]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(map(len, data), pa.int64()), pa.array([to_wav(padded(d)) for d in data], pa.binary())], [*names, "n_bytes", "media"])
-
-    return out.mapInArrow(run, schema)
+    return out.mapInArrow(lambda batches: (part for batch in batches for part in encoded(batch, text)), schema)
 
 
-def sliced(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def sliced(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in slices with about ``most`` bytes in ``column``; a row stays whole."""
     if not batch.num_rows:
         return
@@ -117,22 +132,8 @@ def sliced(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[
 
 def analyse_media(media: DataFrame) -> DataFrame:
     """Reads the stored samples of ``media`` back and adds digests and the time-coded fingerprint arrays."""
-    kept = [c for c in media.columns if c not in ("media", "n_bytes")]
-    extra = pa.schema([("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("fingerprint_times", pa.list_(pa.int32())), ("fingerprint_hashes", pa.list_(pa.int32()))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for n, stored in zip(batch.column("n_bytes").to_pylist(), batch.column("media"), strict=True):
-                data = stored.as_py()
-                payload = from_wav(data)
-                times, hashes = fingerprint(np.frombuffer(payload, np.uint8))
-                rows.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(data), hashlib.sha256(data).hexdigest(), times, hashes))
-            columns = zip(*rows, strict=True) if rows else [[]] * len(extra)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(list(c), f.type) for c, f in zip(columns, extra, strict=True))], [*kept, *extra.names])
-
-    plain = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.select(*kept).schema)
-    return media.mapInArrow(run, f"{plain}, {FEATURES}")
+    plain = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.drop("media", "n_bytes").schema)
+    return media.mapInArrow(lambda batches: map(analysed, batches), f"{plain}, {FEATURES}")
 
 
 def media_features(docs: DataFrame) -> DataFrame:
@@ -142,6 +143,9 @@ def media_features(docs: DataFrame) -> DataFrame:
     samples are silent has an empty feature. Repeated rows are rows of their own, an empty table gives none, and other
     columns are ignored.
     """
-    found = analyse_media(encode_media(docs.select("doc_id", "text")))
+    # Stored and read back in one worker: media columns need not pass through the JVM.
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    doc_id = texts.schema["doc_id"].dataType.simpleString()
+    found = texts.mapInArrow(lambda batches: (analysed(part) for batch in batches for part in encoded(batch, "text")), f"doc_id {doc_id}, {FEATURES}")
     pairs = F.transform(F.arrays_zip("fingerprint_times", "fingerprint_hashes"), lambda p: F.concat(p["fingerprint_times"].cast("string"), F.lit(":"), F.lower(F.hex(p["fingerprint_hashes"]))))
     return found.withColumn("feature", F.concat_ws(",", pairs)).drop("fingerprint_times", "fingerprint_hashes")

@@ -152,6 +152,9 @@ def test_media_features_by_plain_sums(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for row in media.media_features(docs).collect():
         assert row.feature == landmarks(media.padded(texts[row.doc_id].encode())), texts[row.doc_id][:50]
+    # The media column itself, stored and read back in two steps, says the same.
+    steps = media.analyse_media(media.encode_media(docs)).drop("fingerprint_times", "fingerprint_hashes").collect()
+    assert sorted(map(str, steps)) == sorted(map(str, media.media_features(docs).drop("feature").collect()))
     # Silence has no peaks, and samples at the edge of a frame have weight.
     assert len(media.fingerprint(np.full(4096, 128, np.uint8))[0]) == 0
     assert media._WINDOW.min() > 0
