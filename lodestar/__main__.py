@@ -1,5 +1,9 @@
 """Command line: ``python -m lodestar import FOLDER STORE``, ``search STORE QUERY``, ``status STORE``, ``detail STORE DOC``,
-``delete STORE DOC``, ``gc STORE``."""
+``delete STORE DOC``, ``purge STORE DOC``, ``doctor STORE``, ``export STORE FOLDER``, ``gc STORE``.
+
+An import adds to what is published; files that are imported again replace their documents. ``delete`` makes a document
+invisible; ``purge`` also deletes the generations that still hold it.
+"""
 
 from __future__ import annotations
 
@@ -12,13 +16,13 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import text
 from lodestar.plans import engine
-from lodestar.sources.snapshots import Store, incremental
+from lodestar.sources.snapshots import Store
 
 
 def main(arguments: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser("lodestar")
     commands = parser.add_subparsers(dest="command", required=True)
-    for name, more in (("import", ["folder", "store"]), ("search", ["store", "query"]), ("status", ["store"]), ("detail", ["store", "doc"]), ("delete", ["store", "doc"]), ("gc", ["store"])):
+    for name, more in (("import", ["folder", "store"]), ("search", ["store", "query"]), ("status", ["store"]), ("detail", ["store", "doc"]), ("delete", ["store", "doc"]), ("purge", ["store", "doc"]), ("doctor", ["store"]), ("export", ["store", "folder"]), ("gc", ["store"])):
         one = commands.add_parser(name)
         for m in more:
             one.add_argument(m)
@@ -32,9 +36,9 @@ def main(arguments: list[str] | None = None) -> int:
     base = head["generation"] if head else None
     if a.command == "import":
         tables = engine.import_folder(spark, a.folder)
-        print(json.dumps(store.publish(tables, uuid.uuid4().hex, base)))
+        print(json.dumps(store.publish(engine.next_generation(store, tables, tables["documents"].select("doc_id")), uuid.uuid4().hex, base)))
     elif a.command == "search":
-        corpus = engine.corpus_of(store.current("projection"), store.current("mentions"))
+        corpus = engine.corpus_of(store.current("projection"), store.current("mentions"), engine.read_index(store))
         for hit in engine.search(spark, corpus, a.query, "fulltext", a.top, json.loads(a.filters)).hits.orderBy("rank").toLocalIterator():
             print(json.dumps(hit.asDict(), ensure_ascii=False))
     elif a.command == "status":
@@ -45,12 +49,18 @@ def main(arguments: list[str] | None = None) -> int:
         owned = store.current("mentions").join(store.current("projection").where(F.col("doc_id") == a.doc).select("version_id"), "version_id", "left_semi")
         for row in owned.select("entity_type", value.alias("value"), confidence.alias("confidence")).toLocalIterator():
             print(json.dumps(row.asDict(), ensure_ascii=False))
-    elif a.command == "delete":
+    elif a.command in ("delete", "purge"):
         gone = spark.createDataFrame([(a.doc,)], "doc_id string")
-        tables = {n: store.current(n) for n in ("documents", "versions", "mentions")}
-        projection = store.current("projection")
-        tables["projection"] = incremental(projection, gone, projection.limit(0))
-        print(json.dumps(store.publish(tables, uuid.uuid4().hex, base)))
+        none = {name: store.current(name).limit(0) for name in ("documents", "versions", "mentions", "projection")}
+        print(json.dumps(store.publish(engine.next_generation(store, none, gone), uuid.uuid4().hex, base)))
+        if a.command == "purge":
+            print(json.dumps(store.collect_garbage(1)))
+    elif a.command == "doctor":
+        found = engine.problems(store)
+        print(json.dumps({"problems": found}))
+        return int(bool(found))
+    elif a.command == "export":
+        store.current("projection").drop("bucket").write.json(a.folder)
     else:
         print(json.dumps(store.collect_garbage(2)))
     return 0

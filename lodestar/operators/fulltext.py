@@ -112,24 +112,69 @@ def query_shape(query: Column) -> dict[str, Column]:
     return flags
 
 
+#: Parts of a published index, by term, and files that a part is dealt over by document.
+BUCKETS, SLICES = 32, 1
+
+
 @dataclass
 class Index:
-    """postings: term, doc_id, field, tf, positions. lengths: doc_id, field, length."""
+    """postings: term, doc_id, field, tf, length (of the field), positions. lengths: doc_id, field, length.
+
+    stats: field, average, docs. terms: term, field, df, cf. A published index has the column ``bucket``, a hash of the
+    term, in postings and terms; readers name the terms they need and see only the files of their buckets.
+    """
 
     postings: DataFrame
     lengths: DataFrame
+    stats: DataFrame
+    terms: DataFrame
+
+    def of(self, wanted: list[str]) -> Index:
+        """The index cut to some terms; of a published one other buckets are never opened."""
+        if "bucket" not in self.postings.columns:
+            return self
+        some = sorted(set(wanted))
+        near = F.col("bucket").isin(*[bucket_of(F.lit(t)) for t in some]) & F.col("term").isin(*some)
+        return Index(self.postings.where(near), self.lengths, self.stats, self.terms.where(near))
+
+    def tables(self) -> dict[str, DataFrame]:
+        """What is published: postings and terms in parts by bucket, sorted by term, so that files are pruned inside too."""
+        kept = self.postings.drop("bucket").withColumn("bucket", bucket_of(F.col("term")))
+        terms = self.terms.drop("bucket").withColumn("bucket", bucket_of(F.col("term")))
+        return {
+            "postings": kept.repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(SLICES))).sortWithinPartitions("bucket", "term", "doc_id"),
+            "terms": terms.repartition("bucket").sortWithinPartitions("bucket", "term"),
+            "lengths": self.lengths,
+            "stats": self.stats.coalesce(1),
+        }
+
+
+def bucket_of(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def index_of(postings: DataFrame, lengths: DataFrame) -> Index:
+    stats = lengths.groupBy("field").agg(F.avg("length").alias("average"), F.count(F.lit(1)).alias("docs"))
+    terms = postings.groupBy("term", "field").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    return Index(postings, lengths, stats, terms)
 
 
 def build_index(docs: DataFrame, key: str, *fields: str) -> Index:
-    """Postings of the given text columns. A document's tokens are grouped by term inside its own row."""
+    """Postings of the given text columns; a posting carries its field's length, so scores need no join with lengths."""
     parts = None
     for name in fields:
         one = docs.select(F.col(key).alias("doc_id"), F.lit(name).alias("field"), tokens(F.col(name)).alias("tokens"))
         parts = one if parts is None else parts.unionByName(one)
-    lengths = parts.select("doc_id", "field", F.size("tokens").alias("length"))
-    placed = parts.select("doc_id", "field", F.posexplode("tokens").alias("position", "term"))
-    postings = placed.groupBy("term", "doc_id", "field").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.array_sort(F.collect_list("position")).alias("positions"))
-    return Index(postings, lengths)
+    lengths = parts.select("doc_id", "field", F.coalesce(F.size("tokens"), F.lit(0)).alias("length"))
+    placed = parts.select("doc_id", "field", F.size("tokens").alias("length"), F.posexplode("tokens").alias("position", "term"))
+    postings = placed.groupBy("term", "doc_id", "field").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.first("length").alias("length"), F.array_sort(F.collect_list("position")).alias("positions"))
+    return index_of(postings, lengths)
+
+
+def changed_index(base: Index, gone: DataFrame, added: Index) -> Index:
+    """The next generation: the base without the documents ``gone`` (doc_id), and the postings of those added."""
+    kept = lambda t: t.drop("bucket").join(gone.select("doc_id"), "doc_id", "left_anti")
+    return index_of(kept(base.postings).unionByName(added.postings.drop("bucket")), kept(base.lengths).unionByName(added.lengths))
 
 
 def query_table(spark: SparkSession, plans: dict[str, Plan]) -> DataFrame:
@@ -141,8 +186,8 @@ def query_table(spark: SparkSession, plans: dict[str, Plan]) -> DataFrame:
 def scan_postings(docs: DataFrame, key: str, terms: list[str], *fields: str) -> Index:
     """Postings of a few terms straight from the texts, for corpora without an index.
 
-    The places of each query term are found inside the row, so nothing is shuffled. Texts are read once: what is kept of
-    them, lengths and places, is persisted for the several uses of a search.
+    The places of each query term are found inside the row, so nothing is shuffled, but every text is read. A corpus that
+    is searched more than once should have its index published.
     """
     wanted = F.array(*[F.lit(t) for t in sorted(set(terms))])
     kept = None
@@ -154,9 +199,9 @@ def scan_postings(docs: DataFrame, key: str, terms: list[str], *fields: str) ->
     for name in fields:
         one = docs.select(F.col(key).alias("doc_id"), F.lit(name).alias("field"), let(tokens(F.col(name)), lambda ts: F.struct(F.size(ts).alias("length"), hits(ts).alias("hits"))).alias("t"))
         kept = one if kept is None else kept.unionByName(one)
-    kept = kept.select("doc_id", "field", "t.length", "t.hits").persist()
-    postings = kept.where(F.size("hits") > 0).select("doc_id", "field", F.inline("hits")).select("term", "doc_id", "field", F.size("positions").alias("tf"), "positions")
-    return Index(postings, kept.select("doc_id", "field", "length"))
+    kept = kept.select("doc_id", "field", "t.length", "t.hits")
+    postings = kept.where(F.size("hits") > 0).select("doc_id", "field", "length", F.inline("hits")).select("term", "doc_id", "field", F.size("positions").alias("tf"), "length", "positions")
+    return index_of(postings, kept.select("doc_id", "field", "length"))
 
 
 def matching(index: Index, queries: DataFrame) -> DataFrame:
@@ -181,14 +226,15 @@ def scores(index: Index, queries: DataFrame, allowed: DataFrame | None = None) -
 
     Statistics are of the whole corpus. ``allowed`` (doc_id, or query_id and doc_id) restricts before any cut-off.
     """
-    stats = index.lengths.groupBy("field").agg(F.avg("length").alias("average"), F.count(F.lit(1)).alias("docs"))
+    stats = index.stats
     terms = queries.where("NOT excluded").select("query_id", "term").distinct()
-    hits = index.postings.join(F.broadcast(terms.select("term").distinct()), "term").select("term", "doc_id", "field", "tf")
-    frequency = hits.groupBy("term", "field").agg(F.count(F.lit(1)).alias("df"))  # a row per query term and field
+    hits = index.postings.join(F.broadcast(terms.select("term").distinct()), "term").select("term", "doc_id", "field", "tf", "length")
+    # At most a row per query term and field.
+    frequency = index.terms.join(F.broadcast(terms.select("term").distinct()), "term").select("term", "field", "df")
     found = matching(index, queries)
     if allowed is not None:
         found = found.join(allowed, ["query_id", "doc_id"] if "query_id" in allowed.columns else "doc_id", "left_semi")
-    rated = hits.join(index.lengths, ["doc_id", "field"]).join(F.broadcast(stats), "field").join(F.broadcast(frequency), ["term", "field"])
+    rated = hits.join(F.broadcast(stats), "field").join(F.broadcast(frequency), ["term", "field"])
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("average")))
     by_term = rated.groupBy("doc_id", "term").agg(F.sum(weight).alias("weight"))
@@ -201,6 +247,10 @@ def top_k(scored: DataFrame, k: int, *tie: str) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def terms_of(plans: dict[str, Plan]) -> list[str]:
+    return [t for p in plans.values() for g in p.groups for side in g for part in side for t in part]
+
+
 def search(index: Index, queries: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
     return top_k(scores(index, queries, allowed).withColumn("score", F.round("score", 6)), k, "doc_id")
 

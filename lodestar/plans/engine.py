@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from lodestar.functions import ids, text
 from lodestar.operators import classify, extract, filters, fulltext, fusion, vectors
 from lodestar.sources import files
+from lodestar.sources.snapshots import Store, incremental
 
 MODES = {"fulltext": "fulltext", "keyword": "fulltext", "semantic": "semantic", "hybrid": "hybrid"}
 OVERFETCH, MOST, BATCH = 5, 100, 64
@@ -85,7 +86,7 @@ def run_group(spark, corpus, plans, queries, mode, top, predicates) -> tuple[Dat
     fetch = min(MOST, max(top, OVERFETCH * top))
     lexical = semantic = partial = None
     if mode != "semantic":
-        lexical = fulltext.search(corpus.index, fulltext.query_table(spark, plans), fetch, allowed).withColumn("doc_id", F.col("doc_id").cast("string"))
+        lexical = fulltext.search(corpus.index.of(fulltext.terms_of(plans)), fulltext.query_table(spark, plans), fetch, allowed).withColumn("doc_id", F.col("doc_id").cast("string"))
     if mode != "fulltext":
         if corpus.vectors is None or corpus.embed is None:
             if mode == "semantic":
@@ -136,11 +137,63 @@ def import_folder(spark: SparkSession, root: str, readers: dict | None = None, p
     return {"documents": documents, "versions": classes, "mentions": mentions, "projection": projection}
 
 
-def corpus_of(projection: DataFrame, mentions: DataFrame | None = None) -> Corpus:
-    """A corpus over a published projection; contacts are redacted before anything is indexed."""
+INDEX_TABLES = ("postings", "terms", "lengths", "stats")
+
+
+def index_tables(index: fulltext.Index) -> dict[str, DataFrame]:
+    return {f"index_{name}": table for name, table in index.tables().items()}
+
+
+def read_index(store: Store) -> fulltext.Index:
+    """The current generation's index, from its tables alone."""
+    found = {name: store.current(f"index_{name}") for name in INDEX_TABLES}
+    return fulltext.Index(found["postings"], found["lengths"], found["stats"], found["terms"])
+
+
+def projected_index(projection: DataFrame) -> fulltext.Index:
+    """Contacts are redacted before anything is indexed."""
+    safe = projection.withColumn("clean_text", text.redact(F.col("clean_text")))
+    return fulltext.build_index(safe, "doc_id", "file_name", "clean_text")
+
+
+def corpus_of(projection: DataFrame, mentions: DataFrame | None = None, index: fulltext.Index | None = None) -> Corpus:
+    """A corpus over a published projection and its index; without one, the index is built for this search."""
     safe = projection.withColumn("clean_text", text.redact(F.col("clean_text")))
     by_doc = None if mentions is None else mentions.join(projection.select("version_id", "doc_id"), "version_id")
-    return Corpus(safe, fulltext.build_index(safe, "doc_id", "file_name", "clean_text"), by_doc)
+    return Corpus(safe, index or projected_index(projection), by_doc)
+
+
+def next_generation(store: Store, new: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
+    """The tables of the generation after the current one: without the documents ``gone`` (doc_id), with the ``new`` ones.
+
+    Postings, mentions and all else of documents that stay are taken over as they are.
+    """
+    added = projected_index(new["projection"])
+    if store.head() is None:
+        return {**new, **index_tables(added)}
+    out = {name: incremental(store.current(name), gone, new[name]) for name in ("documents", "versions", "projection")}
+    owned = store.current("versions").join(gone.select("doc_id"), "doc_id", "left_semi").select("version_id")
+    out["mentions"] = store.current("mentions").join(owned.unionByName(new["versions"].select("version_id")).distinct(), "version_id", "left_anti").unionByName(new["mentions"])
+    leaving = gone.select("doc_id").unionByName(new["documents"].select("doc_id")).distinct()
+    return {**out, **index_tables(fulltext.changed_index(read_index(store), leaving, added))}
+
+
+def problems(store: Store) -> list[str]:
+    """What is wrong with the current generation; nothing if it is sound."""
+    head = store.head()
+    if head is None:
+        return ["nothing is published"]
+    projection, versions = store.current("projection"), store.current("versions")
+    indexed = store.current("index_lengths").select("doc_id").distinct()
+    checks = {
+        "a document is published twice": projection.groupBy("doc_id").count().where("count > 1"),
+        "a published version is unknown": projection.join(versions, ["doc_id", "version_id"], "left_anti"),
+        "a published version is not admitted": projection.join(classify.admitted(versions), ["doc_id", "version_id"], "left_anti"),
+        "a mention is of an unknown version": store.current("mentions").join(versions, "version_id", "left_anti"),
+        "a published document is not indexed": projection.join(indexed, "doc_id", "left_anti"),
+        "an indexed document is not published": indexed.join(projection, "doc_id", "left_anti"),
+    }
+    return [name for name, rows in checks.items() if not rows.isEmpty()]
 
 
 def with_deadline(spark: SparkSession, action: Callable[[], object], milliseconds: int) -> tuple[object, str | None]:

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions.months import month_text
 from lodestar.operators import filters, fulltext, fusion, vectors
 from lodestar.operators.filters import Predicate
+from lodestar.plans import engine
 from lodestar.plans.registry import query, table
+from lodestar.sources.snapshots import Store
 
 TOKENS = r"list_filter(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+'), lambda t: octet_length(encode(t)) <= 40)"
 POSTINGS = f"""
@@ -16,10 +21,27 @@ POSTINGS = f"""
     p AS (SELECT doc_id, field, unnest(ts) AS term, unnest(range(len(ts))) AS pos FROM f)"""
 
 
+_published: dict[tuple[str, str], Store] = {}
+
+
+def published(spark: SparkSession, sf: str) -> fulltext.Index:
+    """The published index of a corpus; the first query of a session on it publishes it, the others read what they need."""
+    key = spark.sparkContext.applicationId, sf
+    if key not in _published:
+        root = spark.conf.get("spark.checkpoint.dir", "") or ""
+        if not root:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+            root = "file://" + tempfile.gettempdir()
+        store = Store(spark, f"{root.rstrip('/')}/lodestar-index-{uuid.uuid4().hex}")
+        index = fulltext.build_index(table(spark, sf, "documents"), "doc_id", "text", "source")
+        store.publish(engine.index_tables(index), "g1", None)
+        _published[key] = store
+    return engine.read_index(_published[key])
+
+
 def postings_of(spark: SparkSession, sf: str, plans: dict[str, fulltext.Plan]) -> tuple[fulltext.Index, DataFrame]:
-    queries = fulltext.query_table(spark, plans)
-    terms = [t for p in plans.values() for g in p.groups for side in g for part in side for t in part]
-    return fulltext.scan_postings(table(spark, sf, "documents"), "doc_id", terms, "text", "source"), queries
+    return published(spark, sf).of(fulltext.terms_of(plans)), fulltext.query_table(spark, plans)
 
 
 def matches(spark: SparkSession, sf: str, text: str) -> DataFrame:
@@ -48,8 +70,21 @@ def ft_phrase(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {POSTINGS} SELECT term, field, count(DISTINCT doc_id) AS df, count(*) AS cf FROM p GROUP BY term, field")
 def ft_index_statistics(spark: SparkSession, sf: str) -> DataFrame:
-    index = fulltext.build_index(table(spark, sf, "documents"), "doc_id", "text", "source")
-    return index.postings.groupBy("term", "field").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    return published(spark, sf).terms.select("term", "field", "df", "cf")
+
+
+#: The generation after the first: every fifth document gone, every seventh with another text.
+NEXT = "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'new words the' ELSE text END AS text, source FROM documents WHERE doc_id % 5 <> 0 OR doc_id % 7 = 0"
+
+
+@query(f"WITH documents AS ({NEXT}), {POSTINGS} SELECT term, field, count(DISTINCT doc_id) AS df, count(*) AS cf FROM p GROUP BY term, field")
+def ft_index_incremental(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents leave and change; postings of the others are taken over as they are."""
+    docs = table(spark, sf, "documents")
+    changed = docs.where("doc_id % 7 = 0").withColumn("text", F.lit("new words the"))
+    gone = docs.where("doc_id % 5 = 0 OR doc_id % 7 = 0")
+    index = fulltext.changed_index(published(spark, sf), gone, fulltext.build_index(changed, "doc_id", "text", "source"))
+    return index.terms.select("term", "field", "df", "cf")
 
 
 def bm25_sql(terms: dict[str, list[str]], k: int, where: str = "TRUE") -> str:

@@ -41,7 +41,8 @@ class Store:
         """
         folder = f"{self.root}/generations/{generation}"
         for name, table in tables.items():
-            table.write.mode("errorifexists").parquet(f"{folder}/{name}")
+            writer = table.write.mode("errorifexists")
+            (writer.partitionBy("bucket") if "bucket" in table.columns else writer).parquet(f"{folder}/{name}")
         for name in tables:
             written = self.read(generation, name)
             if {"doc_id", "version_id"} <= set(written.columns) and name == "projection" and not written.groupBy("doc_id").count().where("count > 1").isEmpty():

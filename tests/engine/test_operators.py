@@ -542,3 +542,48 @@ def test_projection_digest_of_large_sums(spark):
     a, b = (ids.projection_digest(x).first() for x in (rows, rows.repartition(7)))
     assert a == b and a.repeated == 0
     assert ids.projection_digest(rows.unionByName(rows.limit(2))).first().repeated == 2
+
+
+def test_second_import_adds_and_searches_read_the_index(spark, folder, tmp_path, capsys):
+    import json
+
+    from lodestar.__main__ import main
+
+    shop = str(tmp_path / "shop")
+    assert main(["import", str(folder), shop]) == 0
+    more = tmp_path / "more"
+    more.mkdir()
+    (more / "new.txt").write_text("Summary\nEducation\nExperience\nBuilt quaint search portals")
+    assert main(["import", str(more), shop]) == 0 and main(["doctor", shop]) == 0
+    capsys.readouterr()
+    assert main(["search", shop, "quaint"]) == 0 and "new.txt" in capsys.readouterr().out
+    assert main(["search", shop, "search"]) == 0
+    assert {json.loads(x)["file_name"] for x in capsys.readouterr().out.splitlines()} >= {"cv0.txt", "new.txt"}
+    store_ = snapshots.Store(spark, shop)
+    assert main(["import", str(folder), shop]) == 0 and main(["doctor", shop]) == 0  # again: nothing doubles
+    doc = store_.current("projection").where("file_name = 'new.txt'").first().doc_id
+    assert main(["purge", shop, doc]) == 0 and main(["doctor", shop]) == 0
+    assert store_.current("mentions").join(store_.current("versions"), "version_id", "left_anti").isEmpty()
+    capsys.readouterr()
+    assert main(["search", shop, "quaint"]) == 0 and not capsys.readouterr().out
+    assert main(["export", shop, str(tmp_path / "out")]) == 0
+    assert spark.read.json(str(tmp_path / "out")).count() == store_.current("projection").count()
+
+
+def test_published_index_prunes_and_scores_as_built(spark, tmp_path):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * k) % 23}" for k in range(1, 9)), f"f{i % 3}") for i in range(200)], "doc_id long, body string, name string")
+    built = fulltext.build_index(docs, "doc_id", "body", "name")
+    shop = snapshots.Store(spark, str(tmp_path / "s"))
+    shop.publish(engine.index_tables(built), "g1", None)
+    plans = {"a": fulltext.plan_query("w3 w5"), "b": fulltext.plan_query('"w1 w2"'), "c": fulltext.plan_query("w4 NOT f1")}
+    read = engine.read_index(shop).of(fulltext.terms_of(plans))
+    asked = fulltext.query_table(spark, plans)
+    rows = lambda index: sorted(map(str, fulltext.search(index, asked, 7).collect()))
+    assert rows(read) == rows(built) == rows(fulltext.scan_postings(docs, "doc_id", fulltext.terms_of(plans), "body", "name"))
+    plan = read.postings._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan.replace("isnotnull(bucket#", "bucket#") or "bucket" in plan.split("PartitionFilters:")[1][:200]
+    # The next generation is what would be built anew.
+    gone, changed = docs.where("doc_id % 4 = 0"), docs.where("doc_id % 4 = 1").withColumn("body", F.lit("w3 w5 zz"))
+    after = fulltext.changed_index(engine.read_index(shop), gone.unionByName(changed), fulltext.build_index(changed, "doc_id", "body", "name"))
+    anew = fulltext.build_index(docs.where("doc_id % 4 > 1").unionByName(changed), "doc_id", "body", "name")
+    assert rows(after) == rows(anew) and sorted(map(str, after.stats.collect())) == sorted(map(str, anew.stats.collect()))
