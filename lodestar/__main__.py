@@ -35,8 +35,9 @@ def main(arguments: list[str] | None = None) -> int:
     head = store.head()
     base = head["generation"] if head else None
     if a.command == "import":
-        tables = engine.import_folder(spark, a.folder)
-        print(json.dumps(store.publish(engine.next_generation(store, tables, tables["documents"].select("doc_id")), uuid.uuid4().hex, base)))
+        name = uuid.uuid4().hex
+        with store.staged(engine.import_folder(spark, a.folder), name) as tables:
+            print(json.dumps(store.publish(engine.next_generation(store, tables, tables["documents"].select("doc_id")), name, base)))
     elif a.command == "search":
         corpus = engine.corpus_of(store.current("projection"), store.current("mentions"), engine.read_index(store))
         for hit in engine.search(spark, corpus, a.query, "fulltext", a.top, json.loads(a.filters)).hits.orderBy("rank").toLocalIterator():

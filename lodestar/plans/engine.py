@@ -127,6 +127,9 @@ def import_folder(spark: SparkSession, root: str, readers: dict | None = None, p
         ids.content_digest(F.col("content")).alias("content_hash"),
     )
     parsed = files.parse(found.select("path", "content"), readers)
+    # A text layer of bad quality is as good as none: the file needs character recognition.
+    poor = F.lower(files.extension(F.col("path"))).eqNullSafe("pdf") & (F.col("outcome") == "text_extracted") & ~text.quality(F.col("text"))
+    parsed = parsed.select("path", F.when(~poor, F.col("text")).alias("text"), F.when(poor, "ocr_required").otherwise(F.col("outcome")).alias("outcome"))
     clean = parsed.withColumn("clean_text", text.normalize_text(F.col("text")))
     joined = documents.join(clean.withColumnRenamed("path", "source_uri"), "source_uri")
     versions = joined.select("doc_id", "file_name", "content_hash", "byte_size", "outcome", "clean_text", text.language_set(F.coalesce("clean_text", F.lit(""))).alias("language_set"), ids.version_id(F.col("doc_id"), F.col("content_hash"), F.lit("parse-v1")).alias("version_id"))

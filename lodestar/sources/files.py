@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.sources.pdf import read_pdf
+
 EXTENSIONS = ("docx", "pdf", "doc", "txt")
 # Directories that a scan of whole volumes leaves out, and suffixes of files being written.
 SYSTEM_ROOTS = "applications bin boot cores dev etc library network opt private proc run sbin system tmp usr var volumes".split()
@@ -124,8 +126,8 @@ def read_docx(data: bytes) -> str:
 
 
 Reader = Callable[[bytes], str]
-#: Readers by extension. PDF and DOC need a converter, which a caller registers: readers | {"pdf": ...}.
-READERS: dict[str, Reader] = {"txt": read_text, "docx": read_docx}
+#: Readers by extension. DOC needs a converter, which a caller registers: READERS | {"doc": ...}.
+READERS: dict[str, Reader] = {"txt": read_text, "docx": read_docx, "pdf": read_pdf}
 
 
 def parse(files: DataFrame, readers: dict[str, Reader] | None = None) -> DataFrame:

@@ -6,7 +6,9 @@ if it still names the base; readers resolve the pointer once and then see one ge
 
 from __future__ import annotations
 
+import contextlib
 import json
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +59,17 @@ class Store:
         self._fs.rename(self._path(f"{self.root}/HEAD.json.new"), self._path(f"{self.root}/HEAD.json"))
         return entry
 
+    @contextlib.contextmanager
+    def staged(self, tables: dict[str, DataFrame], name: str) -> Iterator[dict[str, DataFrame]]:
+        """The tables written once and reread, so that what derives from them does not compute them again."""
+        folder = f"{self.root}/staging/{name}"
+        for table, rows in tables.items():
+            rows.write.mode("errorifexists").parquet(f"{folder}/{table}")
+        try:
+            yield {table: self.spark.read.schema(rows.schema).parquet(f"{folder}/{table}") for table, rows in tables.items()}
+        finally:
+            self._fs.delete(self._path(folder), True)
+
     def _create(self, name: str, value: dict, overwrite: bool) -> None:
         stream = self._fs.create(self._path(name), overwrite)
         try:

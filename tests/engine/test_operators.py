@@ -554,13 +554,13 @@ def test_second_import_adds_and_searches_read_the_index(spark, folder, tmp_path,
     more = tmp_path / "more"
     more.mkdir()
     (more / "new.txt").write_text("Summary\nEducation\nExperience\nBuilt quaint search portals")
-    assert main(["import", str(more), shop]) == 0 and main(["doctor", shop]) == 0
+    (more / "second.txt").write_text("Invoice\nSubtotal 5\nAmount due 5")
+    assert main(["import", str(more), shop]) == 0 and main(["import", str(more), shop]) == 0 and main(["doctor", shop]) == 0
     capsys.readouterr()
     assert main(["search", shop, "quaint"]) == 0 and "new.txt" in capsys.readouterr().out
     assert main(["search", shop, "search"]) == 0
     assert {json.loads(x)["file_name"] for x in capsys.readouterr().out.splitlines()} >= {"cv0.txt", "new.txt"}
     store_ = snapshots.Store(spark, shop)
-    assert main(["import", str(folder), shop]) == 0 and main(["doctor", shop]) == 0  # again: nothing doubles
     doc = store_.current("projection").where("file_name = 'new.txt'").first().doc_id
     assert main(["purge", shop, doc]) == 0 and main(["doctor", shop]) == 0
     assert store_.current("mentions").join(store_.current("versions"), "version_id", "left_anti").isEmpty()
@@ -587,3 +587,44 @@ def test_published_index_prunes_and_scores_as_built(spark, tmp_path):
     after = fulltext.changed_index(engine.read_index(shop), gone.unionByName(changed), fulltext.build_index(changed, "doc_id", "body", "name"))
     anew = fulltext.build_index(docs.where("doc_id % 4 > 1").unionByName(changed), "doc_id", "body", "name")
     assert rows(after) == rows(anew) and sorted(map(str, after.stats.collect())) == sorted(map(str, anew.stats.collect()))
+
+
+def pdf(*pages, cmap=None, packed=True):
+    """A file with a page for each content stream and one font, with a map to Unicode if given."""
+    import zlib
+
+    objects = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 3: b"<< /Type /Font /Subtype /Type1 " + (b"/ToUnicode 4 0 R " if cmap else b"") + b">>"}
+    stream = lambda data: b"<< /Length %d /Filter /FlateDecode >>\nstream\n%s\nendstream" % (len(zlib.compress(data)), zlib.compress(data)) if packed else b"<< /Length %d >>\nstream\n%s\nendstream" % (len(data), data)
+    if cmap:
+        objects[4] = stream(cmap)
+    kids = []
+    for k, content in enumerate(pages):
+        kids.append(b"%d 0 R" % (10 + 2 * k))
+        objects[10 + 2 * k] = b"<< /Type /Page /Parent 2 0 R /Contents %d 0 R >>" % (11 + 2 * k)
+        objects[11 + 2 * k] = stream(content)
+    objects[2] = b"<< /Type /Pages /Kids [" + b" ".join(kids) + b"] /Count %d /Resources << /Font << /F1 3 0 R >> >> >>" % len(pages)
+    return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % x for x in sorted(objects.items())) + b"trailer << /Root 1 0 R >>"
+
+
+def test_pdf_text():
+    from lodestar.sources.pdf import read_pdf
+
+    first = rb"BT /F1 12 Tf 72 720 Td (Experience) Tj 0 -14 Td [(Led ) -20 (search) -300 (teams)] TJ T* (a \(b\) \101\\) Tj ET"
+    assert read_pdf(pdf(first, rb"BT /F1 9 Tf 1 0 0 1 10 10 Tm (left) Tj 1 0 0 1 90 10 Tm (right) Tj (x) ' ET")) == "Experience\nLed search teams\na (b) A\\\fleft right\nx"
+    assert read_pdf(pdf(first, packed=False)).startswith("Experience\nLed")
+    cmap = b"1 begincodespacerange <0000> <FFFF> endcodespacerange 1 beginbfchar <0001> <6280> endbfchar 1 beginbfrange <0002> <0004> <0041> endbfrange"
+    assert read_pdf(pdf(b"BT /F1 12 Tf <0001000200030004> Tj ET", cmap=cmap)) == "技ABC"
+    assert read_pdf(pdf(b"q 1 0 0 1 0 0 cm /Im1 Do Q")) == "" and read_pdf(b"%PDF") == ""
+    with pytest.raises(ValueError):
+        read_pdf(b"%PDF-1.4 trailer << /Encrypt 5 0 R >>")
+
+
+def test_pdf_import_and_its_quality_gate(spark, tmp_path):
+    lines = ["Summary", "Education", "Experience", "Built search portals for many customers and teams", "Skills", "Rust"]
+    show = lambda xs: b"BT /F1 12 Tf " + b" ".join(b"(%s) Tj T*" % x.encode() for x in xs) + b" ET"
+    (tmp_path / "cv.pdf").write_bytes(pdf(show(lines)))
+    (tmp_path / "poor.pdf").write_bytes(pdf(show(["Summary", "Experience"])))
+    (tmp_path / "image.pdf").write_bytes(pdf(b"/Im1 Do"))
+    (tmp_path / "locked.pdf").write_bytes(pdf(show(lines)) + b" /Encrypt 5 0 R")
+    found = {r.file_name: r.status for r in engine.import_folder(spark, str(tmp_path))["versions"].collect()}
+    assert found == {"cv.pdf": "resume_candidate", "poor.pdf": "ocr_backlog", "image.pdf": "ocr_backlog", "locked.pdf": "failed"}
