@@ -94,11 +94,12 @@ def soft_duplicates(profiles: DataFrame) -> DataFrame:
     """doc_left, doc_right, score of profiles (doc_id, name, schools, companies, skills) of one name over SOFT_DUPLICATE.
 
     A score over the threshold needs two common facts, a school and a company or a school or company and a skill, so
-    pairs are joined on name and two facts, each pair at the first that it has. The profiles of a frequent combination
+    pairs are joined on name and a hash of two facts, each pair at the first that it has; the score says what a chance
+    equality of hashes is worth. The profiles of a frequent combination
     are dealt over parts of LONG, so no task compares all of them.
     """
     facts = lambda kind, values: F.transform(values, lambda x: F.concat(F.lit(f"{kind}:"), x))
-    both = lambda a, b: F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: F.sha2(F.concat_ws("\0", x, y), 256))))
+    both = lambda a, b: F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: F.xxhash64(x, y))))
     schools, companies, skills = facts("s", F.col("schools")), facts("c", F.col("companies")), facts("k", F.col("skills"))
     combined = F.array_distinct(F.concat(both(schools, companies), both(schools, skills), both(companies, skills)))
     keyed = profiles.select("doc_id", "name", "schools", "companies", "skills", combined.alias("_facts")).withColumn("_on", F.explode("_facts"))
