@@ -39,6 +39,9 @@ SHINGLE = 5
 #: Shingles that a task gathers before it sends them, documents likewise, and shingles in a range. A gathering sends each
 #: range one blob, so the more both hold, the fewer blobs there are; their size is bounded by a worker's memory.
 GATHER, GATHER_DOCS, RANGE = 1_600_000, 60_000, 2_000_000
+#: Blobs shrink as the data grow, since more ranges share a gathering. Where fewer shingles than this would be in one, each
+#: is a row of its own, whose cost does not depend on the size of the data.
+LEAST_BLOB = 16
 #: Candidates are compared within a shingle; lists longer than this are cut in parts that meet in tasks of their own.
 LONG = 2000
 #: Hashes have 48 bits, so that a shingle and its document's place in the gathering fit one number.
@@ -47,6 +50,9 @@ HASH_BITS, MANY = 48, 0xFFFF
 FRAGMENTS = 8
 BATCH_BYTES = 2 << 20
 SENT = "target long, gathering long, blob binary"
+#: A shingle's own row: hash and document's place in one number, and how many documents of the gathering have it; and its
+#: answer, with the number of documents that have it anywhere.
+SENT_ROW, ANSWER_ROW, ROWS_AT_ONCE = np.dtype([("pair", "<u8"), ("count", "<u4")]), np.dtype([("pair", "<u8"), ("frequency", "<u8")]), 100_000
 #: Bits of a set's signature, in words of 64. Bit k is set if a shared shingle's hash ends in k.
 SIGNATURE = 512
 ROWS = "doc_id long, text_hash long, n_shingles long, class binary, shared long, signature array<long>, fragments array<array<long>>"
@@ -119,10 +125,22 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-def gathered(name: int, ids: list[int | None], texts: list[int], pairs: np.ndarray, ranges: int) -> Iterator[tuple[int, int, bytes]]:
+def sent(targets: np.ndarray | list[int], name: int, blobs: pa.Array | list[bytes]) -> pa.RecordBatch:
+    blobs = blobs if isinstance(blobs, pa.Array) else pa.array(blobs, pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(targets, pa.int64()), pa.array(np.full(len(targets), name, np.int64)), blobs], ["target", "gathering", "blob"])
+
+
+def as_binary(rows: np.ndarray) -> pa.Array:
+    """Records of one width as binary values."""
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * np.int32(rows.dtype.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(rows.tobytes())])
+
+
+def gathered(name: int, ids: list[int | None], texts: list[int], pairs: np.ndarray, ranges: int, plain: bool = False) -> Iterator[pa.RecordBatch]:
     """What a gathering sends: a header to a target of its own, and to each hash range what lies in it.
 
-    texts: hashes of the texts. pairs: hash and document's place in one number, of all its documents.
+    texts: hashes of the texts. pairs: hash and document's place in one number, of all its documents. plain: a row for
+    each shingle instead of a blob for each range.
     """
     pairs.sort()
     pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])] if len(pairs) else pairs
@@ -147,17 +165,26 @@ def gathered(name: int, ids: list[int | None], texts: list[int], pairs: np.ndarr
     shared_here = (key[several] << np.uint64(16)) | place[several].astype(np.uint64)
     holder = np.where(counts > 1, MANY, place[starts]).astype("<u2")
     unique = key[starts]
-    yield -1 - name, name, pack(np.array([i or 0 for i in ids], "<i8"), np.array(texts, "<i8"), named.view(np.uint8), n.astype("<u4"), sums[0], sums[1], stays.view(np.uint8), shared_here)
-    cuts = np.searchsorted((unique * np.uint64(1 << 15)) // np.uint64(max(1, -(-(1 << 63) // ranges))), np.arange(ranges + 1, dtype=np.uint64)) if len(unique) else []
+    header = pack(np.array([i or 0 for i in ids], "<i8"), np.array(texts, "<i8"), named.view(np.uint8), n.astype("<u4"), sums[0], sums[1], stays.view(np.uint8), shared_here)
+    yield sent([-1 - name], name, [header])
+    target = (unique * np.uint64(1 << 15)) // np.uint64(max(1, -(-(1 << 63) // ranges)))
+    if plain:
+        for at in range(0, len(unique), ROWS_AT_ONCE):
+            some = slice(at, at + ROWS_AT_ONCE)
+            rows = np.empty(len(unique[some]), SENT_ROW)
+            rows["pair"], rows["count"] = (unique[some] << np.uint64(16)) | holder[some], counts[some]
+            yield sent(target[some].astype(np.int64), name, as_binary(rows))
+        return
+    cuts = np.searchsorted(target, np.arange(ranges + 1, dtype=np.uint64)) if len(unique) else []
     for r in range(ranges if len(unique) else 0):
         a, b = int(cuts[r]), int(cuts[r + 1])
         if a < b:
             steps = np.diff(unique[a:b], prepend=np.uint64(0))
             steps = steps if steps[1:].max(initial=0) >= 1 << 32 or b - a < 2 else np.concatenate([[steps[0] >> np.uint64(32), steps[0] & np.uint64(0xFFFFFFFF)], steps[1:]]).astype("<u4")
-            yield r, name, pack(steps, holder[a:b], counts[a:b][holder[a:b] == MANY].astype("<u4"))
+            yield sent([r], name, [pack(steps, holder[a:b], counts[a:b][holder[a:b] == MANY].astype("<u4"))])
 
 
-def send(docs: DataFrame, ranges: int) -> DataFrame:
+def send(docs: DataFrame, ranges: int, plain: bool = False) -> DataFrame:
     """Cuts each partition in gatherings, named by partition and number, so that a task that runs again names alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,8 +192,7 @@ def send(docs: DataFrame, ranges: int) -> DataFrame:
         name = TaskContext.get().partitionId() << 32
 
         def out() -> Iterator[pa.RecordBatch]:
-            for row in gathered(name, ids, texts, np.concatenate(held) if held else np.zeros(0, np.uint64), ranges):
-                yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), pa.array([row[1]], pa.int64()), pa.array([row[2]], pa.binary())], ["target", "gathering", "blob"])
+            yield from gathered(name, ids, texts, np.concatenate(held) if held else np.zeros(0, np.uint64), ranges, plain)
 
         for whole in batches:
             for batch in (part.slice(at, GATHER_DOCS) for part in sliced(whole, "text", BATCH_BYTES) for at in range(0, part.num_rows, GATHER_DOCS)):
@@ -186,10 +212,26 @@ def send(docs: DataFrame, ranges: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("hash")).mapInArrow(run, SENT)
 
 
-def find_shared(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+def frequencies(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each key the sum of the counts of all that equal it."""
+    order = np.argsort(keys, kind="stable")
+    starts = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]]))
+    out = np.empty(len(keys), np.int64)
+    out[order] = np.repeat(np.add.reduceat(counts[order], starts), np.diff(np.concatenate([starts, [len(keys)]])))
+    return out
+
+
+def find_shared(key: tuple, rows: pd.DataFrame, plain: bool = False) -> pd.DataFrame:
     """Of one range: which shingles several documents have, answered to each gathering that sent them."""
     if key[0] < 0:
         return rows[["gathering", "blob"]].assign(header=True)
+    if plain:
+        given = np.frombuffer(b"".join(rows["blob"]), SENT_ROW)
+        frequency = frequencies(given["pair"] >> np.uint64(16), given["count"].astype(np.int64))
+        some = frequency > 1
+        answers = np.empty(int(some.sum()), ANSWER_ROW)
+        answers["pair"], answers["frequency"] = given["pair"][some], frequency[some]
+        return pd.DataFrame({"gathering": rows["gathering"].to_numpy()[some], "blob": as_binary(answers).to_pylist(), "header": False})
     keys, holders, counts, lengths = [], [], [], []
     for blob in rows["blob"]:
         steps, holder, many = unpack(blob)
@@ -201,12 +243,7 @@ def find_shared(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         holders.append(holder)
         counts.append(count)
         lengths.append(len(holder))
-    key64 = np.concatenate(keys)
-    order = np.argsort(key64, kind="stable")
-    starts = np.flatnonzero(np.concatenate([[True], key64[order][1:] != key64[order][:-1]]))
-    frequency = np.empty(len(key64), np.int64)
-    total = np.add.reduceat(np.concatenate(counts)[order], starts)
-    frequency[order] = np.repeat(total, np.diff(np.concatenate([starts, [len(key64)]])))
+    frequency = frequencies(np.concatenate(keys), np.concatenate(counts))
     out, at = [], 0
     for name, k, holder, n in zip(rows["gathering"], keys, holders, lengths, strict=True):
         some = frequency[at : at + n] > 1
@@ -216,11 +253,16 @@ def find_shared(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["gathering", "blob", "header"])
 
 
-def collect_shared(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+def collect_shared(key: tuple, rows: pd.DataFrame, plain: bool = False) -> pd.DataFrame:
     """Of one gathering: a row per document; those that can link have their shared shingles, in the global order."""
     ids, texts, named, n, s0, s1, stays, here = unpack(rows["blob"][rows["header"]].iloc[0])
-    answers = [unpack(b) for b in rows["blob"][~rows["header"]]]
-    keys, frequency, holder = (np.concatenate([a[i] for a in answers]) if answers else np.zeros(0, np.uint64) for i in range(3))
+    blobs = rows["blob"][~rows["header"]]
+    if plain:
+        given = np.frombuffer(b"".join(blobs), ANSWER_ROW)
+        keys, frequency, holder = given["pair"] >> np.uint64(16), given["frequency"], given["pair"] & np.uint64(0xFFFF)
+    else:
+        answers = [unpack(b) for b in blobs]
+        keys, frequency, holder = (np.concatenate([a[i] for a in answers]) if answers else np.zeros(0, np.uint64) for i in range(3))
     order = np.argsort(keys, kind="stable")
     keys, frequency, holder = keys[order], frequency[order], holder[order].astype(np.int64)
     hashes, places = here >> np.uint64(16), (here & np.uint64(0xFFFF)).astype(np.int64)
@@ -270,9 +312,10 @@ def with_components(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     # Words have some 6 bytes; the number of ranges only has to be in proportion.
     size = docs.select(F.sum(F.octet_length(F.col("text").cast("string"))).alias("n")).first()["n"] or 0
-    ranges = max(1, min(1 << 20, -(-size // (6 * RANGE))))
-    answered = send(docs, ranges).groupBy("target").applyInPandas(find_shared, "gathering long, blob binary, header boolean")
-    rows = written(answered.groupBy("gathering").applyInPandas(collect_shared, ROWS), "shingles")
+    ranges = max(1, -(-size // (6 * RANGE)))
+    plain = GATHER < LEAST_BLOB * ranges
+    answered = send(docs, ranges, plain).groupBy("target").applyInPandas(lambda key, rows: find_shared(key, rows, plain), "gathering long, blob binary, header boolean")
+    rows = written(answered.groupBy("gathering").applyInPandas(lambda key, rows: collect_shared(key, rows, plain), ROWS), "shingles")
     narrow = rows.select("doc_id", "text_hash", "n_shingles", "class")
     heads = narrow.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("head"))
     # A class may come from several gatherings; all have the same shingles.

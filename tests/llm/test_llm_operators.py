@@ -306,6 +306,19 @@ def test_jaccard_many_gatherings(spark):
     assert got == {i: c for i, (_, c) in jaccard_components(rows).items()}
 
 
+@pytest.mark.parametrize("span", [2_000_000, 100])
+def test_jaccard_a_row_for_each_shingle(spark, monkeypatch, span):
+    """The form for data so large that blobs would be next to empty gives the same."""
+    docs, rows = corpus(spark, 300, 5)
+    rows = [*rows, (300, None), (301, " \t"), (302, "one"), (303, "One")]
+    docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame(rows[300:], "doc_id long, text string"))
+    monkeypatch.setattr(jaccard, "RANGE", span)
+    monkeypatch.setattr(jaccard, "LEAST_BLOB", 1 << 40)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.with_components(docs.coalesce(3)).collect()}
+    want = jaccard_components([(i, (t or "").lower()) for i, t, *_ in rows])
+    assert got == want
+
+
 @pytest.mark.parametrize("batch", [10_000, 100_000])
 def test_jaccard_many_blank_rows(spark, batch):
     """More blank texts in a row than places of 16 bits, before two near copies; also in one Arrow batch."""
@@ -325,8 +338,9 @@ def test_jaccard_many_blank_rows(spark, batch):
 def test_jaccard_sends_alike_again(spark):
     """A map task that runs again names and sends the same, so finished reducers fit its new output."""
     docs, _ = corpus(spark, 200, 4)
-    sent = [sorted((r.target, r.gathering, bytes(r.blob)) for r in jaccard.send(docs.coalesce(3), 4).collect()) for _ in range(2)]
-    assert sent[0] == sent[1] and len({g for _, g, _ in sent[0]}) >= 3
+    for plain in (False, True):
+        sent = [sorted((r.target, r.gathering, bytes(r.blob)) for r in jaccard.send(docs.coalesce(3), 4, plain).collect()) for _ in range(2)]
+        assert sent[0] == sent[1] and len({g for _, g, _ in sent[0]}) >= 3
 
 
 def test_jaccard_long_lists_in_parts(spark, monkeypatch):
