@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import decontaminate, jaccard, maintext, media, mixing, sharding, tokencount, toxicity, urlfilter, warc
+from lodestar.llm import decontaminate, jaccard, maintext, media, mixing, sequenced, sharding, tokencount, toxicity, urlfilter, warc
 from lodestar.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +54,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_sequenced_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequenced.apply_changes(spark, table(spark, sf_dir, "client_changes"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc,
     "op2_url_filter": op2_url_filter,
@@ -65,6 +69,7 @@ QUERIES: dict[str, Query] = {
     "op8_mixing": op8_mixing,
     "op9_main_text": op9_main_text,
     "op10_toxicity": op10_toxicity,
+    "op11_sequenced_changes": op11_sequenced_changes,
 }
 
 ORACLE_SQL: dict[str, str] = {
