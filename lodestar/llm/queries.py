@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import decontaminate, jaccard, maintext, media, mixing, sequenced, sharding, tokencount, toxicity, urlfilter, warc
+from lodestar.llm import decontaminate, jaccard, maintext, media, mixing, repetition, sequenced, sharding, tokencount, toxicity, urlfilter, warc
 from lodestar.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,10 @@ def op11_sequenced_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequenced.apply_changes(spark, table(spark, sf_dir, "client_changes"))
 
 
+def op13_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.repetition(table(spark, sf_dir, "documents"), "doc_id")
+
+
 QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc,
     "op2_url_filter": op2_url_filter,
@@ -70,6 +74,7 @@ QUERIES: dict[str, Query] = {
     "op9_main_text": op9_main_text,
     "op10_toxicity": op10_toxicity,
     "op11_sequenced_changes": op11_sequenced_changes,
+    "op13_repetition": op13_repetition,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -126,4 +131,23 @@ ORACLE_SQL: dict[str, str] = {
         e AS (SELECT page_id, url, replace(replace(replace(replace(replace(h, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&') AS h FROM t),
         w AS (SELECT page_id, url, trim(regexp_replace(h, '[\s\x{0b}\x{a0}\x{2009}]+', ' ', 'g')) AS text FROM e)
         SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM w""",
+    "op13_repetition": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+        w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM d),
+        e AS (SELECT doc_id, p, list_element(w, p) AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM w)),
+        g AS (SELECT doc_id, n, p, array_to_string(list_slice(w, p, p + n - 1), ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM w, (VALUES (3), (5), (6), (7), (8), (9), (10)) AS v(n))),
+        h AS (SELECT doc_id, n, p FROM (SELECT doc_id, n, p, count(*) OVER (PARTITION BY doc_id, n, g) AS k FROM g) WHERE k > 1),
+        c AS (SELECT DISTINCT doc_id, n, unnest(range(p, p + n)) AS p FROM h),
+        m AS (SELECT c.doc_id, count(*) FILTER (n = 3) AS n3, sum(length(x)) FILTER (n = 5) AS c5, sum(length(x)) FILTER (n = 6) AS c6, sum(length(x)) FILTER (n = 7) AS c7,
+                     sum(length(x)) FILTER (n = 8) AS c8, sum(length(x)) FILTER (n = 9) AS c9, sum(length(x)) FILTER (n = 10) AS c10 FROM c JOIN e ON e.doc_id = c.doc_id AND e.p = c.p GROUP BY c.doc_id),
+        l AS (SELECT doc_id, x, count(*) AS k FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY doc_id, x),
+        s AS (SELECT doc_id, sum(k) AS n_lines, sum(k * length(x)) AS line_chars, sum(k - 1) AS n_dup_lines, sum((k - 1) * length(x)) AS dup_line_chars FROM l GROUP BY doc_id),
+        t AS (SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+                     CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(line_chars, 0) AS BIGINT) AS line_chars, CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(dup_line_chars, 0) AS BIGINT) AS dup_line_chars,
+                     CAST(coalesce(n3, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(c5, 0) AS BIGINT) AS dup_chars_5, CAST(coalesce(c6, 0) AS BIGINT) AS dup_chars_6, CAST(coalesce(c7, 0) AS BIGINT) AS dup_chars_7,
+                     CAST(coalesce(c8, 0) AS BIGINT) AS dup_chars_8, CAST(coalesce(c9, 0) AS BIGINT) AS dup_chars_9, CAST(coalesce(c10, 0) AS BIGINT) AS dup_chars_10
+              FROM w LEFT JOIN s ON s.doc_id = w.doc_id LEFT JOIN m ON m.doc_id = w.doc_id),
+        b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM t)
+        SELECT *, NOT base_failed AND 100 * dup_line_chars <= 30 * line_chars AND 100 * dup_chars_5 <= 40 * word_chars AND 100 * dup_chars_6 <= 38 * word_chars AND 100 * dup_chars_7 <= 36 * word_chars
+                  AND 100 * dup_chars_8 <= 34 * word_chars AND 100 * dup_chars_9 <= 32 * word_chars AND 100 * dup_chars_10 <= 30 * word_chars AS kept FROM b""",
 }
