@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import decontaminate, jaccard, maintext, media, mixing, repetition, sequenced, sharding, tokencount, toxicity, urlfilter, warc
+from lodestar.llm import decontaminate, jaccard, maintext, media, mixing, repetition, sequenced, sharding, spelling, tokencount, toxicity, urlfilter, warc
 from lodestar.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,10 @@ def op11_sequenced_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequenced.apply_changes(spark, table(spark, sf_dir, "client_changes"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def op13_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition(table(spark, sf_dir, "documents"), "doc_id")
 
@@ -74,6 +78,7 @@ QUERIES: dict[str, Query] = {
     "op9_main_text": op9_main_text,
     "op10_toxicity": op10_toxicity,
     "op11_sequenced_changes": op11_sequenced_changes,
+    "op12_spelling": op12_spelling,
     "op13_repetition": op13_repetition,
 }
 
@@ -131,6 +136,22 @@ ORACLE_SQL: dict[str, str] = {
         e AS (SELECT page_id, url, replace(replace(replace(replace(replace(h, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&') AS h FROM t),
         w AS (SELECT page_id, url, trim(regexp_replace(h, '[\s\x{0b}\x{a0}\x{2009}]+', ' ', 'g')) AS text FROM e)
         SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM w""",
+    # Two words are near if one has a letter taken out where the other has it, or both have the same letters around one place.
+    "op12_spelling": r"""
+        WITH RECURSIVE c(t) AS (SELECT list(list_reduce(list_concat([CAST(i AS BIGINT)], CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) ORDER BY i) FROM range(256) r(i)),
+        r AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents),
+        o AS (SELECT run, doc_id || ':' || run AS k, count(*) AS n FROM r WHERE length(run) >= 6 GROUP BY ALL),
+        h AS (SELECT run, n, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(regexp_extract_all(hex(encode(k)), '..'), lambda b: CAST('0x' || b AS BIGINT))), lambda x, y: xor(x >> 8, t[1 + (xor(x, y) & 255)]))) AS h FROM o, c),
+        g AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, n FROM h),
+        v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM g WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+        p AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS d FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+        e AS (SELECT DISTINCT a.word, a.n, b.word AS other, b.n AS m FROM p a JOIN p b ON a.i = b.i AND a.d = b.d AND a.word <> b.word),
+        f AS (SELECT DISTINCT p.word, p.n, v.word AS other, v.n AS m FROM p JOIN v ON p.d = v.word),
+        u AS (SELECT * FROM e UNION ALL SELECT * FROM f UNION ALL SELECT other, m, word, n FROM f),
+        b AS (SELECT word, n, count(*) AS n_near, (list({'m': m, 'other': other} ORDER BY m DESC, other))[1] AS best FROM u GROUP BY word, n),
+        k AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN best.m >= 5 * v.n THEN best.other END AS form, CASE WHEN best.m >= 5 * v.n THEN best.m END AS form_n FROM v LEFT JOIN b ON b.word = v.word),
+        w(word, root, form) AS (SELECT word, word, form FROM k UNION ALL SELECT w.word, k.word, k.form FROM w JOIN k ON k.word = w.form)
+        SELECT k.word, k.form, w.root, k.n, CAST(k.n_near AS BIGINT) AS n_near, k.form_n FROM k JOIN w ON w.word = k.word AND w.form IS NULL""",
     "op13_repetition": r"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
         w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM d),
