@@ -6,18 +6,20 @@ import re
 import unicodedata
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import let
+from lodestar.sources.snapshots import Read, Table
 
 K1, B = 1.2, 0.75
 TOKEN_BYTES = 40
 QUERY_BYTES, QUERY_TERMS, TERM_BYTES, MOST_RESULTS = 4096, 16, 256, 100
 QUOTES = "\"“”"
 # Words that make a query one about a place or a degree.
-PLACES = "beijing shanghai shenzhen guangzhou hangzhou chengdu wuhan 北京 上海 深圳 广州 杭州 成都 武汉".split()
-DEGREE_WORDS = "bachelor master phd doctor degree 本科 硕士 博士 学历".split()
+PLACES = ("beijing", "shanghai", "shenzhen", "guangzhou", "hangzhou", "chengdu", "wuhan", "北京", "上海", "深圳", "广州", "杭州", "成都", "武汉")
+DEGREE_WORDS = ("bachelor", "master", "phd", "doctor", "degree", "本科", "硕士", "博士", "学历")
 
 
 @dataclass
@@ -64,22 +66,95 @@ def plan_query(query: str, limit: int = 10) -> Plan:
     return Plan(text, text.split(), max(1, min(MOST_RESULTS, limit)), boolean_groups(parts))
 
 
+Literal = tuple[tuple[str, ...], bool]  # tokens of a part, and whether it is asked for
+
+
 def boolean_groups(parts: list[tuple[str, bool]]) -> list[tuple[list[tuple[str, ...]], list[tuple[str, ...]]]]:
-    """OR separates alternatives; all else in one is required, unless NOT or a minus stands before it."""
-    groups: list = [([], [])]
-    negated = False
+    """A query as alternatives, each of required and excluded parts; alternatives without a required part match nothing.
+
+    OR binds least, AND or nothing more, NOT and a minus most; parentheses nest. What is unbalanced is taken leniently:
+    an end without a beginning is ignored, a beginning without an end lasts to the end.
+    """
+    symbols: list[str | Literal] = []
     for value, quoted in parts:
-        if not quoted and is_operator(value):
-            name = value.strip("()")
-            if name == "OR":
-                groups.append(([], []))
-            negated = name == "NOT"
+        symbols += [(tuple(tokens_of(value)), True)] if quoted else _symbols(value)
+    groups, at = _either(symbols, 0, True)
+    while at < len(symbols):  # past an end without a beginning
+        rest, at = _either(symbols, at + 1, True)
+        groups = _both(groups, rest)
+    kept = []
+    for group in groups:
+        required, excluded = [t for t, asked in group if asked], [t for t, asked in group if not asked]
+        if required and not set(required) & set(excluded):
+            kept.append((required, excluded))
+    return kept
+
+
+def _symbols(value: str) -> list[str | Literal]:
+    """An unquoted value as parentheses, operators and a part. Parentheses inside a value belong to it."""
+    out: list[str | Literal] = []
+    while value[:1] in ("(", "-", "+") and value:
+        out += [{"(": "(", "-": "NOT"}[value[0]]] if value[0] != "+" else []
+        value = value[1:]
+    inner = value.rstrip(")")
+    ends = max(0, len(value) - len(inner) - max(0, inner.count("(") - inner.count(")")))
+    inner = value[: len(value) - ends]
+    if is_operator(inner):
+        out.append(re.sub(r"^[\W_]+|[\W_]+$", "", inner))
+    elif tokens := tokens_of(inner):
+        out.append((tuple(tokens), True))
+    return out + [")"] * ends
+
+
+def _either(symbols: list, at: int, asked: bool) -> tuple[list[dict[Literal, None]], int]:
+    """Alternatives from ``at`` to the end of this level. Not asked for: none of them may hold, so all their opposites."""
+    sides = []
+    while True:
+        side, at = _all(symbols, at, asked)
+        sides += [side] if side is not None else []
+        if at >= len(symbols) or symbols[at] == ")":
+            break
+        at += 1  # OR
+    out = sides[0] if sides else []
+    for side in sides[1:]:
+        out = _any(out, side) if asked else _both(out, side)
+    return out, at
+
+
+def _all(symbols: list, at: int, asked: bool) -> tuple[list[dict[Literal, None]] | None, int]:
+    """What stands side by side, up to OR or the end of the level; None if nothing does."""
+    out, negated = None, False
+    while at < len(symbols) and symbols[at] not in (")", "OR"):
+        symbol = symbols[at]
+        at += 1
+        if symbol in ("AND", "NOT"):
+            negated = not negated if symbol == "NOT" else negated
             continue
-        minus = negated or (not quoted and value.startswith("-"))
-        if tokens := tokens_of(value):
-            groups[-1][1 if minus else 0].append(tuple(tokens) if quoted else tuple(tokens))
+        if symbol == "(":
+            one, at = _either(symbols, at, asked != negated)
+            at += 1
+            if not one:
+                continue
+        else:
+            one = [{(symbol[0], asked != negated): None}]
+        out = one if out is None else _both(out, one) if asked else _any(out, one)
         negated = False
-    return [g for g in groups if g[0]]
+    return out, at
+
+
+def _any(a: list, b: list) -> list:
+    return a + [g for g in b if g not in a]
+
+
+def _both(a: list, b: list) -> list:
+    """Every pair of alternatives together. Sixteen terms make a few hundred at most, since each stands in the query once."""
+    out: list[dict[Literal, None]] = []
+    for x in a or [{}]:
+        for y in b or [{}]:
+            both = {**x, **y}
+            if both not in out:
+                out.append(both)
+    return out
 
 
 def tokens_of(text: str) -> list[str]:
@@ -112,45 +187,67 @@ def query_shape(query: Column) -> dict[str, Column]:
     return flags
 
 
-#: Parts of a published index, by term, and files that a part is dealt over by document.
-BUCKETS, SLICES = 32, 1
+#: Tokens of a bucket of a published index, and documents of a file in it; buckets are a power of two.
+BUCKET_TOKENS, SLICE_DOCS, LEAST_BUCKETS, MOST_BUCKETS = 4_000_000, 2_000_000, 8, 1 << 15
 
 
 @dataclass
 class Index:
     """postings: term, doc_id, field, tf, length (of the field), positions. lengths: doc_id, field, length.
 
-    stats: field, average, docs. terms: term, field, df, cf. A published index has the column ``bucket``, a hash of the
-    term, in postings and terms; readers name the terms they need and see only the files of their buckets.
+    stats: field, average, docs. terms: term, field, df, cf. A published index has ``buckets`` parts, by a hash of the
+    term; readers name the terms they need and see only the files of their buckets.
     """
 
     postings: DataFrame
     lengths: DataFrame
     stats: DataFrame
     terms: DataFrame
+    buckets: int = 0
 
     def of(self, wanted: list[str]) -> Index:
         """The index cut to some terms; of a published one other buckets are never opened."""
-        if "bucket" not in self.postings.columns:
-            return self
         some = sorted(set(wanted))
-        near = F.col("bucket").isin(*[bucket_of(F.lit(t)) for t in some]) & F.col("term").isin(*some)
-        return Index(self.postings.where(near), self.lengths, self.stats, self.terms.where(near))
+        near = F.col("term").isin(*some)
+        if self.buckets:
+            near = F.col("bucket").isin(*[bucket_of(F.lit(t), self.buckets) for t in some]) & near
+        return Index(self.postings.where(near), self.lengths, self.stats, self.terms.where(near), self.buckets)
+
+    def tables(self, prefix: str = "") -> dict[str, DataFrame | Table]:
+        """What is published: postings and terms in parts by bucket, sorted by term, so that files are pruned inside too.
+
+        Parts follow from the corpus: a bucket has some BUCKET_TOKENS tokens, and each of its files SLICE_DOCS documents,
+        whatever the corpus' size. Lengths come first, and terms are counted from the postings as they were written.
+        """
+
+        def postings(read: Read) -> DataFrame:
+            buckets, slices = layout(read(f"{prefix}lengths"))
+            kept = self.postings.drop("bucket").withColumn("bucket", bucket_of(F.col("term"), buckets))
+            return kept.repartition(buckets * slices, "bucket", F.pmod(F.xxhash64("doc_id"), F.lit(slices))).sortWithinPartitions("bucket", "term", "doc_id")
+
+        def terms(read: Read) -> DataFrame:
+            counted = index_of(read(f"{prefix}postings"), self.lengths).terms
+            buckets, _ = layout(read(f"{prefix}lengths"))
+            return counted.withColumn("bucket", bucket_of(F.col("term"), buckets)).repartition(buckets, "bucket").sortWithinPartitions("bucket", "term")
+
+        def stats(read: Read) -> DataFrame:
+            return index_of(self.postings, read(f"{prefix}lengths")).stats.coalesce(1)
 
-    def tables(self) -> dict[str, DataFrame]:
-        """What is published: postings and terms in parts by bucket, sorted by term, so that files are pruned inside too."""
-        kept = self.postings.drop("bucket").withColumn("bucket", bucket_of(F.col("term")))
-        terms = self.terms.drop("bucket").withColumn("bucket", bucket_of(F.col("term")))
-        return {
-            "postings": kept.repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(SLICES))).sortWithinPartitions("bucket", "term", "doc_id"),
-            "terms": terms.repartition("bucket").sortWithinPartitions("bucket", "term"),
-            "lengths": self.lengths,
-            "stats": self.stats.coalesce(1),
-        }
+        return {f"{prefix}lengths": self.lengths, f"{prefix}postings": postings, f"{prefix}terms": terms, f"{prefix}stats": stats}
 
 
-def bucket_of(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+def layout(lengths: DataFrame) -> tuple[int, int]:
+    """Buckets of an index, and files of a bucket."""
+    size = lengths.agg(F.sum("length").alias("tokens"), F.countDistinct("field").alias("fields"), F.count(F.lit(1)).alias("n")).first()
+    wanted = (size.tokens or 0) / BUCKET_TOKENS
+    buckets = LEAST_BUCKETS
+    while buckets < min(wanted, MOST_BUCKETS):
+        buckets *= 2
+    return buckets, 1 + size.n // max(1, size.fields) // SLICE_DOCS
+
+
+def bucket_of(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
 def index_of(postings: DataFrame, lengths: DataFrame) -> Index:
@@ -177,10 +274,48 @@ def changed_index(base: Index, gone: DataFrame, added: Index) -> Index:
     return index_of(kept(base.postings).unionByName(added.postings.drop("bucket")), kept(base.lengths).unionByName(added.lengths))
 
 
-def query_table(spark: SparkSession, plans: dict[str, Plan]) -> DataFrame:
-    """query_id, alternative, part, excluded, place, term: at most 64 queries of 16 terms in a batch, so broadcast."""
-    rows = [(q, g, p, excluded, i, t) for q, plan in plans.items() for g, sides in enumerate(plan.groups) for excluded, side in zip((False, True), sides, strict=True) for p, part in enumerate(side) for i, t in enumerate(part)]
-    return spark.createDataFrame(rows, "query_id string, alternative int, part int, excluded boolean, place int, term string")
+@dataclass
+class Queries:
+    """Planned queries as small tables, at most 64 queries of 16 terms, so broadcast.
+
+    terms: query_id, term, bits (of the parts that are this term alone), scored. phrases: query_id, bit, size, place, term.
+    alternatives: for each query the bits that must be met, and those that must not.
+    """
+
+    terms: DataFrame
+    phrases: DataFrame | None
+    alternatives: dict[str, list[tuple[int, int]]]
+
+    def accepts(self, query_id: Column, met: Column) -> Column:
+        """Whether the bits that a document has met make one of its query's alternatives."""
+        wanted = F.create_map(*[x for q, sides in self.alternatives.items() for x in (F.lit(q), F.array(*[F.array(F.lit(a).cast("long"), F.lit(b).cast("long")) for a, b in sides]))])
+        return F.exists(F.element_at(wanted, query_id), lambda side: (met.bitwiseAND(side[0]) == side[0]) & (met.bitwiseAND(side[1]) == 0))
+
+
+def query_table(spark: SparkSession, plans: dict[str, Plan]) -> Queries:
+    """Parts are numbered in each query; a number is a bit. A query without alternatives has no terms and meets nothing."""
+    terms: dict[tuple[str, str], list] = {}
+    phrases: list[tuple[str, int, int, int, str]] = []
+    alternatives: dict[str, list[tuple[int, int]]] = {}
+    for q, plan in plans.items():
+        numbers = {part: i for i, part in enumerate(dict.fromkeys(part for group in plan.groups for side in group for part in side))}
+        bits = lambda side: sum(1 << numbers[part] for part in set(side))  # noqa: E731, B023
+        alternatives[q] = [(bits(required), bits(excluded)) for required, excluded in plan.groups]
+        asked = {part for required, _ in plan.groups for part in required}
+        for part, number in numbers.items():
+            for place, term in enumerate(part):
+                row = terms.setdefault((q, term), [0, False])
+                row[0] |= 1 << number if len(part) == 1 else 0
+                row[1] |= part in asked
+                if len(part) > 1:
+                    phrases.append((q, 1 << number, len(part), place, term))
+    columns = lambda rows, **kinds: spark.createDataFrame(pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(kinds.items())}))
+    told = [(q, t, bits, scored) for (q, t), (bits, scored) in terms.items()]
+    return Queries(
+        columns(told, query_id=pa.string(), term=pa.string(), bits=pa.int64(), scored=pa.bool_()),
+        columns(phrases, query_id=pa.string(), bits=pa.int64(), size=pa.int32(), place=pa.int32(), term=pa.string()) if phrases else None,
+        {q: sides for q, sides in alternatives.items() if sides} or {"": [(0, 0)]},
+    )
 
 
 def scan_postings(docs: DataFrame, key: str, terms: list[str], *fields: str) -> Index:
@@ -204,41 +339,47 @@ def scan_postings(docs: DataFrame, key: str, terms: list[str], *fields: str) ->
     return index_of(postings, kept.select("doc_id", "field", "length"))
 
 
-def matching(index: Index, queries: DataFrame) -> DataFrame:
+def phrase_bits(index: Index, queries: Queries, allowed: DataFrame | None = None) -> DataFrame:
+    """query_id, doc_id, bits of the phrases met: the terms of a phrase stand one after another, so all have one start."""
+    placed = restricted(index.postings.join(F.broadcast(queries.phrases), "term"), allowed).select("query_id", "bits", "size", "place", "doc_id", "field", F.explode("positions").alias("position"))
+    starts = placed.groupBy("query_id", "bits", "size", "doc_id", "field", (F.col("position") - F.col("place")).alias("start")).agg(F.count(F.lit(1)).alias("met"))
+    return starts.where("met = size").select("query_id", "doc_id", "bits")
+
+
+def restricted(hits: DataFrame, allowed: DataFrame | None) -> DataFrame:
+    if allowed is None:
+        return hits
+    return hits.join(allowed, ["query_id", "doc_id"] if "query_id" in allowed.columns else "doc_id", "left_semi")
+
+
+def matching(index: Index, queries: Queries) -> DataFrame:
     """query_id, doc_id of the documents that match. A part matches in either field; a phrase at consecutive places.
 
-    Postings are read once for all queries and cut to their terms by a broadcast of the bounded query table.
+    Postings are read once for all queries; one aggregation by query and document gathers the parts met.
     """
-    part = ["query_id", "alternative", "part", "excluded"]
-    sized = queries.join(queries.groupBy(*part).agg(F.count(F.lit(1)).alias("size")), part)
-    single = index.postings.select("term", "doc_id").join(F.broadcast(sized.where("size = 1")), "term").select(*part, "doc_id")
-    # Only phrases need places: their terms must stand one after another, so all have the same start.
-    placed = index.postings.join(F.broadcast(sized.where("size > 1")), "term").select(*part, "size", "place", "doc_id", "field", F.explode("positions").alias("position"))
-    starts = placed.groupBy(*part, "size", "doc_id", "field", (F.col("position") - F.col("place")).alias("start")).agg(F.count(F.lit(1)).alias("met"))
-    parts = single.unionByName(starts.where("met = size").select(*part, "doc_id")).distinct()
-    needed = queries.where("NOT excluded").groupBy("query_id", "alternative").agg(F.countDistinct("part").alias("needed"))
-    met = parts.groupBy("query_id", "alternative", "doc_id").agg(F.sum(F.when(F.col("excluded"), 0).otherwise(1)).alias("met"), F.max("excluded").alias("excluded"))
-    return met.join(F.broadcast(needed), ["query_id", "alternative"]).where("met = needed AND NOT excluded").select("query_id", "doc_id").distinct()
-
-
-def scores(index: Index, queries: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
+    hits = index.postings.join(F.broadcast(queries.terms.where("bits <> 0")), "term").select("query_id", "doc_id", "bits")
+    if queries.phrases is not None:
+        hits = hits.unionByName(phrase_bits(index, queries))
+    met = hits.groupBy("query_id", "doc_id").agg(F.bit_or("bits").alias("met"))
+    return met.where(queries.accepts(F.col("query_id"), F.col("met"))).select("query_id", "doc_id")
+
+
+def scores(index: Index, queries: Queries, allowed: DataFrame | None = None) -> DataFrame:
     """query_id, doc_id, score: BM25 over all matched terms and fields, with exact lengths.
 
-    Statistics are of the whole corpus. ``allowed`` (doc_id, or query_id and doc_id) restricts before any cut-off.
+    Statistics are of the whole corpus. ``allowed`` (doc_id, or query_id and doc_id) restricts postings before they are
+    aggregated. Parts met and weights come from the same aggregation.
     """
-    stats = index.stats
-    terms = queries.where("NOT excluded").select("query_id", "term").distinct()
-    hits = index.postings.join(F.broadcast(terms.select("term").distinct()), "term").select("term", "doc_id", "field", "tf", "length")
     # At most a row per query term and field.
-    frequency = index.terms.join(F.broadcast(terms.select("term").distinct()), "term").select("term", "field", "df")
-    found = matching(index, queries)
-    if allowed is not None:
-        found = found.join(allowed, ["query_id", "doc_id"] if "query_id" in allowed.columns else "doc_id", "left_semi")
-    rated = hits.join(F.broadcast(stats), "field").join(F.broadcast(frequency), ["term", "field"])
+    rated = index.terms.join(F.broadcast(index.stats), "field").join(F.broadcast(queries.terms), "term")
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("average")))
-    by_term = rated.groupBy("doc_id", "term").agg(F.sum(weight).alias("weight"))
-    return by_term.join(F.broadcast(terms), "term").join(found, ["query_id", "doc_id"], "left_semi").groupBy("query_id", "doc_id").agg(F.sum("weight").alias("score"))
+    rated = rated.select("query_id", "term", "field", "bits", F.when(F.col("scored"), idf).otherwise(0.0).alias("idf"), "average")
+    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("average")))
+    hits = restricted(index.postings.select("term", "doc_id", "field", "tf", "length").join(F.broadcast(rated), ["term", "field"]).select("query_id", "doc_id", "bits", weight.alias("weight")), allowed)
+    if queries.phrases is not None:
+        hits = hits.unionByName(phrase_bits(index, queries, allowed).withColumn("weight", F.lit(0.0)))
+    met = hits.groupBy("query_id", "doc_id").agg(F.bit_or("bits").alias("met"), F.sum("weight").alias("score"))
+    return met.where(queries.accepts(F.col("query_id"), F.col("met"))).select("query_id", "doc_id", "score")
 
 
 def top_k(scored: DataFrame, k: int, *tie: str) -> DataFrame:
@@ -251,7 +392,7 @@ def terms_of(plans: dict[str, Plan]) -> list[str]:
     return [t for p in plans.values() for g in p.groups for side in g for part in side for t in part]
 
 
-def search(index: Index, queries: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
+def search(index: Index, queries: Queries, k: int, allowed: DataFrame | None = None) -> DataFrame:
     return top_k(scores(index, queries, allowed).withColumn("score", F.round("score", 6)), k, "doc_id")
 
 

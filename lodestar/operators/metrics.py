@@ -61,12 +61,14 @@ def nearest_rank(values: DataFrame, column: str, percents: list[int], *keys: str
 
     Values are counted first. They fall into buckets in order, by power of two and 4096 steps in it; running counts over
     buckets find the one that holds a rank, and running counts over its values the value. So no task orders all values of
-    a group, however many are distinct.
+    a group, however many are distinct. Infinities are below and above all numbers, and NaN is above these.
     """
     x = F.col(column).cast("double")
-    power = F.when(x == 0, 0).otherwise(F.floor(F.log2(F.abs(x))))
+    special = F.isnan(x) | (F.abs(x) == float("inf"))
+    power = F.when((x == 0) | special, 0).otherwise(F.floor(F.log2(F.abs(x))))
+    end = F.when(F.isnan(x), 20_000).when(x > 0, 10_000).otherwise(-10_000)
     counted = values.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count(F.lit(1)).alias("_n"))
-    counted = counted.withColumn("_power", F.when(x > 0, 5000 + power).when(x < 0, -5000 - power).otherwise(0)).withColumn("_step", F.floor(x / F.pow(F.lit(2.0), power) * 4096))
+    counted = counted.withColumn("_power", F.when(special, end).when(x > 0, 5000 + power).when(x < 0, -5000 - power).otherwise(0)).withColumn("_step", F.when(special, 0).otherwise(F.floor(x / F.pow(F.lit(2.0), power) * 4096)))
     place = ["_power", "_step"]
     sums = counted.groupBy(*keys, *place).agg(F.sum("_n").alias("_n"))
     by = Window.partitionBy(*keys)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from lodestar.functions import ids, text
 from lodestar.operators import classify, extract, filters, fulltext, fusion, vectors
 from lodestar.sources import files
-from lodestar.sources.snapshots import Store, incremental
+from lodestar.sources.snapshots import Read, Store, Table, incremental
 
 MODES = {"fulltext": "fulltext", "keyword": "fulltext", "semantic": "semantic", "hybrid": "hybrid"}
 OVERFETCH, MOST, BATCH = 5, 100, 64
@@ -143,14 +143,19 @@ def import_folder(spark: SparkSession, root: str, readers: dict | None = None, p
 INDEX_TABLES = ("postings", "terms", "lengths", "stats")
 
 
-def index_tables(index: fulltext.Index) -> dict[str, DataFrame]:
-    return {f"index_{name}": table for name, table in index.tables().items()}
+def index_tables(index: fulltext.Index) -> dict[str, DataFrame | Table]:
+    return index.tables("index_")
+
+
+def index_facts(read: Read) -> dict:
+    return {"buckets": fulltext.layout(read("index_lengths"))[0]}
 
 
 def read_index(store: Store) -> fulltext.Index:
     """The current generation's index, from its tables alone."""
-    found = {name: store.current(f"index_{name}") for name in INDEX_TABLES}
-    return fulltext.Index(found["postings"], found["lengths"], found["stats"], found["terms"])
+    head = store.head()
+    found = {name: store.current(f"index_{name}", head) for name in INDEX_TABLES}
+    return fulltext.Index(found["postings"], found["lengths"], found["stats"], found["terms"], head.get("facts", {}).get("buckets") or fulltext.layout(found["lengths"])[0])
 
 
 def projected_index(projection: DataFrame) -> fulltext.Index:
@@ -166,7 +171,7 @@ def corpus_of(projection: DataFrame, mentions: DataFrame | None = None, index: f
     return Corpus(safe, index or projected_index(projection), by_doc)
 
 
-def next_generation(store: Store, new: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
+def next_generation(store: Store, new: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame | Table]:
     """The tables of the generation after the current one: without the documents ``gone`` (doc_id), with the ``new`` ones.
 
     Postings, mentions and all else of documents that stay are taken over as they are.

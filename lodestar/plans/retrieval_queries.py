@@ -13,7 +13,7 @@ from lodestar.operators import filters, fulltext, fusion, vectors
 from lodestar.operators.filters import Predicate
 from lodestar.plans import engine
 from lodestar.plans.registry import query, table
-from lodestar.sources.snapshots import Store
+from lodestar.sources.snapshots import Store, state_of
 
 TOKENS = r"list_filter(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+'), lambda t: octet_length(encode(t)) <= 40)"
 POSTINGS = f"""
@@ -21,26 +21,33 @@ POSTINGS = f"""
     p AS (SELECT doc_id, field, unnest(ts) AS term, unnest(range(len(ts))) AS pos FROM f)"""
 
 
-_published: dict[tuple[str, str], Store] = {}
+_published: dict[tuple[str, str, str], Store] = {}
 
 
 def published(spark: SparkSession, sf: str) -> fulltext.Index:
-    """The published index of a corpus; the first query of a session on it publishes it, the others read what they need."""
-    key = spark.sparkContext.applicationId, sf
+    """The published index of a corpus; the first query of a session on it publishes it, the others read what they need.
+
+    A corpus whose files have changed is another one, and is published anew.
+    """
+    key = spark.sparkContext.applicationId, sf, state_of(spark, f"{sf}/documents.parquet")
     if key not in _published:
         root = spark.conf.get("spark.checkpoint.dir", "") or ""
         if not root:
             if not spark.sparkContext.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
             root = "file://" + tempfile.gettempdir()
-        store = Store(spark, f"{root.rstrip('/')}/lodestar-index-{uuid.uuid4().hex}")
-        index = fulltext.build_index(table(spark, sf, "documents"), "doc_id", "text", "source")
-        store.publish(engine.index_tables(index), "g1", None)
-        _published[key] = store
+        _published[key] = publish_index(spark, sf, f"{root.rstrip('/')}/lodestar-index-{uuid.uuid4().hex}")
     return engine.read_index(_published[key])
 
 
-def postings_of(spark: SparkSession, sf: str, plans: dict[str, fulltext.Plan]) -> tuple[fulltext.Index, DataFrame]:
+def publish_index(spark: SparkSession, sf: str, root: str) -> Store:
+    store = Store(spark, root)
+    index = fulltext.build_index(table(spark, sf, "documents"), "doc_id", "text", "source")
+    store.publish(engine.index_tables(index), "g1", None, engine.index_facts)
+    return store
+
+
+def postings_of(spark: SparkSession, sf: str, plans: dict[str, fulltext.Plan]) -> tuple[fulltext.Index, fulltext.Queries]:
     return published(spark, sf).of(fulltext.terms_of(plans)), fulltext.query_table(spark, plans)
 
 

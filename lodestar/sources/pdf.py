@@ -12,7 +12,6 @@ import zlib
 
 #: Largest file, and most bytes that its streams may unpack to.
 FILE_BYTES, UNPACKED_BYTES = 64 << 20, 256 << 20
-PAGES = 2000
 _OBJECT = re.compile(rb"(?<!\d)(\d{1,9})\s+\d{1,5}\s+obj\b(.*?)(?=\bendobj\b|(?<!\d)\d{1,9}\s+\d{1,5}\s+obj\b|\Z)", re.DOTALL)
 _STREAM = re.compile(rb"\bstream\r?\n(.*?)(?:\r?\n)?endstream", re.DOTALL)
 _TOKEN = re.compile(
@@ -114,7 +113,7 @@ class Document:
         found: list[tuple[bytes, bytes]] = []
         seen: set[bytes] = set()
         todo = [(root, b"") for root in roots[:1]]
-        while todo and len(found) < PAGES:
+        while todo:
             body, inherited = todo.pop()
             own = self.entry(body, b"Resources") or inherited
             kids = re.search(rb"/Kids\s*\[([^\]]*)\]", body)

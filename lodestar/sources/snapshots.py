@@ -1,17 +1,34 @@
-"""Immutable generations of tables and the one pointer that says which is current.
+"""Immutable generations of tables and the journal that says which is current.
 
-A generation is a folder that is written once. Publishing writes the folder, validates it, and then replaces the pointer
-if it still names the base; readers resolve the pointer once and then see one generation whatever happens.
+A generation is a folder that is written once. Publishing writes the folder, validates it, and then adds an entry to the
+journal, which names the generation it follows. The last entry of the unbroken chain is the current generation; readers
+resolve it once and then see one generation whatever happens. HEAD.json only says where in the journal to begin, so a
+publisher may stop anywhere: before its entry nothing has changed, and after it the generation is published.
 """
 
 from __future__ import annotations
 
 import contextlib
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+Read = Callable[[str], DataFrame]
+Table = Callable[[Read], DataFrame]
+
+
+def state_of(spark: SparkSession, path: str) -> str:
+    """Names, lengths and times of the files below ``path``: it differs if the table there has been rewritten."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(at, True)
+    seen = []
+    while found.hasNext():
+        status = found.next()
+        seen.append((status.getPath().toString(), status.getLen(), status.getModificationTime()))
+    return json.dumps(sorted(seen))
 
 
 class Store:
@@ -26,39 +43,74 @@ class Store:
         return self._jvm.org.apache.hadoop.fs.Path(name)
 
     def head(self) -> dict | None:
-        """The current pointer: generation, base and epoch; None before the first publication."""
-        at = self._path(f"{self.root}/HEAD.json")
-        if not self._fs.exists(at):
-            return None
-        stream = self._fs.open(at)
-        try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
-        finally:
-            stream.close()
-
-    def publish(self, tables: dict[str, DataFrame], generation: str, expected: str | None) -> dict:
-        """Writes all tables of a generation, checks them, and moves the pointer from ``expected`` to it.
+        """The current entry: generation, base, epoch and the tables' schemas; None before the first publication.
 
-        Two publishers of one base cannot both move it: the journal entry of an epoch is created exclusively.
+        Entries follow the one that HEAD.json names, if it can be read, else the journal's first. An entry that was never
+        finished, that a later publisher has voided or that follows another generation than the current one counts for nothing.
+        """
+        now = self._entry(f"{self.root}/HEAD.json")
+        for epoch in sorted(e for e in self._epochs() if e > (now or {}).get("epoch", 0)):
+            entry = None if self._exists(self._journal(epoch) + ".void") else self._entry(self._journal(epoch))
+            if entry and entry["base"] == (now or {}).get("generation"):
+                now = entry
+        return now
+
+    def publish(self, tables: dict[str, DataFrame | Table], generation: str, expected: str | None, facts: Callable[[Read], dict] | None = None) -> dict:
+        """Writes all tables of a generation, checks them, and makes it follow ``expected``.
+
+        A table given as a function is made after those before it are written, from what it reads of them by name. So
+        are ``facts``, which are kept in the entry. Two publishers of one base cannot both be followed: the entry of an epoch is created exclusively, and an
+        unfinished one is voided before the next is tried.
         """
         folder = f"{self.root}/generations/{generation}"
-        for name, table in tables.items():
+        schemas: dict[str, StructType] = {}
+        read = lambda name: self.read(generation, name, schemas[name])
+        for name, given in tables.items():
+            table = given(read) if callable(given) else given
             writer = table.write.mode("errorifexists")
             (writer.partitionBy("bucket") if "bucket" in table.columns else writer).parquet(f"{folder}/{name}")
-        for name in tables:
-            written = self.read(generation, name)
-            if {"doc_id", "version_id"} <= set(written.columns) and name == "projection" and not written.groupBy("doc_id").count().where("count > 1").isEmpty():
+            schemas[name] = table.schema
+        for name, schema in schemas.items():
+            if {"doc_id", "version_id"} <= set(schema.names) and name == "projection" and not self.read(generation, name, schema).groupBy("doc_id").count().where("count > 1").isEmpty():
                 raise ValueError("a document is published twice")
         now = self.head()
         if (now or {}).get("generation") != expected:
             raise RuntimeError("the base generation is no longer current")
-        entry = {"generation": generation, "base": expected, "epoch": (now or {}).get("epoch", 0) + 1, "tables": sorted(tables)}
-        self._create(f"{self.root}/journal/{entry['epoch']:012d}.json", entry, False)
-        self._create(f"{self.root}/HEAD.json.new", entry, True)
-        self._fs.delete(self._path(f"{self.root}/HEAD.json"), False)
-        self._fs.rename(self._path(f"{self.root}/HEAD.json.new"), self._path(f"{self.root}/HEAD.json"))
+        epoch = (now or {}).get("epoch", 0) + 1
+        while self._exists(self._journal(epoch)):
+            voided, rival = self._exists(self._journal(epoch) + ".void"), self._entry(self._journal(epoch))
+            if rival and rival["base"] == expected and not voided:
+                raise RuntimeError("the base generation is no longer current")
+            if rival is None and not voided:
+                self._create(self._journal(epoch) + ".void", {}, True)
+            epoch += 1
+        entry = {"generation": generation, "base": expected, "epoch": epoch, "tables": sorted(tables), "schemas": {n: s.jsonValue() for n, s in schemas.items()}, "facts": facts(read) if facts else {}}
+        self._create(self._journal(epoch), entry, False)
+        if (self.head() or {}).get("generation") != generation:
+            raise RuntimeError("the base generation is no longer current")
+        self._create(f"{self.root}/HEAD.json", entry, True)
         return entry
 
+    def _journal(self, epoch: int) -> str:
+        return f"{self.root}/journal/{epoch:012d}.json"
+
+    def _epochs(self) -> list[int]:
+        journal = self._path(f"{self.root}/journal")
+        names = [s.getPath().getName() for s in self._fs.listStatus(journal)] if self._fs.exists(journal) else []
+        return [int(n[:-5]) for n in names if n.endswith(".json")]
+
+    def _exists(self, name: str) -> bool:
+        return self._fs.exists(self._path(name))
+
+    def _entry(self, name: str) -> dict | None:
+        """An entry, or None if there is none or its writer stopped in between."""
+        if not self._exists(name):
+            return None
+        try:
+            return json.loads(self._text(name))
+        except ValueError:
+            return None
+
     @contextlib.contextmanager
     def staged(self, tables: dict[str, DataFrame], name: str) -> Iterator[dict[str, DataFrame]]:
         """The tables written once and reread, so that what derives from them does not compute them again."""
@@ -77,20 +129,26 @@ class Store:
         finally:
             stream.close()
 
-    def read(self, generation: str, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/generations/{generation}/{name}")
+    def read(self, generation: str, name: str, schema: StructType | None = None) -> DataFrame:
+        reader = self.spark.read if schema is None else self.spark.read.schema(schema)
+        return reader.parquet(f"{self.root}/generations/{generation}/{name}")
 
-    def current(self, name: str) -> DataFrame:
-        head = self.head()
+    def current(self, name: str, head: dict | None = None) -> DataFrame:
+        """A table of the current generation, or of that of an entry already read; its schema is not inferred again."""
+        head = head or self.head()
         if head is None:
             raise LookupError("nothing is published")
-        return self.read(head["generation"], name)
+        schema = head.get("schemas", {}).get(name)
+        return self.read(head["generation"], name, StructType.fromJson(schema) if schema else None)
 
     def collect_garbage(self, keep: int, leased: frozenset[str] = frozenset()) -> list[str]:
         """Deletes generations that are neither among the last ``keep`` of the journal nor leased; orphans go too."""
-        journal = self._path(f"{self.root}/journal")
-        names = sorted(s.getPath().toString() for s in self._fs.listStatus(journal)) if self._fs.exists(journal) else []
-        kept = {json.loads(self._text(n))["generation"] for n in names[-keep:]} | leased if keep else set(leased)
+        chain = {}
+        for epoch in sorted(self._epochs()):
+            entry = None if self._exists(self._journal(epoch) + ".void") else self._entry(self._journal(epoch))
+            if entry and entry["base"] == next(reversed(chain), None):
+                chain[entry["generation"]] = epoch
+        kept = set(list(chain)[-keep:]) | leased if keep else set(leased)
         gone = []
         for status in self._fs.listStatus(self._path(f"{self.root}/generations")):
             name = status.getPath().getName()

@@ -111,7 +111,7 @@ def test_embeddings(spark):
 BOOLEAN = [("a", "rust backend platform"), ("b", "rust frontend platform"), ("c", "python backend platform"), ("d", "backend rust platform")]
 
 
-@pytest.mark.parametrize(("query", "want"), [("rust backend", "ad"), ("rust AND backend", "ad"), ("rust OR backend", "abcd"), ('"rust backend"', "a"), ("platform NOT rust", "c"), ("nothing", ""), ("RUST", "abd"), ('python OR "backend rust"', "cd")])
+@pytest.mark.parametrize(("query", "want"), [("rust backend", "ad"), ("rust AND backend", "ad"), ("rust OR backend", "abcd"), ('"rust backend"', "a"), ("platform NOT rust", "c"), ("nothing", ""), ("RUST", "abd"), ('python OR "backend rust"', "cd"), ("platform AND (rust OR python)", "abcd"), ("rust AND (frontend OR backend)", "abd"), ("rust NOT (frontend OR backend)", ""), ("NOT (frontend OR python) rust", "ad"), ("platform -(rust backend)", "bc"), ("rust AND (frontend OR (backend NOT platform", "b"), ("rust) frontend", "b"), ("(rust OR python) AND (frontend OR \"python backend\")", "bc"), ("NOT rust", "")])
 def test_boolean_queries(spark, query, want):
     docs = spark.createDataFrame(BOOLEAN, "doc_id string, text string")
     index = fulltext.build_index(docs, "doc_id", "text")
