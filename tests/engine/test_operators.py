@@ -1,6 +1,7 @@
 """Behaviour that single cases show best: literal inputs and what must come out."""
 
 import io
+import math
 import random
 import unicodedata
 import zipfile
@@ -628,3 +629,66 @@ def test_pdf_import_and_its_quality_gate(spark, tmp_path):
     (tmp_path / "locked.pdf").write_bytes(pdf(show(lines)) + b" /Encrypt 5 0 R")
     found = {r.file_name: r.status for r in engine.import_folder(spark, str(tmp_path))["versions"].collect()}
     assert found == {"cv.pdf": "resume_candidate", "poor.pdf": "ocr_backlog", "image.pdf": "ocr_backlog", "locked.pdf": "failed"}
+
+
+def test_store_recovers_from_a_stop_at_each_step(spark, tmp_path, monkeypatch):
+    one = spark.createDataFrame([("a",)], "doc_id string")
+    stops = {"journal": lambda name: "/journal/" in name, "void": lambda name: False, "head": lambda name: name.endswith("HEAD.json")}
+    for step, stop in stops.items():
+        shop = snapshots.Store(spark, str(tmp_path / step))
+        shop.publish({"projection": one}, "g1", None)
+        create = snapshots.Store._create
+
+        def broken(self, name, value, overwrite, stop=stop, create=create):
+            if stop(name):
+                self._fs.create(self._path(name), overwrite).close()
+                raise OSError("stopped")
+            create(self, name, value, overwrite)
+
+        monkeypatch.setattr(snapshots.Store, "_create", broken)
+        if step != "void":
+            with pytest.raises(OSError):
+                shop.publish({"projection": one}, "g2", "g1")
+        monkeypatch.setattr(snapshots.Store, "_create", create)
+        # Before the entry is whole nothing has changed; after it the generation is published, whatever became of HEAD.
+        base = {"journal": "g1", "void": "g1", "head": "g2"}[step]
+        assert shop.head()["generation"] == base and shop.current("projection").count() == 1
+        assert shop.publish({"projection": one.limit(0)}, "g3", base)["generation"] == "g3"
+        shop._fs.delete(shop._path(f"{shop.root}/HEAD.json"), False)
+        assert shop.head()["generation"] == "g3" and shop.current("projection").count() == 0
+        with pytest.raises(RuntimeError):
+            shop.publish({"projection": one}, "g4", base)
+        assert "g3" not in shop.collect_garbage(1)
+
+
+def test_index_follows_its_table(spark, tmp_path):
+    from lodestar.plans import retrieval_queries
+
+    write = lambda rows: spark.createDataFrame(rows, "doc_id long, text string, source string").write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+    terms = lambda: {r.term for r in retrieval_queries.ft_index_statistics(spark, str(tmp_path)).where("field = 'text'").collect()}
+    write([(1, "alpha beta", "s"), (2, "beta", "s")])
+    assert terms() == {"alpha", "beta"}
+    write([(3, "gamma", "s")])
+    assert terms() == {"gamma"}
+
+
+def test_nearest_rank_of_infinities_and_nan(spark):
+    inf, nan = float("inf"), float("nan")
+    rank = lambda values, *ps: spark_rank(spark, values, ps)
+    assert rank([1.0, 2.0, inf], 50, 100) == [2.0, inf]
+    assert rank([-inf, 1.0, inf, -inf], 25, 50, 75, 100) == [-inf, -inf, 1.0, inf]
+    got = rank([1.0, 2.0, nan], 50, 100)
+    assert got[0] == 2.0 and math.isnan(got[1])
+    assert rank([-0.0, 0.0, 5e-324, -1.0], 25, 50, 100) == [-1.0, 0.0, 5e-324]
+
+
+def spark_rank(spark, values, percents):
+    row = metrics.nearest_rank(spark.createDataFrame([(v,) for v in values], "x double"), "x", list(percents)).first()
+    return [row[f"p{p}"] for p in percents]
+
+
+def test_pdf_of_many_pages():
+    from lodestar.sources.pdf import read_pdf
+
+    text = read_pdf(pdf(*(b"BT /F1 12 Tf (page%d) Tj ET" % k for k in range(2500))))
+    assert "page0" in text and "page2499" in text
