@@ -29,7 +29,12 @@ SILENT = "script|style|noscript|template|title|svg|iframe|object|textarea|canvas
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html label legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 TELLING = frozenset("nav header footer aside article main section form ul ol li table td blockquote figure figcaption h1 h2 h3 h4 h5 h6 p pre dl dt dd button label legend select option dialog details summary fieldset menu a".split())
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<svg(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?<=/)>|<(?P<silent>{SILENT})(?=[\s/>])[^>]*+>.*?(?:</(?P=silent)(?=[\s/>])[^>]*+>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<more>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/a-zA-Z][^>]*+>|(?P<text>[^<]++|<)", re.DOTALL | re.IGNORECASE)
+_QUOTED = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+"
+_FORM = (
+    r"<!--.*?(?:-->|\Z)|<svg(?=[\s/>])(?:{more})(?<=/)>|<(?P<silent>" + SILENT + r")(?=[\s/>])[^>]*+>.*?(?:(?P<shut></(?P=silent)(?=[\s/>])[^>]*+>)|\Z)"
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<more>{more})>|<[!?/a-zA-Z][^>]*+>|(?P<text>[^<]++|<)"
+)
+_TOKEN, _PLAIN = (re.compile(_FORM.format(more=more), re.DOTALL | re.IGNORECASE) for more in (_QUOTED, r"[^>]*+"))
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _LABEL = re.compile(r'data-label="(\d)"')
 _SPLIT = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -85,6 +90,29 @@ class Open:
         return TELLING & self.tags.keys(), set(self.words), self.blocks[-1] if self.blocks else "", self.labels[-1] if self.labels else None
 
 
+def pieces(page: str) -> Iterator[re.Match | str]:
+    """A page's tags, comments, silent elements and texts in order, in time linear in its length.
+
+    Behind the last ``>`` no tag can end, so the rest is one text. A tag whose quotes never close is looked through to the
+    page's end once; from there on quotes mean nothing.
+    """
+    end, at, pattern = page.rfind(">") + 1, 0, _TOKEN
+    whole = True
+    while at < end:
+        m = pattern.match(page, at, end)
+        at = m.end()
+        found = m[0]
+        if found.startswith("<!--"):
+            whole = found.endswith("-->")
+        elif m["silent"] is not None:
+            whole = m["shut"] is not None
+        elif m["tag"] is None and m["text"] is None and (found[1:2].isalpha() or found[1:2] == "/" and found[2:3].isalpha()):
+            pattern = _PLAIN
+        yield m
+    if whole and at < len(page):
+        yield page[at:].partition("<!--")[0]
+
+
 def leaf_blocks(page: str) -> list[tuple[str, list[str], int | None]]:
     """(text, features, label) of the leaf blocks in page order. Labels are in training pages only."""
     open_ = Open()
@@ -102,8 +130,8 @@ def leaf_blocks(page: str) -> list[tuple[str, list[str], int | None]]:
             found.append((text, features(frame, text, linked / max(1, len(raw))), frame[3]))
         parts, linked = [], 0
 
-    for m in _TOKEN.finditer(page):
-        text = m["text"]
+    for m in pieces(page):
+        text = m if isinstance(m, str) else m["text"]
         if text is not None:
             if not parts:
                 frame = open_.frame()

@@ -504,6 +504,23 @@ def test_leaf_blocks_take_linear_time():
     assert seconds(16_000) < 12 * max(0.01, seconds(4_000))
 
 
+@pytest.mark.parametrize("piece", ["<a ", "</p ", "<script", "<b title='x", '<a ">"', "<script></script ", "<!-", "<svg '"])
+def test_unclosed_tags_take_linear_time(piece):
+    import time
+
+    page = "<article><p>Before.</p>" + piece * ((1 << 20) // len(piece))
+    for tail in ("", ">", "'>"):
+        began = time.process_time()
+        assert maintext.leaf_blocks(page + tail)[0][0] == "Before."
+        assert time.process_time() - began < 8
+
+
+def test_pieces_are_those_of_the_whole_pattern():
+    for page in ("<p>a<b", "x <!-- y", "<p>a</p><script>b", "<p title='a>b'>c", "a < b > c", "<svg/>x<svg>y</svg>z<", "<p>q</p>r <!-- s", ""):
+        want = "".join(m["text"] or "" for m in maintext._TOKEN.finditer(page))
+        assert "".join(m if isinstance(m, str) else m["text"] or "" for m in maintext.pieces(page)) == want
+
+
 def toxic_rows(n, seed):
     r = random.Random(seed)
     word = lambda: "".join(r.choice(["ba", "ce", "di", "fo", "gu", "ne", "st"]) for _ in range(r.randint(1, 3)))
