@@ -241,6 +241,8 @@ def apply_changes(spark: SparkSession, changes: DataFrame, wait: int = WAIT) ->
     """
     rows = written(dated(numbered(changes)), "dated")
     facts = {r.turn: r for r in rows.groupBy("turn").agg(F.max("day").alias("day"), F.max("n").alias("n"), F.count(F.lit(1)).alias("k")).collect()}
+    if not facts:
+        return rows.select("change_id", "client_id", F.col("op").alias("status"), F.col("turn").alias("batch"), F.col("n").alias("missed"), "city", F.col("n").alias("cents"), F.lit(True).alias("current"))
     span = max([LEAST_SPAN, *(int(r.n**0.5) + 1 for r in facts.values())])
     buckets = max([16, *(r.k // BUCKET_ROWS for r in facts.values())])
     clocks = [max((r.day for t, r in facts.items() if t < turn), default=NEVER) for turn in range(1, BATCHES + 1)] + [ALWAYS]
