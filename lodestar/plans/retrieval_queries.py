@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions.months import month_text
-from lodestar.operators import filters, fulltext, fusion, vectors
+from lodestar.operators import ann, filters, fulltext, fusion, vectors
 from lodestar.operators.filters import Predicate
 from lodestar.plans import engine
 from lodestar.plans.registry import query, table
@@ -24,6 +24,16 @@ POSTINGS = f"""
 _published: dict[tuple[str, str, str], Store] = {}
 
 
+def new_folder(spark: SparkSession, purpose: str) -> str:
+    """A path below the folder that all machines share; only a local session may do without one."""
+    root = spark.conf.get("spark.checkpoint.dir", "") or ""
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        root = "file://" + tempfile.gettempdir()
+    return f"{root.rstrip('/')}/lodestar-{purpose}-{uuid.uuid4().hex}"
+
+
 def published(spark: SparkSession, sf: str) -> fulltext.Index:
     """The published index of a corpus; the first query of a session on it publishes it, the others read what they need.
 
@@ -31,12 +41,7 @@ def published(spark: SparkSession, sf: str) -> fulltext.Index:
     """
     key = spark.sparkContext.applicationId, sf, state_of(spark, f"{sf}/documents.parquet")
     if key not in _published:
-        root = spark.conf.get("spark.checkpoint.dir", "") or ""
-        if not root:
-            if not spark.sparkContext.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
-            root = "file://" + tempfile.gettempdir()
-        _published[key] = publish_index(spark, sf, f"{root.rstrip('/')}/lodestar-index-{uuid.uuid4().hex}")
+        _published[key] = publish_index(spark, sf, new_folder(spark, "index"))
     return engine.read_index(_published[key])
 
 
@@ -80,6 +85,12 @@ def ft_index_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return published(spark, sf).terms.select("term", "field", "df", "cf")
 
 
+@query(f"WITH {POSTINGS} SELECT term, field, count(DISTINCT doc_id) AS df, count(*) AS cf FROM p GROUP BY term, field")
+def ft_index_build(spark: SparkSession, sf: str) -> DataFrame:
+    """Publishes the corpus' index afresh at every call."""
+    return engine.read_index(publish_index(spark, sf, new_folder(spark, "index"))).terms.select("term", "field", "df", "cf")
+
+
 #: The generation after the first: every fifth document gone, every seventh with another text.
 NEXT = "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'new words the' ELSE text END AS text, source FROM documents WHERE doc_id % 5 <> 0 OR doc_id % 7 = 0"
 
@@ -179,6 +190,61 @@ def vec_knn_postfilter(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.filtered_after(near(spark, sf, 10), table(spark, sf, "embeddings").where("label % 2 = 0"))
 
 
+_coded: dict[tuple[str, str, str], Store] = {}
+
+
+def coded(spark: SparkSession, sf: str) -> tuple[DataFrame, ann.Model]:
+    """The published codes and model of a corpus' vectors."""
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or new_folder(spark, "checkpoints"))
+    key = spark.sparkContext.applicationId, sf, state_of(spark, f"{sf}/embeddings.parquet")
+    if key not in _coded:
+        store = Store(spark, new_folder(spark, "vectors"))
+        ann.publish(store, "g1", None, table(spark, sf, "embeddings"))
+        _coded[key] = store
+    return _coded[key].current("ann_codes"), ann.read_model(_coded[key].current("ann_model"))
+
+
+def approximate(spark: SparkSession, sf: str, k: int, allowed: DataFrame | None = None) -> DataFrame:
+    vecs = table(spark, sf, "embeddings")
+    return ann.search(*coded(spark, sf), vecs, vecs.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), k, allowed)
+
+
+@query(None)
+def vec_ann_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """Every 20th vector against all by inverted lists of codes; tests and ``vec_ann_recall`` hold it against the exact ranking."""
+    return approximate(spark, sf, 10)
+
+
+@query(None)
+def vec_ann_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """query_id and how many of its ten nearest vectors the approximate search has found."""
+    found = approximate(spark, sf, 10).select("query_id", "vec_id", F.lit(1).alias("hit"))
+    return near(spark, sf, 10).join(found, ["query_id", "vec_id"], "left").groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("n_found"))
+
+
+@query(f"{KNN.replace('FROM q, embeddings)', 'FROM q, embeddings WHERE vec_id % 97 = 3)')} SELECT query_id, vec_id, score, rank FROM r WHERE rank <= 400")
+def vec_ann_backfill(spark: SparkSession, sf: str) -> DataFrame:
+    """More is asked for than candidates have: every list is filled exactly."""
+    return approximate(spark, sf, 400, table(spark, sf, "embeddings").where("vec_id % 97 = 3"))
+
+
+@query("""
+    WITH m AS (SELECT vec_id, embedding, list_max(list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE)))) / 127 AS s FROM embeddings),
+    c AS (SELECT vec_id, embedding, CASE WHEN s > 0 THEN s ELSE 1.0 END AS s FROM m),
+    e AS (SELECT vec_id, embedding, s, list_transform(embedding, lambda x: CAST(round(CAST(x AS DOUBLE) / s) AS INTEGER)) AS codes FROM c)
+    SELECT a.vec_id, round(a.s, 9) AS scale, CAST(list_sum(list_transform(a.codes, lambda x: abs(x))) AS BIGINT) AS weight,
+           round(list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(a.codes AS DOUBLE[])) * a.s, 6) AS dot
+    FROM e a JOIN e b ON b.vec_id = a.vec_id + 1""")
+def vec_int8(spark: SparkSession, sf: str) -> DataFrame:
+    """Bytes instead of floats: scale, magnitude of the codes, and the following vector's own values against them."""
+    vecs = table(spark, sf, "embeddings")
+    following = vecs.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    both = vecs.join(following, "vec_id").withColumn("code", ann.int8_codes(F.col("embedding")))
+    weight = F.aggregate("code.codes", F.lit(0).cast("long"), lambda s, c: s + F.abs(c.cast("long")))
+    return both.select("vec_id", F.round("code.scale", 9).alias("scale"), weight.alias("weight"), F.round(ann.int8_dot(F.col("other"), F.col("code")), 6).alias("dot"))
+
+
 @query("""
     SELECT a.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score
     FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import ids, months, text, values
 from lodestar.operators import classify, extract, sections
-from lodestar.plans.registry import ORACLE_SQL, query, table, values_sql
+from lodestar.plans.registry import ORACLE_SQL, literal, query, table, values_sql
 from lodestar.sources import files
 
 ASCII = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -151,23 +151,46 @@ def id_contact_hash(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "customer").select("c_custkey", hashed(F.lower("c_name")).alias("email_hash"))
 
 
-VALUE_CASES = [
-    ("degree", "B.E.", "bachelor"), ("degree", "be", None), ("degree", " M.Sc ", "master"), ("degree", "博士研究生", "doctor"), ("degree", "Ph-D", "doctor"), ("degree", "high school", "high_school"),
-    ("school_tier", "Project 985", "985"), ("school_tier", "Double-First-Class", "double_first_class"), ("school_tier", "Ivy League", "overseas"), ("school_tier", "none", None),
-    ("skill", "K8s", "kubernetes"), ("skill", " Node  JS ", "node.js"), ("skill", "Amazon Web Services", "aws"), ("skill", "Apache  Beam", "apache beam"),
-    ("major", "Computer-Science", "computer_science"), ("major", "统计学", "statistics"), ("major", "Marine Biology (BSc)", "marine_biology_bsc"),
-    ("company", "Acme  Co., Ltd.", "acme"), ("company", "星辰 有限公司", "星辰"), ("company", "Foo Inc 公司", "foo inc"), ("company", "Company", "company"),
-    ("title", "Senior Backend-Engineer", "backend_engineer"), ("title", "Chief of Staff", "chief_of_staff"),
-    ("location", "Shanghai, China", "shanghai"), ("location", " SF Bay Area ", "san_francisco"), ("location", "上海市；浦东", "shanghai"), ("location", "Cape  Town", "cape town"),
-    ("certificate", "AWS Certified Solutions Architect", "aws_solutions_architect"), ("certificate", "CFA Level I", "cfa_level_1"), ("certificate", "Some-Thing", "some_thing"),
-]
-
-
-@query(values_sql("kind VARCHAR, raw VARCHAR, value VARCHAR", VALUE_CASES))
+#: Tables of each kind of value. Two parts in three get an alias of their kind, in capitals or between blanks, the others their own name.
+KINDS = {"degree": values.DEGREES, "school_tier": values.SCHOOL_TIERS, "skill": values.SKILLS, "major": values.MAJORS, "title": values.TITLES, "location": values.LOCATIONS, "certificate": values.CERTIFICATES, "company": {}}
+ALIASES = {kind: sorted(values.aliases(known)) or ["acme  co., ltd.", "foo inc", "company", "星辰 有限公司", "north gmbh 公司"] for kind, known in KINDS.items()}
+
+
+def value_sql() -> str:
+    known = {kind: values.aliases(t) for kind, t in KINDS.items() if t}
+    find = lambda kind, key: f"MAP({literal(list(known[kind]))}, {literal(list(known[kind].values()))})[{key}]"
+    joined = r"trim(regexp_replace(lower(trim(raw)), '[^\p{L}\p{N}]+', '_', 'g'), '_')"
+    folded = r"lower(trim(regexp_replace(raw, '\s+', ' ', 'g')))"
+    bare = r"regexp_replace(lower(trim(raw)), '[ \-_]', '', 'g')"
+    primary = r"trim(regexp_extract(lower(trim(raw)), '^[^,，;；|/\\、]*'))"
+    strip = lambda x, suffixes: f"trim(left({x}, length({x}) - coalesce(length(list_filter({literal(list(suffixes))}, lambda e: ends_with({x}, e))[1]), 0)))"
+    cases = {
+        "degree": f"CASE WHEN replace(lower(trim(raw)), ' ', '') = 'b.e.' THEN 'bachelor' ELSE {find('degree', REG.format('[ .\\-_]'))} END",
+        "school_tier": find("school_tier", REG.format(r"[^\p{L}\p{N}]")),
+        "skill": f"coalesce({find('skill', REG.format(r'[^\p{L}\p{N}]'))}, {folded})",
+        "major": f"coalesce({find('major', bare)}, {joined})",
+        "title": f"coalesce({find('title', joined)}, {joined})",
+        "location": f"coalesce({find('location', REG2.format(primary))}, {primary})",
+        "certificate": f"coalesce({find('certificate', joined)}, {joined})",
+        "company": strip(strip(folded, values.COMPANY_SUFFIXES_EN), values.COMPANY_SUFFIXES_ZH),
+    }
+    names = " ".join(f"WHEN {i} THEN {literal(ALIASES[k])}" for i, k in enumerate(KINDS))
+    rows = f"SELECT p_partkey, p_partkey % 8 AS k, p_name, p_partkey // 8 AS i, CASE p_partkey % 8 {names} END AS a FROM part"
+    raws = f"SELECT p_partkey, k, CASE WHEN p_partkey % 3 = 0 THEN p_name WHEN p_partkey % 3 = 1 THEN upper(a[i % len(a) + 1]) ELSE '  ' || a[i % len(a) + 1] || ' ' END AS raw FROM r"
+    return f"WITH r AS ({rows}), d AS ({raws}) SELECT p_partkey, CASE k {' '.join(f'WHEN {i} THEN {cases[kind]}' for i, kind in enumerate(KINDS))} END AS value FROM d"
+
+
+REG = "regexp_replace(lower(trim(raw)), '{0}', '', 'g')"
+REG2 = "regexp_replace({0}, '[ \\-_]', '', 'g')"
+
+
+@query(value_sql())
 def val_normalize(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame([(k, r) for k, r, _ in VALUE_CASES], "kind string, raw string")
-    by = {k: getattr(values, k) for k, *_ in VALUE_CASES}
-    return rows.withColumn("value", F.coalesce(*[F.when(F.col("kind") == k, f(F.col("raw"))) for k, f in by.items()]))
+    key = F.col("p_partkey")
+    alias = F.coalesce(*[F.when(key % 8 == i, F.get(F.array(*[F.lit(a) for a in ALIASES[kind]]), (F.floor(key / 8) % len(ALIASES[kind])).cast("int"))) for i, kind in enumerate(KINDS)])
+    raw = F.when(key % 3 == 0, F.col("p_name")).when(key % 3 == 1, F.upper(alias)).otherwise(F.concat(F.lit("  "), alias, F.lit(" ")))
+    rows = table(spark, sf, "part").select("p_partkey", raw.alias("raw"))
+    return rows.select("p_partkey", F.coalesce(*[F.when(key % 8 == i, getattr(values, kind)(F.col("raw"))) for i, kind in enumerate(KINDS)]).alias("value"))
 
 
 @query("""
@@ -176,15 +199,22 @@ def val_tokens_joined(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", values.title(F.col("p_type")).alias("title"))
 
 
-RANGE_CASES = [
-    ("2020-01/2024-03", "2020-01/2024-03"), ("2020-1..2020-1", "2020-01/2020-01"), ("2019年09月/至今", "2019-09/PRESENT"), ("1899-12/2000-01", None), ("2020-05/2020-04", None),
-    ("2020-05/Present", "2020-05/PRESENT"), ("2100-12/2100-12", "2100-12/2100-12"), ("2020-13/2021-01", None), ("2020-05", None), (" 2020-05 / NOW ", "2020-05/PRESENT"), ("x/y", None),
-]
-
-
-@query(values_sql("raw VARCHAR, canonical VARCHAR", RANGE_CASES))
+# Ranges are written in eight ways, from an order's month and one some months later; the last three are malformed, but for ends that are the start.
+@query("""
+    WITH o AS (SELECT o_orderkey, o_orderkey % 8 AS way, date_trunc('month', CAST(o_orderdate AS DATE)) AS s, CAST(date_trunc('month', CAST(o_orderdate AS DATE)) + to_months(CAST(o_orderkey % 29 AS INTEGER)) AS DATE) AS e FROM orders)
+    SELECT o_orderkey, CASE WHEN way IN (0, 1, 2) THEN strftime(s, '%Y-%m') || '/' || strftime(e, '%Y-%m') WHEN way IN (3, 4) THEN strftime(s, '%Y-%m') || '/PRESENT'
+                            WHEN way = 5 AND s = e THEN strftime(s, '%Y-%m') || '/' || strftime(e, '%Y-%m') END AS canonical FROM o""")
 def date_canonical(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame([(r,) for r, _ in RANGE_CASES], "raw string").withColumn("canonical", months.range_text(months.month_range(F.col("raw"))))
+    start = F.trunc(F.col("o_orderdate").cast("date"), "month")
+    end = F.add_months(start, (F.col("o_orderkey") % 29).cast("int"))
+    said = lambda d, form: F.date_format(d, form)
+    ways = [
+        F.concat(said(start, "yyyy-MM"), F.lit("/"), said(end, "yyyy-MM")), F.concat(said(start, "yyyy-M"), F.lit(".."), said(end, "yyyy-M")), F.concat(F.lit(" "), said(start, "yyyy年MM月"), F.lit(" / "), said(end, "yyyy年M月")),
+        F.concat(said(start, "yyyy年MM月"), F.lit("/至今")), F.concat(said(start, "yyyy-MM"), F.lit(" / NOW ")),
+        F.concat(said(end, "yyyy-MM"), F.lit("/"), said(start, "yyyy-MM")), F.concat(said(start, "yyyy"), F.lit("-13/"), said(end, "yyyy-MM")), said(start, "yyyy-MM"),
+    ]
+    raw = F.coalesce(*[F.when(F.col("o_orderkey") % 8 == i, w) for i, w in enumerate(ways)])
+    return table(spark, sf, "orders").select("o_orderkey", text.let(raw, lambda r: text.let(months.month_range(r), months.range_text)).alias("canonical"))
 
 
 @query("""
@@ -210,24 +240,46 @@ def interval_union_years(spark: SparkSession, sf: str) -> DataFrame:
     return months.experience_years(table(spark, sf, "orders").select("o_custkey", month.alias("start_month"), end.alias("end_month")), "o_custkey")
 
 
-HEADING_CASES = [
-    ("Contact:", "contact"), ("## Professional Summary ##", "profile"), ("Project Experience", "project"), ("工作经历", "experience"), ("Skills | Tools", None), ("EDUCATION", "education"),
-    ("a line that mentions education but is far too long to be one", None), ("认证", "certificate"), ("...", None), ("My hobbies", None),
-]
+#: What stands before and after a heading word; with the last it is too long to be a heading.
+AROUND = [("", ":"), ("## ", " ##"), ("My ", " so far"), ("", " | more"), (" ", " " + "and so on " * 5)]
+HEADING_WORDS = [w for _, words in sections.HEADINGS for w in words] + ["hobbies", "...", "work"]
 
 
-@query(values_sql("line VARCHAR, family VARCHAR", HEADING_CASES))
-def section_headings(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame([(x,) for x, _ in HEADING_CASES], "line string").withColumn("family", sections.heading_family(F.col("line")))
+def family_sql(line: str) -> str:
+    """The family of a line: the first in order with a word in it, punctuation at the ends left out."""
+    bare = rf"lower(regexp_replace({line}, '^[[:punct:]\s：，。、；]+|[[:punct:]\s：，。、；]+$', '', 'g'))"
+    cases = " ".join(f"WHEN {' OR '.join(f'contains({bare}, {literal(w)})' for w in words)} THEN {literal(family)}" for family, words in sections.HEADINGS)
+    return f"CASE WHEN contains({line}, '|') OR {bare} = '' OR octet_length(encode({bare})) > 40 THEN NULL {cases} END"
 
 
-RESUME = "Jane Doe\nEmail: jane.doe@example.test\nPhone: +86 138-0013-8000\nSummary\nEngineer.\nExperience\nAcme Technologies\nSenior Backend Engineer\n2018.01 - 2020.06\n- Built a search engine\n2020.06 - 2021.01\nEducation\nExample University\nBachelor of Science in Computer Science\n\nSkills: Rust, K8s, PostgreSQL\nLocation: Shanghai, China\nCertificates: CKA\n"
-SECTION_ROWS = [(0, "profile", "Summary\nEngineer."), (1, "experience", "Experience\nAcme Technologies\nSenior Backend Engineer\n2018.01 - 2020.06\n- Built a search engine\n2020.06 - 2021.01"), (2, "education", "Education\nExample University\nBachelor of Science in Computer Science"), (3, "skill", "Skills: Rust, K8s, PostgreSQL\nLocation: Shanghai, China"), (4, "certificate", "Certificates: CKA")]
+def heading_line(spark: SparkSession, sf: str) -> DataFrame:
+    pick = lambda options, n: F.get(F.array(*[F.lit(o) for o in options]), (n % len(options)).cast("int"))
+    key = F.col("doc_id")
+    line = F.concat(pick([a for a, _ in AROUND], key), F.when(F.floor(key / 5) % 2 == 0, F.upper(pick(HEADING_WORDS, F.floor(key / 10)))).otherwise(pick(HEADING_WORDS, F.floor(key / 10))), pick([b for _, b in AROUND], key))
+    return table(spark, sf, "documents").select("doc_id", "text", line.alias("line"))
+
+
+LINE = f"{literal([a for a, _ in AROUND])}[doc_id % 5 + 1] || CASE WHEN doc_id // 5 % 2 = 0 THEN upper(w) ELSE w END || {literal([b for _, b in AROUND])}[doc_id % 5 + 1]"
+LINES = f"r AS (SELECT doc_id, text, {literal(HEADING_WORDS)}[doc_id // 10 % {len(HEADING_WORDS)} + 1] AS w FROM documents), h AS (SELECT doc_id, text, {LINE} AS line FROM r)"
 
 
-@query(values_sql("order_no INTEGER, section_type VARCHAR, text VARCHAR", SECTION_ROWS))
+@query(f"WITH {LINES} SELECT doc_id, {family_sql('line')} AS family FROM h")
+def section_headings(spark: SparkSession, sf: str) -> DataFrame:
+    return heading_line(spark, sf).select("doc_id", sections.heading_family(F.col("line")).alias("family"))
+
+
+@query(rf"""
+    WITH {LINES}, l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10))))) AS p FROM (SELECT doc_id, line || chr(10) || text || chr(10) || 'Education' || chr(10) || line || chr(10) || ' ' AS t FROM h)),
+    f AS (SELECT *, {family_sql('line')} AS family FROM l),
+    s AS (SELECT *, count(family) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM f)
+    SELECT doc_id, CAST(k - 1 AS INTEGER) AS order_no, arg_min(family, p) AS section_type, regexp_replace(string_agg(line, chr(10) ORDER BY p), '\s+$', '') AS text FROM s WHERE k > 0 GROUP BY doc_id, k""")
 def section_runs(spark: SparkSession, sf: str) -> DataFrame:
-    return sections.heading_sections(spark.createDataFrame([(1, RESUME)], "doc_id long, text string")).select("order_no", "section_type", "text")
+    """Whole documents between headings of their own."""
+    texts = heading_line(spark, sf).select("doc_id", F.concat("line", F.lit("\n"), "text", F.lit("\nEducation\n"), "line", F.lit("\n ")).alias("text"))
+    return sections.heading_sections(texts).select("doc_id", "order_no", "section_type", "text")
+
+
+RESUME = "Jane Doe\nEmail: jane.doe@example.test\nPhone: +86 138-0013-8000\nSummary\nEngineer.\nExperience\nAcme Technologies\nSenior Backend Engineer\n2018.01 - 2020.06\n- Built a search engine\n2020.06 - 2021.01\nEducation\nExample University\nBachelor of Science in Computer Science\n\nSkills: Rust, K8s, PostgreSQL\nLocation: Shanghai, China\nCertificates: CKA\n"
 
 
 @query()
@@ -249,10 +301,13 @@ CLASS_CASES = [
 ]
 
 
-@query(values_sql("case_no INTEGER, status VARCHAR, reasons VARCHAR[]", [(i, s, r) for i, (_, _, s, r) in enumerate(CLASS_CASES)]))
+@query(f"SELECT p_partkey, v.status, v.reasons FROM part JOIN ({values_sql('k INTEGER, status VARCHAR, reasons VARCHAR[]', [(i, s, r) for i, (_, _, s, r) in enumerate(CLASS_CASES)])}) v ON p_partkey % {len(CLASS_CASES)} = k")
 def class_rules(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame([(i, t, o) for i, (t, o, *_) in enumerate(CLASS_CASES)], "case_no int, text string, outcome string")
-    return classify.classify(rows, "text", "outcome").select("case_no", "status", "reasons")
+    """A case for each part, by its key, with the part's own name on a line at the end of texts that have words."""
+    pick = lambda options: F.get(F.array(*[F.lit(o) for o in options]), (F.col("p_partkey") % len(CLASS_CASES)).cast("int"))
+    words = pick([t and t.strip() and t for t, *_ in CLASS_CASES])
+    rows = table(spark, sf, "part").select("p_partkey", F.coalesce(F.when(words != "", F.concat(words, F.lit("\n"), "p_name")), pick([t for t, *_ in CLASS_CASES])).alias("text"), pick([o for _, o, *_ in CLASS_CASES]).alias("outcome"))
+    return classify.classify(rows, "text", "outcome").select("p_partkey", "status", "reasons")
 
 
 #: What is appended to a document by its id, and what it is then.
@@ -311,10 +366,16 @@ MENTION_ROWS = [
 ]
 
 
-@query(values_sql("entity_type VARCHAR, raw_value VARCHAR, normalized_value VARCHAR, span_start INTEGER, span_end INTEGER, confidence DOUBLE", MENTION_ROWS))
+@query(f"""
+    WITH v AS ({values_sql("entity_type VARCHAR, raw_value VARCHAR, normalized_value VARCHAR, span_start INTEGER, span_end INTEGER, confidence DOUBLE", MENTION_ROWS)}),
+    k AS (SELECT p_partkey, CAST(p_partkey AS VARCHAR) AS k FROM part)
+    SELECT p_partkey, entity_type, CASE entity_type WHEN 'email' THEN replace(raw_value, '@', k || '@') ELSE raw_value END AS raw_value, CASE entity_type WHEN 'email' THEN replace(raw_value, '@', k || '@') ELSE normalized_value END AS normalized_value,
+           CAST(span_start + CASE WHEN span_start > 16 THEN length(k) ELSE 0 END AS INTEGER) AS span_start, CAST(span_end + CASE WHEN span_end > 16 THEN length(k) ELSE 0 END AS INTEGER) AS span_end, confidence FROM v, k""")
 def extract_resume(spark: SparkSession, sf: str) -> DataFrame:
-    found = extract.extract(spark.createDataFrame([(1, RESUME)], "doc_id long, text string"))
-    return found.select("entity_type", "raw_value", "normalized_value", "span_start", "span_end", "confidence")
+    """A resume for each part, with the part's key in its address, so that all that follows lies further on."""
+    before, after = RESUME.split("@", 1)
+    texts = table(spark, sf, "part").select("p_partkey", F.concat(F.lit(before), F.col("p_partkey").cast("string"), F.lit("@" + after)).alias("text"))
+    return extract.extract(texts, "p_partkey").select("p_partkey", "entity_type", "raw_value", "normalized_value", "span_start", "span_end", "confidence")
 
 
 @query(r"""
@@ -330,25 +391,35 @@ def extract_documents(spark: SparkSession, sf: str) -> DataFrame:
     return extract.projected(extract.extract(table(spark, sf, "documents").select("doc_id", "text")))
 
 
+#: Paths of a page: what stands around its number, before and after folding.
 PATH_CASES = [
-    (r"C:\Users\x\..\y\.\a.txt", "c:/Users/y/a.txt"), ("/a/b/../c", "/a/c"), (r"\\server\share\f", "//server/share/f"), ("a/../../b", "../b"), ("/../x", "/x"), ("./x//y/", "x/y"), (r"C:\..\x", "c:/x"),
+    ("C:\\Users\\x\\..\\y\\.\\", "\\a.txt", "c:/Users/y/", "/a.txt"), ("/a/b/../", "//c", "/a/", "/c"), ("\\\\server\\share\\", "\\f", "//server/share/", "/f"), ("a/../../", "/b", "../", "/b"), ("/../", "/x/", "/", "/x"), ("./", "/..", "", ""), ("C:\\..\\", "/x/../y", "c:/", "/y"),
 ]
 
 
-@query(values_sql("path VARCHAR, normalized VARCHAR", PATH_CASES))
+@query(f"""
+    SELECT page_id, CASE page_id % {len(PATH_CASES)} {' '.join(f"WHEN {i} THEN {literal(a)} || " + ("'' " if not a and not b else "page_id ") + f"|| {literal(b)}" for i, (_, _, a, b) in enumerate(PATH_CASES))} END AS normalized FROM pages""")
 def scan_paths(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame([(p,) for p, _ in PATH_CASES], "path string").withColumn("normalized", files.normalized_path(F.col("path")))
+    pick = lambda at: F.get(F.array(*[F.lit(c[at]) for c in PATH_CASES]), (F.col("page_id") % len(PATH_CASES)).cast("int"))
+    path = F.concat(pick(0), F.col("page_id").cast("string"), pick(1))
+    return table(spark, sf, "pages").select("page_id", files.normalized_path(path).alias("normalized"))
 
 
-FILE_CASES = [
-    ("/d/a.txt", True), ("/d/.hidden.txt", False), ("/d/~$a.docx", False), ("/d/a.txt~", False), ("/d/Thumbs.db", False), ("/d/a.PDF", True), ("/d/a.part", False), ("/x/node_modules/a.txt", False), ("/d/a.exe", False), ("/d/b.docx", True), ("/usr/share/a.txt", False), ("/Users/me/Library/a.txt", False), ("/Users/me/cv/a.txt", True), ("c:/Windows/a.txt", False), ("c:/me/a.txt", True), ("/d/.git/a.txt", False),
-]
+#: Folders and names around a page's number, and whether a scan for discovery goes there and takes them.
+FOLDERS = [("/d/", True), ("/x/node_modules/", False), ("/usr/share/", False), ("/Users/me/Library/", False), ("/Users/me/cv/", True), ("c:/Windows/", False), ("c:/me/", True), ("/d/.git/", False)]
+NAMES = [("", ".txt", True), (".hidden", ".txt", False), ("~$", ".docx", False), ("", ".txt~", False), ("", ".PDF", True), ("", ".part", False), ("", ".exe", False), ("b", ".docx", True), ("", "", False)]
 
 
-@query(values_sql("path VARCHAR, wanted BOOLEAN", FILE_CASES))
+@query(f"""
+    SELECT page_id, {literal([w for _, w in FOLDERS])}[page_id % {len(FOLDERS)} + 1] AS entered, {literal([w for *_, w in NAMES])}[page_id // {len(FOLDERS)} % {len(NAMES)} + 1] AS taken FROM pages""")
 def scan_filters(spark: SparkSession, sf: str) -> DataFrame:
-    p = F.col("path")
-    return spark.createDataFrame([(x,) for x, _ in FILE_CASES], "path string").withColumn("wanted", files.wanted_directory(p) & files.wanted_name(p) & files.wanted_extension(p))
+    """A file for each page in one of the folders; ``taken`` looks at the name alone."""
+    pick = lambda options, n: F.get(F.array(*[F.lit(o) for o in options]), (n % len(options)).cast("int"))
+    number, other = F.col("page_id").cast("string"), F.floor(F.col("page_id") / len(FOLDERS))
+    name = F.concat(pick([a for a, *_ in NAMES], other), number, pick([b for _, b, _ in NAMES], other))
+    path, plain = F.concat(pick([f for f, _ in FOLDERS], F.col("page_id")), name), F.concat(F.lit("/d/"), name)
+    inside = files.wanted_directory(path) & files.wanted_name(F.concat(pick([f for f, _ in FOLDERS], F.col("page_id")), F.lit("a.txt")))
+    return table(spark, sf, "pages").select("page_id", inside.alias("entered"), (files.wanted_name(plain) & files.wanted_extension(plain)).alias("taken"))
 
 
 @query("""

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestar.functions import ids, months, text, values
-from lodestar.operators import classify, extract, filters, fulltext, fusion, metrics, sections, store, vectors
+from lodestar.operators import ann, classify, extract, filters, fulltext, fusion, metrics, sections, store, vectors
 from lodestar.operators.filters import Predicate
 from lodestar.plans import engine
 from lodestar.queries import QUERIES
@@ -411,14 +411,55 @@ def test_file_stream(spark, folder, tmp_path):
 
 
 def test_debounce(spark, tmp_path):
-    folder = str(tmp_path / "events")
-    rows = [("r", 1000), ("r", 1200), ("r", 5000), ("s", 1100), ("r", 900_000)]
-    spark.createDataFrame(rows, "root string, ms long").select("root", F.timestamp_millis("ms").alias("ts")).write.parquet(folder)
-    stream = spark.readStream.schema("root string, ts timestamp").parquet(folder)
-    query = ingest.debounced(stream).writeStream.format("memory").queryName("bursts").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
-    query.processAllAvailable()
-    query.stop()
-    assert sorted((r.root, r.n) for r in spark.table("bursts").collect()) == [("r", 1), ("r", 2), ("s", 1)]
+    """Bursts that cross slots, a burst that never pauses, a retry, and one that a burst comes before: against a replay."""
+    r = random.Random(1)
+    events = [("a", ms, False) for ms in (0, 400, 900, 1700, 2500)] + [("b", 1900 + 300 * k, False) for k in range(12)] + [("c", 100, True), ("d", 100, True), ("d", 20_000, False)]
+    events += [("e", r.randrange(20_000), r.random() < 0.1) for _ in range(60)]
+    base = 1_700_000_000_000  # nothing may lie at the epoch, where watermarks begin
+    events = [(root, base + ms, failed) for root, ms, failed in events]
+    want = []
+    for root in "abcde":
+        open_ = []
+        retry = None
+        for ms, failed in sorted((ms, failed) for x, ms, failed in events if x == root) + [(base + 3_600_000, False)]:
+            while open_ or retry is not None:
+                due = min(([min(open_[-1] + 750, open_[0] + 2000)] if open_ else []) + ([retry] if retry is not None else []))
+                if due > ms:
+                    break
+                want.append((root, due, open_[0] if open_ else None, len(open_), "changes" if open_ else "retry"))
+                open_, retry = [], None
+            if failed:
+                retry = ms + 30_000
+            else:
+                open_.append(ms)
+    events.sort(key=lambda e: e[1])
+    cuts = [0, 11, 12, 40, len(events)]
+    for i, (low, high) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        rows = events[low:high] + ([(x, base + 3_600_000, False) for x in "abcde"] if high == len(events) else [])
+        spark.createDataFrame(rows, "root string, ms long, failed boolean").selectExpr("root", "timestamp_millis(ms) AS ts", "failed").coalesce(1).write.parquet(str(tmp_path / "in" / str(i)))
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+        try:
+            source = spark.readStream.schema("root string, ts timestamp, failed boolean").parquet(str(tmp_path / "in" / "*"))
+            ingest.debounced(source).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+        finally:
+            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    got = [tuple(x) for x in spark.read.parquet(str(tmp_path / "out")).collect() if x.since != base + 3_600_000]
+    assert sorted(got, key=str) == sorted(want, key=str) and any(w[4] == "retry" for w in want)
+
+
+def test_publication_follows_the_rule(spark, tmp_path):
+    shop = snapshots.Store(spark, str(tmp_path / "s"))
+    sink = ingest.Publication(shop, "rows")
+    seen, total = [], 0
+    for number, n in enumerate([1, 50, 48, 1, 850, 60, 14, 500, 2000, 3]):
+        batch = spark.range(total, total + n).withColumnRenamed("id", "doc_id")
+        sink(batch, number)
+        if number == 3:
+            sink(batch, number)  # again, as after a failure
+        total += n
+        seen.append(shop.current("rows").count())
+    assert seen == [1, 1, 1, 100, 100, 1010, 1024, 1024, 3524, 3524]
+    assert shop.current("rows").distinct().count() == 3524
 
 
 def test_scan_reports_errors_and_limits(spark, folder):
@@ -692,3 +733,56 @@ def test_pdf_of_many_pages():
 
     text = read_pdf(pdf(*(b"BT /F1 12 Tf (page%d) Tj ET" % k for k in range(2500))))
     assert "page0" in text and "page2499" in text
+
+
+def test_contact_hash_is_the_standard_one(spark):
+    import hashlib
+    import hmac
+
+    for key in (b"k", b"long " * 30):
+        rows = spark.createDataFrame([("a@b.test",), ("é",), (None,)], "v string").select("v", ids.contact_hash(key, "email")(F.col("v")).alias("h")).collect()
+        assert [r.h for r in rows] == [v and hmac.new(key, f"email\0{v}".encode(), hashlib.sha256).hexdigest() for v in ("a@b.test", "é", None)]
+
+
+def clustered(n, dimension=16):
+    """Vectors around a few directions, one of them a third of all, the first of these repeated many times."""
+    r = np.random.default_rng(4)
+    centres = r.normal(size=(12, dimension))
+    of = np.where(r.random(n) < 0.34, 0, r.integers(0, 12, n))
+    rows = centres[of] + r.normal(size=(n, dimension)) * 0.4
+    rows[100:150] = rows[100]
+    return rows.astype(np.float32)
+
+
+def test_approximate_search(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ann, "PAGE", 100)
+    monkeypatch.setattr(ann, "QUERY_PAGE", 16)
+    rows = clustered(1500)
+    vecs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)] + [(9999, None)], "vec_id long, embedding array<float>")
+    shop = snapshots.Store(spark, str(tmp_path / "v"))
+    ann.publish(shop, "g1", None, vecs)
+    pages, model = shop.current("ann_codes"), ann.read_model(shop.current("ann_model"))
+    # Every vector has one code, four values a byte; hot lists lie in several pages.
+    assert pages.select(F.explode("rows.key")).distinct().count() == 1500 and pages.selectExpr("max(size(rows))").first()[0] < 250
+    assert pages.select(F.explode("rows.code").alias("c")).selectExpr("max(octet_length(c))").first()[0] == 4
+    asked = vecs.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    exact = {(r.query_id, r.vec_id) for r in vectors.nearest(vecs, asked, 10).collect()}
+    found = ann.search(pages, model, vecs, asked, 10).collect()
+    assert len(found) == 750 and len({(r.query_id, r.vec_id) for r in found} & exact) >= 0.9 * 750
+    # Allowed vectors that candidates lack are found exactly; a query is never answered with fewer than there are.
+    few = vecs.where("vec_id % 100 = 7").select("vec_id")
+    want = sorted(map(tuple, vectors.nearest(vecs.join(few, "vec_id"), asked, 12).collect()))
+    assert sorted(map(tuple, ann.search(pages, model, vecs, asked, 12, few).select("query_id", "vec_id", "score", "rank").collect())) == sorted((a, b, c, d) for a, b, c, d in want)
+
+
+def test_approximate_search_of_nothing(spark, tmp_path):
+    none = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    shop = snapshots.Store(spark, str(tmp_path / "v"))
+    ann.publish(shop, "g1", None, none)
+    found = ann.search(shop.current("ann_codes"), ann.read_model(shop.current("ann_model")), none, none.select(F.col("vec_id").alias("query_id"), "embedding"), 3)
+    assert found.collect() == []
+
+
+def test_int8_codes(spark):
+    row = spark.createDataFrame([([0.5, -1.0, 0.25],), ([0.0, 0.0, 0.0],)], "v array<float>").select(ann.int8_codes(F.col("v")).alias("c"), ann.int8_dot(F.col("v"), ann.int8_codes(F.col("v"))).alias("d")).collect()
+    assert row[0].c.codes == [64, -127, 32] and abs(row[0].d - 1.3125) < 0.01 and row[1].c.codes == [0, 0, 0] and row[1].d == 0
