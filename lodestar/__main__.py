@@ -37,7 +37,8 @@ def main(arguments: list[str] | None = None) -> int:
     if a.command == "import":
         name = uuid.uuid4().hex
         with store.staged(engine.import_folder(spark, a.folder), name) as tables:
-            print(json.dumps(store.publish(engine.next_generation(store, tables, tables["documents"].select("doc_id")), name, base, engine.index_facts)))
+            made, facts = engine.next_generation(store, tables, tables["documents"].select("doc_id"), name)
+            print(json.dumps(store.publish(made, name, base, facts)))
     elif a.command == "search":
         corpus = engine.corpus_of(store.current("projection"), store.current("mentions"), engine.read_index(store))
         for hit in engine.search(spark, corpus, a.query, "fulltext", a.top, json.loads(a.filters)).hits.orderBy("rank").toLocalIterator():
@@ -53,7 +54,9 @@ def main(arguments: list[str] | None = None) -> int:
     elif a.command in ("delete", "purge"):
         gone = spark.createDataFrame([(a.doc,)], "doc_id string")
         none = {name: store.current(name).limit(0) for name in ("documents", "versions", "mentions", "projection")}
-        print(json.dumps(store.publish(engine.next_generation(store, none, gone), uuid.uuid4().hex, base, engine.index_facts)))
+        name = uuid.uuid4().hex
+        made, facts = engine.next_generation(store, none, gone, name, a.command == "purge")
+        print(json.dumps(store.publish(made, name, base, facts)))
         if a.command == "purge":
             print(json.dumps(store.collect_garbage(1)))
     elif a.command == "doctor":

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -196,7 +197,7 @@ class Index:
     """postings: term, doc_id, field, tf, length (of the field), positions. lengths: doc_id, field, length.
 
     stats: field, average, docs. terms: term, field, df, cf. A published index has ``buckets`` parts, by a hash of the
-    term; readers name the terms they need and see only the files of their buckets.
+    term; readers name the terms they need and see only the files of their buckets. An index in segments has ``cut``.
     """
 
     postings: DataFrame
@@ -204,10 +205,13 @@ class Index:
     stats: DataFrame
     terms: DataFrame
     buckets: int = 0
+    cut: Callable[[list[str]], Index] | None = None
 
     def of(self, wanted: list[str]) -> Index:
         """The index cut to some terms; of a published one other buckets are never opened."""
         some = sorted(set(wanted))
+        if self.cut:
+            return self.cut(some)
         near = F.col("term").isin(*some)
         if self.buckets:
             near = F.col("bucket").isin(*[bucket_of(F.lit(t), self.buckets) for t in some]) & near

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions import ids, text
-from lodestar.operators import classify, extract, filters, fulltext, fusion, vectors
+from lodestar.operators import classify, extract, filters, fulltext, fusion, segments, vectors
 from lodestar.sources import files
 from lodestar.sources.snapshots import Read, Store, Table, incremental
 
@@ -154,6 +154,8 @@ def index_facts(read: Read) -> dict:
 def read_index(store: Store) -> fulltext.Index:
     """The current generation's index, from its tables alone."""
     head = store.head()
+    if segments.listed(head) is not None:
+        return segments.Segments(store, head).index()
     found = {name: store.current(f"index_{name}", head) for name in INDEX_TABLES}
     return fulltext.Index(found["postings"], found["lengths"], found["stats"], found["terms"], head.get("facts", {}).get("buckets") or fulltext.layout(found["lengths"])[0])
 
@@ -171,19 +173,22 @@ def corpus_of(projection: DataFrame, mentions: DataFrame | None = None, index: f
     return Corpus(safe, index or projected_index(projection), by_doc)
 
 
-def next_generation(store: Store, new: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame | Table]:
-    """The tables of the generation after the current one: without the documents ``gone`` (doc_id), with the ``new`` ones.
+def next_generation(store: Store, new: dict[str, DataFrame], gone: DataFrame, generation: str, purge: bool = False) -> tuple[dict[str, DataFrame | Table], Callable[[Read], dict]]:
+    """The tables and facts of the generation after the current one: without the documents ``gone`` (doc_id), with the ``new`` ones.
 
-    Postings, mentions and all else of documents that stay are taken over as they are.
+    The index grows by a segment of the new documents. Mentions and all else of documents that stay are taken over as they are.
     """
-    added = projected_index(new["projection"])
-    if store.head() is None:
-        return {**new, **index_tables(added)}
+    head, added = store.head(), projected_index(new["projection"])
+    if head is None:
+        tables, facts = segments.change(store, None, generation, added)
+        return {**new, **tables}, facts
     out = {name: incremental(store.current(name), gone, new[name]) for name in ("documents", "versions", "projection")}
     owned = store.current("versions").join(gone.select("doc_id"), "doc_id", "left_semi").select("version_id")
     out["mentions"] = store.current("mentions").join(owned.unionByName(new["versions"].select("version_id")).distinct(), "version_id", "left_anti").unionByName(new["mentions"])
     leaving = gone.select("doc_id").unionByName(new["documents"].select("doc_id")).distinct()
-    return {**out, **index_tables(fulltext.changed_index(read_index(store), leaving, added))}
+    base = None if segments.listed(head) is not None else read_index(store)
+    tables, facts = segments.change(store, head, generation, added, leaving, purge, base)
+    return {**out, **tables}, facts
 
 
 def problems(store: Store) -> list[str]:
@@ -192,7 +197,7 @@ def problems(store: Store) -> list[str]:
     if head is None:
         return ["nothing is published"]
     projection, versions = store.current("projection"), store.current("versions")
-    indexed = store.current("index_lengths").select("doc_id").distinct()
+    indexed = read_index(store).lengths.select("doc_id").distinct()
     checks = {
         "a document is published twice": projection.groupBy("doc_id").count().where("count > 1"),
         "a published version is unknown": projection.join(versions, ["doc_id", "version_id"], "left_anti"),

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions.months import month_text
-from lodestar.operators import ann, filters, fulltext, fusion, vectors
+from lodestar.operators import ann, filters, fulltext, fusion, segments, vectors
 from lodestar.operators.filters import Predicate
 from lodestar.plans import engine
 from lodestar.plans.registry import query, table
@@ -128,6 +128,34 @@ def ft_bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     return fulltext.search(*postings_of(spark, sf, plans), 10).select("query_id", "doc_id", "score", "rank")
 
 
+def segmented(spark: SparkSession, sf: str) -> segments.Segments:
+    """The corpus as three imports and a change of it: documents leave, others come with another text."""
+    docs, store = table(spark, sf, "documents"), Store(spark, new_folder(spark, "segments"))
+    build = lambda rows: fulltext.build_index(rows, "doc_id", "text", "source")
+    base = None
+    for n in range(3):
+        generation = f"g{n}"
+        tables, facts = segments.change(store, store.head(), generation, build(docs.where(F.pmod("doc_id", F.lit(3)) == n)))
+        base = store.publish(tables, generation, base, facts)["generation"]
+    changed = docs.where("doc_id % 7 = 0").withColumn("text", F.lit("new words the"))
+    tables, facts = segments.change(store, store.head(), "g3", build(changed), docs.where("doc_id % 5 = 0 OR doc_id % 7 = 0"))
+    store.publish(tables, "g3", base, facts)
+    return segments.Segments(store, store.head())
+
+
+@query(f"WITH documents AS ({NEXT}), {POSTINGS} SELECT term, field, count(DISTINCT doc_id) AS df, count(*) AS cf FROM p GROUP BY term, field")
+def ft_segments_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    return segmented(spark, sf).index().terms.select("term", "field", "df", "cf")
+
+
+@query(bm25_sql(BATCH, 10).replace("WITH", f"WITH documents AS ({NEXT}),", 1))
+def ft_segments_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores over segments with dead documents are those of an index of what is alive."""
+    plans = {q: fulltext.plan_query(" ".join(ts)) for q, ts in BATCH.items()}
+    index = segmented(spark, sf).index(fulltext.terms_of(plans))
+    return fulltext.search(index, fulltext.query_table(spark, plans), 10).select("query_id", "doc_id", "score", "rank")
+
+
 WORDS = "the and of to in is on with der die und que la les de en".split()
 #: A batch of 64 queries of one to four terms, the shares of a mixed workload.
 WORKLOAD = {f"q{i:02d}": [WORDS[(i * 5 + j * (1 + i % 3)) % len(WORDS)] for j in range((1, 2, 2, 3, 3, 3, 4, 1)[i % 8])] for i in range(64)}

@@ -142,13 +142,18 @@ class Store:
         return self.read(head["generation"], name, StructType.fromJson(schema) if schema else None)
 
     def collect_garbage(self, keep: int, leased: frozenset[str] = frozenset()) -> list[str]:
-        """Deletes generations that are neither among the last ``keep`` of the journal nor leased; orphans go too."""
-        chain = {}
+        """Deletes generations that are neither among the last ``keep`` of the journal nor leased; orphans go too.
+
+        What an entry that is kept says its tables still use (``facts.uses``) stays as well.
+        """
+        chain, uses = {}, {}
         for epoch in sorted(self._epochs()):
             entry = None if self._exists(self._journal(epoch) + ".void") else self._entry(self._journal(epoch))
             if entry and entry["base"] == next(reversed(chain), None):
                 chain[entry["generation"]] = epoch
+                uses[entry["generation"]] = entry.get("facts", {}).get("uses", [])
         kept = set(list(chain)[-keep:]) | leased if keep else set(leased)
+        kept |= {used for name in kept for used in uses.get(name, [])}
         gone = []
         for status in self._fs.listStatus(self._path(f"{self.root}/generations")):
             name = status.getPath().getName()
