@@ -38,7 +38,7 @@ def main(arguments: list[str] | None = None) -> int:
         name = uuid.uuid4().hex
         with store.staged(engine.import_folder(spark, a.folder), name) as tables:
             made, facts = engine.next_generation(store, tables, tables["documents"].select("doc_id"), name)
-            print(json.dumps(store.publish(made, name, base, facts)))
+            print(json.dumps(store.publish(made, name, base, facts, engine.DIGESTS)))
     elif a.command == "search":
         corpus = engine.corpus_of(store.current("projection"), store.current("mentions"), engine.read_index(store))
         for hit in engine.search(spark, corpus, a.query, "fulltext", a.top, json.loads(a.filters)).hits.orderBy("rank").toLocalIterator():
@@ -56,11 +56,11 @@ def main(arguments: list[str] | None = None) -> int:
         none = {name: store.current(name).limit(0) for name in ("documents", "versions", "mentions", "projection")}
         name = uuid.uuid4().hex
         made, facts = engine.next_generation(store, none, gone, name, a.command == "purge")
-        print(json.dumps(store.publish(made, name, base, facts)))
+        print(json.dumps(store.publish(made, name, base, facts, engine.DIGESTS)))
         if a.command == "purge":
             print(json.dumps(store.collect_garbage(1)))
     elif a.command == "doctor":
-        found = engine.problems(store)
+        found = engine.problems(store) + engine.changed_tables(store)
         print(json.dumps({"problems": found}))
         return int(bool(found))
     elif a.command == "export":

@@ -38,6 +38,27 @@ def resolve_selection(asked: DataFrame, sealed: DataFrame, active: DataFrame) ->
     return joined.select(*asked.columns, state.alias("state"))
 
 
+def reviewed(assignments: DataFrame, decisions: DataFrame) -> DataFrame:
+    """version_id, candidate_id, manual: assignments after a ledger of manual decisions, replayed in order.
+
+    assignments: version_id, candidate_id. decisions: decision_id (order), kind, versions, candidate_id, confidence. A
+    ``merge`` assigns its versions to a manual candidate; a ``split`` clears those that are with it at that point, and
+    leaves them without a candidate until they are merged again. Merges of fewer than two versions or without a confidence
+    from 0 to 1 count for nothing, nor do splits of candidates that no merge has made. A repeated entry counts once.
+
+    Only the last merge of a version says where it is, and only the last split of that candidate can clear it, so the replay
+    is two aggregations, whatever the length of the ledger.
+    """
+    sound = (F.col("kind") == "merge") & (F.size(F.array_distinct("versions")) > 1) & F.col("confidence").between(0, 1)
+    merged = decisions.where(sound & F.col("candidate_id").isNotNull()).select("decision_id", "candidate_id", F.explode("versions").alias("version_id"))
+    last = merged.groupBy("version_id").agg(F.max(F.struct("decision_id", "candidate_id")).alias("_last")).select("version_id", "_last.*")
+    splits = decisions.where("kind = 'split'").groupBy("candidate_id").agg(F.max("decision_id").alias("_split"))
+    placed = last.withColumnRenamed("candidate_id", "_manual").join(splits.withColumnRenamed("candidate_id", "_manual"), "_manual", "left")
+    now = placed.select("version_id", F.when(F.coalesce(F.col("_split") <= F.col("decision_id"), F.lit(True)), F.col("_manual")).alias("_manual"), F.lit(True).alias("_reviewed"))
+    joined = assignments.select("version_id", "candidate_id").join(now, "version_id", "left")
+    return joined.select("version_id", F.when(F.col("_reviewed"), F.col("_manual")).otherwise(F.col("candidate_id")).alias("candidate_id"), F.col("_manual").isNotNull().alias("manual"))
+
+
 def assign_candidates(contacts: DataFrame) -> DataFrame:
     """version_id, candidate_id, email_candidate, phone_candidate (both set and different: a conflict, no assignment).
 

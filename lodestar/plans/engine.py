@@ -191,6 +191,21 @@ def next_generation(store: Store, new: dict[str, DataFrame], gone: DataFrame, ge
     return {**out, **tables}, facts
 
 
+#: Tables of an import that get a digest.
+DIGESTS = ("documents", "versions", "mentions", "projection")
+
+
+def changed_tables(store: Store) -> list[str]:
+    """Tables of the current generation that are no longer what was published."""
+    head, out = store.head(), []
+    for name in (head or {}).get("digests", {}):
+        try:
+            store.checked(name, head)
+        except ValueError as e:
+            out.append(str(e))
+    return out
+
+
 def problems(store: Store) -> list[str]:
     """What is wrong with the current generation; nothing if it is sound."""
     head = store.head()

@@ -200,6 +200,24 @@ def soft_dedupe_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return store.soft_duplicates(profiles)
 
 
+@query("""
+    WITH m AS (SELECT DISTINCT l_partkey AS c, l_linenumber AS n, l_orderkey AS version_id FROM lineitem),
+    l AS (SELECT version_id, max(n * 10000000 + c) AS d, arg_max(c, n * 10000000 + c) AS c
+          FROM m JOIN (SELECT c, n FROM m GROUP BY ALL HAVING count(*) > 1) USING (c, n) GROUP BY version_id),
+    s AS (SELECT p_partkey AS c, (p_size % 7 + 1) * 10000000 + p_partkey AS split FROM part WHERE p_size < 25)
+    SELECT o_orderkey AS version_id, CASE WHEN d IS NULL THEN 'c' || o_custkey WHEN split > d THEN NULL ELSE 'm' || c END AS candidate_id, d IS NOT NULL AND coalesce(split <= d, true) AS manual
+    FROM orders LEFT JOIN l ON o_orderkey = version_id LEFT JOIN s USING (c)""")
+def candidate_review(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders of a customer are versions of a candidate; the lines of a part are merged into it, small parts are split."""
+    name = F.concat(F.lit("m"), F.col("l_partkey").cast("string"))
+    merges = table(spark, sf, "lineitem").groupBy("l_partkey", "l_linenumber").agg(F.collect_set("l_orderkey").alias("versions"))
+    merges = merges.select((F.col("l_linenumber").cast("long") * 10_000_000 + F.col("l_partkey")).alias("decision_id"), F.lit("merge").alias("kind"), "versions", name.alias("candidate_id"), F.lit(0.9).alias("confidence"))
+    parts = table(spark, sf, "part").where("p_size < 25")
+    splits = parts.select(((F.col("p_size") % 7 + 1).cast("long") * 10_000_000 + F.col("p_partkey")).alias("decision_id"), F.lit("split").alias("kind"), F.lit(None).cast("array<bigint>").alias("versions"), F.concat(F.lit("m"), F.col("p_partkey").cast("string")).alias("candidate_id"), F.lit(None).cast("double").alias("confidence"))
+    versions = orders(spark, sf, F.col(K).alias("version_id"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("candidate_id"))
+    return store.reviewed(versions, merges.unionByName(splits))
+
+
 @query()
 def candidate_assignment(spark: SparkSession, sf: str) -> DataFrame:
     """Sequential by contract: e-mails by customer, phones shared by few orders."""

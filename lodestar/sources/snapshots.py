@@ -10,9 +10,10 @@ from __future__ import annotations
 
 import contextlib
 import json
+import uuid
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -31,6 +32,12 @@ def state_of(spark: SparkSession, path: str) -> str:
     return json.dumps(sorted(seen))
 
 
+def digest(rows: DataFrame) -> list[Column]:
+    """How many rows there are and the sum of their hashes, which no order or partitioning of them changes."""
+    hashed = F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]).cast("decimal(20,0)")
+    return [F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(hashed), F.lit(0)).cast("string").alias("digest")]
+
+
 class Store:
     """Generations below ``root``, through Hadoop's file system API, so any store that Spark writes to will do."""
 
@@ -55,18 +62,23 @@ class Store:
                 now = entry
         return now
 
-    def publish(self, tables: dict[str, DataFrame | Table], generation: str, expected: str | None, facts: Callable[[Read], dict] | None = None) -> dict:
+    def publish(self, tables: dict[str, DataFrame | Table], generation: str, expected: str | None, facts: Callable[[Read], dict] | None = None, digests: tuple[str, ...] = ()) -> dict:
         """Writes all tables of a generation, checks them, and makes it follow ``expected``.
 
         A table given as a function is made after those before it are written, from what it reads of them by name. So
         are ``facts``, which are kept in the entry. Two publishers of one base cannot both be followed: the entry of an epoch is created exclusively, and an
-        unfinished one is voided before the next is tried.
+        unfinished one is voided before the next is tried. The tables named in ``digests`` get a digest in the entry, which
+        ``checked`` holds them against; it is taken from the rows as they are written.
         """
         folder = f"{self.root}/generations/{generation}"
         schemas: dict[str, StructType] = {}
+        seen: dict[str, Observation] = {}
         read = lambda name: self.read(generation, name, schemas[name])
         for name, given in tables.items():
             table = given(read) if callable(given) else given
+            if name in digests:
+                seen[name] = Observation(f"digest-{uuid.uuid4().hex}")
+                table = table.observe(seen[name], *digest(table))
             writer = table.write.mode("errorifexists")
             (writer.partitionBy("bucket") if "bucket" in table.columns else writer).parquet(f"{folder}/{name}")
             schemas[name] = table.schema
@@ -84,7 +96,7 @@ class Store:
             if rival is None and not voided:
                 self._create(self._journal(epoch) + ".void", {}, True)
             epoch += 1
-        entry = {"generation": generation, "base": expected, "epoch": epoch, "tables": sorted(tables), "schemas": {n: s.jsonValue() for n, s in schemas.items()}, "facts": facts(read) if facts else {}}
+        entry = {"generation": generation, "base": expected, "epoch": epoch, "tables": sorted(tables), "schemas": {n: s.jsonValue() for n, s in schemas.items()}, "facts": facts(read) if facts else {}, "digests": {n: dict(o.get) for n, o in seen.items()}}
         self._create(self._journal(epoch), entry, False)
         if (self.head() or {}).get("generation") != generation:
             raise RuntimeError("the base generation is no longer current")
@@ -141,6 +153,21 @@ class Store:
         schema = head.get("schemas", {}).get(name)
         return self.read(head["generation"], name, StructType.fromJson(schema) if schema else None)
 
+    def checked(self, name: str, head: dict | None = None) -> DataFrame:
+        """A table of the current generation whose rows are still those that were published; ValueError if they are not.
+
+        Reads the whole table once. A table without a digest is refused too.
+        """
+        head = head or self.head()
+        if head is None:
+            raise LookupError("nothing is published")
+        rows, told = self.current(name, head), head.get("digests", {}).get(name)
+        # Columns in the order in which they were hashed.
+        hashed = rows.select(*[f"`{c}`" for c in StructType.fromJson(head["schemas"][name]).names])
+        if told is None or hashed.agg(*digest(hashed)).first().asDict() != told:
+            raise ValueError(f"{name} is not what was published")
+        return rows
+
     def collect_garbage(self, keep: int, leased: frozenset[str] = frozenset()) -> list[str]:
         """Deletes generations that are neither among the last ``keep`` of the journal nor leased; orphans go too.
 
