@@ -53,8 +53,10 @@ def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     marked = rows.withColumn("_hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))).withColumn("_id", doc_id.cast("long"))
     others = jaccard.with_components(docs.select("doc_id", "text")).where("doc_id <> component_id").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
     left = marked.where("_id IS NOT NULL").join(others, ["_id", "_hash"], "left_anti")
+    # Maps have no order of their own, but a text.
+    order = [F.to_json(F.struct(n)) if "map<" in rows.schema[n].dataType.simpleString() else F.col(n) for n in names]
     # Partial aggregation leaves a row of each repeat in a task before the shuffle.
-    whole = left.groupBy("_id", "_hash", F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)).agg(F.min(F.struct(*names)).alias("_row")).select("_row.*")
+    whole = left.groupBy("_id", "_hash", F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)).agg(F.min_by(F.struct(*names), F.struct(*order)).alias("_row")).select("_row.*")
     return named(whole.unionByName(rows.where(doc_id.isNull()).select(*names)), names, docs)
 
 
