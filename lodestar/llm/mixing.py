@@ -221,5 +221,7 @@ def mix(docs: DataFrame) -> DataFrame:
     bytes_ = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     slices = max(1, -(-bytes_ // (SLICE_BYTES * SHARDS)))
     slice_ = F.pmod(F.shiftright("_key", 8), F.lit(slices))
-    dealt = dealt.repartition(SHARDS * slices, "_shard", slice_).sortWithinPartitions("_shard", slice_, "_key")
+    # Rows that agree in doc_id and text tie, so all their columns decide; maps have no order of their own, but a text.
+    whole = [F.to_json(F.struct(F.col(f"_row.{f.name}"))) if "map<" in f.dataType.simpleString() else F.col(f"_row.{f.name}") for f in copies.schema["_row"].dataType.fields]
+    dealt = dealt.repartition(SHARDS * slices, "_shard", slice_).sortWithinPartitions("_shard", slice_, "_key", F.xxhash64(*whole))
     return dealt.select(*[F.col(f"_row.c{i}").alias(c) for i, c in enumerate(names)])

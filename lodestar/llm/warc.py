@@ -23,7 +23,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.shared import shared_dir, utf8, written
+from lodestar.llm.shared import looked_up, shared_dir, utf8, written
 
 #: Payloads shorter than this are stored again and again: a revisit record would not be smaller.
 MIN_REVISIT_BYTES = 100
@@ -41,20 +41,24 @@ def with_roles(pages: DataFrame) -> DataFrame:
     """Adds ``payload``, its SHA-256, ``refers_to`` and ``refers_to_uri``.
 
     The digests are grouped first (partial aggregation leaves a row per digest and task), and only digests that occur
-    on several rows are joined back. The page side is the streamed side of a left join, whose skewed partitions
-    adaptive execution splits.
+    on several rows are joined back. Payloads too short to be revisited stay out of the join, and pages of a digest that
+    very many share, an error page perhaps, are dealt over all tasks (``shared.looked_up``).
     """
-    rows = pages.select("page_id", "url", utf8(F.col("html")).alias("payload")).withColumn("payload_digest", F.sha2("payload", 256))
-    digests = pages.select("page_id", "url", utf8(F.col("html")).alias("payload"))
+    payload = utf8(F.col("html"))
+    long = F.length("payload") >= MIN_REVISIT_BYTES
+    rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("payload_digest", F.sha2("payload", 256))
+    rows = rows.withColumn("_key", F.when(long, F.col("payload_digest")))
     heads = (
-        digests.where(F.length("payload") >= MIN_REVISIT_BYTES)
-        .groupBy(F.sha2("payload", 256).alias("payload_digest"))
+        pages.select("page_id", "url", payload.alias("payload"))
+        .where(long)
+        .groupBy(F.sha2("payload", 256).alias("_key"))
         .agg(F.min("page_id").alias("head"), F.min_by("url", "page_id").alias("refers_to_uri"), F.count(F.lit(1)).alias("n"))
         .where("n > 1 AND head IS NOT NULL")
-        .select("payload_digest", "head", "refers_to_uri")
+        .select("_key", "head", "refers_to_uri")
     )
+    joined = looked_up(rows, heads, "_key", "page_id", "url", total=pages.count(), nulls=True)
     revisit = F.col("head").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("head"))
-    return rows.join(heads, "payload_digest", "left").withColumn("refers_to", F.when(revisit, F.col("head"))).drop("head")
+    return joined.withColumn("refers_to", F.when(revisit, F.col("head"))).drop("head", "_key")
 
 
 def record_id(kind: str, page_id: int | None, url: str, digest: str, serial: str) -> str:

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestar.llm import repetition, sequenced, spelling
 
@@ -157,3 +158,30 @@ def test_repetition_against_counting(spark):
     # One passage twice, all there is, fails the base rule; a tenth of a long text that stands there twice is kept.
     assert not got[7].kept and got[7].base_failed and got[8].kept
     assert repetition.measure([])["n_words"].tolist() == []
+
+
+def test_stages_take_maps_and_ties_in_one_order(spark, tmp_path):
+    """A map column has no order; rows that agree in doc_id and text are told apart by the others."""
+    import corpus_pipeline
+    from lodestar.llm import mixing
+
+    rows = [(i // 2, f"one two three four five six {i // 2} seven", "s", {"k": str(i)}, i % 3) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, extra map<string,string>, n int")
+    kept = dict(corpus_pipeline.STAGES)["jaccard"](spark, docs, str(tmp_path)).collect()
+    assert kept and {r.doc_id: r.extra["k"] for r in kept} == {r.doc_id: str(min((x for x in rows if x[0] == r.doc_id), key=lambda x: (x[0], x[1], x[2], str(x[3])))[3]["k"]) for r in kept}
+    orders = [[(r.doc_id, r.n, r.extra["k"]) for r in mixing.mix(d).collect()] for d in (docs, docs.orderBy(F.desc("n"), F.desc("doc_id")).coalesce(1))]
+    assert orders[0] == orders[1] and orders[0]
+
+
+def test_revisits_of_a_page_that_most_share(spark):
+    """The smallest page_id is the response, whatever the order, and short payloads are all responses."""
+    from lodestar.llm import warc
+
+    common, texts = "<p>" + "x" * 300_000, {}
+    for i in range(60):
+        texts[i] = common if i % 3 else "short" if i % 2 else None if i % 4 else f"<p>{i}" + "y" * 120
+    pages = spark.createDataFrame([(i, None if i == 5 else f"http://h/{i}", t) for i, t in sorted(texts.items(), reverse=True)], "page_id long, url string, html string")
+    found = {r.page_id: (r.record_type, r.refers_to, r.payload_bytes) for r in warc.page_records(spark, pages).collect()}
+    first = {t: min(i for i in texts if texts[i] == t) for t in texts.values()}
+    want = {i: ("revisit", first[t], len(t)) if t and len(t) >= 100 and first[t] != i else ("response", None, len(t or "")) for i, t in texts.items()}
+    assert found == want
