@@ -25,11 +25,14 @@ INVOICE_TERMS = ("subtotal", "payment terms", "amount due", "invoice number", "
 MEETING_TERMS = ("agenda", "action items", "meeting minutes", "decision to", "议程", "行动项")
 MANUAL_TERMS = ("maintenance", "safety", "startup", "connect the cable", "installation steps", "troubleshooting", "维护", "安全指南")
 ACTIONS = (
-    "achieved analyzed architected automated built collaborated conducted coordinated created delivered deployed designed developed "
-    "engineered established implemented improved increased launched led maintained managed operated optimized owned reduced resolved "
-    "streamlined supported"
-).split()
-ACTIONS_ZH = "主导 参与 协助 完成 搭建 推动 构建 管理 设计 负责 开发 实现 优化 维护 制定 提升 分析 招聘 建立 编写 测试 运营 组织 销售 监控 执行 担任 获得 降低 协调 培训".split()
+    "achieved", "analyzed", "architected", "automated", "built", "collaborated", "conducted", "coordinated", "created", "delivered", "deployed",
+    "designed", "developed", "engineered", "established", "implemented", "improved", "increased", "launched", "led", "maintained", "managed",
+    "operated", "optimized", "owned", "reduced", "resolved", "streamlined", "supported",
+)
+ACTIONS_ZH = (
+    "主导", "参与", "协助", "完成", "搭建", "推动", "构建", "管理", "设计", "负责", "开发", "实现", "优化", "维护", "制定", "提升", "分析", "招聘", "建立", "编写", "测试", "运营", "组织", "销售",
+    "监控", "执行", "担任", "获得", "降低", "协调", "培训",
+)
 POSITIVE = ("profile_heading", "experience_heading", "education_heading", "skills_heading", "career_history_detail")
 NEGATIVE = ("invoice_heading", "invoice_terms", "meeting_heading", "meeting_workflow", "manual_heading", "manual_instructions")
 

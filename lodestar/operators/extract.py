@@ -24,27 +24,57 @@ SCHEMA = "entity_type string, raw_value string, normalized_value string, span_st
 TYPES = ("name", "email", "phone", "wechat", "years_experience", "school", "school_tier", "degree", "major", "company", "title", "location", "skill", "certificate", "date_range")
 
 # Labels, headers, marks and patterns of the rules.
-SECTION_HEADERS = frozenset("profile|summary|contact|contacts|education|experience|project|projects|skill|skills|technical skills|technical stack|tech stack|certificate|certificates|certifications|个人信息|联系方式|教育经历|工作经历|项目经历|技能|专业技能|技术栈|证书".split("|"))
-EDUCATION_HEADERS = frozenset("education|education background|academic background|academic history|学历|学位|教育|教育经历|学习经历|教育背景".split("|"))
-SKILL_HEADERS = frozenset("skill|skills|technical skill|technical skills|technical stack|tech stack|技能|专业技能|技术栈".split("|"))
-CERTIFICATE_HEADERS = frozenset("certificate|certificates|certification|certifications|证书|认证|资格".split("|"))
-SCHOOL_LABELS = frozenset("school|university|college|institution|institute|学校|院校|毕业院校|大学".split("|"))
-TIER_LABELS = frozenset("school tier|school_tier|university tier|institution tier|tier|学校层次|院校层次|高校层次|学校类型|院校类型|高校类型".split("|"))
-DEGREE_LABELS = frozenset("degree|education|education level|qualification|学历|学位|教育|最高学历".split("|"))
-MAJOR_LABELS = frozenset("major|field|field of study|study field|specialization|specialisation|concentration|专业|所学专业|主修|主修专业|专业方向|研究方向".split("|"))
-COMPANY_LABELS = frozenset("company|employer|organization|organisation|workplace|公司|单位|雇主|组织".split("|"))
-TITLE_LABELS = frozenset("title|role|position|job title|职位|岗位|职务|角色".split("|"))
-LOCATION_LABELS = frozenset("location|current location|base|city|base city|preferred city|work location|所在地|地点|城市|现居地|居住地|工作地点|期望城市".split("|"))
-ADDRESS_LABELS = frozenset("address|current address|mailing address|residential address|home address|地址|现居住地址|居住地址|通讯地址".split("|"))
+SECTION_HEADERS = frozenset((
+    "profile", "summary", "contact", "contacts", "education", "experience", "project", "projects", "skill", "skills", "technical skills",
+    "technical stack", "tech stack", "certificate", "certificates", "certifications", "个人信息", "联系方式", "教育经历", "工作经历", "项目经历", "技能", "专业技能", "技术栈",
+    "证书",
+))
+EDUCATION_HEADERS = frozenset((
+    "education", "education background", "academic background", "academic history", "学历", "学位", "教育", "教育经历", "学习经历", "教育背景",
+))
+SKILL_HEADERS = frozenset((
+    "skill", "skills", "technical skill", "technical skills", "technical stack", "tech stack", "技能", "专业技能", "技术栈",
+))
+CERTIFICATE_HEADERS = frozenset((
+    "certificate", "certificates", "certification", "certifications", "证书", "认证", "资格",
+))
+SCHOOL_LABELS = frozenset((
+    "school", "university", "college", "institution", "institute", "学校", "院校", "毕业院校", "大学",
+))
+TIER_LABELS = frozenset((
+    "school tier", "school_tier", "university tier", "institution tier", "tier", "学校层次", "院校层次", "高校层次", "学校类型", "院校类型", "高校类型",
+))
+DEGREE_LABELS = frozenset((
+    "degree", "education", "education level", "qualification", "学历", "学位", "教育", "最高学历",
+))
+MAJOR_LABELS = frozenset((
+    "major", "field", "field of study", "study field", "specialization", "specialisation", "concentration", "专业", "所学专业", "主修", "主修专业", "专业方向",
+    "研究方向",
+))
+COMPANY_LABELS = frozenset((
+    "company", "employer", "organization", "organisation", "workplace", "公司", "单位", "雇主", "组织",
+))
+TITLE_LABELS = frozenset((
+    "title", "role", "position", "job title", "职位", "岗位", "职务", "角色",
+))
+LOCATION_LABELS = frozenset((
+    "location", "current location", "base", "city", "base city", "preferred city", "work location", "所在地", "地点", "城市", "现居地", "居住地", "工作地点", "期望城市",
+))
+ADDRESS_LABELS = frozenset((
+    "address", "current address", "mailing address", "residential address", "home address", "地址", "现居住地址", "居住地址", "通讯地址",
+))
 CONTACT_STARTS = ("email", "phone", "mobile", "tel", "wechat", "weixin", "wx", "邮箱", "电话", "手机", "微信")
 SCHOOL_MARKS = ("university", "college", "institute", "大学", "学院")
 COMPANY_ENDS = (" co., ltd.", " co., ltd", " co. ltd.", " co. ltd", " co ltd", " pte. ltd.", " pte. ltd", " pte ltd", " private limited", " limited", " gmbh", " s.a.", " s.a", " sa", " inc.", " inc", " llc", " ltd.", " ltd", " corp", " corporation", " company", " technologies", " labs", " group", " bank")
 COMPANY_MARKS = ("有限责任公司", "股份有限公司", "有限合伙", "合伙企业", "有限公司", "公司", "集团")
+# Where a company's name is cut.
 COMPANY_CUT = (" co., ltd", " co. ltd", " co ltd", " company limited", " pte. ltd", " pte ltd", " private limited", " incorporated", " corporation", " technologies", " limited", " company", " group", " labs", " gmbh", " s.a", " sa", " inc", " llc", " ltd", " corp", " co.", " co", " bank", *COMPANY_MARKS)
 ADDRESS_PLACES = (
-    "San Francisco|New York City|New York|Hong Kong|Los Angeles|San Jose|Singapore|Chongqing|Shanghai|Hangzhou|Shenzhen|Beijing|Guangzhou|Suzhou|Nanjing|Chengdu|Wuhan|Tianjin|Changsha|"
-    "Qingdao|Toronto|Vancouver|Seattle|Austin|Boston|北京市|北京|上海市|上海|深圳市|深圳|广州市|广州|杭州市|杭州|南京市|南京|苏州市|苏州|成都市|成都|武汉市|武汉|香港|重庆市|重庆|天津市|天津|长沙市|长沙|青岛市|青岛|合肥市|合肥|西安市|西安"
-).split("|")
+    "San Francisco", "New York City", "New York", "Hong Kong", "Los Angeles", "San Jose", "Singapore", "Chongqing", "Shanghai", "Hangzhou",
+    "Shenzhen", "Beijing", "Guangzhou", "Suzhou", "Nanjing", "Chengdu", "Wuhan", "Tianjin", "Changsha", "Qingdao", "Toronto", "Vancouver", "Seattle",
+    "Austin", "Boston", "北京市", "北京", "上海市", "上海", "深圳市", "深圳", "广州市", "广州", "杭州市", "杭州", "南京市", "南京", "苏州市", "苏州", "成都市", "成都", "武汉市", "武汉", "香港",
+    "重庆市", "重庆", "天津市", "天津", "长沙市", "长沙", "青岛市", "青岛", "合肥市", "合肥", "西安市", "西安",
+)
 TIER_PATTERNS = (
     ("985", 0.92, r"\bc9\s+league\b|\bproject\s*985\b|\b985\s*project\b|985\s*工程|985"),
     ("211", 0.90, r"\bproject\s*211\b|\b211\s*project\b|211\s*工程|211"),
@@ -110,6 +140,7 @@ CERTIFICATE_PATTERNS = (
 )
 #: Title classes in order: confidence, phrases of which one must occur, and marks of which one must occur too.
 ROLE_MARKS = ("engineer", "developer", "工程师", "开发")
+# Classes of titles and what tells them.
 TITLE_RULES = (
     ("platform_engineer", 0.83, ("platform engineer", "平台工程师"), ()),
     ("security_engineer", 0.83, ("security engineer", "信息安全工程师", "安全工程师"), ()),
@@ -128,6 +159,8 @@ TITLE_RULES = (
     ("data_engineer", 0.82, ("data engineer", "数据工程"), ()),
     ("product_manager", 0.80, ("product manager", "产品经理"), ()),
 )
+# Months by their first letters, and their names as a pattern.
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 _MONTHS = "jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|jun(?:e)?|jul(?:y)?|aug(?:ust)?|sep(?:t(?:ember)?)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?"
 _YEAR, _MONTH, _NOW = r"(19\d{2}|20\d{2})", "(0?[1-9]|1[0-2])", "present|current|now|ongoing"
 DATE_PATTERNS = (
@@ -283,7 +316,7 @@ def find_dates(text: str, lines: list[Line | None]) -> Iterator[Mention]:
         for m in pattern.finditer(text):
             parts = list(m.groups())
             if k >= 4:  # names of months come before their years
-                parts = [x for a, b in zip(parts[::2], parts[1::2], strict=True) for x in (b, str("janfebmaraprmayjunjulaugsepoctnovdec".index(a[:3].lower()) // 3 + 1))]
+                parts = [x for a, b in zip(parts[::2], parts[1::2], strict=True) for x in (b, str(MONTHS.index(a[:3].lower()) + 1))]
             months = [f"{y}-{int(n):02d}" for y, n in zip(parts[::2], parts[1::2], strict=True)]
             found.append(Mention("date_range", m[0], f"{months[0]}/{months[1] if len(months) > 1 else 'PRESENT'}", m.start(), m.end(), 0.92))
     yield from found
