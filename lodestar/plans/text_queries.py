@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions import ids, months, text, values
-from lodestar.operators import classify, extract, sections
+from lodestar.operators import classify, extract, promotion, sections
 from lodestar.plans.registry import ORACLE_SQL, literal, query, table, values_sql
 from lodestar.sources import files
 
@@ -341,6 +341,28 @@ def class_promotion(spark: SparkSession, sf: str) -> DataFrame:
     return scored.select("doc_id", F.round("probability", 9).alias("probability"))
 
 
+#: Characters that the model of the next query reads; the bound is its feature.
+WINDOW = 400
+SIGNALS = [[r for r in reasons if r in (*classify.POSITIVE, *classify.NEGATIVE)] for *_, reasons in CLASS_ENDS]
+
+
+@query(rf"""
+    WITH d AS (SELECT doc_id, text || {literal([t for t, *_ in CLASS_ENDS])}[doc_id % 5 + 1] AS t, [{', '.join('CAST(' + literal(s) + ' AS VARCHAR[])' for s in SIGNALS)}][doc_id % 5 + 1] AS signals FROM documents),
+    l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10))))) AS p FROM d),
+    f AS (SELECT doc_id, p, {family_sql('line')} AS family FROM l),
+    k AS (SELECT doc_id, list('__section_' || family || '__' ORDER BY p) AS kinds FROM f WHERE family IS NOT NULL GROUP BY doc_id),
+    s AS (SELECT d.doc_id, t, substr(array_to_string(list_concat(coalesce(kinds, [])[:64], list_transform(signals, lambda r: '__reason_' || replace(r, '_', '') || '__')), ' '), 1, {WINDOW // 4}) AS s FROM d LEFT JOIN k ON d.doc_id = k.doc_id),
+    r AS (SELECT *, {WINDOW} - length(s) - 1 AS room FROM s),
+    b AS (SELECT doc_id, s, CASE WHEN length(t) <= room THEN t ELSE substr(t, 1, room * 3 // 5) || right(t, room - room * 3 // 5) END AS b FROM r)
+    SELECT doc_id, trim(regexp_replace(lower(substr(CASE WHEN s = '' THEN b ELSE b || chr(10) || s END, 1, {WINDOW})), '[\p{{Z}}\s]+', ' ', 'g')) AS input FROM b""")
+def class_model_input(spark: SparkSession, sf: str) -> DataFrame:
+    """What a model with a window reads of each document and its signals."""
+    ends = F.array(*[F.lit(t) for t, *_ in CLASS_ENDS])
+    docs = table(spark, sf, "documents").select("doc_id", F.concat("text", F.get(ends, (F.col("doc_id") % 5).cast("int"))).alias("text"))
+    text_ = F.col("text")
+    return classify.classify(docs).select("doc_id", promotion.model_input(text_, promotion.section_types(text_), F.col("reasons"), WINDOW).alias("input"))
+
+
 #: FNV-1a of a list of bytes, in whole numbers of 128 bits.
 FNV = "list_reduce(list_concat([14695981039346656037::UBIGINT], {0}), lambda x, y: CAST((CAST(xor(x, y) AS HUGEINT) * 1099511628211) % 18446744073709551616 AS UBIGINT))"
 BYTES = "list_transform(regexp_extract_all({0}, '..'), lambda h: CAST('0x' || h AS UBIGINT))"
