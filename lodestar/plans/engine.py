@@ -35,13 +35,52 @@ class Corpus:
     embed: Callable[[str], list[float]] | None = None
 
 
+#: The stages of a search, in their order.
+STAGES = ("query_parse", "prefilter", "bm25", "ann", "fusion", "bulk_hydrate", "snippet")
+
+
+class Stages:
+    """Runs each stage of a search by itself: its rows stay with the executors, are counted, and the next stage reads them.
+
+    So a stage's seconds are its own, at the price of an action a stage; a search that isn't timed is one plan. A stage
+    that a search has no use for takes no time and has no rows. Lost rows are computed again.
+    """
+
+    def __init__(self) -> None:
+        self.seconds, self.rows = dict.fromkeys(STAGES, 0.0), dict.fromkeys(STAGES[1:], 0)
+        self.kept: list[DataFrame] = []
+
+    def run(self, name: str, made: Callable[[], DataFrame]) -> DataFrame:
+        began = time.perf_counter()
+        out = made().persist()
+        self.kept.append(out)
+        self.rows[name] = out.count()
+        self.seconds[name] = time.perf_counter() - began
+        return out
+
+    def release(self) -> None:
+        while self.kept:
+            self.kept.pop().unpersist()
+
+
 @dataclass
 class Answer:
     """Hits as a DataFrame, and how they were found."""
 
     hits: DataFrame
     partial: str | None = None
-    timing: dict[str, float] = field(default_factory=dict)
+    timing: dict[str, float] = field(default_factory=dict)  # seconds
+    rows: dict[str, int] = field(default_factory=dict)  # of each stage, if the search was timed
+    stages: Stages | None = None
+
+    def server_timing(self) -> str:
+        """The stages in milliseconds, as an HTTP header gives them."""
+        return ",".join(f"{name};dur={1000 * self.timing.get(name, 0.0):.3f}" for name in STAGES)
+
+    def release(self) -> None:
+        """Frees what a timed search keeps for its hits, which must be read before; answers of a batch share it."""
+        if self.stages is not None:
+            self.stages.release()
 
 
 def parse_request(payload: dict) -> tuple[str, str, int, list[filters.Predicate]]:
@@ -56,13 +95,16 @@ def parse_request(payload: dict) -> tuple[str, str, int, list[filters.Predicate]
     return payload["query"], mode, top, filters.parse_filters(payload.get("filters") or {})
 
 
-def search(spark: SparkSession, corpus: Corpus, query: str, mode: str = "fulltext", top_k: int = 10, wanted: dict | None = None) -> Answer:
+def search(spark: SparkSession, corpus: Corpus, query: str, mode: str = "fulltext", top_k: int = 10, wanted: dict | None = None, timed: bool = False) -> Answer:
     """One request. Structured filters restrict keyword hits before their cut-off and vector hits after it."""
-    return search_batch(spark, corpus, {"0": {"query": query, "mode": mode, "top_k": top_k, "filters": wanted or {}}})["0"]
+    return search_batch(spark, corpus, {"0": {"query": query, "mode": mode, "top_k": top_k, "filters": wanted or {}}}, timed)["0"]
+
 
+def search_batch(spark: SparkSession, corpus: Corpus, requests: dict[str, dict], timed: bool = False) -> dict[str, Answer]:
+    """Up to 64 requests; those alike in mode and filters share one plan, which reads postings and vectors once.
 
-def search_batch(spark: SparkSession, corpus: Corpus, requests: dict[str, dict]) -> dict[str, Answer]:
-    """Up to 64 requests; those alike in mode and filters share one plan, which reads postings and vectors once."""
+    ``timed``: stage by stage, with seconds and rows of each; requests that share a plan share these.
+    """
     if not 0 < len(requests) <= BATCH:
         raise ValueError("a batch has 1 to 64 queries")
     parsed = {name: parse_request(payload) for name, payload in requests.items()}
@@ -73,44 +115,57 @@ def search_batch(spark: SparkSession, corpus: Corpus, requests: dict[str, dict])
     for (mode, top, _), names in groups.items():
         began = time.perf_counter()
         plans = {n: fulltext.plan_query(parsed[n][0], top) for n in names}
-        timing = {"parse": time.perf_counter() - began}
-        hits, partial = run_group(spark, corpus, plans, {n: parsed[n][0] for n in names}, mode, top, parsed[names[0]][3])
-        timing["plan"] = time.perf_counter() - began - timing["parse"]
+        timing = {"query_parse": time.perf_counter() - began}
+        stages = Stages() if timed else None
+        hits, partial = run_group(spark, corpus, plans, {n: parsed[n][0] for n in names}, mode, top, parsed[names[0]][3], stages)
+        timing = stages.seconds | timing if stages else timing | {"plan": time.perf_counter() - began - timing["query_parse"]}
         for n in names:
-            answers[n] = Answer(hits.where(F.col("query_id") == n).drop("query_id"), partial, dict(timing))
+            answers[n] = Answer(hits.where(F.col("query_id") == n).drop("query_id"), partial, dict(timing), dict(stages.rows) if stages else {}, stages)
     return answers
 
 
-def run_group(spark, corpus, plans, queries, mode, top, predicates) -> tuple[DataFrame, str | None]:
-    allowed = filters.select(corpus.documents.select("doc_id"), corpus.mentions, predicates, contacts=corpus.contacts) if predicates else None
+def run_group(spark, corpus, plans, queries, mode, top, predicates, stages: Stages | None = None) -> tuple[DataFrame, str | None]:
+    stage = stages.run if stages else lambda name, made: made()
+    allowed = stage("prefilter", lambda: filters.select(corpus.documents.select("doc_id"), corpus.mentions, predicates, contacts=corpus.contacts)) if predicates else None
     fetch = min(MOST, max(top, OVERFETCH * top))
+    as_text = lambda df: df.withColumn("doc_id", F.col("doc_id").cast("string"))
     lexical = semantic = partial = None
     if mode != "semantic":
-        lexical = fulltext.search(corpus.index.of(fulltext.terms_of(plans)), fulltext.query_table(spark, plans), fetch, allowed).withColumn("doc_id", F.col("doc_id").cast("string"))
+        lexical = stage("bm25", lambda: as_text(fulltext.search(corpus.index.of(fulltext.terms_of(plans)), fulltext.query_table(spark, plans), fetch, allowed)))
     if mode != "fulltext":
         if corpus.vectors is None or corpus.embed is None:
             if mode == "semantic":
                 raise RuntimeError("semantic search is disabled")
             partial = "embedding_runtime_unavailable"
         else:
-            asked = spark.createDataFrame([(n, [float(x) for x in corpus.embed(q)]) for n, q in queries.items()], "query_id string, embedding array<float>")
-            near = vectors.nearest(corpus.vectors, asked, fetch, "doc_id")
-            semantic = (vectors.filtered_after(near, allowed, "doc_id") if allowed is not None else near).withColumn("doc_id", F.col("doc_id").cast("string"))
-    fused = fusion.hybrid(lexical, semantic, fetch) if lexical is not None and semantic is not None else lexical if lexical is not None else semantic
-    ranked = fused.select("query_id", "doc_id", "rank", "score")
-    docs = corpus.documents.withColumn("doc_id", F.col("doc_id").cast("string"))
-    # Hits are at most 100 a query: the text is joined, and snippets made, only for them.
-    found = docs.join(F.broadcast(ranked), "doc_id")
-    if corpus.candidates is not None:
-        found = found.join(corpus.candidates.withColumnRenamed("candidate_id", "candidate_key"), "version_id", "left")
-    else:
-        found = found.withColumn("candidate_key", F.lit(None).cast("string"))
-    folded = fusion.fold_and_number(found, top)
-    terms = spark.createDataFrame([(n, [t for g in p.groups for part in g[0] for t in part]) for n, p in plans.items()], "query_id string, _terms array<string>")
-    shown = folded.join(F.broadcast(terms), "query_id")
-    lexical_hit = F.exists("_terms", lambda t: F.instr(text.ascii_lower(F.col("clean_text")), t) > 0)
-    snippet = F.when(lexical_hit, text.snippet(F.col("clean_text"), F.col("_terms"))).otherwise("semantic match")
-    return shown.select("query_id", "rank", "score", "doc_id", "version_id", text.file_name_shown(F.col("file_name")).alias("file_name"), snippet.alias("snippet")), partial
+
+            def by_vector() -> DataFrame:
+                asked = spark.createDataFrame([(n, [float(x) for x in corpus.embed(q)]) for n, q in queries.items()], "query_id string, embedding array<float>")
+                near = vectors.nearest(corpus.vectors, asked, fetch, "doc_id")
+                return as_text(vectors.filtered_after(near, allowed, "doc_id") if allowed is not None else near)
+
+            semantic = stage("ann", by_vector)
+    both = lexical is not None and semantic is not None
+    ranked = stage("fusion", lambda: (fusion.hybrid(lexical, semantic, fetch) if both else lexical if lexical is not None else semantic).select("query_id", "doc_id", "rank", "score"))
+
+    def hydrated() -> DataFrame:
+        # Hits are at most 100 a query: the text is joined, and snippets made, only for them.
+        found = as_text(corpus.documents).join(F.broadcast(ranked), "doc_id")
+        if corpus.candidates is not None:
+            found = found.join(corpus.candidates.withColumnRenamed("candidate_id", "candidate_key"), "version_id", "left")
+        else:
+            found = found.withColumn("candidate_key", F.lit(None).cast("string"))
+        return fusion.fold_and_number(found, top)
+
+    folded = stage("bulk_hydrate", hydrated)
+
+    def shown() -> DataFrame:
+        terms = spark.createDataFrame([(n, [t for g in p.groups for part in g[0] for t in part]) for n, p in plans.items()], "query_id string, _terms array<string>")
+        lexical_hit = F.exists("_terms", lambda t: F.instr(text.ascii_lower(F.col("clean_text")), t) > 0)
+        snippet = F.when(lexical_hit, text.snippet(F.col("clean_text"), F.col("_terms"))).otherwise("semantic match")
+        return folded.join(F.broadcast(terms), "query_id").select("query_id", "rank", "score", "doc_id", "version_id", text.file_name_shown(F.col("file_name")).alias("file_name"), snippet.alias("snippet"))
+
+    return stage("snippet", shown), partial
 
 
 def import_folder(spark: SparkSession, root: str, readers: dict | None = None, profile: str = "explicit") -> dict[str, DataFrame]:

@@ -91,6 +91,22 @@ def ft_index_build(spark: SparkSession, sf: str) -> DataFrame:
     return engine.read_index(publish_index(spark, sf, new_folder(spark, "index"))).terms.select("term", "field", "df", "cf")
 
 
+@query(f"""
+    WITH {POSTINGS}, a AS (SELECT doc_id FROM documents WHERE lang IN ('en', 'de')),
+    m AS (SELECT doc_id FROM p WHERE term IN ('the', 'and') AND doc_id IN (SELECT doc_id FROM a) GROUP BY doc_id HAVING count(DISTINCT term) = 2),
+    n AS (SELECT least(50, count(*)) AS n FROM m)
+    SELECT s.stage, CAST(CASE s.stage WHEN 'prefilter' THEN (SELECT count(*) FROM a) WHEN 'ann' THEN 0 WHEN 'bm25' THEN n WHEN 'fusion' THEN n ELSE least(10, n) END AS BIGINT) AS rows
+    FROM n, (VALUES ('prefilter'), ('bm25'), ('ann'), ('fusion'), ('bulk_hydrate'), ('snippet')) s(stage)""")
+def search_stages(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of each stage of a filtered keyword search over all documents; a document's language stands as a skill of its own."""
+    docs = table(spark, sf, "documents")
+    skills = docs.select("doc_id", F.lit("skill").alias("entity_type"), F.col("lang").alias("raw_value"), F.col("lang").alias("normalized_value"), F.lit(0.9).alias("confidence"))
+    whole = docs.select("doc_id", F.col("doc_id").cast("string").alias("version_id"), F.col("source").alias("file_name"), F.col("text").alias("clean_text"))
+    answer = engine.search(spark, engine.Corpus(whole, published(spark, sf), skills), "the and", wanted={"skills_any": ["en", "de"]}, timed=True)
+    answer.release()
+    return spark.createDataFrame(list(answer.rows.items()), "stage string, rows long")
+
+
 #: The generation after the first: every fifth document gone, every seventh with another text.
 NEXT = "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'new words the' ELSE text END AS text, source FROM documents WHERE doc_id % 5 <> 0 OR doc_id % 7 = 0"
 

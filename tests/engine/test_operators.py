@@ -388,6 +388,13 @@ def test_semantic_search(spark):
     assert {hybrid[0].doc_id, hybrid[1].doc_id} == {"a", "c"} and any(r.snippet == "semantic match" for r in hybrid)
     batch = engine.search_batch(spark, corpus, {"x": {"query": "red"}, "y": {"query": "pears"}})
     assert {n: a.hits.count() for n, a in batch.items()} == {"x": 2, "y": 1}
+    timed = engine.search(spark, corpus, "red", "hybrid", timed=True)
+    assert timed.hits.orderBy("rank").collect() == hybrid
+    assert timed.rows == {"prefilter": 0, "bm25": 2, "ann": 3, "fusion": 3, "bulk_hydrate": 3, "snippet": 3}
+    assert tuple(timed.timing) == engine.STAGES and timed.timing["prefilter"] == 0 < min(timed.timing[s] for s in engine.STAGES[2:])
+    assert timed.server_timing().startswith("query_parse;dur=") and timed.server_timing().count(";dur=") == 7
+    timed.release()
+    assert timed.stages.kept == []
 
 
 def test_deadline(spark):
