@@ -346,7 +346,7 @@ WINDOW = 400
 SIGNALS = [[r for r in reasons if r in (*classify.POSITIVE, *classify.NEGATIVE)] for *_, reasons in CLASS_ENDS]
 
 
-@query(rf"""
+MODEL_INPUT = rf"""
     WITH d AS (SELECT doc_id, text || {literal([t for t, *_ in CLASS_ENDS])}[doc_id % 5 + 1] AS t, [{', '.join('CAST(' + literal(s) + ' AS VARCHAR[])' for s in SIGNALS)}][doc_id % 5 + 1] AS signals FROM documents),
     l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10))))) AS p FROM d),
     f AS (SELECT doc_id, p, {family_sql('line')} AS family FROM l),
@@ -354,7 +354,10 @@ SIGNALS = [[r for r in reasons if r in (*classify.POSITIVE, *classify.NEGATIVE)]
     s AS (SELECT d.doc_id, t, substr(array_to_string(list_concat(coalesce(kinds, [])[:64], list_transform(signals, lambda r: '__reason_' || replace(r, '_', '') || '__')), ' '), 1, {WINDOW // 4}) AS s FROM d LEFT JOIN k ON d.doc_id = k.doc_id),
     r AS (SELECT *, {WINDOW} - length(s) - 1 AS room FROM s),
     b AS (SELECT doc_id, s, CASE WHEN length(t) <= room THEN t ELSE substr(t, 1, room * 3 // 5) || right(t, room - room * 3 // 5) END AS b FROM r)
-    SELECT doc_id, trim(regexp_replace(lower(substr(CASE WHEN s = '' THEN b ELSE b || chr(10) || s END, 1, {WINDOW})), '[\p{{Z}}\s]+', ' ', 'g')) AS input FROM b""")
+    SELECT doc_id, trim(regexp_replace(lower(substr(CASE WHEN s = '' THEN b ELSE b || chr(10) || s END, 1, {WINDOW})), '[\p{{Z}}\s]+', ' ', 'g')) AS input FROM b"""
+
+
+@query(MODEL_INPUT)
 def class_model_input(spark: SparkSession, sf: str) -> DataFrame:
     """What a model with a window reads of each document and its signals."""
     ends = F.array(*[F.lit(t) for t, *_ in CLASS_ENDS])
@@ -363,6 +366,26 @@ def class_model_input(spark: SparkSession, sf: str) -> DataFrame:
     return classify.classify(docs).select("doc_id", promotion.model_input(text_, promotion.section_types(text_), F.col("reasons"), WINDOW).alias("input"))
 
 
+#: gram, idf, weight of a small model, and its intercept and threshold.
+GRAMS, INTERCEPT, THRESHOLD = [("the", 1.5, 0.8), ("und", 2.0, -0.7), ("que", 1.2, 0.3), ("ion", 1.1, 0.2)], -0.1, 0.55
+
+
+@query(f"""
+    WITH i AS ({MODEL_INPUT}), g AS (SELECT doc_id, unnest(range(1, length(input) - 1)) AS p, input AS t FROM i),
+    c AS (SELECT doc_id, substr(t, p, 3) AS gram, count(*) AS n FROM g GROUP BY 1, 2),
+    v AS (SELECT doc_id, (1 + ln(n)) * w.idf AS v, w.weight FROM c JOIN ({values_sql('gram VARCHAR, idf DOUBLE, weight DOUBLE', GRAMS)}) w ON c.gram = w.gram),
+    z AS (SELECT doc_id, sum(v * weight) / sqrt(sum(v * v)) AS z FROM v GROUP BY 1),
+    d AS (SELECT doc_id, s.status, s.reasons, s.reasons[1] = 'insufficient_signal_families' AND 1 / (1 + exp(-(coalesce(z, 0.0) + {INTERCEPT}))) >= {THRESHOLD} AS up
+          FROM documents JOIN ({values_sql('k INTEGER, status VARCHAR, reasons VARCHAR[]', [(k, st, r) for k, (_, st, r) in enumerate(CLASS_ENDS)])}) s ON doc_id % 5 = k LEFT JOIN z USING (doc_id))
+    SELECT doc_id, CASE WHEN up THEN 'resume_candidate' ELSE status END AS status, CASE WHEN up THEN list_prepend('corroborated_resume_signals', reasons) ELSE reasons END AS reasons FROM d""")
+def class_promoted(spark: SparkSession, sf: str) -> DataFrame:
+    """Classified documents after a model with a window has lifted some of those under review."""
+    ends = F.array(*[F.lit(t) for t, *_ in CLASS_ENDS])
+    docs = table(spark, sf, "documents").select("doc_id", F.concat("text", F.get(ends, (F.col("doc_id") % 5).cast("int"))).alias("text"))
+    model = promotion.Model("e1", WINDOW, THRESHOLD, INTERCEPT, spark.createDataFrame(GRAMS, "gram string, idf double, weight double"))
+    return promotion.promoted(classify.classify(docs), model).select("doc_id", "status", "reasons")
+
+
 #: FNV-1a of a list of bytes, in whole numbers of 128 bits.
 FNV = "list_reduce(list_concat([14695981039346656037::UBIGINT], {0}), lambda x, y: CAST((CAST(xor(x, y) AS HUGEINT) * 1099511628211) % 18446744073709551616 AS UBIGINT))"
 BYTES = "list_transform(regexp_extract_all({0}, '..'), lambda h: CAST('0x' || h AS UBIGINT))"
