@@ -1,7 +1,7 @@
 """Typed mentions of a text: contacts, dates, schools, degrees, employers, skills and more.
 
 Rules look at lines in order and keep a little state between them (an open education section, values already seen), so
-they run as one vectorised function over texts, text in, mentions out. Which of them stay is decided afterwards with
+they run over Arrow batches of texts, texts in, rows of mentions out. Which of them stay is decided afterwards with
 window functions. Spans are bytes of the UTF-8 text.
 """
 
@@ -11,15 +11,17 @@ import re
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions import values
-from lodestar.functions.vectorised import vectorised
 
 MOST_MENTIONS, VALUE_BYTES = 256, 4096
+#: Texts whose mentions are held at once, and texts of a task where they are dealt out.
+PIECE, TASK_ROWS = 200, 5000
 SCHEMA = "entity_type string, raw_value string, normalized_value string, span_start int, span_end int, confidence double"
+ARROW = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.float64())
 #: The order in which types take turns when mentions have to be left out.
 TYPES = ("name", "email", "phone", "wechat", "years_experience", "school", "school_tier", "degree", "major", "company", "title", "location", "skill", "certificate", "date_range")
 
@@ -184,6 +186,10 @@ _DATES = [re.compile(p, re.IGNORECASE if k not in (0, 2) else 0) for k, p in enu
 _TIERS, _DEGREES, _MAJORS, _CERTIFICATES = ([(n, c, _i(p)) for n, c, p in table] for table in (TIER_PATTERNS, DEGREE_PATTERNS, MAJOR_PATTERNS, CERTIFICATE_PATTERNS))
 _SKILLS = [(n, 0.91, _i(p)) for n, p in SKILL_PATTERNS]
 _PLACES = values.aliases(values.LOCATIONS)
+_COLON = re.compile("[:：]")
+_any = lambda marks: re.compile("|".join(map(re.escape, marks)))
+_SCHOOL_MARKS, _COMPANY_MARKS, _TITLE_MARKS = _any(SCHOOL_MARKS), _any(COMPANY_MARKS), _any([p for _, _, phrases, _ in TITLE_RULES for p in phrases])
+_SKILL_MARKS, _CERTIFICATE_MARKS = _any(("skill", "technical stack", "tech stack", "技术栈", "技能")), _any(("certified", "certificate", "certification", "证书", "认证"))
 
 
 class Line(NamedTuple):
@@ -219,7 +225,7 @@ def text_of_lines(text: str) -> list[Line | None]:
 
 def labelled(line: Line, labels: frozenset[str]) -> Line | None:
     """The value of a ``label: value`` line, possibly empty; None if the label is another."""
-    m = re.search("[:：]", line.text)
+    m = _COLON.search(line.text)
     if not m or line.text[: m.start()].strip().lower() not in labels:
         return None
     rest = line.text[m.end() :]
@@ -233,24 +239,28 @@ def is_contact(text: str) -> bool:
 
 
 def is_school(text: str) -> bool:
-    return any(m in text.lower() for m in SCHOOL_MARKS)
+    return _SCHOOL_MARKS.search(text.lower()) is not None
 
 
 def is_company(text: str) -> bool:
-    return text.lower().endswith(COMPANY_ENDS) or any(m in text.lower() for m in COMPANY_MARKS)
+    low = text.lower()
+    return low.endswith(COMPANY_ENDS) or _COMPANY_MARKS.search(low) is not None
 
 
 def is_skill_line(text: str) -> bool:
-    return any(m in text.lower() for m in ("skill", "technical stack", "tech stack", "技术栈", "技能"))
+    return _SKILL_MARKS.search(text.lower()) is not None
 
 
 def is_certificate_line(text: str) -> bool:
-    return text.lower() not in CERTIFICATE_HEADERS and any(m in text.lower() for m in ("certified", "certificate", "certification", "证书", "认证"))
+    low = text.lower()
+    return low not in CERTIFICATE_HEADERS and _CERTIFICATE_MARKS.search(low) is not None
 
 
 def title_class(text: str) -> tuple[str, float] | None:
     """The class of a title line. Few lines have a phrase of a class, so what excludes a line is looked at last."""
     low = text.lower()
+    if not _TITLE_MARKS.search(low):
+        return None
     found = next(((name, c) for name, c, phrases, marks in TITLE_RULES if any(p in low for p in phrases) and (not marks or any(m in low for m in marks))), None)
     return None if found is None or is_certificate_line(text) or is_skill_line(text) or any(p.search(text) for _, _, p in _CERTIFICATES) else found
 
@@ -420,7 +430,7 @@ def find_work(text: str, lines: list[Line | None]) -> Iterator[Mention]:
     places: set[str] = set()
     for line in (x for x in lines if x and x.size <= 120):
         part = labelled(line, COMPANY_LABELS)
-        part = part if part is not None else None if re.search("[:：]", line.text) else line
+        part = part if part is not None else None if _COLON.search(line.text) else line
         if part and part.text and is_company(part.text) and (value := company_value(part.text)):
             yield Mention("company", part.text, value, part.at, part.at + len(part.text), 0.78)
         part = labelled(line, TITLE_LABELS)
@@ -470,12 +480,12 @@ def find_skills(text: str, lines: list[Line | None]) -> Iterator[Mention]:
 RULES = (find_names, find_contacts, find_dates, find_education, find_work, find_skills)
 
 
-def mentions_of(text: str | None) -> list[Mention]:
+def mentions_of(text: str | None, rules: tuple = RULES) -> list[Mention]:
     """All mentions of a text, spans in bytes; over-long values are left out."""
     if not text:
         return []
     lines = text_of_lines(text)
-    found = [m for rule in RULES for m in rule(text, lines) if max(len(m.raw.encode()), len(m.value.encode())) <= VALUE_BYTES]
+    found = [m for rule in rules for m in rule(text, lines) if max(len(m.raw.encode()), len(m.value.encode())) <= VALUE_BYTES]
     if text.isascii():
         return found
     cuts = sorted({x for m in found for x in (m.start, m.end)})
@@ -486,14 +496,28 @@ def mentions_of(text: str | None) -> list[Mention]:
     return [m._replace(start=at[m.start], end=at[m.end]) for m in found]
 
 
-@vectorised(f"array<struct<{SCHEMA.replace(' ', ':').replace(',:', ',')}>>")
-def extracted(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for texts in parts:
-        yield texts.map(lambda t: [m._asdict() | {"entity_type": m.type, "raw_value": m.raw, "normalized_value": m.value, "span_start": m.start, "span_end": m.end} for m in mentions_of(t)])
+def all_mentions(texts: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple = RULES) -> DataFrame:
+    """key and the mentions that ``rules`` find, a row each. Texts go in and mentions out by pieces of PIECE texts, so a task holds few."""
+    source = texts.select(key, text)
+    kinds = source.schema[0].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, PIECE):
+                piece = batch.slice(at, PIECE)
+                found = [mentions_of(t.as_py(), rules) for t in piece.column(1)]
+                whose = pa.array([i for i, ms in enumerate(found) for _ in ms], pa.int32())
+                columns = zip(*(m for ms in found for m in ms), strict=True) if len(whose) else [()] * len(ARROW)
+                yield pa.RecordBatch.from_arrays([piece.column(0).take(whose), *(pa.array(c, kind) for c, kind in zip(columns, ARROW, strict=True))], [key, *Mention._fields])
+
+    names = [c.split(" ")[0] for c in SCHEMA.split(", ")]
+    rows = source.mapInArrow(run, f"`{key}` {kinds}, " + SCHEMA)
+    return rows.select(key, *names)
 
 
-def all_mentions(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    return texts.select(key, F.explode(extracted(F.col(text))).alias("m")).select(key, "m.*")
+def spread(rows: DataFrame, each: int = TASK_ROWS) -> DataFrame:
+    """Rows dealt over tasks of about ``each``: short rows that become long work lie in few file splits. ``rows`` is counted first."""
+    return rows.repartition(max(1, -(-rows.count() // each)))
 
 
 def retained(mentions: DataFrame, key: str = "doc_id", most: int = MOST_MENTIONS) -> DataFrame:
@@ -505,7 +529,8 @@ def retained(mentions: DataFrame, key: str = "doc_id", most: int = MOST_MENTIONS
     value = F.coalesce("normalized_value", "raw_value")
     better = [F.desc("confidence"), F.asc("span_start"), F.asc("span_end"), F.asc("raw_value"), F.asc(F.coalesce("normalized_value", F.lit("")))]
     same = Window.partitionBy(key, "entity_type", value, "span_start", "span_end").orderBy(*better)
-    distinct = mentions.withColumn("_n", F.row_number().over(same)).where("_n = 1").drop("_n")
+    # One exchange by key serves all windows.
+    distinct = mentions.repartition(key).withColumn("_n", F.row_number().over(same)).where("_n = 1").drop("_n")
     turn = F.row_number().over(Window.partitionBy(key, "entity_type").orderBy(*better))
     slot = F.array_position(F.array(*[F.lit(t) for t in TYPES]), F.col("entity_type"))
     limited = distinct.withColumn("_turn", turn).where(F.col("_turn") <= most).withColumn("_slot", slot)

@@ -419,7 +419,7 @@ MENTION_ROWS = [
 def extract_resume(spark: SparkSession, sf: str) -> DataFrame:
     """A resume for each part, with the part's key in its address, so that all that follows lies further on."""
     before, after = RESUME.split("@", 1)
-    texts = table(spark, sf, "part").select("p_partkey", F.concat(F.lit(before), F.col("p_partkey").cast("string"), F.lit("@" + after)).alias("text"))
+    texts = extract.spread(table(spark, sf, "part").select("p_partkey")).select("p_partkey", F.concat(F.lit(before), F.col("p_partkey").cast("string"), F.lit("@" + after)).alias("text"))
     return extract.extract(texts, "p_partkey").select("p_partkey", "entity_type", "raw_value", "normalized_value", "span_start", "span_end", "confidence")
 
 
@@ -427,7 +427,7 @@ def extract_resume(spark: SparkSession, sf: str) -> DataFrame:
     WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b')) AS v FROM documents)
     SELECT doc_id, lower(v) AS email, count(*) AS n FROM m GROUP BY 1, 2""")
 def extract_emails(spark: SparkSession, sf: str) -> DataFrame:
-    found = extract.all_mentions(table(spark, sf, "documents").select("doc_id", "text")).where("entity_type = 'email'")
+    found = extract.all_mentions(table(spark, sf, "documents"), rules=(extract.find_contacts,)).where("entity_type = 'email'")
     return found.groupBy("doc_id", F.col("normalized_value").alias("email")).agg(F.count(F.lit(1)).alias("n"))
 
 
