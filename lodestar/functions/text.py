@@ -6,20 +6,22 @@ since Java's ``\\b``, ``\\d`` and ``\\w`` are ASCII by default.
 
 from __future__ import annotations
 
+import array
 import collections
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lodestar.functions.vectorised import vectorised
-
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: White space of Unicode except line ends, as a Java class; control characters count as blanks.
 _HORIZONTAL = r"[\p{Z}\x{0}-\x{9}\x{B}\x{E}-\x{1F}\x{7F}-\x{9F}]+"
+#: The same and line ends for Python: white space, controls and separators, all below U+3001.
+_WORDS = re.compile("[^" + "".join(re.escape(chr(c)) for c in range(0x3001) if chr(c).isspace() or unicodedata.category(chr(c)) in ("Cc", "Zs", "Zl", "Zp")) + "]+")
+_LINE_ENDS, _SPACED = re.compile("(\r\n|[\r\n\f])"), re.compile("[A-Za-z]( [A-Za-z]){3,}")
 SHORT_LINE_BYTES = 80
 SNIPPET_BEFORE, SNIPPET_AFTER = 40, 80
 FILE_NAME_BYTES = 160
@@ -235,62 +237,75 @@ def normalized_with_origins(source: str | None) -> tuple[str, list[tuple[int, in
     A run covers characters that stand in the source as they are; a blank maps to all white space it stands for, and
     line ends between kept lines have no origin.
     """
-    lines: list[list[tuple[str, int, int]]] = []
+    size = lambda s: len(s) if s.isascii() else len(s.encode("utf-8", "surrogatepass"))
+    lines: list[tuple[str, bool, list[tuple[str, int, int]]]] = []  # clean text, whether blanks are left out, words
     at = 0
-    for piece in re.split("(\r\n|[\r\n\f])", source or ""):
-        size = len(piece.encode("utf-8", "surrogatepass"))
-        if not re.fullmatch("\r\n|[\r\n\f]", piece):
-            line: list[tuple[str, int, int]] = []
-            place = at
-            for c in piece:
-                end = place + len(c.encode("utf-8", "surrogatepass"))
-                blank = c.isspace() or unicodedata.category(c) in ("Cc", "Zs", "Zl", "Zp")
-                if blank and line and line[-1][0] == " ":
-                    line[-1] = (" ", line[-1][1], end)
-                elif line or not blank:
-                    line.append((" " if blank else c, place, end))
-                place = end
-            if line and line[-1][0] == " ":
-                line.pop()
-            if re.fullmatch("[A-Za-z]( [A-Za-z]){3,}", "".join(c for c, *_ in line)):
-                line = [x for x in line if x[0] != " "]
-            lines.append(line)
-        at += size
-    texts = ["".join(c for c, *_ in line) for line in lines]
-    counts = collections.Counter(t for t in texts if t and len(t.encode("utf-8", "surrogatepass")) <= SHORT_LINE_BYTES)
-    kept: list[list[tuple[str, int, int]]] = []
-    for line, t in zip(lines, texts, strict=True):
-        low = t.translate({c: c + 32 for c in range(65, 91)})
-        gone = counts[t] > 1 or (low.startswith("page ") and " of " in low and re.search("[0-9]", low) is not None)
-        if line and not gone:
+    for piece in _LINE_ENDS.split(source or ""):
+        if not _LINE_ENDS.fullmatch(piece):
+            words: list[tuple[str, int, int]] = []
+            place, done = at, 0
+            for m in _WORDS.finditer(piece):
+                start = place + size(piece[done : m.start()])
+                place, done = start + size(m[0]), m.end()
+                words.append((m[0], start, place))
+            line = " ".join(w for w, *_ in words)
+            spaced = len(words) > 3 and _SPACED.fullmatch(line) is not None
+            lines.append((line.replace(" ", "") if spaced else line, spaced, words))
+        at += size(piece)
+    counts = collections.Counter(t for t, *_ in lines if t and size(t) <= SHORT_LINE_BYTES)
+    kept: list[tuple[str, bool, list[tuple[str, int, int]]]] = []
+    for line in lines:
+        low = line[0].translate({c: c + 32 for c in range(65, 91)}) if line[0][:1] in ("P", "p") else ""
+        gone = counts[line[0]] > 1 or (low.startswith("page ") and " of " in low and re.search("[0-9]", low) is not None)
+        if line[0] and not gone:
             kept.append(line)
-        elif kept and kept[-1]:
-            kept.append([])
-    while kept and not kept[-1]:
+        elif kept and kept[-1][0]:
+            kept.append(("", False, []))
+    while kept and not kept[-1][0]:
         kept.pop()
-    out, runs, clean = [], [], 0
-    for k, line in enumerate(kept):
-        if k:
-            out.append("\n")
-            clean += 1
-        for c, a, b in line:
-            size = len(c.encode("utf-8", "surrogatepass"))
-            if runs and c != " " and runs[-1][1] == clean and runs[-1][3] == a and runs[-1][1] - runs[-1][0] == runs[-1][3] - runs[-1][2]:
-                runs[-1] = (runs[-1][0], clean + size, runs[-1][2], b)
-            else:
-                runs.append((clean, clean + size, a, b))
-            out.append(c)
-            clean += size
-    return "".join(out), runs
-
-
-@vectorised("struct<clean string, origins array<struct<clean_start int, clean_end int, source_start int, source_end int>>>")
-def normalize_with_origins(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """``normalize_text`` with the map back to the source. Needs a character walk, so a vectorised function."""
-    names = ("clean_start", "clean_end", "source_start", "source_end")
+    runs, clean = [], 0
+    for k, (_, spaced, words) in enumerate(kept):
+        clean += k > 0  # the line end
+        before = None
+        for _, a, b in words:
+            if before is not None and not spaced:
+                if a - before == 1:  # a blank of one byte goes with its word
+                    a = before
+                else:
+                    runs.append((clean, clean + 1, before, a))
+                    clean += 1
+            runs.append((clean, clean + b - a, a, b))
+            clean, before = clean + b - a, b
+    return "\n".join(t for t, *_ in kept), runs
+
+
+#: Texts whose origins are held at once.
+PIECE = 200
+RUN = pa.struct([(n, pa.int32()) for n in ("clean_start", "clean_end", "source_start", "source_end")])
+
+
+def origin_array(texts: pa.Array) -> pa.Array:
+    """(clean, origins) of each text. Runs are four columns of whole numbers, never objects."""
+    clean, ends, columns = [], [0], [array.array("i") for _ in range(4)]
+    for t in texts:
+        one, runs = normalized_with_origins(t.as_py())
+        clean.append(one)
+        ends.append(ends[-1] + len(runs))
+        for column, numbers in zip(columns, zip(*runs, strict=True), strict=False):
+            column.extend(numbers)
+    runs = pa.StructArray.from_arrays([pa.Array.from_buffers(pa.int32(), len(c), [None, pa.py_buffer(c)]) for c in columns], fields=list(RUN))
+    return pa.StructArray.from_arrays([pa.array(clean, pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), runs)], ["clean", "origins"])
+
+
+def _origins(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for texts in parts:
-        rows = [normalized_with_origins(t) for t in texts]
-        yield pd.DataFrame({"clean": [r[0] for r in rows], "origins": [[dict(zip(names, o, strict=True)) for o in r[1]] for r in rows]})
+        for at in range(0, len(texts), PIECE):
+            yield origin_array(texts.slice(at, PIECE))
+
+
+def normalize_with_origins(text: Column | str) -> Column:
+    """``normalize_text`` with the map back to the source. Needs a walk over words, so an Arrow function, by pieces of PIECE texts."""
+    return F.arrow_udf(_origins, "struct<clean string, origins array<struct<clean_start int, clean_end int, source_start int, source_end int>>>")(text)
 
 
 def source_span(origins: list[tuple[int, int, int, int]], start: int, end: int) -> tuple[int, int] | None:

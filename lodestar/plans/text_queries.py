@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions import ids, months, text, values
@@ -102,14 +102,18 @@ def txt_detail(spark: SparkSession, sf: str) -> DataFrame:
 @query(ORACLE_SQL["txt_normalize"])
 def txt_origins(spark: SparkSession, sf: str) -> DataFrame:
     """The clean text put together from the source by its origins alone: runs as they stand, or a blank, between line ends."""
-    rows = table(spark, sf, "documents").select("doc_id", F.encode("text", "UTF-8").alias("source"), text.normalize_with_origins("text").alias("o"))
+    rows = table(spark, sf, "documents").select("doc_id", "text", text.normalize_with_origins("text").alias("o"))
     size = lambda r, side: r[f"{side}_end"] - r[f"{side}_start"]
-    cut = lambda r: F.decode(F.substring(F.col("source"), r["source_start"] + 1, size(r, "source")), "UTF-8")
-    run = lambda r: F.when(size(r, "clean") == size(r, "source"), F.regexp_replace(cut(r), r"^[\x00-\x20\x7F]", " ")).otherwise(F.lit(" "))
-    before = lambda i: F.when(i == 0, 0).otherwise(F.get("o.origins", i - 1)["clean_end"])
-    parts = F.transform("o.origins", lambda r, i: F.concat(F.repeat(F.lit("\n"), r["clean_start"] - before(i)), run(r)))
-    return rows.select("doc_id", F.array_join(parts, "").alias("clean"))
 
+    def joined(source: Column, runs: Column) -> Column:
+        cut = lambda r: F.decode(F.substring(source, r["source_start"] + 1, size(r, "source")), "UTF-8")
+        run = lambda r: F.when(size(r, "clean") == size(r, "source"), F.regexp_replace(cut(r), r"^[\x00-\x20\x7F]", " ")).otherwise(F.lit(" "))
+        before = lambda i: F.when(i == 0, 0).otherwise(F.get(runs, i - 1)["clean_end"])
+        return F.array_join(F.transform(runs, lambda r, i: F.concat(F.repeat(F.lit("\n"), r["clean_start"] - before(i)), run(r))), "")
+
+    # Both are bound: a text would otherwise be encoded again for each of its runs.
+    whole = text.let(F.encode("text", "UTF-8"), lambda source: text.let(F.col("o.origins"), lambda runs: joined(source, runs)))
+    return rows.select("doc_id", whole.alias("clean"))
 
 
 @query()
