@@ -96,7 +96,7 @@ def language_set(c: Column) -> Column:
 
 # Contact and path patterns and what replaces them, in order of application.
 REDACTIONS = (
-    (r"(?<![A-Za-z0-9_])[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}(?![A-Za-z0-9_])", "<redacted-email>"),
+    (r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}(?![A-Za-z0-9_])", "<redacted-email>"),
     (r"(?U)(?:\+\d{1,3}[\s.-]*)?(?:\(\d{3}\)[\s.-]*|\d{3,4}[\s.-]+)\d{3,4}[\s.-]*\d{4}", "<redacted-phone>"),
     (r"(?U)\+?(?:1)?\d{10}\b", "<redacted-phone>"),
     (r"(?iU)\b(?:wechat|weixin|wx|微信|微信号)\s*[:：]\s*[A-Za-z][A-Za-z0-9_.-]{5,31}\b", "<redacted-wechat>"),
