@@ -99,6 +99,11 @@ def bounded(selection: DataFrame, most: int = MOST_SELECTED, key: str = "doc_id"
     return selection.orderBy(key)
 
 
+def whole(selection: DataFrame, key: str = "doc_id") -> DataFrame:
+    """A selection of any size in order of key, for jobs: sorted by ranges, nothing left out, nothing on the driver."""
+    return selection.orderBy(key)
+
+
 def degree_minimum(least: str) -> Predicate:
     return Predicate("any", "degree", values.degrees_from(least), exact=True)
 
