@@ -29,6 +29,8 @@ MOST_LISTS, CODES, STRETCH = 4096, 256, 4
 RECALL, ASKED = 0.95, 300
 #: Candidates of a query whose full vectors are looked at; vectors and queries that meet in a block.
 RERANKED, PAGE, QUERY_PAGE = 200, 4096, 512
+#: Queries that are sent to their lists at once.
+PROBED = 64
 #: Folders of the published codes.
 BUCKETS = 64
 
@@ -161,11 +163,12 @@ def candidates(pages: DataFrame, model: Model, queries: DataFrame, values: str =
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                asked = _unit(_matrix(batch.column(1), batch.num_rows))
+            for start in range(0, batch.num_rows, PROBED):  # a query goes on once a list
+                some = batch.slice(start, PROBED)
+                asked = _unit(_matrix(some.column(1), some.num_rows))
                 at = np.argsort(-(asked @ model.centroids.T), axis=1, kind="stable")[:, : model.probes]
                 whose = pa.array(np.repeat(np.arange(len(asked)), at.shape[1]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(whose), pa.array(at.ravel(), pa.int32()), batch.column(1).take(whose)], ["query_id", "list", "v"])
+                yield pa.RecordBatch.from_arrays([some.column(0).take(whose), pa.array(at.ravel(), pa.int32()), some.column(1).take(whose)], ["query_id", "list", "v"])
 
     probes = source.mapInArrow(probe, "query_id string, list int, v array<float>")
     sizes = probes.groupBy("list").agg((1 + F.floor(F.count(F.lit(1)) / QUERY_PAGE)).alias("_pages"))
