@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.functions.text import ascii_lower
+from lodestar.functions.text import ascii_lower, let
 from lodestar.functions.vectorised import vectorised
 
 HEADING_BYTES, CHUNK_CHARS = 40, 1200
+#: What is left out at the ends of a heading: punctuation and white space.
+EDGES = string.punctuation + " \t\n\x0b\f\r：，。、；"
 HEADING_CONFIDENCE, CHUNK_CONFIDENCE = 0.92, 0.45
 # What makes a line a heading of a family; the first family that fits holds.
 HEADINGS = (
@@ -26,10 +29,14 @@ HEADINGS = (
 
 
 def heading_family(line: Column) -> Column:
-    """The family of a heading line, or null."""
-    bare = ascii_lower(F.regexp_replace(line, r"^[\p{Punct}\s：，。、；]+|[\p{Punct}\s：，。、；]+$", ""))
-    found = F.coalesce(*[F.when(F.greatest(*[bare.contains(w) for w in words]) if len(words) > 1 else bare.contains(words[0]), F.lit(family)) for family, words in HEADINGS])
-    return F.when(~line.contains("|") & (bare != "") & (F.octet_length(bare) <= HEADING_BYTES), found)
+    """The family of a heading line, or null. Most lines are too long, which is seen before anything else is looked at."""
+
+    def of(bare: Column) -> Column:
+        found = F.coalesce(*[F.when(F.greatest(*[bare.contains(w) for w in words]) if len(words) > 1 else bare.contains(words[0]), F.lit(family)) for family, words in HEADINGS])
+        return F.when((bare != "") & ~line.contains("|"), found)
+
+    # Bound: inside a lambda each use would be computed again.
+    return let(F.btrim(line, F.lit(EDGES)), lambda cut: F.when(F.octet_length(cut) <= HEADING_BYTES, let(ascii_lower(cut), of)))
 
 
 def heading_sections(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
