@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -126,15 +127,46 @@ def admitted(classified: DataFrame) -> DataFrame:
 
 #: Some 60 bytes a row.
 MODEL_ROWS = 500_000
+#: Grams that are each looked for in a text; more are met by a join.
+FEW_GRAMS = 64
+
+
+def squeezed(text: Column) -> Column:
+    return F.lower(F.regexp_replace(text, r"\s+", " "))
+
+
+def few_grams(weights: DataFrame) -> list | None:
+    """The rows of a small model whose grams do not repeat; None for another."""
+    rows = weights.select("gram", "idf", "weight").limit(FEW_GRAMS + 1).collect()
+    return rows if len(rows) <= FEW_GRAMS and len({r.gram for r in rows}) == len(rows) else None
+
+
+def probability(text: Column, grams: list, bias: float) -> Column:
+    """The same model as an expression over one text: occurrences of each gram, overlapping ones too, by a look ahead."""
+    known = [r for r in grams if r.gram is not None and 3 <= len(r.gram) <= 5]
+    if not known:
+        return F.lit(1 / (1 + math.exp(-bias)))
+    counted = lambda low: F.array(*[F.coalesce(F.regexp_count(low, F.lit(f"(?={re.escape(r.gram)})")), F.lit(0)) for r in known])
+    valued = lambda ns: F.array(*[F.when(ns[i] > 0, (1 + F.log(ns[i])) * r.idf).otherwise(F.lit(0.0)) for i, r in enumerate(known)])
+
+    def scored(vs: Column) -> Column:
+        norm = F.sqrt(sum((vs[i] * vs[i] for i in range(len(known))), F.lit(0.0)))
+        z = F.when(norm > 0, sum((vs[i] * r.weight for i, r in enumerate(known)), F.lit(0.0)) / norm).otherwise(F.lit(0.0))
+        return 1 / (1 + F.exp(-(z + bias)))
+
+    return let(squeezed(text), lambda low: let(counted(low), lambda ns: let(valued(ns), scored)))
 
 
 def promotion_scores(texts: DataFrame, weights: DataFrame, bias: float, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, probability: a logistic model over character 3- to 5-grams of the whole text, 1 + ln(count) times idf, unit length.
 
-    weights: gram, idf, weight. Characters are split once, so grams take linear time; grams without a weight end at the
-    join, before anything is counted or shuffled. A model of up to MODEL_ROWS rows is broadcast to it.
+    weights: gram, idf, weight. A model of up to FEW_GRAMS is looked up gram by gram in its row, without a join; keys are unique. For
+    others characters are split once, so grams take linear time; grams without a weight end at the join, before anything is
+    counted or shuffled. A model of up to MODEL_ROWS rows is broadcast to it.
     """
-    low = F.lower(F.regexp_replace(F.col(text), r"\s+", " "))
+    if (few := few_grams(weights)) is not None:
+        return texts.select(key, probability(F.col(text), few, bias).alias("probability"))
+    low = squeezed(F.col(text))
     of = lambda cs: F.flatten(F.transform(F.array(F.lit(3), F.lit(4), F.lit(5)), lambda n: F.when(F.size(cs) >= n, F.transform(F.sequence(F.lit(1), F.size(cs) - n + 1), lambda i: F.array_join(F.slice(cs, i, n), ""))).otherwise(F.array().cast("array<string>"))))
     grams = let(F.filter(F.split(low, ""), lambda c: c != ""), of)
     model = F.broadcast(weights) if weights.limit(MODEL_ROWS + 1).count() <= MODEL_ROWS else weights
@@ -147,7 +179,11 @@ def promotion_scores(texts: DataFrame, weights: DataFrame, bias: float, key: str
 
 def promote(classified: DataFrame, probabilities: DataFrame, threshold: float, key: str = "doc_id") -> DataFrame:
     """Conflict-free texts under review become candidates from ``threshold`` on."""
-    joined = classified.join(probabilities, key, "left")
+    return lifted(classified.join(probabilities, key, "left"), threshold)
+
+
+def lifted(joined: DataFrame, threshold: float) -> DataFrame:
+    """The same over classified texts that have their probability beside them."""
     up = (F.col("status") == "needs_review") & (F.get("reasons", 0) == "insufficient_signal_families") & (F.col("probability") >= threshold)
     reasons = F.when(up, F.slice(F.concat(F.array(F.lit("corroborated_resume_signals")), F.col("reasons")), 1, MOST_REASONS)).otherwise(F.col("reasons"))
     return joined.withColumns({"reasons": reasons, "status": F.when(up, "resume_candidate").otherwise(F.col("status"))})

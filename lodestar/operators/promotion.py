@@ -94,6 +94,10 @@ def read_model(spark: SparkSession, path: str, epoch: str) -> Model:
 def promoted(classified: DataFrame, model: Model, key: str = "doc_id", text: str = "text", section_list: Column | None = None) -> DataFrame:
     """Classified texts with those that the model lifts as candidates. Only texts that it may lift are scored; keys are unique."""
     listed = section_types(F.col(text)) if section_list is None else section_list
-    open_ = classified.where("status = 'needs_review' AND reasons[0] = 'insufficient_signal_families'")
+    may = "status = 'needs_review' AND reasons[0] = 'insufficient_signal_families'"
+    if (few := classify.few_grams(model.weights)) is not None:  # in one pass, without a join
+        scored = F.when(F.expr(may), classify.probability(model_input(F.col(text), listed, F.col("reasons"), model.max_input_chars), few, model.intercept))
+        return classify.lifted(classified.withColumn("probability", scored), model.threshold)
+    open_ = classified.where(may)
     read = open_.select(key, model_input(F.col(text), listed, F.col("reasons"), model.max_input_chars).alias("_input"))
     return classify.promote(classified, classify.promotion_scores(read, model.weights, model.intercept, key, "_input"), model.threshold, key)
