@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -190,6 +192,8 @@ def query_shape(query: Column) -> dict[str, Column]:
 
 #: Tokens of a bucket of a published index, and documents of a file in it; buckets are a power of two.
 BUCKET_TOKENS, SLICE_DOCS, LEAST_BUCKETS, MOST_BUCKETS = 4_000_000, 2_000_000, 8, 1 << 15
+#: Fields whose postings are made at once, and documents that leave an index by a broadcast.
+PIECE, MOST_BROADCAST = 64, 1_000_000
 
 
 @dataclass
@@ -261,20 +265,52 @@ def index_of(postings: DataFrame, lengths: DataFrame) -> Index:
 
 
 def build_index(docs: DataFrame, key: str, *fields: str) -> Index:
-    """Postings of the given text columns; a posting carries its field's length, so scores need no join with lengths."""
+    """Postings of the given text columns; a posting carries its field's length, so scores need no join with lengths.
+
+    All tokens of a field are in its row, so postings are made there and nothing is shuffled before they are published. Only
+    where rows share a key, which is looked up first, are their postings put together.
+    """
     parts = None
     for name in fields:
         one = docs.select(F.col(key).alias("doc_id"), F.lit(name).alias("field"), tokens(F.col(name)).alias("tokens"))
         parts = one if parts is None else parts.unionByName(one)
     lengths = parts.select("doc_id", "field", F.coalesce(F.size("tokens"), F.lit(0)).alias("length"))
-    placed = parts.select("doc_id", "field", F.size("tokens").alias("length"), F.posexplode("tokens").alias("position", "term"))
-    postings = placed.groupBy("term", "doc_id", "field").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.first("length").alias("length"), F.array_sort(F.collect_list("position")).alias("positions"))
+    kind = parts.schema["doc_id"].dataType.simpleString()
+    postings = parts.where(F.size("tokens") > 0).mapInArrow(_postings, f"term string, doc_id {kind}, field string, tf int, length int, positions array<int>")
+    if not docs.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        postings = postings.groupBy("term", "doc_id", "field").agg(F.sum("tf").cast("int").alias("tf"), F.first("length").alias("length"), F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
     return index_of(postings, lengths)
 
 
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each distinct token of each row (doc_id, field, tokens), by pieces of PIECE rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, PIECE):
+            ids, fields, lists = batch.slice(at, PIECE).columns
+            sizes = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            coded = lists.flatten().dictionary_encode()
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            whose = row * len(coded.dictionary) + coded.indices.to_numpy()
+            order = np.argsort(whose, kind="stable")
+            starts = np.flatnonzero(np.diff(whose[order], prepend=-1))
+            ends = np.append(starts, len(order))
+            term, row = coded.dictionary.take(coded.indices.take(pa.array(order[starts]))), row[order[starts]]
+            positions = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(place[order], pa.int32()))
+            columns = [term, ids.take(pa.array(row)), fields.take(pa.array(row)), pa.array(np.diff(ends), pa.int32()), pa.array(sizes[row], pa.int32()), positions]
+            yield pa.RecordBatch.from_arrays(columns, ["term", "doc_id", "field", "tf", "length", "positions"])
+
+
+def leaving(rows: DataFrame, gone: DataFrame, n: int, *keys: str, how: str = "left_anti") -> DataFrame:
+    """Rows without those of ``gone``, or those only (left_semi). So long as n keys can be broadcast, no postings are shuffled or sorted for it."""
+    return rows.join(F.broadcast(gone) if n <= MOST_BROADCAST else gone.hint("shuffle_hash"), list(keys), how)
+
+
 def changed_index(base: Index, gone: DataFrame, added: Index) -> Index:
     """The next generation: the base without the documents ``gone`` (doc_id), and the postings of those added."""
-    kept = lambda t: t.drop("bucket").join(gone.select("doc_id"), "doc_id", "left_anti")
+    left = gone.select("doc_id").distinct()
+    n = left.count()
+    kept = lambda t: leaving(t.drop("bucket"), left, n, "doc_id")
     return index_of(kept(base.postings).unionByName(added.postings.drop("bucket")), kept(base.lengths).unionByName(added.lengths))
 
 
