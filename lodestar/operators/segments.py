@@ -85,7 +85,12 @@ class Segments:
         """Rows (doc_id, segment, ...) without the dead; where no segment has any, nothing is joined."""
         if not any(s["dead"] for s in of):
             return rows
-        return rows.join(self.gone().select("doc_id", "segment").distinct(), ["doc_id", "segment"], "left_anti")
+        return fulltext.leaving(rows, *self._dead(of), "doc_id", "segment")
+
+    def _dead(self, of: list[dict]) -> tuple[DataFrame, int]:
+        """The dead of some segments, and how many they are at most."""
+        dead = self.gone().where(F.col("segment").isin(*[s["number"] for s in of])).select("doc_id", "segment").distinct()
+        return dead, sum(total(s["dead"], 0) for s in of)
 
     def lengths(self, of: list[dict]) -> DataFrame:
         return self.alive(self.table(LENGTHS, of), of)
@@ -112,7 +117,7 @@ class Segments:
         counted = [rows.select("term", "field", "df", "cf") for rows, _ in self.parts(TERMS, some)]
         for rows, of in postings:
             if any(s["dead"] for s in of):
-                dead = rows.select("term", "field", "tf", "doc_id", "segment").join(self.gone().select("doc_id", "segment").distinct(), ["doc_id", "segment"], "left_semi")
+                dead = fulltext.leaving(rows.select("term", "field", "tf", "doc_id", "segment"), *self._dead(of), "doc_id", "segment", how="left_semi")
                 counted.append(dead.groupBy("term", "field").agg((-F.count(F.lit(1))).alias("df"), (-F.sum("tf")).alias("cf")))
         terms = union(counted).groupBy("term", "field").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).where("df > 0")
         return Index(union(alive).drop("segment"), self.lengths(self.all).drop("segment"), self.stats(), terms, cut=self.index)
