@@ -276,7 +276,7 @@ def build_index(docs: DataFrame, key: str, *fields: str) -> Index:
         parts = one if parts is None else parts.unionByName(one)
     lengths = parts.select("doc_id", "field", F.coalesce(F.size("tokens"), F.lit(0)).alias("length"))
     kind = parts.schema["doc_id"].dataType.simpleString()
-    postings = parts.where(F.size("tokens") > 0).mapInArrow(_postings, f"term string, doc_id {kind}, field string, tf int, length int, positions array<int>")
+    postings = parts.mapInArrow(_postings, f"term string, doc_id {kind}, field string, tf int, length int, positions array<int>")
     if not docs.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
         postings = postings.groupBy("term", "doc_id", "field").agg(F.sum("tf").cast("int").alias("tf"), F.first("length").alias("length"), F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
     return index_of(postings, lengths)
@@ -381,9 +381,26 @@ def scan_postings(docs: DataFrame, key: str, terms: list[str], *fields: str) ->
 
 def phrase_bits(index: Index, queries: Queries, allowed: DataFrame | None = None) -> DataFrame:
     """query_id, doc_id, bits of the phrases met: the terms of a phrase stand one after another, so all have one start."""
-    placed = restricted(index.postings.join(F.broadcast(queries.phrases), "term"), allowed).select("query_id", "bits", "size", "place", "doc_id", "field", F.explode("positions").alias("position"))
-    starts = placed.groupBy("query_id", "bits", "size", "doc_id", "field", (F.col("position") - F.col("place")).alias("start")).agg(F.count(F.lit(1)).alias("met"))
-    return starts.where("met = size").select("query_id", "doc_id", "bits")
+    near = by_document(index.postings.select("term", "doc_id", "field", "positions").join(F.broadcast(queries.phrases.select("term").distinct()), "term", "left_semi"), allowed)
+    placed = restricted(near.join(F.broadcast(queries.phrases), "term").select("query_id", "bits", "size", "place", "doc_id", "field", "positions"), by_query(allowed))
+    starts = placed.select("query_id", "bits", "size", "doc_id", "field", "place", F.transform("positions", lambda p: p - F.col("place")).alias("starts"))
+    met = starts.groupBy("query_id", "bits", "size", "doc_id", "field").agg(F.collect_list("starts").alias("starts")).where(F.size("starts") == F.col("size"))
+    common = F.aggregate(F.slice("starts", 2, F.col("size")), F.get("starts", F.lit(0)), F.array_intersect)
+    return met.where(F.size(common) > 0).select("query_id", "doc_id", "bits")
+
+
+def by_document(postings: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
+    """Postings of the terms asked for, dealt by document: what is then gathered by query and document needs no further exchange.
+
+    A posting crosses once, however many queries ask for its term, and positions cross as arrays. A selection of documents
+    that all queries share cuts them before.
+    """
+    return (postings if by_query(allowed) is not None else restricted(postings, allowed)).repartition("doc_id")
+
+
+def by_query(allowed: DataFrame | None) -> DataFrame | None:
+    """The selection, if each query has its own."""
+    return allowed if allowed is not None and "query_id" in allowed.columns else None
 
 
 def restricted(hits: DataFrame, allowed: DataFrame | None) -> DataFrame:
@@ -397,7 +414,9 @@ def matching(index: Index, queries: Queries) -> DataFrame:
 
     Postings are read once for all queries; one aggregation by query and document gathers the parts met.
     """
-    hits = index.postings.join(F.broadcast(queries.terms.where("bits <> 0")), "term").select("query_id", "doc_id", "bits")
+    asked = queries.terms.where("bits <> 0")
+    near = by_document(index.postings.select("term", "doc_id").join(F.broadcast(asked.select("term").distinct()), "term", "left_semi"))
+    hits = near.join(F.broadcast(asked), "term").select("query_id", "doc_id", "bits")
     if queries.phrases is not None:
         hits = hits.unionByName(phrase_bits(index, queries))
     met = hits.groupBy("query_id", "doc_id").agg(F.bit_or("bits").alias("met"))
@@ -415,7 +434,8 @@ def scores(index: Index, queries: Queries, allowed: DataFrame | None = None) ->
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     rated = rated.select("query_id", "term", "field", "bits", F.when(F.col("scored"), idf).otherwise(0.0).alias("idf"), "average")
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("average")))
-    hits = restricted(index.postings.select("term", "doc_id", "field", "tf", "length").join(F.broadcast(rated), ["term", "field"]).select("query_id", "doc_id", "bits", weight.alias("weight")), allowed)
+    near = by_document(index.postings.select("term", "doc_id", "field", "tf", "length").join(F.broadcast(queries.terms.select("term").distinct()), "term", "left_semi"), allowed)
+    hits = restricted(near.join(F.broadcast(rated), ["term", "field"]).select("query_id", "doc_id", "bits", weight.alias("weight")), by_query(allowed))
     if queries.phrases is not None:
         hits = hits.unionByName(phrase_bits(index, queries, allowed).withColumn("weight", F.lit(0.0)))
     met = hits.groupBy("query_id", "doc_id").agg(F.bit_or("bits").alias("met"), F.sum("weight").alias("score"))
