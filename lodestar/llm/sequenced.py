@@ -3,8 +3,8 @@
 A client's changes carry numbers 1, 2, 3 and so on. A change that comes too early is held until the numbers before it
 have come, or until it has waited so long that these count as lost and are jumped over.
 
-The state is keyed by bucket, and holds two maps for a bucket: a *timing wheel*, from expiry day to the lanes that hold a
-change which expires then, and the lanes themselves. A lane is a client's stretch of ``span`` consecutive numbers; nearly
+The state is keyed by bucket, and holds for a bucket a *timing wheel*, from expiry day to the lanes that hold a
+change which expires then, and the lanes themselves, as columns. A lane is a client's stretch of ``span`` consecutive numbers; nearly
 every client has one lane, and a client that holds a third of all rows has many, in different buckets. Each tick looks
 at the slots that are due only, jumps in their lanes, and enters these at their new earliest day.
 
@@ -22,7 +22,7 @@ from collections.abc import Iterable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lodestar.llm.shared import looked_up, shared_dir, written
 
@@ -65,17 +65,17 @@ def dated(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("valid_at").isNotNull() & (h % 11 != 0)).withColumn("day", day.cast("int")).withColumn("turn", turn.cast("int"))
 
 
-class Wheel(StatefulProcessor):
+#: A bucket's state: the wheel (days, and the places of the lanes in each), then the lanes.
+STATE = "slots array<int>, entered array<array<int>>, who array<string>, lane array<bigint>, slot array<int>, next array<bigint>, jumped array<boolean>, numbers array<array<bigint>>, days array<array<int>>"
+
+
+class Wheel:
     """One bucket's lanes and the wheel over them. Tells of rows it takes, and of lanes whose limit moved."""
 
     def __init__(self, span: int, wait: int):
         self.span, self.wait = span, wait
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.wheel = handle.getMapState("wheel", "day int", "who array<string>, lane array<bigint>")
-        self.lanes = handle.getMapState("lanes", "who string, lane bigint", "slot int, next bigint, jumped boolean, numbers array<bigint>, days array<int>")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+    def __call__(self, key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         come, clock, turn = defaultdict(list), None, None
         for part in rows:
             for who, lane, n, day, rid, at, tick in zip(part["who"], part["lane"], part["n"], part["day"], part["rid"], part["turn"], part["clock"], strict=True):
@@ -84,18 +84,20 @@ class Wheel(StatefulProcessor):
                     come[who, int(lane)].append((int(n), int(day), int(rid)))
                 else:
                     clock = int(tick)
+        slots, places, *lanes = state.get if state.exists else ([],) * len(STATE.split(", "))
+        wheel, lanes = dict(zip(slots, places, strict=True)), [list(column) for column in lanes]
+        at_place = {at: i for i, at in enumerate(zip(*lanes[:2], strict=True))}
         touched, told = {}, []
-        for slot in sorted(day for (day,) in self.wheel.keys() if clock is not None and day <= clock):
-            lanes = self.wheel.getValue((slot,))
-            self.wheel.removeKey((slot,))
-            for at in zip(*lanes, strict=True):
-                lane = touched.get(at) or self._lane(at)
+        for slot in sorted(day for day in wheel if clock is not None and day <= clock):
+            for i in wheel.pop(slot):
+                at = lanes[0][i], lanes[1][i]
+                lane = touched.get(at) or self._lane(at, lanes, i)
                 if lane["slot"] == slot:  # else it has been entered at an earlier day since
                     lane["slot"] = None
                     self._jump(lane, clock)
                     touched[at] = lane
         for at, changes in come.items():
-            lane = touched.setdefault(at, None) or self._lane(at)
+            lane = touched.get(at) or self._lane(at, lanes, at_place.get(at))
             touched[at] = lane
             lane["before"] = lane["next"]
             for n, day, rid in changes:
@@ -103,22 +105,22 @@ class Wheel(StatefulProcessor):
                     lane["held"][n] = day
                     told.append((*at, turn, rid, None, None, None))
             self._run(lane)
-        entered = defaultdict(list)
         for at, lane in touched.items():
+            i = at_place.setdefault(at, len(at_place))
             if lane["held"] and (lane["slot"] is None or min(lane["held"].values()) + self.wait < lane["slot"]):
                 lane["slot"] = min(lane["held"].values()) + self.wait
-                entered[lane["slot"]].append(at)
-            self.lanes.updateValue(at, (lane["slot"], lane["next"], lane["jumped"], list(lane["held"]), list(lane["held"].values())))
+                wheel[lane["slot"]] = [*wheel.get(lane["slot"], []), i]
+            for column, value in zip(lanes, (*at, lane["slot"], lane["next"], lane["jumped"], list(lane["held"]), list(lane["held"].values())), strict=True):
+                column[i:i + 1] = [value]
             before = lane.get("before", lane["next"])
             if (lane["next"], lane["jumped"]) != lane["was"]:
                 told.append((*at, turn, None, before, lane["next"], lane["jumped"]))
-        for slot, lanes in entered.items():
-            whos, numbers = self.wheel.getValue((slot,)) or ([], [])
-            self.wheel.updateValue((slot,), ([*whos, *(who for who, _ in lanes)], [*numbers, *(lane for _, lane in lanes)]))
+        if touched:
+            state.update((list(wheel), list(wheel.values()), *lanes))
         yield pd.DataFrame(told, columns=["who", "lane", "turn", "rid", "before", "after", "jumped"]).astype({"rid": "Int64", "before": "Int64", "after": "Int64", "jumped": "boolean"})
 
-    def _lane(self, at: tuple[str, int]) -> dict:
-        slot, following, jumped, numbers, days = self.lanes.getValue(at) or (None, at[1] * self.span + 1, False, [], [])
+    def _lane(self, at: tuple[str, int], lanes: list[list], i: int | None) -> dict:
+        slot, following, jumped, numbers, days = (None, at[1] * self.span + 1, False, [], []) if i is None else (column[i] for column in lanes[2:])
         return {"slot": slot, "next": following, "jumped": jumped, "held": dict(zip(numbers, days, strict=True)), "first": at[1] == 0, "was": (following, jumped)}
 
     def _jump(self, lane: dict, clock: int) -> None:
@@ -137,9 +139,6 @@ class Wheel(StatefulProcessor):
                 del lane["held"][lane["next"]]
             lane["next"] += 1
 
-    def close(self) -> None:
-        pass
-
 
 def limits(told: DataFrame, span: int) -> DataFrame:
     """(who, limits): the client's next number at each batch's start, after jumps, and at its end, for all batches in turn.
@@ -182,15 +181,16 @@ def stream(spark: SparkSession, rows: DataFrame, span: int, clocks: list[int], b
     heads = fed.groupBy("who", "n", "turn").agg(F.min(F.struct("day", "change_id", "tie", "rid")).alias("head")).select(F.col("head.rid").alias("rid"), F.lit(True).alias("leads"))
     fed = fed.join(heads, "rid", "left").select("turn", "bucket", "who", "lane", "n", "day", "rid", F.coalesce("leads", F.lit(False)).alias("leads"))
     names = [c.split()[0] for c in FEED.split(", ")]
+    advance = Wheel(span, wait).__call__
     fed = fed.unionByName(ticks, allowMissingColumns=True).select(*names)
     fed.withColumn("batch", F.col("turn")).write.partitionBy("batch").parquet(f"{folder}/staged")
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     files = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     files.mkdirs(path(f"{folder}/feed"))
     settings = {
-        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
-        # Every start opens the stores anew, so none is left open, with its working files, on the executors.
+        # A RocksDB store keeps half a megabyte of an executor's memory for good, each time one is opened: by every partition at every start.
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider",
+        # Every start opens the stores anew, so none is left loaded on the executors.
         "spark.sql.streaming.stateStore.unloadOnCommit": "true",
     }
     earlier = {k: spark.conf.get(k, None) for k in settings}
@@ -201,7 +201,7 @@ def stream(spark: SparkSession, rows: DataFrame, span: int, clocks: list[int], b
             if not files.rename(path(f"{folder}/staged/batch={turn}"), path(f"{folder}/feed/{turn}")):
                 raise OSError(f"batch {turn} could not be handed over")
             source = spark.readStream.schema(FEED).parquet(f"{folder}/feed/*").where("leads OR clock IS NOT NULL")
-            told = source.groupBy("bucket").transformWithStateInPandas(Wheel(span, wait), TOLD, "Append", "None")
+            told = source.groupBy("bucket").applyInPandasWithState(advance, TOLD, STATE, "append", GroupStateTimeout.NoTimeout)
             query = told.writeStream.format("parquet").option("path", f"{folder}/told").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
             query.awaitTermination()
     finally:
