@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 BOUNDS = (1, 2, 5, 10, 20, 50, 100, 200, 500, 1000, 2000, 5000)
 TOKEN_BUDGETS = (512, 384, 256)
 DUPLICATE = 0.70
+#: Rows of a task that compares fields.
+TASK_ROWS = 500_000
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -106,11 +108,18 @@ def first_bound_histogram(samples: DataFrame, column: str, bounds: tuple[float,
 
 
 def field_scores(expected: DataFrame, found: DataFrame) -> DataFrame:
-    """field, tp, fp, fn, precision, recall, f1, and a row ``overall``: multisets of (doc_id, field, value) compared."""
+    """field, tp, fp, fn, precision, recall, f1, and a row ``overall``: multisets of (doc_id, field, value) compared.
+
+    Both sides are counted in one aggregation, dealt over tasks of about TASK_ROWS rows: what a task holds doesn't grow with
+    the tables. The rows are counted first.
+    """
     keys = ["doc_id", "field", "value"]
-    e = expected.groupBy(*keys).agg(F.count(F.lit(1)).alias("e"))
-    f = found.groupBy(*keys).agg(F.count(F.lit(1)).alias("f"))
-    both = e.join(f, keys, "full").select("field", F.coalesce("e", F.lit(0)).alias("e"), F.coalesce("f", F.lit(0)).alias("f"))
+    some_null = F.coalesce(*[F.when(F.col(k).isNull(), True) for k in keys])
+    # Nulls equal nothing, so what has one is counted apart on each side.
+    side = lambda df, e, f: df.select(*keys, F.when(some_null, e).alias("apart"), F.lit(e).alias("e"), F.lit(f).alias("f"))
+    parts = max(expected.sparkSession.sparkContext.defaultParallelism, -(-(expected.count() + found.count()) // TASK_ROWS))
+    dealt = side(expected, 1, 0).unionByName(side(found, 0, 1)).repartition(parts, *keys)
+    both = dealt.groupBy(*keys, "apart").agg(F.sum("e").alias("e"), F.sum("f").alias("f"))
     tp, fp, fn = F.least("e", "f"), F.greatest(F.col("f") - F.col("e"), F.lit(0)), F.greatest(F.col("e") - F.col("f"), F.lit(0))
     sums = [F.sum(tp).alias("tp"), F.sum(fp).alias("fp"), F.sum(fn).alias("fn")]
     rows = both.groupBy("field").agg(*sums)
