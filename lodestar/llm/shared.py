@@ -12,6 +12,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.functions.vectorised import small_batches
+
 _work: list[str] = []
 
 
@@ -70,15 +72,6 @@ def looked_up(rows: DataFrame, side: DataFrame, key: str, *spread: str, total: i
     return joined.select(*rows.columns, *[F.when(F.col("_hot"), F.col(f"_hot_{c}")).otherwise(F.col(c)).alias(c) for c in values])
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most 8 MB in this session: a worker holds a few of them, whatever the texts' lengths."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    size = spark.conf.get(name, "64m").lower().rstrip("b")
-    scale = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(size[-1:], 1)
-    if int(size.rstrip("kmg")) * scale > 8 << 20:
-        spark.conf.set(name, str(8 << 20))
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

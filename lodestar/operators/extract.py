@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions import values
+from lodestar.functions.vectorised import small_batches
 
 MOST_MENTIONS, VALUE_BYTES = 256, 4096
 #: Texts whose mentions are held at once, and texts of a task where they are dealt out.
@@ -497,7 +498,8 @@ def mentions_of(text: str | None, rules: tuple = RULES) -> list[Mention]:
 
 
 def all_mentions(texts: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple = RULES) -> DataFrame:
-    """key and the mentions that ``rules`` find, a row each. Texts go in and mentions out by pieces of PIECE texts, so a task holds few."""
+    """key and the mentions that ``rules`` find, a row each. Texts come in batches of a few MB and mentions go out by pieces of PIECE texts, so a task holds few."""
+    small_batches(texts.sparkSession)
     source = texts.select(key, text)
     kinds = source.schema[0].dataType.simpleString()
 

@@ -431,7 +431,8 @@ def extract_resume(spark: SparkSession, sf: str) -> DataFrame:
     WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b')) AS v FROM documents)
     SELECT doc_id, lower(v) AS email, count(*) AS n FROM m GROUP BY 1, 2""")
 def extract_emails(spark: SparkSession, sf: str) -> DataFrame:
-    found = extract.all_mentions(table(spark, sf, "documents"), rules=(extract.find_contacts,)).where("entity_type = 'email'")
+    texts = table(spark, sf, "documents").where(F.contains("text", F.lit("@")))
+    found = extract.all_mentions(texts, rules=(extract.find_contacts,)).where("entity_type = 'email'")
     return found.groupBy("doc_id", F.col("normalized_value").alias("email")).agg(F.count(F.lit(1)).alias("n"))
 
 
