@@ -20,6 +20,8 @@ SOFT_DUPLICATE = 0.70
 SOFT_SCORES = np.array([round(min(0.95, 0.45 + 0.25 * (i >= 8) + 0.20 * (i % 8 >= 4) + 0.10 * (i % 4) / 3), 6) for i in range(16)])
 #: Profiles of one fact in a part, and comparisons at a time.
 LONG, PAIRS = 2000, 1 << 18
+#: Founded contacts of a kind that are broadcast; a shuffle join beyond.
+FEW_CONTACTS = 100_000
 
 
 def hydrate(hits: DataFrame, active: DataFrame) -> DataFrame:
@@ -72,34 +74,39 @@ def assign_candidates(contacts: DataFrame) -> DataFrame:
 
     It is computed in rounds over all versions at once. The first undecided version of all its contacts founds; whoever
     shares a contact with a founder is decided by that. Each round is a table of its own, so no group of versions, however
-    large, meets in one task.
+    large, meets in one task. Contacts cross as 128 bits of their hash, as many as a candidate's name has; founders are found
+    among the first version of each contact, and where few contacts are founded they are broadcast.
     """
-    order = F.struct("committed", "version_id")
-    ends = F.array_compact(F.array(F.concat(F.lit("e"), "email_hash"), F.concat(F.lit("p"), "phone_hash")))
-    undecided = contacts.select("version_id", "committed", ends.alias("ends")).where(F.size("ends") > 0)
-    owners = None
+    kinds = ("email", "phone")
+    bits = lambda kind: F.unhex(F.substring(F.sha2(f"{kind}_hash", 256), 1, 32)).alias(kind)
+    named = contacts.select("version_id", "committed", *map(bits, kinds))
+    undecided, owners, founded = named.where("email IS NOT NULL OR phone IS NOT NULL"), None, dict.fromkeys(kinds, 0)
+    side = lambda of, kind, n: F.broadcast(of.where(F.col("kind") == kind)) if n <= FEW_CONTACTS else of.where(F.col("kind") == kind)
     while True:
-        held = undecided.select("version_id", "committed", F.size("ends").alias("n"), F.explode("ends").alias("contact"))
-        first = held.groupBy("contact").agg(F.min(order).alias("first"))
-        founders = held.join(first, "contact").where(F.col("first") == order).groupBy("version_id", "committed", "n").agg(F.collect_list("contact").alias("held")).where(F.size("held") == F.col("n"))
-        candidate = F.concat(F.lit("cand_"), F.substring(F.sha2("version_id", 256), 1, 32))
-        new = founders.select(F.explode("held").alias("contact"), "committed", "version_id", candidate.alias("candidate")).checkpoint()
-        if new.isEmpty():
+        ends = F.filter(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("contact")) for k in kinds]), lambda e: e["contact"].isNotNull())
+        held = undecided.select(F.struct("committed", "version_id", F.size(ends).alias("n")).alias("by"), F.explode(ends).alias("end"))
+        first = held.groupBy("end").agg(F.min("by").alias("by"))
+        founders = first.groupBy("by").agg(F.collect_list("end").alias("held")).where(F.size("held") == F.col("by.n"))
+        new = founders.select("by.committed", "by.version_id", F.explode("held").alias("end")).select("end.*", F.struct("committed", "version_id").alias("by")).checkpoint()
+        number = {r["kind"]: r["count"] for r in new.groupBy("kind").count().collect()}
+        if not number:
             break
         owners = new if owners is None else owners.unionByName(new)
-        near = held.join(new.select("contact"), "contact", "left_semi").select("version_id").distinct()
-        undecided = undecided.join(near, "version_id", "left_anti").checkpoint()
+        for kind in sorted(number, key=number.get):
+            founded[kind] += number[kind]
+            undecided = undecided.join(side(new, kind, number[kind]).select(F.col("contact").alias(kind)), kind, "left_anti")
+        undecided = undecided.checkpoint()
     if owners is None:
         return contacts.select("version_id", *[F.lit(None).cast("string").alias(c) for c in ("candidate_id", "email_candidate", "phone_candidate")])
-    out = contacts
-    for kind in ("email", "phone"):
-        mine = owners.select(F.col("contact").alias(f"_{kind}"), F.struct("committed", "version_id").alias(f"_{kind}_by"), F.col("candidate").alias(f"_{kind}_candidate"))
-        out = out.withColumn(f"_{kind}", F.concat(F.lit(kind[0]), f"{kind}_hash")).join(mine, f"_{kind}", "left")
+    out = named
+    for kind in sorted(kinds, key=founded.get):
+        out = out.join(side(owners, kind, founded[kind]).select(F.col("contact").alias(kind), F.col("by").alias(f"{kind}_by")), kind, "left")
+    order = F.struct("committed", "version_id")
+    candidate = lambda kind: F.concat(F.lit("cand_"), F.substring(F.sha2(F.col(f"{kind}_by.version_id").cast("string"), 256), 1, 32))
     # A contact is known to a version only if its founder came before.
-    known = lambda kind: F.when(F.col(f"_{kind}_by") < order, F.col(f"_{kind}_candidate"))
-    founded = F.coalesce(*[F.when(F.col(f"_{k}_by") == order, F.col(f"_{k}_candidate")) for k in ("email", "phone")])
-    email, phone = known("email"), known("phone")
-    chosen = F.when(email.isNotNull() & phone.isNotNull() & (email != phone), None).otherwise(F.coalesce(email, phone, founded))
+    email, phone = (F.when(F.col(f"{k}_by") < order, candidate(k)) for k in kinds)
+    own = F.coalesce(*[F.when(F.col(f"{k}_by") == order, candidate(k)) for k in kinds])
+    chosen = F.when(email.isNotNull() & phone.isNotNull() & (email != phone), None).otherwise(F.coalesce(email, phone, own))
     return out.select("version_id", chosen.alias("candidate_id"), email.alias("email_candidate"), phone.alias("phone_candidate"))
 
 
